@@ -54,14 +54,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def sizes(docs: DataFrame, seed: int, *carry: str) -> DataFrame:
-    """doc_id, source, size, the uniform number u and any other column asked for."""
-    return docs.select("doc_id", "source", word_count("text").alias("size"), uniform(seed, "doc_id", "text", "source").alias("u"), *carry)
+    """row, doc_id, source, size, the uniform number u and any other column asked for."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count("text").alias("size"), uniform(seed, "doc_id", "text", "source").alias("u"), *carry)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """Columns: doc_id, size, source_size, target, taken (words), copies, and ``carry``.
 
-    The cut within the boundary bucket is where the words taken come nearest to the words owed.
+    The cut within the boundary bucket is where the words taken come nearest to the words owed; one
+    document a source is then added or dropped where that brings them nearer.
     """
     rows = written(sizes(docs, seed, *carry), "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -89,7 +90,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     # Taken if the words after this row come nearer to the words owed than those before it.
     split = split.withColumn("more", (F.col("upto") + (F.col("upto") - F.col("size")) <= 2 * F.col("part")).cast("long")).drop("upto")
     rest = plain.where("bucket <> at").withColumn("more", (F.col("bucket") < F.col("at")).cast("long"))
-    out = rest.unionByName(split).withColumn("copies", F.col("whole") + F.col("more"))
+    first = rest.unionByName(split)
+    # What one document can mend: the gap left in a source is closed by the document that fits it best, added or dropped.
+    gaps = first.groupBy("source").agg((F.first("part") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
+    gaps = F.broadcast(gaps) if _few(cut) else gaps
+    fit = first.select("row", "source", "size", "more", "u").alias("d").join(gaps.alias("g"), F.expr("d.source <=> g.source")).select("d.*", "gap")
+    fit = fit.where("(more = 0) = (gap > 0) and abs(abs(gap) - size) < abs(gap)").groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")), "u", "row")).alias("best"))
+    fit = written(fit.select(F.col("best.row").alias("row")), "mix-fit")
+    mended = first.join(F.broadcast(fit.withColumn("flip", F.lit(1))) if _few(cut) else fit.withColumn("flip", F.lit(1)), "row", "left")
+    out = mended.withColumn("more", F.when(F.col("flip").isNotNull(), 1 - F.col("more")).otherwise(F.col("more"))).withColumn("copies", F.col("whole") + F.col("more"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry)
 
 
