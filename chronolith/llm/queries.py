@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import bpe, mixing, quality, rules, secrets, tokens
+from chronolith.llm import bpe, mixing, quality, rules, secrets, substring, tokens
 from chronolith.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(documents(spark, sf_dir), text=False)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), *_tokenizer("byte_bpe_multi_50k.tiktoken"), ids=False)
 
