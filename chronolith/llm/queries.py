@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import bpe, mixing, quality, rules, secrets, substring, tokens
+from chronolith.llm import bpe, mixing, near, quality, rules, secrets, substring, tokens
 from chronolith.llm.common import documents
 
 
@@ -41,6 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import bpe, mixing, quality, secrets
+from chronolith.llm import bpe, mixing, near, quality, secrets
 from chronolith.llm.common import documents, written
 
 
