@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import bpe, mixing, near, quality, rules, secrets, substring, tokens
+from chronolith.llm import bpe, mixing, near, quality, rules, secrets, substring, tokens, topk
 from chronolith.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(documents(spark, sf_dir), text=False)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, scale=64, every=20)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), *_tokenizer("byte_bpe_multi_50k.tiktoken"), ids=False)
 
