@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import bpe, mixing, near, quality, rules, secrets, substring, tokens, topk
+from chronolith.llm import bpe, html, mixing, near, quality, rules, secrets, substring, tokens, topk
 from chronolith.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), *_tokenizer("byte_bpe_multi_50k.tiktoken"), ids=False)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
