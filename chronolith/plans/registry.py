@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from chronolith.plans import bars, base  # noqa: F401
+from chronolith.plans.flagship import flagship  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
