@@ -83,19 +83,23 @@ def as_of(left: DataFrame, right: DataFrame, on: str = "ts", visible: str = "clo
 
 
 def macro_regime(bars: DataFrame, lookback: int = 3) -> DataFrame:
-    """Trend, range position, momentum phase, volatility regime and conviction over the last bars."""
-    win = w(lookback)
+    """Five bounded figures of the last bars: trend, range position, momentum phase, body regime, volume conviction."""
+    win, o = w(lookback), series()
     full = F.count(F.lit(1)).over(win) == lookback
-    first = F.first("close").over(win)
-    low, high = F.min("low").over(win), F.max("high").over(win)
-    span = F.avg(F.col("high") - F.col("low")).over(win)
+    close, volume = F.col("close"), F.coalesce("volume", F.lit(0.0))
+    low, span = F.min("low").over(win), F.max("high").over(win) - F.min("low").over(win)
+    move = close - F.first("close").over(win)
+    recent, prior = close - F.lag("close").over(o), F.lag("close").over(o) - F.lag("close", 2).over(o)
+    body = F.abs(close - F.col("open"))
+    body1 = F.lag(body).over(o)
+    mean, before = F.avg(volume).over(win), F.avg(volume).over(o.rowsBetween(-(lookback - 1), -1))
     return bars.select(
         "*",
-        F.when(full, clip((F.col("close") - first) / (F.abs(first) + EPS), -1, 1)).otherwise(0.0).alias("trend"),
-        F.when(full & (high - low > EPS), clip((F.col("close") - low) / (high - low), 0, 1)).otherwise(0.5).alias("range_pos"),
-        F.when(full, clip((F.col("close") - F.lag("close").over(series())) / (span + EPS), -1, 1)).otherwise(0.0).alias("momentum"),
-        F.when(full, clip((F.col("high") - F.col("low")) / (span + EPS) - 1, -1, 1)).otherwise(0.0).alias("vol_regime"),
-        F.when(full, clip(F.col("volume") / (F.avg("volume").over(win) + EPS) - 1, -1, 1)).otherwise(0.0).alias("conviction"),
+        F.when(full, clip(move / (span + EPS), -1, 1)).otherwise(0.0).alias("trend"),
+        F.when(full, clip((close - low) / (span + EPS), 0, 1)).otherwise(0.5).alias("range_pos"),
+        F.when(full, clip((recent - prior) / (F.abs(recent) + F.abs(prior) + EPS), -1, 1)).otherwise(0.0).alias("momentum"),
+        F.when(full & (body1 > EPS), clip((body - body1) / (body1 + EPS), -1, 1)).otherwise(0.0).alias("body_regime"),
+        F.when(full, clip(F.signum(move) * (volume - before) / (mean + EPS), -1, 1)).otherwise(0.0).alias("conviction"),
     )
 
 

@@ -118,8 +118,8 @@ def _(spark, sf):
 @query(
     "j5_macro_regime_asof",
     f"""{WD}, {macro_sql('6M')}, g AS (SELECT *, lead(ts) {OV} AS nxt FROM m), med AS (SELECT symbol, quantile_cont(epoch(nxt) - epoch(ts), 0.5) AS gap FROM g WHERE nxt IS NOT NULL GROUP BY 1),
-    x AS (SELECT g.symbol, coalesce(epoch(nxt), epoch(ts) + gap)::BIGINT AS close_s, CASE WHEN count(*) {over(3)} = 3 THEN greatest(-1, least(1, (close - first(close) {over(3)}) / (abs(first(close) {over(3)}) + 1e-9))) ELSE 0 END AS trend,
-      CASE WHEN count(*) {over(3)} = 3 AND max(high) {over(3)} - min(low) {over(3)} > 1e-9 THEN greatest(0, least(1, (close - min(low) {over(3)}) / (max(high) {over(3)} - min(low) {over(3)}))) ELSE 0.5 END AS range_pos FROM g JOIN med USING (symbol))
+    x AS (SELECT g.symbol, coalesce(epoch(nxt), epoch(ts) + gap)::BIGINT AS close_s, CASE WHEN count(*) {over(3)} = 3 THEN greatest(-1, least(1, (close - first(close) {over(3)}) / (max(high) {over(3)} - min(low) {over(3)} + 1e-9))) ELSE 0 END AS trend,
+      CASE WHEN count(*) {over(3)} = 3 THEN greatest(0, least(1, (close - min(low) {over(3)}) / (max(high) {over(3)} - min(low) {over(3)} + 1e-9))) ELSE 0.5 END AS range_pos FROM g JOIN med USING (symbol))
     SELECT dd.symbol, dd.ts_s, {r('coalesce(x.trend, 0)', 'trend')}, {r('coalesce(x.range_pos, 0.5)', 'range_pos')} FROM (SELECT symbol, epoch(ts)::BIGINT AS ts_s FROM d) dd ASOF LEFT JOIN x ON dd.symbol = x.symbol AND dd.ts_s >= x.close_s""",
 )
 def _(spark, sf):
