@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bound of text bytes that one vectorised step holds; a longer document is a step of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Rows of an Arrow batch between the JVM and Python. Texts are long, so it is far below the default.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
@@ -22,7 +22,7 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,16 @@
 """Token counts from pre-token frequencies: each distinct pre-token is counted once.
 
-One pass cuts texts into pre-tokens and writes, per block of documents, one row
-per distinct pre-token with its documents and frequencies (postings). Distinct
-pre-tokens over all blocks are counted by the tokenizer once each, joined back
-to the postings, and frequency times pieces is summed per document. Ids are
-never materialised.
-
-A frequent pre-token has one posting row per block, not per document, so no join
-key gathers more than one row per block; AQE may still split it.
+One pass cuts texts into pre-tokens and writes, per block of documents, its
+distinct pre-tokens by number, and the documents' frequencies as packed arrays
+of those numbers (postings). Pre-tokens of all blocks are dealt by value, so the
+tokenizer counts each distinct one once; the counts go back to the blocks, are
+joined to the frequencies there, and frequency times pieces is summed per
+document. Ids are never materialised, and what is shuffled is a row per block
+and distinct pre-token, not per document: a frequent one has a row per block.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are told
 apart by their place in a block, so repeated rows and repeated or null ids each
-keep their own row; unpaired extra columns are ignored.
+keep their own row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +26,11 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import chunks, texts, tune, written
 from chronolith.llm.pretokens import Splitter
 
-#: Bytes of text in one block of postings.
-BLOCK_BYTES = 8_000_000
+#: Bytes of text in one block, and documents in one row of its postings.
+BLOCK_BYTES = 32_000_000
+SLICE_DOCS = 1000
 
-_POSTINGS = "block long, piece string, places array<int>, times array<int>, doc_ids array<long>, sizes array<long>, fixed array<int>"
+_POSTINGS = "block long, number int, piece string, doc_ids array<long>, sizes array<long>, fixed array<long>, lengths array<int>, packed binary"
 
 
 class Counts:
@@ -74,65 +74,120 @@ def counts(path: str, pattern: str) -> Counts:
     return _COUNTS[path, pattern]
 
 
+class _Block:
+    """Pre-tokens and postings of one block as it is read."""
+
+    def __init__(self, block: int):
+        self.block, self.number, self.bytes = block, {}, 0
+        self.docs: list[tuple[int | None, int, int, np.ndarray, np.ndarray]] = []
+
+    def add(self, c: Counts, doc_id: int | None, text: str) -> None:
+        freq, special = c.cut(text)
+        at, n = self.number, len(freq)
+        numbers = np.fromiter((at.setdefault(w, len(at)) for w in freq), np.int32, n)
+        times = np.fromiter(freq.values(), np.int32, n)
+        order = np.argsort(numbers)
+        size = len(text.encode("utf-8"))
+        self.bytes += size
+        self.docs.append((doc_id, size, special, numbers[order], times[order]))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        schema = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("piece", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("fixed", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())])
+        words = list(self.number)
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([self.block] * len(part), pa.int64()), pa.array(np.arange(a, a + len(part)), pa.int32()), pa.array(part, pa.string()), *[pa.nulls(len(part), schema.field(i).type) for i in range(3, 8)]], schema=schema)
+        for a in range(0, len(self.docs), SLICE_DOCS):
+            part = self.docs[a : a + SLICE_DOCS]
+            packed = b"".join([np.diff(d[3], prepend=np.int32(0)).tobytes() for d in part]) + b"".join([d[4].tobytes() for d in part])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), *[pa.array([[d[i] for d in part]], pa.list_(pa.int64())) for i in range(3)], pa.array([[len(d[3]) for d in part]], pa.list_(pa.int32())), pa.array([zstandard.ZstdCompressor(3).compress(packed)], pa.binary())],
+                schema=schema,
+            )
+
+
 def postings(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows per (block, distinct pre-token); a row with a null piece lists the block's documents."""
-    schema = _POSTINGS
+    """Rows (block, number, piece) of each block's distinct pre-tokens, and rows of packed postings (number null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         c = counts(path, pattern)
-        for k, part in enumerate(chunks(batches, limit=BLOCK_BYTES)):
-            block = (TaskContext.get().partitionId() << 32) + k
-            number: dict[str, int] = {}
-            word, place, times, sizes, fixed = [], [], [], [], []
-            for i, t in enumerate(texts(part.column("text")).to_pylist()):
-                freq, special = c.cut(t)
-                word += [number.setdefault(w, len(number)) for w in freq]
-                times += freq.values()
-                place.append(len(freq))
-                sizes.append(len(t.encode("utf-8")))
-                fixed.append(special)
-            order = np.argsort(np.array(word, dtype=np.int64), kind="stable")
-            at = np.repeat(np.arange(len(place), dtype=np.int32), place)[order]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(np.array(word, dtype=np.int64), minlength=len(number)))]).astype(np.int32)
-            n = len(number)
-            empty = pa.ListArray.from_arrays
-            none = pa.array([0] * (n + 1), pa.int32())
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array(list(number), pa.string()), empty(ends, at), empty(ends, np.array(times, dtype=np.int32)[order]), empty(none, pa.array([], pa.int64())), empty(none, pa.array([], pa.int64())), empty(none, pa.array([], pa.int32()))],
-                names=["block", "piece", "places", "times", "doc_ids", "sizes", "fixed"],
-            )
-            for a in range(0, n, 20_000):
-                yield rows.slice(a, 20_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([None], pa.string()), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int32())), pa.array([part.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([fixed], pa.list_(pa.int32()))],
-                names=["block", "piece", "places", "times", "doc_ids", "sizes", "fixed"],
-            )
+        held = _Block(TaskContext.get().partitionId() << 24)
+        for part in chunks(batches):
+            for doc_id, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), texts(part.column("text")).to_pylist()):
+                held.add(c, doc_id, text)
+            if held.bytes >= BLOCK_BYTES:
+                yield from held.rows()
+                held = _Block(held.block + 1)
+        yield from held.rows()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _POSTINGS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+def piece_counts(words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """block, number, n: the pieces of each pre-token. Rows come sorted, so each distinct one is counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counts(path, pattern)
+        last, known = None, 0
+        for part in chunks(batches, "piece"):
+            words = part.column("piece").to_pylist()
+            new = [w for w, before in zip(words, [last, *words]) if w != before]
+            found = iter(c.count(new))
+            n = []
+            for w in words:
+                if w != last:
+                    last, known = w, next(found)
+                n.append(known)
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("number"), pa.array(n, pa.int32())], names=["block", "number", "n"])
+
+    return words.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "block long, number int, n int")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and postings of a block meet: its counts come first, then rows of postings."""
+    import zstandard
+
+    block, numbers, values, pieces = None, [], [], None
+    for part in batches:
+        own = part.column("block").to_numpy()
+        number = part.column("number")
+        is_count = number.is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (is_count[1:] != is_count[:-1]))) if len(own) else []
+        for a, b in zip(edges, [*edges[1:], len(own)]):
+            if own[a] != block:
+                block, numbers, values, pieces = own[a], [], [], None
+            if is_count[a]:
+                numbers.append(number.slice(a, b - a).to_numpy())
+                values.append(part.column("n").slice(a, b - a).to_numpy())
+                continue
+            if pieces is None:
+                pieces = np.zeros(sum(map(len, numbers)), np.int64)
+                if numbers:
+                    pieces[np.concatenate(numbers)] = np.concatenate(values)
+            for i in range(int(a), int(b)):
+                length = np.array(part.column("lengths")[i].as_py(), dtype=np.int64)
+                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part.column("packed")[i].as_py()), np.int32)
+                delta, times = raw[: len(raw) // 2].astype(np.int64), raw[len(raw) // 2 :]
+                at = np.cumsum(delta)
+                start = np.cumsum(length) - length
+                base = np.where(start > 0, at[np.maximum(start - 1, 0)], 0) if len(at) else start * 0
+                at = at - np.repeat(base, length)
+                total = np.concatenate([[0], np.cumsum(pieces[at] * times)])
+                n = total[start + length] - total[start] + np.array(part.column("fixed")[i].as_py(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_ids")[i].values, part.column("sizes")[i].values, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     tune(docs.sparkSession)
     rows = written(postings(docs, path, pattern), "postings")
-
-    def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counts(path, pattern)
-        for part in chunks(batches, "piece"):
-            yield pa.RecordBatch.from_arrays([part.column("piece"), pa.array(c.count(part.column("piece").to_pylist()), pa.int32())], names=["piece", "pieces"])
-
-    words = rows.where("piece is not null")
-    pieces = words.select("piece").distinct().mapInArrow(piece_counts, "piece string, pieces int")
-    summed = (
-        words.select("block", "piece", "places", "times")
-        .join(pieces, "piece")
-        .select("block", "pieces", F.explode(F.arrays_zip("places", "times")).alias("p"))
-        .select("block", F.col("p.places").alias("place"), (F.col("p.times").cast("long") * F.col("pieces")).alias("n"))
-        .groupBy("block", "place")
-        .agg(F.sum("n").alias("n"))
-    )
-    listed = rows.where("piece is null").select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "fixed")).alias("place", "d"))
-    total = F.coalesce("n", F.lit(0)) + F.col("d.fixed")
-    return listed.join(summed, ["block", "place"], "left").select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_bytes"), total.cast("long").alias("n_tokens"), (total > limit).alias("over_limit"))
+    counted = piece_counts(rows.where("number is not null").select("block", "number", "piece"), path, pattern)
+    packed = rows.where("number is null").drop("piece")
+    both = counted.unionByName(packed, allowMissingColumns=True)
+    met = both.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("number"))
+    out = met.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
