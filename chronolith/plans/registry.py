@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.plans import bars, base, evaluate, features, smc  # noqa: F401
+from chronolith.plans import bars, base, evaluate, features, more, smc  # noqa: F401
 from chronolith.plans.flagship import flagship  # noqa: F401
 
 

@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query("f14_inducement", f"""{WD}, {X}, e AS (SELECT *, CASE WHEN i > 33 AND h2 - sh > 0 AND h2 - sh < 0.5 * atr14 AND c1 < sh THEN -1.0 WHEN i > 33 AND sl - l2 > 0 AND sl - l2 < 0.5 * atr14 AND c1 > sl THEN 1.0 END AS dir FROM x), f AS (SELECT *, CASE WHEN dir < 0 THEN (h2 - sh) / atr14 WHEN dir > 0 THEN (sl - l2) / atr14 END AS mag, CASE WHEN dir IS NOT NULL THEN i END AS ei FROM e),
     g AS (SELECT *, last_value(dir IGNORE NULLS) {OV} AS pd, last_value(mag IGNORE NULLS) {OV} AS pm, last_value(ei IGNORE NULLS) {OV} AS pei FROM f)
-    SELECT symbol, {T}, {r('CASE WHEN dir IS NOT NULL THEN 1 ELSE 0 END', 'indu_confirmed')}, {r('CASE WHEN i > 33 THEN coalesce(pd, 0) ELSE 0 END', 'indu_direction')}, {r('CASE WHEN i > 33 THEN coalesce(pm * exp(-0.05 * (i - pei)), 0) ELSE 0 END', 'indu_magnitude')}, {r('CASE WHEN i > 33 THEN coalesce(least(1, (i - pei) / 20.0), 0) ELSE 0 END', 'indu_age_bars')} FROM g""")
+    SELECT symbol, {T}, {r('CASE WHEN dir IS NOT NULL THEN 1 ELSE 0 END', 'indu_confirmed')}, {r('CASE WHEN i > 33 THEN coalesce(pd, 0) ELSE 0 END', 'indu_direction')}, {r('CASE WHEN i > 33 THEN coalesce(pm * exp(-0.05 * (i - pei)), 0) ELSE 0 END', 'indu_magnitude')}, {r('CASE WHEN i > 33 THEN CASE WHEN pei IS NULL THEN 0 ELSE least(1, (i - pei) / 20.0) END ELSE 0 END', 'indu_age_bars')} FROM g""")
 def _(spark, sf):
     return rows(smc.inducement(base(spark, sf)), "indu_confirmed", "indu_direction", "indu_magnitude", "indu_age_bars")
 
