@@ -44,8 +44,10 @@ WIDTH = 1 << 19
 STRENGTH = 0.5
 #: Buckets up to this size give all their pairs.
 SMALL = 8
-#: Nodes a block has when a pivot or the rest of a bucket is compared with others.
-BLOCK = 128
+#: Nodes in a block when a pivot or the rest of a bucket is compared with others, and of the side that is held in memory.
+BLOCK, HELD = 1024, 256
+#: Width of the bins of distance to a pivot.
+BIN = 0.1
 _PART = 16_384  # counters in one row of the sketch's sum
 _TABLE = 1 << 16  # entries of a sample's table of random triples
 
@@ -93,15 +95,15 @@ def sketch(docs: DataFrame) -> Sketch:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, n = np.zeros((2, WIDTH), np.int64), 0
+        total, n = np.zeros((2, WIDTH), np.int32), 0
         for part in chunks(batches):
             w = W.split(texts(part.column("text")))
             _, h, _ = shingles(w)
             n += int((w.counts > 0).sum())
             for k in range(2):
-                total[k] += np.bincount(_slot(h, k), minlength=WIDTH)
+                total[k] += np.bincount(_slot(h, k), minlength=WIDTH).astype(np.int32)
         slot = TaskContext.get().partitionId() % 64
-        parts = total.reshape(-1, _PART)
+        parts = total.astype(np.int64).reshape(-1, _PART)
         yield pa.RecordBatch.from_arrays([pa.array([slot] * (len(parts) + 1), pa.int32()), pa.array(np.arange(-1, len(parts)), pa.int32()), pa.array([np.array([n]).tobytes(), *[p.tobytes() for p in parts]])], names=["slot", "part", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,71 +183,70 @@ def _elements(w: W.Words, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[which], W.mix(h[which] + nth.astype(W.U), 45), weight[which]
 
 
+class _Left:
+    """The left texts of a group, indexed by element, to meet one right text at a time."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.nodes = [n for n, _, _ in rows]
+        self.total = np.array([x.sum() for _, _, x in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(e) for _, e, _ in rows])
+        element = np.concatenate([e for _, e, _ in rows])
+        order = np.argsort(element, kind="stable")
+        element = element[order]
+        self.owner = owner[order]
+        self.begin = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.zeros(0, np.int64)
+        self.name = element[self.begin]
+        self.size = np.diff(np.append(self.begin, len(element)))
+
+    def similarity(self, element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.name, element)
+        hit = np.flatnonzero(self.name[np.minimum(at, len(self.name) - 1)] == element)
+        at = at[hit]
+        size = self.size[at]
+        place = np.repeat(self.begin[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(self.owner[place], np.repeat(weight[hit], size), len(self.nodes))
+        return both / np.maximum(self.total + weight.sum() - both, 1e-12)
+
+
 def _similar(batches: Iterator[pa.RecordBatch], model, threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Compare left rows with right rows of each group; rows come sorted by group, left ones first, at most BLOCK each.
+    """Compare left rows with right rows of each group; rows come sorted by group, left ones (HELD at most) first.
 
-    With ``every`` all similarities of (left, right) are returned, else the links of a spanning forest of the block.
+    With ``every`` all similarities of (left, right) are returned, else the links of a spanning forest of the group.
     """
-    group, held = None, []
-
-    def flush() -> pa.RecordBatch:
-        left = [x for x in held if x[0]]
-        right = [x for x in held if not x[0]]
-        out: list[tuple[int, int, float]] = []
-        if left and right:
-            names, where = np.unique(np.concatenate([x[2] for x in left + right]), return_inverse=True)
-            weight = np.zeros(len(names))
-            weight[where] = np.concatenate([x[3] for x in left + right])
-            owner = np.repeat(np.arange(len(left) + len(right)), [len(x[2]) for x in left + right])
-            # Only elements of two texts or more add to an intersection; the dense blocks hold just those.
-            shared = np.flatnonzero(np.bincount(where, minlength=len(names)) > 1)
-            column = np.full(len(names), -1)
-            column[shared] = np.arange(len(shared))
-            total = np.array([x[3].sum() for x in left + right])
-            inter = np.zeros((len(left), len(right)))
-            for a in range(0, len(shared), 20_000):
-                ok = (column[where] >= a) & (column[where] < a + 20_000)
-                m = np.zeros((len(total), min(20_000, len(shared) - a)), np.float32)
-                m[owner[ok], column[where][ok] - a] = 1
-                inter += (m[: len(left)] * weight[shared[a : a + 20_000]]) @ m[len(left) :].T
-            sim = inter / np.maximum(total[: len(left), None] + total[None, len(left) :] - inter, 1e-12)
-            if every:
-                out = [(left[i][1], right[j][1], float(sim[i, j])) for i in range(len(left)) for j in range(len(right))]
-            else:
-                root = {x[1]: x[1] for x in left + right}
-
-                def find(v: int) -> int:
-                    while root[v] != v:
-                        root[v] = root[root[v]]
-                        v = root[v]
-                    return v
-
-                for i, j in np.argwhere(sim >= threshold).tolist():
-                    a, b = find(left[i][1]), find(right[j][1])
-                    if a != b:
-                        root[a] = b
-                        out.append((left[i][1], right[j][1], float(sim[i, j])))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "sim"])
+    group, rows, left, root = None, [], None, {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
 
     for part in chunks(batches):
         w = W.split(texts(part.column("text")))
         doc, element, weight = _elements(w, model)
         ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
         keys = list(zip(*(part.column(c).to_pylist() for c in ("g1", "g2", "g3"))))
+        out = []
         for i, (key, side, node) in enumerate(zip(keys, part.column("left").to_pylist(), part.column("node").to_pylist())):
             if key != group:
-                if held:
-                    yield flush()
-                group, held = key, []
-            if not any(x[0] == side and x[1] == node for x in held[-1:]):  # a repeated row of one id
-                held.append((side, node, element[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]))
-    if held:
-        yield flush()
+                group, rows, left, root = key, [], None, {}
+            mine = element[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]
+            if side:
+                if not rows or rows[-1][0] != node:  # a repeated row of one id
+                    rows.append((node, *mine))
+                continue
+            left = left or _Left(rows)
+            sim = left.similarity(*mine)
+            for k in range(len(sim)) if every else np.flatnonzero(sim >= threshold):
+                if every or find(left.nodes[k]) != find(node):
+                    root[find(left.nodes[k])] = find(node)
+                    out.append((left.nodes[k], node, float(sim[k])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "sim"])
 
 
 def _compare(rows: DataFrame, docs: DataFrame, model, threshold: float, every: bool) -> DataFrame:
     """rows: g1, g2, g3 (the group), left (bool), node (a doc_id) -> a, b, sim."""
-    held = rows.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select("g1", "g2", "g3", "left", "node", "text")
+    held = rows.join(docs, "node").select("g1", "g2", "g3", "left", "node", "text")
     dealt = held.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", F.desc("left"), "node")
     return dealt.mapInArrow(lambda batches: _similar(batches, model, threshold, every), "a long, b long, sim double")
 
@@ -264,6 +265,9 @@ def links(docs: DataFrame, nodes: DataFrame, model, threshold: float = THRESHOLD
     starred = written(large.join(pivots, "bucket").where("node <> pivot"), "near-stars")
     pairs = pairs.union(starred.select(F.col("pivot"), "node")).distinct()
     pairs = written(pairs, "near-pairs")
+    # Texts of candidates only, found in one merge join: their ids grow with the corpus and are never broadcast.
+    wanted = members.select("node").distinct().hint("merge")
+    docs = written(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), "near-texts")
     # A pivot's partners are dealt to blocks; the pivot goes to each of them.
     blocks = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     block = F.pmod(F.xxhash64("q"), F.col("blocks"))
@@ -273,19 +277,19 @@ def links(docs: DataFrame, nodes: DataFrame, model, threshold: float = THRESHOLD
     found = compared.where(F.col("sim") >= threshold).select("a", "b")
 
     # What is unlike its bucket's pivot is compared with the others of the bucket, block by block.
-    far = starred.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "sim"), ["pivot", "node"]).withColumn("bin", F.floor((1 - F.col("sim")) * 20).cast("int"))
+    far = starred.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "sim"), ["pivot", "node"]).withColumn("bin", F.floor(F.round((1 - F.col("sim")) / BIN, 9)).cast("int"))
     far = written(far.select("bucket", "node", "sim", "bin"), "near-far")
-    fan = far.groupBy("bucket", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = far.join(fan, ["bucket", "bin"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = written(placed.withColumn("id", F.col("bin") * 1_000_000 + F.col("block")), "near-placed")
+    fan = far.groupBy("bucket", "bin").agg(F.count(F.lit(1)).alias("nodes"))
+    spread = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("nodes") / n)).cast("int") + F.col("bin") * 1_000_000
+    placed = written(far.join(fan, ["bucket", "bin"]).withColumn("id", spread(HELD)).withColumn("id2", spread(BLOCK)), "near-placed")
     asks = placed.where(F.col("sim") < threshold).select("bucket", "bin", "id").distinct()
-    answers = placed.select("bucket", F.col("bin").alias("bin2"), F.col("id").alias("id2")).distinct()
-    # |d(x, pivot) - d(y, pivot)| <= d(x, y): bins further apart than the threshold hold no links.
-    reach = int(np.ceil((1 - threshold) * 20)) + 1
-    meet = asks.join(answers, "bucket").where((F.abs(F.col("bin") - F.col("bin2")) <= reach) & ~((F.col("bin2") >= reach - 1) & (F.col("id2") < F.col("id"))))
+    answers = placed.select("bucket", F.col("bin").alias("bin2"), "id2").distinct()
+    # |d(x, pivot) - d(y, pivot)| <= d(x, y): bins further apart than the threshold hold no links. Where all of both bins ask, one direction is enough.
+    reach = int(np.ceil((1 - threshold) / BIN - 1e-9))
+    meet = asks.join(answers, "bucket").where((F.abs(F.col("bin") - F.col("bin2")) <= reach) & ~((F.col("bin2") > reach) & (F.col("bin2") < F.col("bin"))))
     meet = written(meet.select("bucket", "id", "id2"), "near-meet")
-    asking = placed.where(F.col("sim") < threshold).join(meet, ["bucket", "id"]).select("bucket", "id", "id2", F.lit(True).alias("left"), "node")
-    answering = placed.select("bucket", F.col("id").alias("id2"), "node").join(meet, ["bucket", "id2"]).select("bucket", "id", "id2", F.lit(False).alias("left"), "node")
+    asking = placed.where(F.col("sim") < threshold).drop("id2").join(meet, ["bucket", "id"]).select("bucket", "id", "id2", F.lit(True).alias("left"), "node")
+    answering = placed.select("bucket", "id2", "node").join(meet, ["bucket", "id2"]).select("bucket", "id", "id2", F.lit(False).alias("left"), "node")
     rest = asking.unionByName(answering).select(F.col("bucket").alias("g1"), F.col("id").alias("g2"), F.col("id2").alias("g3"), "left", "node")
     more = _compare(rest, docs, model, threshold, False).where("a <> b").select("a", "b")
     return found.union(more)
