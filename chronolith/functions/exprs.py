@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-9
 
@@ -69,3 +70,8 @@ def bound(value: Column, use) -> Column:
 def share_le(c: str, n: int) -> Column:
     """Share of the last n values that are at most the current one."""
     return F.size(F.filter(F.collect_list(c).over(w(n)), lambda v: v <= F.col(c))).cast("double") / F.lit(float(n))
+
+
+def extended(df: DataFrame, *doubles: str) -> T.StructType:
+    """The schema of a frame with more double columns; a frame's own schema object must not be added to."""
+    return T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in doubles]])

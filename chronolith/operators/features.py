@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.exprs import EPS, ahead, bound, clip, col, div, series, share_le, upto, w, whole
+from chronolith.functions.exprs import EPS, ahead, bound, clip, col, extended, series, share_le, upto, w, whole
 
 #: Bars a year of each timeframe on an equity calendar.
 ANNUAL = {"1H": 1512, "1D": 252, "1W": 52, "1M": 12, "3M": 4, "6M": 2, "12M": 1}
@@ -227,7 +227,7 @@ def kalman(bars: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
             out[i] = state
         return rows.drop(columns="__m").assign(kalman=out)
 
-    got = x.groupBy("symbol").applyInPandas(run, bars.schema.add("kalman", "double"))
+    got = x.groupBy("symbol").applyInPandas(run, extended(bars, "kalman"))
     return got.withColumn("regime", F.col("close") - F.col("kalman"))
 
 
@@ -309,7 +309,7 @@ def wilder(bars: DataFrame, n: int = 14) -> DataFrame:
                 out[i] = a
         return rows.drop(columns="tr").assign(atr_wilder=out)
 
-    return true_range(bars).groupBy("symbol").applyInPandas(run, bars.schema.add("atr_wilder", "double"))
+    return true_range(bars).groupBy("symbol").applyInPandas(run, extended(bars, "atr_wilder"))
 
 
 def swing_delta(bars: DataFrame) -> DataFrame:

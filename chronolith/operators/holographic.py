@@ -14,7 +14,7 @@ from chronolith.functions.exprs import EPS, bound, clip, w
 LAGS = (1, 2, 3, 5, 8)
 PROMINENCE = 0.05
 WINDOWS_1H = {"1h": (3, 5, 8, 13, 21), "1d": (3, 5, 8, 13, 21), "1w": (3, 5, 8), "1m": (3, 5)}
-WINDOWS_1D = {"1d": (3, 5, 8, 13, 21), "1w": (3, 5, 8, 13, 21), "1m": (3, 5, 8), "3m": (3, 5)}
+WINDOWS_1D = {"1d": (3, 5, 8, 13, 21), "1w": (3, 5, 8), "1m": (3, 5), "3m": (3, 5)}
 #: Columns that are zero outside of the primary timeframe's session position.
 THERMO = ("basis_pct", "basis_z", "basis_v5", "basis_v10", "session_pos", "eod_momentum")
 

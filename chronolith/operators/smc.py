@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.exprs import EPS, clip, series, upto, w
+from chronolith.functions.exprs import EPS, clip, extended, series, upto
 from chronolith.operators.core import atr, numbered
 
 KEYS = (
@@ -204,9 +204,7 @@ def phases(x: DataFrame) -> DataFrame:
         g[["amd_phase", "amd_duration", "amd_range_pct", "amd_volume_profile"]] = out
         return g.drop(columns="__v50")
 
-    schema = x.drop("__v50").schema
-    for c in ("amd_phase", "amd_duration", "amd_range_pct", "amd_volume_profile"):
-        schema = schema.add(c, "double")
+    schema = extended(x.drop("__v50"), "amd_phase", "amd_duration", "amd_range_pct", "amd_volume_profile")
     return x.groupBy("symbol").applyInPandas(run, schema)
 
 
