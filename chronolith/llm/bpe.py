@@ -30,9 +30,9 @@ from chronolith.llm.common import chunks, texts, tune
 from chronolith.llm.pretokens import Splitter
 
 #: Words of one generation of the cache; two generations are kept in one Python worker.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: Rows that one recursive query may hold over all its steps.
-LOT_ROWS = 400_000
+LOT_ROWS = 1_200_000
 #: Longer words keep only their current rows (keyed recursion) instead of all steps.
 LONG_BYTES = 200
 
@@ -41,16 +41,15 @@ _ALL_STEPS = """
 WITH RECURSIVE state(step, k, tok) AS (
     SELECT 0::INTEGER, (w << 20) + pos, tok FROM start
   UNION ALL
-    (WITH p AS MATERIALIZED (SELECT step, k, tok, lead(tok) OVER o AS nxt, lead(k) OVER o AS nk FROM state WINDOW o AS (ORDER BY k)),
-    j AS MATERIALIZED (SELECT p.k, p.nk, m.rank, m.new, m.bulk FROM p JOIN merges m ON m.a = p.tok AND m.b = p.nxt WHERE p.k >> 20 = p.nk >> 20),
+    (WITH p AS MATERIALIZED (SELECT step, k, tok, (tok << 20) + lead(tok) OVER o AS ab, lead(k) OVER o AS nk FROM state WINDOW o AS (ORDER BY k)),
+    j AS MATERIALIZED (SELECT p.k, p.nk, m.rank, m.new, m.bulk FROM p JOIN merges m ON m.ab = p.ab WHERE p.k >> 20 = p.nk >> 20),
     b AS MATERIALIZED (SELECT k >> 20 AS w, min((rank << 20) + (k & 1048575)) AS best FROM j GROUP BY 1),
     h AS MATERIALIZED (SELECT j.k, j.nk, j.new FROM j JOIN b ON b.w = j.k >> 20 WHERE j.rank = b.best >> 20 AND (j.bulk OR (j.k & 1048575) = (b.best & 1048575)))
     SELECT p.step + 1, p.k, coalesce(h.new, p.tok)
     FROM p SEMI JOIN b ON b.w = p.k >> 20 LEFT JOIN h ON h.k = p.k ANTI JOIN h g ON g.nk = p.k)
 )
-SELECT k >> 20 AS w, list(tok ORDER BY k) AS ids
-FROM (SELECT k, tok, step, max(step) OVER (PARTITION BY k >> 20) AS last FROM state)
-WHERE step = last GROUP BY 1
+SELECT s.k >> 20 AS w, list(s.tok ORDER BY s.k) AS ids, list(v.bytes ORDER BY s.k) AS parts
+FROM state s JOIN (SELECT k >> 20 AS w, max(step) AS last FROM state GROUP BY 1) m ON m.w = s.k >> 20 AND m.last = s.step JOIN vocab v ON v.tok = s.tok GROUP BY 1
 """
 
 #: The same contraction, where a row replaces its forerunner and -1 marks a position that is gone.
@@ -65,11 +64,7 @@ WITH RECURSIVE state(w, pos, tok) USING KEY (w, pos) AS (
           JOIN merges m ON m.a = p.tok AND m.b = p.nxt)
     WHERE rank = best // 4294967296 AND (bulk OR pos = best % 4294967296)
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY w
-"""
-
-_DECODE = """
-SELECT e.w, list(v.bytes ORDER BY e.pos) AS bytes FROM encoded e JOIN vocab v ON v.tok = e.tok GROUP BY e.w
+SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, list(v.bytes ORDER BY s.pos) AS parts FROM state s JOIN vocab v ON v.tok = s.tok WHERE s.tok >= 0 GROUP BY 1
 """
 
 
@@ -88,14 +83,14 @@ class Codec:
         self.ranks = load_ranks(path)
         self.splitter = Splitter(pattern, self._kind(pattern))
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         rows = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, rank = (np.array(x, dtype=np.int64) for x in zip(*rows))
         low = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, a, rank)
         np.minimum.at(low, b, rank)
         # All occurrences of a pair may go in one step if they can't overlap and what they make starts no earlier pair.
-        merges = pa.table({"a": a, "b": b, "rank": rank, "new": rank, "bulk": (a != b) & (low[rank] > rank)})  # noqa: F841
+        merges = pa.table({"a": a, "b": b, "ab": (a << 20) + b, "rank": rank, "new": rank, "bulk": (a != b) & (low[rank] > rank)})  # noqa: F841
         vocab = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges; CREATE TABLE vocab AS SELECT * FROM vocab")
         self.young: dict[str, tuple[bytes, bytes]] = {}
@@ -113,7 +108,7 @@ class Codec:
     def _lots(self, words: list[bytes]) -> Iterator[tuple[str, list[bytes]]]:
         lot, rows = [], 0
         for w in sorted(words, key=len):
-            cost = len(w) * len(w) if len(w) <= LONG_BYTES else len(w)
+            cost = 1 if w in self.ranks else len(w) * len(w) if len(w) <= LONG_BYTES else len(w)
             if lot and (rows + cost > LOT_ROWS or (len(w) > LONG_BYTES) != (len(lot[0]) > LONG_BYTES)):
                 yield (_KEYED if len(lot[0]) > LONG_BYTES else _ALL_STEPS), lot
                 lot, rows = [], 0
@@ -124,35 +119,35 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[bytes, bytes]]:
         """(ids as little-endian uint32, decoded bytes) of each word."""
-        raw = [w.encode("utf-8") for w in words]
-        out, ids = [], []
-        for b in raw:
-            if b in self.ranks:  # a pre-token that is a token as a whole is taken as such
-                out.append(b)
-                ids.append(np.array([self.ranks[b]]))
-        for query, lot in self._lots([b for b in raw if b not in self.ranks]):
-            size = np.array([len(b) for b in lot])
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            start = pa.table({"w": np.repeat(np.arange(len(lot)), size), "pos": pos, "tok": self.bytes_id[np.frombuffer(b"".join(lot), dtype=np.uint8)]})  # noqa: F841
-            got = self.con.sql(query).to_arrow_table().combine_chunks()
-            out += [lot[w] for w in got["w"].to_pylist()]
-            ids += np.split(*_flat(got["ids"]))
         done = {}
-        for a in range(0, len(out), 20_000):
-            part = ids[a : a + 20_000]
-            size = np.array([len(x) for x in part])
-            encoded = pa.table({"w": np.repeat(np.arange(len(part)), size), "pos": np.arange(size.sum()), "tok": np.concatenate(part)})  # noqa: F841
-            got = self.con.sql(_DECODE).to_arrow_table()
-            for w, x in zip(got["w"].to_pylist(), got["bytes"].to_pylist()):
-                done[out[a + w].decode("utf-8")] = (part[w].astype("<u4").tobytes(), b"".join(x))
+        for query, lot in self._lots([w.encode("utf-8") for w in words]):
+            whole = np.array([self.ranks.get(b, -1) for b in lot])  # a pre-token that is a token as a whole starts as that one row
+            size = np.where(whole >= 0, 1, [len(b) for b in lot])
+            first = np.cumsum(size) - size
+            tok = np.empty(size.sum(), np.int64)
+            split = np.flatnonzero(whole < 0)
+            tok[first[whole >= 0]] = whole[whole >= 0]
+            tok[np.repeat(whole < 0, size)] = self.bytes_id[np.frombuffer(b"".join([lot[i] for i in split.tolist()]), dtype=np.uint8)]
+            start = pa.table({"w": np.repeat(np.arange(len(lot)), size), "pos": np.arange(size.sum()) - np.repeat(first, size), "tok": tok})  # noqa: F841
+            got = self.con.sql(query).to_arrow_table()
+            for part in got.combine_chunks().to_batches():
+                ids, parts = part.column("ids"), part.column("parts")
+                at, to = ids.offsets.to_numpy(), parts.offsets.to_numpy()
+                numbers = ids.values.to_numpy().astype("<u4").tobytes()
+                child = parts.values
+                ends = np.frombuffer(child.buffers()[1], dtype=np.int32)[child.offset : child.offset + len(child) + 1]
+                body = child.buffers()[2].to_pybytes()
+                for w, a, b, c, d in zip(part.column("w").to_pylist(), (4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), ends[to[:-1]].tolist(), ends[to[1:]].tolist()):
+                    done[lot[w].decode("utf-8")] = (numbers[a:b], body[c:d])
         return done
 
     def encode(self, rows: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian uint32, decoded bytes) of each text."""
         pieces = [self.splitter.split(t) for t in rows]
         now, new = {}, set()
+        young, old = self.young.get, self.old.get
         for w in set().union(*pieces):
-            got = self.young.get(w) or self.old.get(w)
+            got = young(w) or old(w)
             if got is None:
                 new.add(w)
             else:
@@ -164,18 +159,11 @@ class Codec:
         out = []
         for p in pieces:
             got = [now[w] for w in p]
-            out.append((b"".join([x[0] for x in got]), b"".join([x[1] for x in got])))
+            a, b = zip(*got) if got else ((), ())
+            out.append((b"".join(a), b"".join(b)))
         return out
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and where to split them."""
-    column = lists.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy()[offsets[0] : offsets[-1]], (offsets - offsets[0])[1:-1]
-
-
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
