@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from chronolith.plans import registry
@@ -26,7 +27,7 @@ def db():
 def plain(df):
     def value(v):
         v = v.item() if hasattr(v, "item") else v
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(v, 4) if isinstance(v, float) else v
 
