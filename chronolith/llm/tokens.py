@@ -1,12 +1,14 @@
 """Token counts from pre-token frequencies: each distinct pre-token is counted once.
 
 One pass cuts texts into pre-tokens and writes, per block of documents, its
-distinct pre-tokens by number, and the documents' frequencies as packed arrays
-of those numbers (postings). Pre-tokens of all blocks are dealt by value, so the
-tokenizer counts each distinct one once; the counts go back to the blocks, are
-joined to the frequencies there, and frequency times pieces is summed per
-document. Ids are never materialised, and what is shuffled is a row per block
-and distinct pre-token, not per document: a frequent one has a row per block.
+distinct pre-tokens, numbered and packed by bucket (a hash of the pre-token),
+and the documents' frequencies as packed arrays of those numbers (postings).
+Buckets of all blocks meet, where each distinct pre-token is counted once; the
+counts go back to the blocks, are joined to the frequencies there, and frequency
+times pieces is summed per document. Ids are never materialised, and a frequent
+pre-token costs an entry per block, not per document. A task holds the distinct
+pre-tokens of one bucket; there are as many buckets as shuffle partitions, which
+a cluster sets by its data.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are told
 apart by their place in a block, so repeated rows and repeated or null ids each
@@ -30,7 +32,7 @@ from chronolith.llm.pretokens import Splitter
 BLOCK_BYTES = 32_000_000
 SLICE_DOCS = 1000
 
-_POSTINGS = "block long, number int, piece string, doc_ids array<long>, sizes array<long>, fixed array<long>, lengths array<int>, packed binary"
+_POSTINGS = "block long, bucket int, packed_words binary, doc_ids array<long>, sizes array<long>, fixed array<long>, lengths array<int>, packed binary"
 
 
 class Counts:
@@ -91,25 +93,48 @@ class _Block:
         self.bytes += size
         self.docs.append((doc_id, size, special, numbers[order], times[order]))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        import xxhash
         import zstandard
 
-        schema = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("piece", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("fixed", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())])
-        words = list(self.number)
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([self.block] * len(part), pa.int64()), pa.array(np.arange(a, a + len(part)), pa.int32()), pa.array(part, pa.string()), *[pa.nulls(len(part), schema.field(i).type) for i in range(3, 8)]], schema=schema)
+        pack = zstandard.ZstdCompressor(3).compress
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("packed_words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("fixed", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())])
+        words = [w.encode("utf-8") for w in self.number]
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)  # numbers run through the buckets in order
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            part = [words[i] for i in order[ends[k] : ends[k + 1]].tolist()]
+            body = np.array([len(part), *map(len, part)], np.uint32).tobytes() + b"".join(part)
+            yield pa.RecordBatch.from_arrays([pa.array([self.block], pa.int64()), pa.array([k], pa.int32()), pa.array([pack(body)], pa.binary()), *[pa.nulls(1, schema.field(i).type) for i in range(3, 8)]], schema=schema)
         for a in range(0, len(self.docs), SLICE_DOCS):
             part = self.docs[a : a + SLICE_DOCS]
-            packed = b"".join([np.diff(d[3], prepend=np.int32(0)).tobytes() for d in part]) + b"".join([d[4].tobytes() for d in part])
+            numbers, times = [], []
+            for _, _, _, n, t in part:
+                n = rank[n]
+                o = np.argsort(n)
+                numbers.append(np.diff(n[o], prepend=np.int32(0)).tobytes())
+                times.append(t[o].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([self.block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), *[pa.array([[d[i] for d in part]], pa.list_(pa.int64())) for i in range(3)], pa.array([[len(d[3]) for d in part]], pa.list_(pa.int32())), pa.array([zstandard.ZstdCompressor(3).compress(packed)], pa.binary())],
+                [pa.array([self.block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *[pa.array([[d[i] for d in part]], pa.list_(pa.int64())) for i in range(3)], pa.array([[len(d[3]) for d in part]], pa.list_(pa.int32())), pa.array([pack(b"".join(numbers + times))], pa.binary())],
                 schema=schema,
             )
 
 
-def postings(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (block, number, piece) of each block's distinct pre-tokens, and rows of packed postings (number null)."""
+def _unpacked(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw[:4], np.uint32)[0])
+    size = np.frombuffer(raw[4 : 4 + 4 * n], np.uint32)
+    ends = (np.cumsum(size, dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+def postings(docs: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
+    """Rows (block, bucket, packed words) of each block's distinct pre-tokens, and rows of packed postings (bucket null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,74 +145,70 @@ def postings(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for doc_id, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), texts(part.column("text")).to_pylist()):
                 held.add(c, doc_id, text)
             if held.bytes >= BLOCK_BYTES:
-                yield from held.rows()
+                yield from held.rows(buckets)
                 held = _Block(held.block + 1)
-        yield from held.rows()
+        yield from held.rows(buckets)
 
     return docs.select("doc_id", "text").mapInArrow(run, _POSTINGS)
 
 
 def piece_counts(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """block, number, n: the pieces of each pre-token. Rows come sorted, so each distinct one is counted once."""
+    """block, bucket, packed counts of the pieces. Buckets come one after another, so each distinct pre-token is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         c = counts(path, pattern)
-        last, known = None, 0
-        for part in chunks(batches, "piece"):
-            words = part.column("piece").to_pylist()
-            new = [w for w, before in zip(words, [last, *words]) if w != before]
-            found = iter(c.count(new))
-            n = []
-            for w in words:
-                if w != last:
-                    last, known = w, next(found)
-                n.append(known)
-            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("number"), pa.array(n, pa.int32())], names=["block", "number", "n"])
+        bucket, known = None, {}
+        for part in batches:
+            packed = []
+            for k, blob in zip(part.column("bucket").to_pylist(), part.column("packed_words").to_pylist()):
+                if k != bucket:
+                    bucket, known = k, {}
+                words = _unpacked(blob)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, c.count([w.decode("utf-8") for w in new])))
+                packed.append(zstandard.ZstdCompressor(3).compress(np.fromiter((known[w] for w in words), np.int32, len(words)).tobytes()))
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("bucket"), pa.array(packed, pa.binary())], names=["block", "bucket", "counts"])
 
-    return words.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "block long, number int, n int")
+    return words.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, counts binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts and postings of a block meet: its counts come first, then rows of postings."""
     import zstandard
 
-    block, numbers, values, pieces = None, [], [], None
+    unpack = zstandard.ZstdDecompressor().decompress
+    block, found, pieces = None, [], None
     for part in batches:
-        own = part.column("block").to_numpy()
-        number = part.column("number")
-        is_count = number.is_valid().to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (is_count[1:] != is_count[:-1]))) if len(own) else []
-        for a, b in zip(edges, [*edges[1:], len(own)]):
-            if own[a] != block:
-                block, numbers, values, pieces = own[a], [], [], None
-            if is_count[a]:
-                numbers.append(number.slice(a, b - a).to_numpy())
-                values.append(part.column("n").slice(a, b - a).to_numpy())
+        for i, (own, blob) in enumerate(zip(part.column("block").to_pylist(), part.column("counts").to_pylist())):
+            if own != block:
+                block, found, pieces = own, [], None
+            if blob is not None:
+                found.append(np.frombuffer(unpack(blob), np.int32))
                 continue
             if pieces is None:
-                pieces = np.zeros(sum(map(len, numbers)), np.int64)
-                if numbers:
-                    pieces[np.concatenate(numbers)] = np.concatenate(values)
-            for i in range(int(a), int(b)):
-                length = np.array(part.column("lengths")[i].as_py(), dtype=np.int64)
-                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part.column("packed")[i].as_py()), np.int32)
-                delta, times = raw[: len(raw) // 2].astype(np.int64), raw[len(raw) // 2 :]
-                at = np.cumsum(delta)
-                start = np.cumsum(length) - length
-                base = np.where(start > 0, at[np.maximum(start - 1, 0)], 0) if len(at) else start * 0
-                at = at - np.repeat(base, length)
-                total = np.concatenate([[0], np.cumsum(pieces[at] * times)])
-                n = total[start + length] - total[start] + np.array(part.column("fixed")[i].as_py(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_ids")[i].values, part.column("sizes")[i].values, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                pieces = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+            length = np.array(part.column("lengths")[i].as_py(), dtype=np.int64)
+            raw = np.frombuffer(unpack(part.column("packed")[i].as_py()), np.int32)
+            delta, times = raw[: len(raw) // 2].astype(np.int64), raw[len(raw) // 2 :]
+            at = np.cumsum(delta)
+            start = np.cumsum(length) - length
+            base = np.where(start > 0, at[np.maximum(start - 1, 0)], 0) if len(at) else start * 0
+            at = at - np.repeat(base, length)
+            total = np.concatenate([[0], np.cumsum(pieces[at] * times)])
+            n = total[start + length] - total[start] + np.array(part.column("fixed")[i].as_py(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_ids")[i].values, part.column("sizes")[i].values, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    tune(docs.sparkSession)
-    rows = written(postings(docs, path, pattern), "postings")
-    counted = piece_counts(rows.where("number is not null").select("block", "number", "piece"), path, pattern)
-    packed = rows.where("number is null").drop("piece")
-    both = counted.unionByName(packed, allowMissingColumns=True)
-    met = both.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("number"))
+    spark = docs.sparkSession
+    tune(spark)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(postings(docs, path, pattern, buckets), "postings")
+    counted = piece_counts(rows.where("bucket is not null").select("block", "bucket", "packed_words"), path, pattern)
+    both = counted.unionByName(rows.where("bucket is null").drop("packed_words"), allowMissingColumns=True)
+    met = both.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("bucket"))
     out = met.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
