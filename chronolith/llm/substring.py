@@ -59,6 +59,20 @@ def _phrases(w: W.Words, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return doc[begin], first - w.first[doc[begin]], count, anchor[begin], whole
 
 
+def _once(doc: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> tuple:
+    """Each text's distinct phrases by their first place, and the list of their further places."""
+    order = np.lexsort((start, whole, anchor, doc))
+    same = np.zeros(len(order), bool)
+    if len(order):
+        d, a, p = doc[order], anchor[order], whole[order]
+        same[1:] = (d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (p[1:] == p[:-1])
+    first = order[~same]
+    ends = np.append(np.flatnonzero(~same), len(order))
+    offsets = np.concatenate([[0], np.cumsum(np.diff(ends) - 1)]).astype(np.int32)
+    again = pa.ListArray.from_arrays(offsets, pa.array(start[order][same].astype(np.int32)))
+    return doc[first], start[first], n[first], anchor[first], whole[first], again
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -69,16 +83,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def phrases(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """anchor, phrase, doc_id, key, start (word of the first window), n (windows)."""
+    """anchor, phrase, doc_id, key, start (word of the first window), n (windows), again (starts of repeats in the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             w = W.split(texts(part.column("text")))
-            doc, start, n, anchor, whole = _phrases(w, length, gram)
+            doc, start, n, anchor, whole, again = _once(*_phrases(w, length, gram))
             ids, keys = (part.column(c).cast(pa.int64()).take(pa.array(doc)) for c in ("doc_id", "key"))
-            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(whole), ids, keys, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "phrase", "doc_id", "key", "start", "n"])
+            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(whole), ids, keys, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), again], names=["anchor", "phrase", "doc_id", "key", "start", "n", "again"])
 
-    return keyed(docs).where("doc_id is not null").mapInArrow(run, "anchor long, phrase long, doc_id long, key long, start int, n int")
+    return keyed(docs).where("doc_id is not null").mapInArrow(run, "anchor long, phrase long, doc_id long, key long, start int, n int, again array<int>")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -86,14 +100,15 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     tune(docs.sparkSession)
     rows = written(phrases(docs, length, gram), "substring-phrases")
     # One entry per distinct phrase: its smallest id, and where it stands there.
-    index = rows.groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("f"), F.max("doc_id").alias("last"))
-    index = written(index.select("anchor", "phrase", "f.doc_id", "f.key", "f.start", "f.n", "last"), "substring-index")
+    index = rows.groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "key", "start", "n", "again")).alias("f"), F.max("doc_id").alias("last"))
+    index = written(index.select("anchor", "phrase", "f.doc_id", "f.key", "f.start", "f.n", "f.again", "last"), "substring-index")
+    places = F.explode(F.concat(F.array("start"), "again")).alias("start")
     # Greedy step: whole phrases. Only phrases with a later holder can match.
     repeated = index.where("last > doc_id").select("anchor", "phrase", F.col("doc_id").alias("first"))
-    whole = rows.join(repeated, ["anchor", "phrase"]).where("doc_id > first").select("doc_id", "key", "start", "n")
+    whole = rows.join(repeated, ["anchor", "phrase"]).where("doc_id > first").select("doc_id", "key", places, "n")
     # Boundaries: anchors with several phrases, of which the later ones may share windows with earlier ones.
     mixed = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("kinds > 1 and high > low").select("anchor")
-    asked = index.join(mixed, "anchor").select("doc_id", "key", "start", "n")
+    asked = index.join(mixed, "anchor").select("doc_id", "key", places, "n")
     asked = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
