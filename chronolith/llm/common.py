@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.session import ship
+
 #: Upper bound of text bytes that one vectorised step holds; a longer document is a step of its own.
 CHUNK_BYTES = 1_000_000
 #: Rows of an Arrow batch between the JVM and Python. Texts are long, so it is far below the default.
@@ -18,7 +20,8 @@ BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes for this session, never raising what is set lower."""
+    """Ship the package and bound Arrow batches by rows and bytes for this session, never raising what is set lower."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
