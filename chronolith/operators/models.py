@@ -202,3 +202,22 @@ def shadow(ledger: DataFrame, bars: DataFrame, veto: float = 0.45) -> DataFrame:
 
     got = model.transform(known).select("event_id", vector_to_array("probability")[1].alias("p"))
     return ledger.select("event_id").join(got, "event_id", "left").select("event_id", F.coalesce(F.col("p") < veto, F.lit(False)).alias("vetoed"))
+
+
+def probe(fc: DataFrame, top: int = 100, least: int = 300) -> DataFrame:
+    """Features ranked by the mean importance of shallow forests on expanding parts of the series; none with too few rows."""
+    from pyspark.ml.regression import GBTRegressor
+
+    x = with_lags(fc).where("actual is not null")
+    n = x.count()
+    spark = fc.sparkSession
+    if n < least:
+        return spark.createDataFrame([], "feature string, importance double")
+    vec = VectorAssembler(inputCols=list(X), outputCol="v").transform(x.withColumn("place", F.percent_rank().over(series()))).select("v", "actual", "place").cache()
+    total = np.zeros(len(X))
+    for k in range(1, 4):
+        model = GBTRegressor(featuresCol="v", labelCol="actual", maxDepth=3, maxIter=3, seed=7).fit(vec.where(F.col("place") < k / 4))
+        total += model.featureImportances.toArray() / 3
+    vec.unpersist()
+    ranked = sorted(zip(X, total.tolist()), key=lambda p: (-p[1], p[0]))[:top]
+    return spark.createDataFrame([(f, round(v, 6)) for f, v in ranked], "feature string, importance double")

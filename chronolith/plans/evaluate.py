@@ -191,7 +191,7 @@ def _(spark, sf):
 @query("p13_meta_candidates", f"WITH {_LED}, m AS (SELECT direction AS sleeve, hour(ts) AS hr, count(*) AS trades, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe FROM l GROUP BY 1, 2) SELECT sleeve, hr, trades, {r('sharpe', 'sharpe')} FROM m WHERE trades >= 25 AND NOT isnan(sharpe) AND sharpe >= -0.5")
 def _(spark, sf):
     l = B.ledger(spark, sf)
-    g = l.groupBy(F.col("direction").alias("sleeve"), F.hour("ts").alias("hr")).agg(F.count(F.lit(1)).alias("trades"), (F.avg("pnl_r") / (F.stddev_pop("pnl_r") + 1e-9)).alias("sharpe"))
+    g = l.groupBy(F.col("direction").alias("sleeve"), F.hour("ts").cast("long").alias("hr")).agg(F.count(F.lit(1)).alias("trades"), (F.avg("pnl_r") / (F.stddev_pop("pnl_r") + 1e-9)).alias("sharpe"))
     return g.where("trades >= 25 and not isnan(sharpe) and sharpe >= -0.5").withColumn("sharpe", r6("sharpe"))
 
 
@@ -223,7 +223,7 @@ def skip_code(threshold: float = 0.7, gate_hour: int = 14, shock: float = 2.5):
 
 @query("r3_variant_selection", f"WITH {_LED}, m AS (SELECT hour(ts) AS variant, direction AS sleeve, sum(pnl_r) AS total, count(*) AS n FROM l GROUP BY 1, 2) SELECT sleeve, variant, {r('total', 'total')} FROM m QUALIFY row_number() OVER (PARTITION BY sleeve ORDER BY total DESC, n DESC, variant) = 1")
 def _(spark, sf):
-    m = B.ledger(spark, sf).groupBy(F.hour("ts").alias("variant"), F.col("direction").alias("sleeve")).agg(F.sum("pnl_r").alias("total"), F.count(F.lit(1)).alias("n"))
+    m = B.ledger(spark, sf).groupBy(F.hour("ts").cast("long").alias("variant"), F.col("direction").alias("sleeve")).agg(F.sum("pnl_r").alias("total"), F.count(F.lit(1)).alias("n"))
     best = m.groupBy("sleeve").agg(F.max(F.struct(F.round("total", 9).alias("t"), "n", (-F.col("variant")).alias("v"), "total")).alias("b"))
     return best.select("sleeve", (-F.col("b.v")).alias("variant"), r6("b.total").alias("total"))
 
@@ -250,7 +250,7 @@ def _(spark, sf):
 
 @query("s2_top_features", f"{WD}, x AS (SELECT symbol, month(ts) AS feature, sum(volume) AS score FROM d GROUP BY 1, 2) SELECT symbol, feature, {r('score', 'score')} FROM x QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, feature) <= 5")
 def _(spark, sf):
-    x = B.bars_1d(spark, sf).groupBy("symbol", F.month("ts").alias("feature")).agg(F.sum("volume").alias("score"))
+    x = B.bars_1d(spark, sf).groupBy("symbol", F.month("ts").cast("long").alias("feature")).agg(F.sum("volume").alias("score"))
     k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "feature"))
     return x.withColumn("k", k).where("k <= 5").select("symbol", "feature", r6("score").alias("score"))
 
