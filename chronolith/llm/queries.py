@@ -68,5 +68,35 @@ def _pipeline() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
+
+_OP3 = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM w WHERE len(w) >= 50)),
+f AS (SELECT win, min(doc_id) AS first FROM p GROUP BY 1),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(k, k + 50)) AS i FROM p JOIN f USING (win) WHERE first < doc_id) GROUP BY 1),
+x AS (SELECT w.doc_id, w, coalesce(gone, []::BIGINT[]) AS gone FROM w LEFT JOIN g USING (doc_id)),
+i AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, gone, unnest(range(1, len(w) + 1)) AS i FROM x) WHERE NOT list_contains(gone, i)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM i GROUP BY 1)
+SELECT x.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM x LEFT JOIN k USING (doc_id)"""
+
+_OP4 = """WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20"""
+
+_OP8 = f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, 'null') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+p AS (SELECT row, k, w[k:k + 2] AS tri FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS k FROM t WHERE len(w) >= 3)),
+a AS (SELECT row, count(DISTINCT i) AS n FROM (SELECT row, unnest([k, k + 1, k + 2]) AS i FROM p QUALIFY count(*) OVER (PARTITION BY row, tri) > 1) GROUP BY 1),
+l AS (SELECT row, host, text, line FROM (SELECT row, host, text, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_WORD}')),
+d AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
+n AS (SELECT row, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_SPACE}+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '{_WORD}')) AS words FROM l),
+o AS (SELECT host, norm FROM n JOIN (SELECT host, count(DISTINCT text) AS al FROM t GROUP BY 1) h USING (host) GROUP BY host, norm, al HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) > 0.05 * al),
+g AS (SELECT row, sum(words) AS n FROM n JOIN o USING (host, norm) GROUP BY 1),
+x AS (SELECT t.doc_id, len(t.w)::BIGINT AS n_words, length(regexp_replace(t.text, '{_SPACE}', '', 'g'))::BIGINT AS word_chars, (length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_removed
+  FROM t LEFT JOIN a USING (row) LEFT JOIN d USING (row) LEFT JOIN g USING (row))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed >= 0.2 * n_words AS kept FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the whole query: not models, tokenizers, sampling by hash, HTML or spans of patterns."""
+    return {"op3_substring_dedup": _OP3, "op4_top_k": _OP4, "op8_quality_rules": _OP8}
