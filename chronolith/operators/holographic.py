@@ -24,23 +24,24 @@ def _sum(a: Column, f) -> Column:
 
 
 def box(bars: DataFrame, n: int) -> DataFrame:
-    """Adds the window's arrays nc, nb, vf and the scalar vb; null until n bars are there."""
+    """Adds the window's arrays nc, nb, vf and the scalar vb, named with n; null until n bars are there."""
     x = bars.withColumn("a", F.collect_list(F.struct("open", "high", "low", "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))).over(w(n)))
     x = x.withColumn("a", F.when(F.size("a") == n, F.col("a"))).withColumns({"hi": F.array_max("a.high"), "lo": F.array_min("a.low")})
     mid = F.sort_array("a.close")
     median = (F.get(mid, F.lit((n - 1) // 2)) + F.get(mid, F.lit(n // 2))) / 2
     x = x.withColumn("rng", F.when(F.col("hi") - F.col("lo") < EPS, F.greatest(median * 1e-5, F.lit(EPS))).otherwise(F.col("hi") - F.col("lo"))).withColumn("tv", _sum(F.col("a.volume"), lambda v: v))
     norm = lambda p: clip((p - F.col("lo")) / (F.col("rng") + EPS), 0, 1)
+    move = F.transform("a", lambda b, i: F.struct(b["volume"].alias("v"), (2 * b["close"] - F.coalesce(F.get(F.col("a.close"), i - 1), b["close"]) - b["open"]).alias("m")))
+    side = bound(move, lambda m: _sum(m, lambda b: F.when(b["m"] > 0, b["v"]).when(b["m"] < 0, -b["v"]).otherwise(0.0)))
     x = x.withColumns(
         {
-            "nc": F.transform("a.close", norm),
-            "nb": F.transform("a.close", lambda c: clip((((c - F.col("lo")) - (F.col("hi") - c)) / (F.col("rng") + EPS) + 1) / 2, 0, 1)),
-            "vf": F.transform("a.volume", lambda v: F.when(F.col("tv") > EPS, clip(v / F.col("tv"), 0, 1)).otherwise(1.0 / n)),
+            f"nc{n}": F.transform("a.close", norm),
+            f"nb{n}": F.transform("a.close", lambda c: clip((((c - F.col("lo")) - (F.col("hi") - c)) / (F.col("rng") + EPS) + 1) / 2, 0, 1)),
+            f"vf{n}": F.transform("a.volume", lambda v: F.when(F.col("tv") > EPS, clip(v / F.col("tv"), 0, 1)).otherwise(1.0 / n)),
+            f"vb{n}": clip(side / (F.col("tv") + EPS), -1, 1),
         }
     )
-    move = F.transform("a", lambda b, i: F.struct(b["volume"].alias("v"), (2 * b["close"] - F.coalesce(F.get(F.col("a.close"), i - 1), b["close"]) - b["open"]).alias("m")))
-    side = bound(move, lambda m: _sum(m, lambda b: F.when(b["m"] > 0, b["v"]).when(b["m"] < 0, -b["v"]).otherwise(0.0)))
-    return x.withColumn("vb", clip(side / (F.col("tv") + EPS), -1, 1))
+    return x.drop("a", "hi", "lo", "rng", "tv")
 
 
 def _pearson(a: Column, b: Column, n: int) -> Column:
@@ -53,26 +54,33 @@ def _pearson(a: Column, b: Column, n: int) -> Column:
     return bound(_sum(a, lambda v: v) / n, lambda ma: bound(_sum(b, lambda v: v) / n, lambda mb: inner(ma, mb)))
 
 
-def spectral(x: DataFrame, n: int, prefix: str) -> dict[str, Column]:
+def spectral(n: int, prefix: str) -> dict[str, Column]:
+    """Correlation of the boxed closes with themselves some bars before, from windows of ten bars."""
     if n < 10:
         return {}
-    return {f"{prefix}_fft_nc_ac{k}": F.coalesce(_pearson(F.slice("nc", k + 1, n - k), F.slice("nc", 1, n - k), n - k), F.lit(0.0)) for k in LAGS}
-
-
-def skeleton(n: int, prefix: str) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Columns to add first (peaks, troughs) and then the skeleton's columns, for windows of five bars or more."""
-    at = lambda d: F.lit(d)
-    mid = F.sequence(F.lit(1), F.lit(n - 2))
-    v = lambda i: F.get(F.col("nc"), i)
-    peaks = F.filter(mid, lambda i: (v(i) > v(i - 1)) & (v(i) > v(i + 1)) & (v(i) - F.greatest(v(i - 1), v(i + 1)) >= PROMINENCE))
-    troughs = F.filter(mid, lambda i: (v(i) < v(i - 1)) & (v(i) < v(i + 1)) & (F.least(v(i - 1), v(i + 1)) - v(i) >= PROMINENCE))
-    first = {"pk": peaks, "trg": troughs}
-    last, bias = v(at(n - 1)), F.get(F.col("nb"), at(n - 1))
-    high, low = F.when(F.size("pk") > 0, v(F.get("pk", F.size("pk") - 1))).otherwise(1.0), F.when(F.size("trg") > 0, v(F.get("trg", F.size("trg") - 1))).otherwise(0.0)
-    rise, fall = high - v(F.get("pk", at(0))), low - v(F.get("trg", at(0)))
-    phase = F.when(last > high, F.when((F.size("pk") >= 2) & (rise < 0), 2.0).otherwise(1.0)).when(last < low, F.when((F.size("trg") >= 2) & (fall > 0), -2.0).otherwise(-1.0)).otherwise(0.0)
-    volume = F.when(F.size("pk") > 0, F.get("vf", F.get("pk", F.size("pk") - 1))).otherwise(0.0)
-    return first, {
+    return {f"{prefix}_fft_nc_ac{k}": F.when(F.col(f"nc{n}").isNotNull(), F.coalesce(_pearson(F.slice(f"nc{n}", k + 1, n - k), F.slice(f"nc{n}", 1, n - k), n - k), F.lit(0.0))) for k in LAGS}
+
+
+def turns(x: DataFrame, n: int) -> DataFrame:
+    """Adds the places of the window's peaks and troughs (pk, tr with n)."""
+    inner = F.sequence(F.lit(1), F.lit(n - 2))
+    v = lambda i: F.get(F.col(f"nc{n}"), i)
+    peak = lambda i: (v(i) > v(i - 1)) & (v(i) > v(i + 1)) & (v(i) - F.greatest(v(i - 1), v(i + 1)) >= PROMINENCE)
+    trough = lambda i: (v(i) < v(i - 1)) & (v(i) < v(i + 1)) & (F.least(v(i - 1), v(i + 1)) - v(i) >= PROMINENCE)
+    return x.withColumns({f"pk{n}": F.filter(inner, peak), f"tr{n}": F.filter(inner, trough)})
+
+
+def skeleton(n: int, prefix: str) -> dict[str, Column]:
+    """The skeleton's columns of a window of five bars or more, after ``turns``."""
+    v = lambda i: F.get(F.col(f"nc{n}"), i)
+    pk, tr = F.col(f"pk{n}"), F.col(f"tr{n}")
+    peaks, troughs = F.size(pk), F.size(tr)
+    last, bias = v(F.lit(n - 1)), F.get(F.col(f"nb{n}"), F.lit(n - 1))
+    high, low = F.when(peaks > 0, v(F.get(pk, peaks - 1))).otherwise(1.0), F.when(troughs > 0, v(F.get(tr, troughs - 1))).otherwise(0.0)
+    rise, fall = high - v(F.get(pk, F.lit(0))), low - v(F.get(tr, F.lit(0)))
+    phase = F.when(last > high, F.when((peaks >= 2) & (rise < 0), 2.0).otherwise(1.0)).when(last < low, F.when((troughs >= 2) & (fall > 0), -2.0).otherwise(-1.0)).otherwise(0.0)
+    volume = F.when(peaks > 0, F.get(F.col(f"vf{n}"), F.get(pk, peaks - 1))).otherwise(0.0)
+    return {
         f"{prefix}_skel_smc_phase": phase,
         f"{prefix}_skel_liquidity_grab": F.when((last < low) & (bias > 0.7), 1.0).otherwise(0.0),
         f"{prefix}_skel_ob_validity": volume * F.abs(phase),
@@ -81,23 +89,27 @@ def skeleton(n: int, prefix: str) -> tuple[dict[str, Column], dict[str, Column]]
     }
 
 
-def window_columns(bars: DataFrame, tf: str, n: int, primary: bool = False) -> DataFrame:
-    """All columns of one window: n bars x 9, n lags x 2, autocorrelations from 10 bars, skeleton from five."""
-    p = f"{tf}_w{n}"
-    x = box(bars, n)
-    out: dict[str, Column] = {}
-    for k in range(1, n + 1):
-        out[f"{p}_bar{k}_close"], out[f"{p}_bar{k}_norm_bias"], out[f"{p}_bar{k}_volume_bias"] = F.get("nc", F.lit(k - 1)), F.get("nb", F.lit(k - 1)), F.col("vb")
-        for t in THERMO:
-            held = primary and t == "session_pos" and "session_pos" in bars.columns
-            out[f"{p}_bar{k}_{t}"] = F.lag("session_pos", n - k).over(_order()) if held else F.lit(0.0)
-    for k in range(n):
-        out[f"{p}_gram_nb_lag{k}"], out[f"{p}_gram_vb_lag{k}"] = F.get("nb", F.lit(n - 1 - k)), F.col("vb")
-    out |= spectral(x, n, p)
-    if n >= 5:
-        first, more = skeleton(n, p)
-        x = x.withColumns(first)
-        out |= more
+def window_columns(bars: DataFrame, tf: str, *sizes: int, primary: bool = False) -> DataFrame:
+    """All columns of some windows: n bars x 9, n lags x 2, autocorrelations from 10 bars, skeleton from five.
+
+    The arrays of all windows are made first, on narrow rows; one projection then spreads them to columns.
+    """
+    x, out = bars, {}
+    for n in sizes:
+        x = box(x, n)
+        x = turns(x, n) if n >= 5 else x
+    for n in sizes:
+        p = f"{tf}_w{n}"
+        for k in range(1, n + 1):
+            out[f"{p}_bar{k}_close"], out[f"{p}_bar{k}_norm_bias"], out[f"{p}_bar{k}_volume_bias"] = F.get(f"nc{n}", F.lit(k - 1)), F.get(f"nb{n}", F.lit(k - 1)), F.col(f"vb{n}")
+            for t in THERMO:
+                held = primary and t == "session_pos" and "session_pos" in bars.columns
+                out[f"{p}_bar{k}_{t}"] = F.lag("session_pos", n - k).over(_order()) if held else F.lit(0.0)
+        for k in range(n):
+            out[f"{p}_gram_nb_lag{k}"], out[f"{p}_gram_vb_lag{k}"] = F.get(f"nb{n}", F.lit(n - 1 - k)), F.col(f"vb{n}")
+        out |= spectral(n, p)
+        if n >= 5:
+            out |= skeleton(n, p)
     return x.select(*bars.columns, *[c.alias(name) for name, c in out.items()])
 
 
@@ -114,9 +126,8 @@ def lane(frames: dict[str, DataFrame], windows: dict[str, tuple[int, ...]], base
     keys = ("symbol", "ts")
     out = None
     for tf, sizes in windows.items():
-        x, own = frames[tf], frames[tf].columns
-        for n in sizes:
-            x = window_columns(x, tf, n, tf == base)
+        own = frames[tf].columns
+        x = window_columns(frames[tf], tf, *sizes, primary=tf == base)
         new = [c for c in x.columns if c not in own]
         if tf == base:
             out = x.select(*keys, *new)
