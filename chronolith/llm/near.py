@@ -246,7 +246,8 @@ def _similar(batches: Iterator[pa.RecordBatch], model, threshold: float, every:
 
 def _compare(rows: DataFrame, docs: DataFrame, model, threshold: float, every: bool) -> DataFrame:
     """rows: g1, g2, g3 (the group), left (bool), node (a doc_id) -> a, b, sim."""
-    held = rows.join(docs, "node").select("g1", "g2", "g3", "left", "node", "text")
+    held = rows.hint("merge").join(docs, "node").select("g1", "g2", "g3", "left", "node", "text")
+    # Candidates grow with the corpus, so both sides are dealt by node at every size.
     dealt = held.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", F.desc("left"), "node")
     return dealt.mapInArrow(lambda batches: _similar(batches, model, threshold, every), "a long, b long, sim double")
 
@@ -328,7 +329,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of its smallest id; rows with a null id all stay."""
     found = written(classes(docs, threshold), "near-classes")
-    keep = found.where("doc_id = class_id").select("doc_id").distinct()
+    keep = found.where("doc_id = class_id").select("doc_id").distinct().hint("merge")  # as many as documents, so never broadcast
     kept = docs.join(keep, "doc_id", "left_semi")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
