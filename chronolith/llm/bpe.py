@@ -30,7 +30,7 @@ from chronolith.llm.common import chunks, texts, tune
 from chronolith.llm.pretokens import Splitter
 
 #: Words of one generation of the cache; two generations are kept in one Python worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Rows that one recursive query may hold over all its steps.
 LOT_ROWS = 1_200_000
 #: Longer words keep only their current rows (keyed recursion) instead of all steps.
@@ -93,8 +93,10 @@ class Codec:
         merges = pa.table({"a": a, "b": b, "ab": (a << 20) + b, "rank": rank, "new": rank, "bulk": (a != b) & (low[rank] > rank)})  # noqa: F841
         vocab = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges; CREATE TABLE vocab AS SELECT * FROM vocab")
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: Decoded bytes of words that don't decode to themselves; a byte-level vocabulary has none.
+        self.differs: dict[str, bytes] = {}
 
     @staticmethod
     def _kind(pattern: str):
@@ -117,8 +119,8 @@ class Codec:
         if lot:
             yield (_KEYED if len(lot[0]) > LONG_BYTES else _ALL_STEPS), lot
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(ids as little-endian uint32, decoded bytes) of each word."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each word as little-endian uint32; words whose decoded bytes are others than their own are noted."""
         done = {}
         for query, lot in self._lots([w.encode("utf-8") for w in words]):
             whole = np.array([self.ranks.get(b, -1) for b in lot])  # a pre-token that is a token as a whole starts as that one row
@@ -138,7 +140,10 @@ class Codec:
                 ends = np.frombuffer(child.buffers()[1], dtype=np.int32)[child.offset : child.offset + len(child) + 1]
                 body = child.buffers()[2].to_pybytes()
                 for w, a, b, c, d in zip(part.column("w").to_pylist(), (4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), ends[to[:-1]].tolist(), ends[to[1:]].tolist()):
-                    done[lot[w].decode("utf-8")] = (numbers[a:b], body[c:d])
+                    word = lot[w].decode("utf-8")
+                    done[word] = numbers[a:b]
+                    if body[c:d] != lot[w]:
+                        self.differs[word] = body[c:d]
         return done
 
     def encode(self, rows: list[str]) -> list[tuple[bytes, bytes]]:
@@ -158,9 +163,11 @@ class Codec:
             self.old, self.young = self.young, {}
         out = []
         for p in pieces:
-            got = [now[w] for w in p]
-            a, b = zip(*got) if got else ((), ())
-            out.append((b"".join(a), b"".join(b)))
+            if self.differs:
+                decoded = b"".join([self.differs[w] if w in self.differs else w.encode("utf-8") for w in p])
+            else:
+                decoded = "".join(p).encode("utf-8")
+            out.append((b"".join([now[w] for w in p]), decoded))
         return out
 
 
@@ -183,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for part in chunks(batches, limit=4_000_000):
+        for part in chunks(batches, limit=3_000_000):
             got = c.encode(texts(part.column("text")).to_pylist())
             cols = [part.column(n) for n in names] + [pa.array([len(a) // 4 for a, _ in got], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in got]), pa.array([hashlib.sha256(b).hexdigest() for _, b in got])]
             if ids:
