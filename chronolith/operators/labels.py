@@ -161,21 +161,21 @@ def labelled(bars: DataFrame, horizon: int = 10, stop_atr: float = 1.25, ladder:
                     "bars_to_target": np.where(win_l, trade[True]["bars"], np.where(win_s, trade[False]["bars"], horizon)).astype(float),
                     "entry_price": price, "target_distance": dist, "long_path_r": lr, "short_path_r": sr, "target_edge_r": np.abs(lr - sr), "best_path_r": np.fmax(lr, sr),
                     "long_mfe_atr": np.maximum(0, (up - price) / (atr + EPS)), "long_mae_atr": np.maximum(0, (price - down) / (atr + EPS)), "short_mfe_atr": np.maximum(0, (price - down) / (atr + EPS)), "short_mae_atr": np.maximum(0, (up - price) / (atr + EPS)),
-                    "long_reason": trade[True]["reason"], "short_reason": trade[False]["reason"], "long_bars": trade[True]["bars"],
+                    "long_reason": trade[True]["reason"], "short_reason": trade[False]["reason"], "long_bars": trade[True]["bars"], "short_bars": trade[False]["bars"],
                 }
             )
             values = out.columns[2:]
             out[values] = out[values].astype(float).where(pd.Series(full, index=out.index), np.nan)
             yield out
 
-    names = ("target", "next_ret_pct", "bars_to_target", "entry_price", "target_distance", "long_path_r", "short_path_r", "target_edge_r", "best_path_r", "long_mfe_atr", "long_mae_atr", "short_mfe_atr", "short_mae_atr", "long_reason", "short_reason", "long_bars")
+    names = ("target", "next_ret_pct", "bars_to_target", "entry_price", "target_distance", "long_path_r", "short_path_r", "target_edge_r", "best_path_r", "long_mfe_atr", "long_mae_atr", "short_mfe_atr", "short_mae_atr", "long_reason", "short_reason", "long_bars", "short_bars")
     rows = forward(bars, horizon).select("symbol", "ts", "atr14", "path")
     got = rows.mapInPandas(run, "symbol string, ts timestamp, " + ", ".join(f"{c} double" for c in names))
     return got.select("symbol", "ts", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
 
 
 def exit_surface(bars: DataFrame, horizon: int = 10, fee: float = 5e-4, slip: float = 3e-4) -> DataFrame:
-    """R of a long trade of every bar under every template; the catalogue is five rows."""
+    """R of a long (UP) and of a short (DOWN) trade of every bar under every template; the catalogue is five rows."""
     spark = bars.sparkSession
     table = spark.createDataFrame([(k, *v) for k, v in TEMPLATES.items()], "template string, stop double, tp1 double, tp2 double, trail double")
 
@@ -184,28 +184,50 @@ def exit_surface(bars: DataFrame, horizon: int = 10, fee: float = 5e-4, slip: fl
             if len(g):
                 paths, size = _paths(g["path"], horizon)
                 a = g["atr14"].to_numpy(float)
-                t = simulate(paths, size, paths[:, 0, 0] * (1 + slip), True, a * g["stop"].to_numpy(), a * g["tp1"].to_numpy(), a * g["tp2"].to_numpy(), a * g["trail"].to_numpy(), fee)
-                out = g[["symbol", "ts", "template"]].copy()
-                out["r"] = np.where(size == horizon, t["r"], np.nan)
-                yield out
+                for long in (True, False):
+                    t = simulate(paths, size, paths[:, 0, 0] * (1 + slip if long else 1 - slip), long, a * g["stop"].to_numpy(), a * g["tp1"].to_numpy(), a * g["tp2"].to_numpy(), a * g["trail"].to_numpy(), fee)
+                    out = g[["symbol", "ts", "template"]].copy()
+                    out["direction"] = "UP" if long else "DOWN"
+                    out["r"] = np.where(size == horizon, t["r"], np.nan)
+                    yield out
 
     rows = forward(bars, horizon).select("symbol", "ts", "atr14", "path").join(F.broadcast(table))
-    return rows.mapInPandas(run, "symbol string, ts timestamp, template string, r double").where("not isnan(r)")
+    return rows.mapInPandas(run, "symbol string, ts timestamp, template string, direction string, r double").where("r is not null and not isnan(r)")
 
 
-def replay(labels: DataFrame, admitted: str = "p >= 0.7", start: float = 10_000.0, risk: float = 0.02) -> DataFrame:
-    """Trades that don't overlap: after a trade the next admitted bar beyond its exit is taken. One pass over each series."""
+def surface_groups(surface: DataFrame, predictions: DataFrame, collect: float = 0.55) -> DataFrame:
+    """Group (direction|bucket and direction|default), template, samples, avg_r, win_rate of the trades the predictions ask for.
+
+    Candidates have confidence ``max(p, 1 - p)`` of at least ``collect``; buckets 0, 1, 2 part at the 50 and 80 % quantiles of their confidence.
+    """
+    sure = F.greatest("p", 1 - F.col("p"))
+    asked = predictions.where("p between 0 and 1").select("symbol", "ts", F.when(F.col("p") > 0.5, "UP").otherwise("DOWN").alias("direction"), sure.alias("confidence")).where(F.col("confidence") >= collect)
+    x = surface.join(asked, ["symbol", "ts", "direction"])
+    edges = x.select("symbol", "ts", "confidence").distinct().agg(F.percentile("confidence", F.array(F.lit(0.5), F.lit(0.8))).alias("e"))
+    x = x.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter(F.array_distinct("e"), lambda e: F.col("confidence") >= e)).cast("string"))
+    g = x.groupingSets([["direction", "bucket", "template"], ["direction", "template"]], "direction", "bucket", "template").agg(F.count(F.lit(1)).alias("samples"), F.avg("r").alias("avg_r"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))
+    return g.select(F.concat_ws("|", "direction", F.coalesce("bucket", F.lit("default"))).alias("group"), "template", "samples", "avg_r", "win_rate")
+
+
+def replay(labels: DataFrame, threshold: float = 0.7, start: float = 10_000.0, risk: float = 0.02) -> DataFrame:
+    """Trades that don't overlap, long where p > 0.5 and else short: after a trade the next bar admitted beyond its exit is taken.
+
+    A bar is admitted by its confidence ``max(p, 1 - p)``; one without the R of its direction is passed over. One pass over each series.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ts")
         free, equity, out = 0, start, []
-        for i, r, n, ts in zip(g["i"], g["long_path_r"], g["long_bars"], g["ts"]):
+        for i, d, r, n, ts in zip(g["i"], g["direction"], g["r"], g["bars"], g["ts"]):
             if i < free:
                 continue
             equity += r * start * risk
-            out.append((g["symbol"].iloc[0], ts, int(i), int(i + n), float(r), equity))
+            out.append((g["symbol"].iloc[0], ts, d, int(i), int(i + n), float(r), equity))
             free = i + n + 1
-        return pd.DataFrame(out, columns=["symbol", "ts", "i", "exit_i", "r", "equity"])
+        return pd.DataFrame(out, columns=["symbol", "ts", "direction", "i", "exit_i", "r", "equity"])
 
-    rows = labels.where(admitted).where("long_path_r is not null").select("symbol", "ts", "i", "long_path_r", "long_bars")
-    return rows.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, i long, exit_i long, r double, equity double")
+    long = F.col("p") > 0.5
+    side = lambda of: F.when(long, F.col(f"long_{of}")).otherwise(F.col(f"short_{of}") if f"short_{of}" in labels.columns else F.lit(None))
+    rows = labels.where("p between 0 and 1").where(F.greatest("p", 1 - F.col("p")) >= threshold)
+    rows = rows.select("symbol", "ts", "i", F.when(long, "LONG").otherwise("SHORT").alias("direction"), side("path_r").alias("r"), side("bars").alias("bars")).where("r is not null")
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, direction string, i long, exit_i long, r double, equity double")

@@ -50,11 +50,9 @@ def _(spark, sf):
 @query("m18_exit_surface")
 def _(spark, sf):
     x = labels.exit_surface(core.atr(B.bars_1d(spark, sf)))
-    x = x.join(B.oos(B.bars_1d(spark, sf)), ["symbol", "ts"]).withColumn("bucket", F.when(F.col("p") >= 0.8, "high").when(F.col("p") >= 0.5, "mid").otherwise("low"))
-    g = x.groupingSets([["bucket", "template"], ["template"]], "bucket", "template").agg(F.count(F.lit(1)).alias("samples"), F.avg("r").alias("avg_r"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))
-    g = g.withColumn("bucket", F.coalesce("bucket", F.lit("default")))
-    best = g.groupBy("bucket").agg(F.max(F.struct("avg_r", "win_rate", "samples", "template")).alias("b"))
-    return best.select("bucket", F.col("b.template").alias("template"), r6("b.avg_r").alias("avg_r"), F.col("b.samples").alias("samples"))
+    g = labels.surface_groups(x, B.oos(B.bars_1d(spark, sf)))
+    best = g.groupBy("group").agg(F.max(F.struct("avg_r", "win_rate", "samples", "template")).alias("b"))
+    return best.select("group", F.col("b.template").alias("template"), r6("b.avg_r").alias("avg_r"), r6("b.win_rate").alias("win_rate"), F.col("b.samples").alias("samples"))
 
 
 def _replayed(spark, sf) -> DataFrame:
@@ -65,7 +63,7 @@ def _replayed(spark, sf) -> DataFrame:
 
 @query("r1_event_replay")
 def _(spark, sf):
-    return _replayed(spark, sf).select("symbol", seconds().alias("ts_s"), "i", "exit_i", r6("r").alias("r"), r6("equity").alias("equity"))
+    return _replayed(spark, sf).select("symbol", seconds().alias("ts_s"), "direction", "i", "exit_i", r6("r").alias("r"), r6("equity").alias("equity"))
 
 
 @query("r2_strategy_zoo")
@@ -74,7 +72,7 @@ def _(spark, sf):
     x = labels.labelled(d).join(d.select("symbol", "ts", "i"), ["symbol", "ts"]).join(B.oos(B.bars_1d(spark, sf)), ["symbol", "ts"])
     out = None
     for t in (0.5, 0.6, 0.7, 0.8, 0.9):
-        g = labels.replay(x, f"p >= {t}").groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.avg("r").alias("avg_r")).withColumn("threshold", F.lit(t))
+        g = labels.replay(x, t).groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.avg("r").alias("avg_r")).withColumn("threshold", F.lit(t))
         out = g if out is None else out.unionByName(g)
     best = out.groupBy("symbol").agg(F.max(F.struct("avg_r", "trades", "threshold")).alias("b"))
     return best.select("symbol", F.col("b.threshold").alias("threshold"), F.col("b.trades").alias("trades"), r6("b.avg_r").alias("avg_r"))

@@ -67,7 +67,7 @@ def _(spark, sf):
     o = Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     out = None
     for t in (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85):
-        run = labels.replay(x, f"p >= {t}").withColumn("peak", F.greatest(F.lit(10_000.0), F.max("equity").over(o)))
+        run = labels.replay(x, t).withColumn("peak", F.greatest(F.lit(10_000.0), F.max("equity").over(o)))
         g = run.groupBy("symbol").agg(F.max_by("equity", "i").alias("equity"), F.avg("r").alias("avg_r"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("mdd"), F.count(F.lit(1)).alias("trades")).withColumn("threshold", F.lit(t))
         out = g if out is None else out.unionByName(g)
     best = out.groupBy("symbol").agg(F.max(F.struct("equity", "avg_r", (-F.col("mdd")).alias("nm"), "trades", "threshold")).alias("b"))

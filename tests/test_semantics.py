@@ -144,6 +144,35 @@ def test_replay_does_not_overlap(spark):
     assert got.i.tolist() == [0, 4, 8] and math.isclose(got.equity.iloc[-1], 10_000 + 3 * 0.5 * 200)
 
 
+def test_replay_takes_shorts(spark):
+    """A sure fall is a short trade, by its own R and bars, and blocks later bars until its exit."""
+    p = [0.1, 0.9, 0.9, 0.6, 0.3, 0.95, None, float("nan"), 0.9]
+    x = spark.createDataFrame([("S", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), i, 0.5, 1.0, -0.25, 2.0, q) for i, q in enumerate(p)], "symbol string, ts timestamp, i long, long_path_r double, long_bars double, short_path_r double, short_bars double, p double")
+    got = labels.replay(x).orderBy("i").toPandas()
+    assert list(zip(got.direction, got.i, got.exit_i, got.r)) == [("SHORT", 0, 2, -0.25), ("SHORT", 4, 6, -0.25), ("LONG", 8, 9, 0.5)]
+    assert got.equity.tolist() == [9950.0, 9900.0, 10_000.0]
+
+
+def test_labels_and_surface_hold_both_directions(spark, walk):
+    x = core.atr(walk)
+    got = labels.labelled(x).toPandas()
+    assert (got.short_bars.isna() == got.short_path_r.isna()).all() and (got.short_bars != got.long_bars).any()
+    p = walk.selectExpr("symbol", "ts", "(pmod(hash(ts), 1000) + 0.5) / 1000D as p")
+    surface = labels.exit_surface(x)
+    groups = {(r["group"], r.template): r for r in labels.surface_groups(surface, p).collect()}
+    rows = surface.join(p, ["symbol", "ts"]).toPandas()
+    assert rows.r.notna().all()
+    rows["confidence"] = rows.p.where(rows.p > 0.5, 1 - rows.p)
+    rows = rows[(rows.direction == np.where(rows.p > 0.5, "UP", "DOWN")) & (rows.confidence >= 0.55)]
+    edges = np.quantile(rows.drop_duplicates("ts").confidence, (0.5, 0.8))
+    assert {g for g, _ in groups} == {f"{d}|{b}" for d in ("UP", "DOWN") for b in ("0", "1", "2", "default")}
+    for (group, template), r in groups.items():
+        d, b = group.split("|")
+        mine = rows[(rows.direction == d) & (rows.template == template)]
+        mine = mine if b == "default" else mine[np.searchsorted(edges, mine.confidence, side="right") == int(b)]
+        assert r.samples == len(mine) and math.isclose(r.avg_r, mine.r.mean(), abs_tol=1e-9) and math.isclose(r.win_rate, (mine.r > 0).mean(), abs_tol=1e-9)
+
+
 def test_folds_and_purge():
     plan = evaluate.folds(1000, 500)
     assert plan[0] == (0, 500, 650) and all(b - a >= 50 for _, a, b in plan)
