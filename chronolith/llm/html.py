@@ -4,16 +4,18 @@ A page is read as tokens: an open tag with the chain of its open ancestors (tag
 and class), or a text block with that chain. Over the pages of one host each
 token has an occurrence vector, times on each page, which is kept as sums of
 hashes of (page, times), so any number of pages adds up in one aggregation.
+Equal pages of a host count once: a copied page is no template.
 Tokens of one host with equal vectors form an equivalence class; a class is
 valid if it covers at least ``SUPPORT`` of at least ``MIN_PAGES`` pages, and it
 nests in the class of its tokens' parents, which the chains give. The valid
 classes are the host's template. What the template does not fill are slots.
 
-A slot is main text if it lies in an article (or ``main``, or on pages without
-either outside of links-only lists) and not below a tag or class that names
-other matter (menus, footers, sidebars, notices, adverts, forms, comments). Text
-tokens of the template, the same on most pages of a host, are dropped outside
-articles; inside an article nothing else is dropped.
+Text tokens of the template, the same on most pages of a host, are no slots and
+are dropped wherever they stand, in articles too. Any other block belongs to the
+slot of its innermost template tag, or of its own chain where it has none. Tags
+and classes choose among slots: those in an article, else those in ``main``, else
+those that hold more than links, and never those below a tag or class that names
+other matter (menus, footers, sidebars, notices, adverts, forms, comments).
 
 Defined results: null or empty html gives an empty text; a null url is a host of
 its own; unclosed and misnested tags are closed by their ancestors; repeated
@@ -142,19 +144,33 @@ class Page:
         add(source[at:])
         flush()
 
-    def main_text(self, template: set[int]) -> str:
-        if any(b[2] and not b[4] for b in self.blocks):
-            chosen = [b[0] for b in self.blocks if b[2] and not b[4]]
-        elif any(b[3] and not b[4] for b in self.blocks):
-            chosen = [b[0] for b in self.blocks if b[3] and not b[4] and _hash(b[1], b[0]) not in template]
+    def main_text(self, template: set[int], frames: set[int] = frozenset()) -> str:
+        """``template`` has the text tokens of the host's valid classes, ``frames`` their tags."""
+        held = [b for b in self.blocks if not b[4]]
+        slots = [b for b in held if not template or _hash(b[1], b[0]) not in template]
+        # Where the template fills the whole article, the page has no main text; nothing else takes its place.
+        if any(b[2] for b in held):
+            chosen = [b for b in slots if b[2]]
+        elif any(b[3] for b in held):
+            chosen = [b for b in slots if b[3]]
         else:
-            chosen = [b[0] for b in self.blocks if not b[4] and not b[5] and _hash(b[1], b[0]) not in template]
-        return "\n\n".join(chosen)
+            parents = dict(self.tags)
+            of = {c: self._slot(c, parents, frames) for c in {b[1] for b in slots}}
+            told = {of[b[1]] for b in slots if not b[5]}
+            chosen = [b for b in slots if of[b[1]] in told]
+        return "\n\n".join(b[0] for b in chosen)
+
+    @staticmethod
+    def _slot(chain: str, parents: dict[str, str], frames: set[int]) -> str:
+        at = chain
+        while at and frames and _hash(at, None) not in frames:
+            at = parents[at]
+        return at or chain
 
     def tokens(self) -> Counter:
-        """(token, parent token, is text) -> times. Text in articles is no template token: it can't be dropped."""
+        """(token, parent token, is text) -> times."""
         found = Counter((_hash(c, None), _hash(p, None), False) for c, p in self.tags)
-        found.update((_hash(b[1], b[0]), _hash(b[1], None), True) for b in self.blocks if not b[2])
+        found.update((_hash(b[1], b[0]), _hash(b[1], None), True) for b in self.blocks)
         return found
 
 
@@ -171,23 +187,19 @@ def _host():
 def template(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, class, parent class, token, is_text, pages: the valid equivalence classes of each host."""
     tune(pages.sparkSession)
-    held = pages.select(_host().alias("host"), F.col("html").alias("text"))
+    held = pages.select(_host().alias("host"), F.col("html").alias("text"), F.xxhash64("html").alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        page = TaskContext.get().partitionId() << 40
         for part in chunks(batches):
             rows = []
-            for host, source in zip(part.column("host").to_pylist(), texts(part.column("text")).to_pylist()):
-                page += 1
+            for host, source, page in zip(part.column("host").to_pylist(), texts(part.column("text")).to_pylist(), part.column("page").to_pylist()):
                 found = Page(source).tokens()
                 # The root token stands once on every page, so its count is the host's number of pages.
                 rows += [(host, t, p, x, n, page) for (t, p, x), n in found.items()] + [(host, _hash("", None), None, False, 1, page)]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()))], names=["host", "token", "parent", "is_text", "times", "page"])
 
-    rows = held.mapInArrow(run, "host string, token long, parent long, is_text boolean, times int, page long")
+    rows = held.mapInArrow(run, "host string, token long, parent long, is_text boolean, times int, page long").distinct()
     mark = F.xxhash64("page", "times")
     # Halves of the hash, so that the sums of any number of pages stay within a long.
     tokens = rows.groupBy("host", "token", "parent", "is_text").agg(F.count(F.lit(1)).alias("pages"), F.sum(mark.bitwiseAND(0x7FFFFFFF)).alias("v1"), F.sum(F.shiftrightunsigned(mark, 33)).alias("v2"))
@@ -201,15 +213,16 @@ def template(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PA
 
 def extracted(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    known = written(template(pages, support, min_pages).where("is_text").groupBy("host").agg(F.collect_set("token").alias("template")), "html-template")
+    token = lambda is_text: F.collect_set(F.when(F.col("is_text") == is_text, F.col("token")))
+    known = written(template(pages, support, min_pages).groupBy("host").agg(token(True).alias("template"), token(False).alias("frames")), "html-template")
     # Pages are not moved for a template that is counted to be small; beyond that they are dealt by host, and AQE splits large hosts.
-    if (known.agg(F.sum(F.size("template") + F.lit(8))).first()[0] or 0) <= SMALL_TEMPLATE:
+    if (known.agg(F.sum(F.size("template") + F.size("frames") + F.lit(8))).first()[0] or 0) <= SMALL_TEMPLATE:
         known = F.broadcast(known)
     held = pages.select("page_id", "url", F.col("html").alias("text"), _host().alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            out = [Page(t).main_text(set(x or ())) for t, x in zip(texts(part.column("text")).to_pylist(), part.column("template").to_pylist())]
+            out = [Page(t).main_text(set(x or ()), set(y or ())) for t, x, y in zip(texts(part.column("text")).to_pylist(), part.column("template").to_pylist(), part.column("frames").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return held.join(known, "host", "left").drop("host").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -243,6 +243,18 @@ def test_template_text_goes_without_an_article(spark):
     assert any(r.is_text for r in t) and all(r.parent_class is not None or r.pages == 12 for r in t)
 
 
+def test_template_decides_in_articles_and_slots(spark):
+    """A line of no telling class that repeats in articles goes; a copied page is no template; a link in a slot of text stays."""
+    line = "<div class=x1><p>Sign up for more</p></div>"
+    pages = [(i, f"http://h.example/{i}", f"<article><p>Own text {i}</p>{line if i % 4 else ''}</article>") for i in range(12)]
+    pages += [(100 + i, f"http://c.example/{i}", "<article><p>One page, copied</p></article>") for i in range(20)]
+    pages += [(200 + i, f"http://s.example/{i}", f"<body><div class=y><ul><li><a>Menu {i}</a></ul></div><div class=z><p>Text {i}</p><p><a>Linked {i}</a></p></div>") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extracted(df).collect()}
+    assert all(got[i] == f"Own text {i}" and got[200 + i] == f"Text {i}\n\nLinked {i}" for i in range(12))
+    assert all(got[100 + i] == "One page, copied" for i in range(20))
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------------
 
 
