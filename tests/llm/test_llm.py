@@ -141,14 +141,22 @@ def test_bpe_round_trip_equals_library(spark, docs):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
-def test_long_words_take_the_keyed_recursion():
+def test_decoding_reads_nothing_but_ids():
+    c = bpe.Codec(MULTI, P.PATTERN)
+    ids = c.encode(["one two three", "", "é\n four"])
+    assert c.decode([ids[2], ids[1], ids[0]]) == ["é\n four".encode(), b"", b"one two three"]
+    swapped = np.frombuffer(ids[0], "<u4")[::-1].tobytes()
+    assert c.decode([swapped])[0] != b"one two three"
+
+
+def test_long_words_equal_library_in_linear_time():
     import tiktoken
 
     g = random.Random(9)
     c = bpe.Codec(MULTI, P.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
-    for t in ("a" * 700, "ab" * 300, "".join(g.choice("abcdefXYZ") for _ in range(1500))):
-        assert np.frombuffer(c.encode([t])[0][0], "<u4").tolist() == lib.encode_ordinary(t)
+    for t in ("a" * 700, "ab" * 300, "=" * 5000, "the" * 900, "".join(g.choice("abcdefXYZ") for _ in range(40_000)), "".join(g.choice("éàñ日本語") for _ in range(3000))):
+        assert np.frombuffer(c.encode([t])[0], "<u4").tolist() == lib.encode_ordinary(t)
 
 
 def test_agreed_ranges_agree():
