@@ -2,19 +2,22 @@
 
 Each source gets a share of all words by its weight, at most ``most`` times its
 own words; what is cut off is shared again by weight, which has the closed form
-target = min(most * size, level * weight). Every document is owed target / size
-copies. Whole copies are certain; for the remaining fraction each document gets
-a random rank, odds of a uniform number divided by the odds of its inclusion
-probability, and the lowest ranks are taken until the words owed are reached.
-
-The order within a source is found without sorting the source: ranks grow with
-the uniform number, which is dealt into ``BUCKETS`` equal buckets; sums of
-buckets tell which one holds the cut, and only its rows are sorted. Uniform
-numbers are hashes of id, text and seed, so reruns agree.
+target = min(most * size, level * weight). Of target / size copies the whole ones
+are certain for every document. The words that remain are drawn with probability
+in proportion to a document's size, pi = min(1, rate * size): long documents,
+which would move the total most, are certain, and the words expected are those
+owed. Each document gets a Pareto rank, odds of a uniform number divided by the
+odds of its own pi, and the lowest ranks are taken up to the words owed: the size
+of a sample is fixed in words, to half of the document at the cut.
+
+The order within a source is found without sorting the source: ranks are dealt
+into ``BUCKETS`` buckets; sums of buckets tell which one holds the cut, and only
+its rows are sorted. Uniform numbers are hashes of id, text and seed, so reruns
+agree.
 
 Defined results: null text has size 0; null source is a source, last in order;
-repeated rows are separate documents with equal ranks; an empty table gives no
-rows; a source without words has target 0 and takes nothing.
+repeated rows are separate documents with equal ranks; documents without words
+get whole copies only; an empty table gives no rows; a source without words has target 0 and takes nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from chronolith.llm.common import written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKETS = 4096
+#: Bins of size an octave, for the inclusion probabilities.
+BINS = 16
 
 
 def word_count(text: Column | str) -> Column:
@@ -58,48 +63,57 @@ def sizes(docs: DataFrame, seed: int, *carry: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count("text").alias("size"), uniform(seed, "doc_id", "text", "source").alias("u"), *carry)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Columns: doc_id, size, source_size, target, taken (words), copies, and ``carry``.
+def _rates(rows: DataFrame, aims: DataFrame) -> DataFrame:
+    """source, rate: with pi = min(1, rate * size), the words expected from a source's sample are the words owed.
 
-    The cut within the boundary bucket is where the words taken come nearest to the words owed; one
-    document a source is then added or dropped where that brings them nearer.
+    For any set of sizes taken as certain, owed = words of those + rate * squares of the rest bounds the
+    rate from below, and the right set reaches it; so the rate is the largest over all cuts of sizes.
+    Sizes are binned by ``BINS`` an octave, so a source has a few hundred bins whatever its rows.
     """
+    some = rows.where("size > 0").select("source", F.floor(F.log2("size") * BINS).cast("int").alias("bin"), "size")
+    bins = some.groupBy("source", "bin").agg(F.sum("size").cast("double").alias("s"), F.sum(F.col("size").cast("double") * F.col("size")).alias("s2"))
+    up = Window.partitionBy("source").orderBy("bin")
+    larger = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    cuts = bins.select("source", larger.alias("certain"), F.sum("s2").over(up).alias("rest"))
+    held = cuts.alias("b").join(aims.alias("a"), F.expr("b.source <=> a.source")).select("b.*", "part")
+    return held.groupBy("source").agg(F.max((F.col("part") - F.col("certain")) / F.col("rest")).alias("rate"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns: doc_id, size, source_size, target, taken (words), copies, pi (of the copy beyond the whole ones), and ``carry``."""
     rows = written(sizes(docs, seed, *carry), "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    aims = aims.withColumn("owed", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    aims = aims.withColumn("whole", F.floor("owed").cast("long"))
+    owed = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # Never beyond most copies, whatever the rounding of the quotient.
-    aims = aims.withColumn("whole", F.least("whole", F.lit(most).cast("long"))).withColumn("part", F.when(F.col("whole") >= most, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
-    aims = aims.withColumn("pi", F.when(F.col("source_size") > 0, F.col("part") / F.col("source_size")).otherwise(0.0))
-    aims = written(aims.select("source", "source_size", "target", "whole", "part", "pi"), "mix-targets")
-
-    bucketed = rows.withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("int"))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    aims = aims.withColumn("whole", F.least(F.floor(owed).cast("long"), F.lit(most).cast("long")))
+    aims = aims.withColumn("part", F.when(F.col("whole") >= most, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
+    aims = written(aims.select("source", "source_size", "target", "whole", "part"), "mix-targets")
+    aims = aims.alias("a").join(_rates(rows, aims).alias("r"), F.expr("a.source <=> r.source"), "left").select("a.*", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    aims = written(aims, "mix-rates")
+    few = _few(aims)
+
+    def by_source(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+        right = F.broadcast(right) if few else right
+        return left.alias("d").join(right.alias("c"), F.expr("d.source <=> c.source")).select("d.*", *[F.col(f"c.{x}") for x in columns])
+
+    drawn = by_source(rows, aims, "source_size", "target", "whole", "part", "rate").withColumn("pi", F.least(F.lit(1.0), F.col("rate") * F.col("size")))
+    # The Pareto rank is odds(u) / odds(pi); v = rank / (1 + rank) orders alike and lies in [0, 1]. Certain rows come first.
+    odds = F.col("u") * (1 - F.col("pi"))
+    drawn = drawn.withColumn("v", odds / (odds + (1 - F.col("u")) * F.col("pi"))).withColumn("bucket", F.least(F.floor(F.col("v") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    sums = drawn.groupBy("source", "part", "bucket").agg(F.sum("size").alias("bucket_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.select("source", "bucket", "bucket_size", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)).alias("base"))
-    aim = aims.alias("a")
-    cut = cut.alias("c").join(aim, F.expr("c.source <=> a.source")).select("c.*", "source_size", "target", "whole", "part", "pi")
+    cut = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)))
     # The cut lies in the last bucket that starts below the words owed: earlier ones are taken whole, later ones not at all.
-    cut = cut.groupBy("source", "source_size", "target", "whole", "part", "pi").agg(F.max(F.when(F.col("base") < F.col("part"), F.struct("bucket", "base"))).alias("cut"))
-    cut = written(cut.select("source", "source_size", "target", "whole", "part", "pi", F.coalesce("cut.bucket", F.lit(-1)).alias("at"), F.coalesce("cut.base", F.lit(0)).alias("base")), "mix-cuts")
-
-    plain = bucketed.alias("d").join(F.broadcast(cut).alias("c") if _few(cut) else cut.alias("c"), F.expr("d.source <=> c.source")).select("d.*", *[F.col(f"c.{x}") for x in ("source_size", "target", "whole", "part", "pi", "at", "base")])
-    plain = plain.withColumn("rank", (F.col("u") / (1 - F.col("u"))) / F.when(F.col("pi").between(1e-300, 1 - 1e-12), F.col("pi") / (1 - F.col("pi"))).otherwise(1.0))
-    order = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    split = plain.where("bucket = at").withColumn("upto", F.col("base") + F.sum("size").over(order))
+    cut = cut.groupBy("source").agg(F.max(F.when(F.col("base") < F.col("part"), F.struct("bucket", "base"))).alias("cut"))
+    cut = written(cut.select("source", F.coalesce("cut.bucket", F.lit(-1)).alias("at"), F.coalesce("cut.base", F.lit(0)).alias("base")), "mix-cuts")
+    drawn = by_source(drawn, cut, "at", "base")
+    order = Window.partitionBy("source", "bucket").orderBy("v", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = drawn.where("bucket = at").withColumn("upto", F.col("base") + F.sum("size").over(order))
     # Taken if the words after this row come nearer to the words owed than those before it.
     split = split.withColumn("more", (F.col("upto") + (F.col("upto") - F.col("size")) <= 2 * F.col("part")).cast("long")).drop("upto")
-    rest = plain.where("bucket <> at").withColumn("more", (F.col("bucket") < F.col("at")).cast("long"))
-    first = rest.unionByName(split)
-    # What one document can mend: the gap left in a source is closed by the document that fits it best, added or dropped.
-    gaps = first.groupBy("source").agg((F.first("part") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-    gaps = F.broadcast(gaps) if _few(cut) else gaps
-    fit = first.select("row", "source", "size", "more", "u").alias("d").join(gaps.alias("g"), F.expr("d.source <=> g.source")).select("d.*", "gap")
-    fit = fit.where("(more = 0) = (gap > 0) and abs(abs(gap) - size) < abs(gap)").groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")), "u", "row")).alias("best"))
-    fit = written(fit.select(F.col("best.row").alias("row")), "mix-fit")
-    mended = first.join(F.broadcast(fit.withColumn("flip", F.lit(1))) if _few(cut) else fit.withColumn("flip", F.lit(1)), "row", "left")
-    out = mended.withColumn("more", F.when(F.col("flip").isNotNull(), 1 - F.col("more")).otherwise(F.col("more"))).withColumn("copies", F.col("whole") + F.col("more"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry)
+    rest = drawn.where("bucket <> at").withColumn("more", (F.col("bucket") < F.col("at")).cast("long"))
+    out = rest.unionByName(split).withColumn("copies", F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "pi", *carry)
 
 
 def _few(cut: DataFrame, most: int = 200_000) -> bool:
