@@ -42,7 +42,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("copies")
+    return mixing.mix(documents(spark, sf_dir)).drop("copies", "pi")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +89,12 @@ p AS (SELECT row, k, w[k:k + 2] AS tri FROM (SELECT row, w, unnest(range(1, len(
 a AS (SELECT row, count(DISTINCT i) AS n FROM (SELECT row, unnest([k, k + 1, k + 2]) AS i FROM p QUALIFY count(*) OVER (PARTITION BY row, tri) > 1) GROUP BY 1),
 l AS (SELECT row, host, text, line FROM (SELECT row, host, text, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_WORD}')),
 d AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
-n AS (SELECT row, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_SPACE}+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '{_WORD}')) AS words FROM l),
-o AS (SELECT host, norm FROM n JOIN (SELECT host, count(DISTINCT text) AS al FROM t GROUP BY 1) h USING (host) GROUP BY host, norm, al HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) > 0.05 * al),
+n AS (SELECT row, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_SPACE}+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '{_WORD}')) AS words FROM l),
+o AS (SELECT host, norm FROM n GROUP BY host, norm HAVING count(DISTINCT row) > 10),
 g AS (SELECT row, sum(words) AS n FROM n JOIN o USING (host, norm) GROUP BY 1),
 x AS (SELECT t.doc_id, len(t.w)::BIGINT AS n_words, length(regexp_replace(t.text, '{_SPACE}', '', 'g'))::BIGINT AS word_chars, (length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_removed
   FROM t LEFT JOIN a USING (row) LEFT JOIN d USING (row) LEFT JOIN g USING (row))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed >= 0.2 * n_words AS kept FROM x"""
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed >= 0.5 * n_words AS kept FROM x"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,12 @@
 
 Base figures come from the words and lines of one text. For the verdict, lines
 are normalised (lower case, digits to 0, white space squeezed) and hashed, and the
-distinct texts of each host that hold a line are counted; a document's host is
-its ``source``. Lines in more than ``max(LINE_TEXTS, LINE_SHARE * texts of the
-host)`` are removed, and a document left with less than ``LEAST_LEFT`` of its
-words is rejected. Copies of one text count once, so being copied is no fault here.
+documents of each host that hold a line are counted, each once; a document's host
+is its ``source`` and every row is a document. Lines in more than ``LINE_DOCS``
+documents of their host are removed: a number, so that a limit neither grows with
+a large host nor vanishes in a small one. A document that keeps less than
+``LEAST_LEFT`` of its words, one made mostly of such lines, is depleted and
+rejected; so are all members of a group of more copies than the limit.
 
 Repeated three-word windows are found inside the row: window hashes are sorted
 with their positions, equal neighbours give the repeated windows, and the words
@@ -26,10 +28,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
 #: Percent of words inside repeated windows beyond which a text fails.
 MOST_REPEATED = 50
-#: A line is boilerplate in more distinct texts of its host than this number and this share of them.
-LINE_TEXTS = 50
-LINE_SHARE = 0.05
-LEAST_LEFT = 0.2
+#: A line in more documents of its host than this is removed.
+LINE_DOCS = 10
+#: Share of its words that a document must keep.
+LEAST_LEFT = 0.5
 
 
 def bound(value: Column, use) -> Column:
@@ -59,7 +61,7 @@ def _words(text: Column) -> Column:
 
 
 def base_figures(docs: DataFrame) -> DataFrame:
-    """A row per document with its base figures and its distinct normalised lines (hash, words)."""
+    """A row per document with its base figures and its normalised lines (hash, words)."""
     text = F.coalesce("text", F.lit(""))
     held = docs.select("doc_id", "source", text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -74,7 +76,6 @@ def base_figures(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("host"),
-        F.xxhash64("text").alias("text_hash"),
         F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -84,13 +85,13 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def judged(docs: DataFrame, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, and the words removed with frequent lines."""
     base = written(base_figures(docs), "rules-base")
-    per_host = base.groupBy("host").agg(F.countDistinct("text_hash").alias("texts"))
-    lines = base.select("row", "host", "text_hash", F.explode("lines").alias("l")).select("row", "host", "text_hash", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
-    often = lines.groupBy("host", "h").agg(F.countDistinct("text_hash").alias("texts")).where(F.col("texts") > line_texts)
-    often = often.join(per_host.withColumnRenamed("texts", "all"), "host").where(F.col("texts") > F.lit(line_share) * F.col("all")).select("host", "h")
+    # A document counts once for a line; counts combine before the shuffle, so a line in very many documents is a row a task.
+    held = base.select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
+    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > line_docs).select("host", "h")
+    lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("w").cast("long").alias("n_removed"))
     gone = F.coalesce("n_removed", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
