@@ -1,10 +1,14 @@
 """MinHash near-dedup: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Texts become weighted sets of five-word shingles, weight = times in the text x
-idf. Document frequencies cover the whole corpus in a count-min sketch of fixed
-size (``WIDTH`` x 2 counters, the same few MB for any corpus), which is what
-lets every task hold it. Improved consistent weighted sampling draws ``BANDS *
-ROWS`` samples a text; texts that agree on all samples of a band share a bucket.
+idf. Document frequencies cover the whole corpus and are exact where they matter:
+the idf is ``1 + STRENGTH * ln(N / df) / ln(1 / SHARE)``, where a frequency under
+``SHARE`` of all texts counts as that. So the frequent shingles alone are to be
+known, their number has a bound whatever the corpus (``frequencies``), and two
+texts weigh the same in a corpus of any size of equal make. A large group of
+copies does not lose its members for being large. Improved consistent weighted
+sampling draws ``BANDS * ROWS`` samples a text; texts that agree on all samples of
+a band share a bucket.
 
 Copies (equal word sequences) are one node. Buckets up to ``SMALL`` nodes give
 their pairs. A larger bucket gives its *pivot*, the node whose buckets are
@@ -15,9 +19,6 @@ dropped and no group is expanded into rows of pairs. Every candidate is verified
 by the weighted Jaccard similarity of the whole texts; links at or above the
 threshold are joined to classes by alternating stars on distributed edges.
 
-The idf is ``1 + STRENGTH * ln(N / df) / ln(1 + N)``: common shingles weigh less,
-but a large group of copies does not lose its members for being large.
-
 Defined results: texts without words form no class with others; texts under five
 words are one shingle; rows with a null id keep class null; repeated rows share
 a class; the class id is the smallest id of the class.
@@ -40,7 +41,11 @@ from chronolith.llm.common import chunks, texts, tune, written
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
+#: Counters in a row of the sketch that tells which shingles can be frequent.
 WIDTH = 1 << 19
+#: Shingles in less than this share of all texts weigh alike, the most.
+SHARE = 0.002
+#: A shingle of no text but one weighs 1 + STRENGTH, one of all texts 1.
 STRENGTH = 0.5
 #: Buckets up to this size give all their pairs.
 SMALL = 8
@@ -53,15 +58,21 @@ _TABLE = 1 << 16  # entries of a sample's table of random triples
 
 
 @dataclass
-class Sketch:
-    """Document frequencies of shingles, overestimated by chance collisions only."""
+class Weights:
+    """Exact document frequencies of the frequent shingles; any other counts as if in ``share`` of all texts."""
 
-    counts: np.ndarray  # (2, WIDTH)
+    shingle: np.ndarray  # sorted
+    df: np.ndarray
     texts: int
+    share: float
 
     def idf(self, h: np.ndarray) -> np.ndarray:
-        df = np.minimum(self.counts[0][_slot(h, 0)], self.counts[1][_slot(h, 1)]).clip(1, max(self.texts, 1))
-        return 1 + STRENGTH * np.log(max(self.texts, 1) / df) / np.log(1 + max(self.texts, 1))
+        least = max(self.share * self.texts, 1.0)
+        df = np.full(len(h), least)
+        if len(self.shingle):
+            at = np.minimum(np.searchsorted(self.shingle, h), len(self.shingle) - 1)
+            df = np.where(self.shingle[at] == h, np.maximum(self.df[at], least), df)
+        return 1 + STRENGTH * np.log(max(self.texts, 1) / df) / -np.log(self.share)
 
 
 def _slot(h: np.ndarray, k: int) -> np.ndarray:
@@ -89,22 +100,23 @@ def shingles(w: W.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[begin], value[begin], np.diff(np.append(begin, len(value)))
 
 
-def sketch(docs: DataFrame) -> Sketch:
-    """Count in how many texts each shingle occurs, over all texts."""
+def _sketch(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Counters (2, WIDTH) of how many texts hold the shingles of each slot, the number of texts and that of their distinct shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, n = np.zeros((2, WIDTH), np.int32), 0
+        total, n, held = np.zeros((2, WIDTH), np.int32), 0, 0
         for part in chunks(batches):
             w = W.split(texts(part.column("text")))
             _, h, _ = shingles(w)
             n += int((w.counts > 0).sum())
+            held += len(h)
             for k in range(2):
                 total[k] += np.bincount(_slot(h, k), minlength=WIDTH).astype(np.int32)
         slot = TaskContext.get().partitionId() % 64
         parts = total.astype(np.int64).reshape(-1, _PART)
-        yield pa.RecordBatch.from_arrays([pa.array([slot] * (len(parts) + 1), pa.int32()), pa.array(np.arange(-1, len(parts)), pa.int32()), pa.array([np.array([n]).tobytes(), *[p.tobytes() for p in parts]])], names=["slot", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([slot] * (len(parts) + 1), pa.int32()), pa.array(np.arange(-1, len(parts)), pa.int32()), pa.array([np.array([n, held]).tobytes(), *[p.tobytes() for p in parts]])], names=["slot", "part", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
@@ -117,8 +129,35 @@ def sketch(docs: DataFrame) -> Sketch:
         found = found.groupBy(*keys).applyInPandas(add, schema)
     got = {r.part: np.frombuffer(r.counts, np.int64) for r in found.collect()}  # 2 * WIDTH counters, whatever the corpus
     if not got:
-        return Sketch(np.zeros((2, WIDTH), np.int64), 0)
-    return Sketch(np.concatenate([got[i] for i in range(2 * WIDTH // _PART)]).reshape(2, WIDTH), int(got[-1][0]))
+        return np.zeros((2, WIDTH), np.int64), 0, 0
+    return np.concatenate([got[i] for i in range(2 * WIDTH // _PART)]).reshape(2, WIDTH), int(got[-1][0]), int(got[-1][1])
+
+
+def frequencies(docs: DataFrame) -> Weights:
+    """Exact document frequencies of every shingle in at least ``share`` of all texts.
+
+    A slot's counter never falls below the frequency of a shingle in it, so the sketch leaves out only
+    shingles below the share; those that pass are counted exactly in a second pass. ``share`` is ``SHARE``,
+    or more where texts are so long that the mean counter would come near it, so at most WIDTH / 4 shingles
+    can reach it: the table broadcast has a bound, and weights do not change with the size of the corpus.
+    """
+    counters, n, held = _sketch(docs)
+    share = min(max(SHARE, 4 * held / max(n, 1) / WIDTH), 0.5)
+    context = docs.sparkSession.sparkContext
+    often = context.broadcast((counters >= max(share * n, 2)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            _, h, _ = shingles(W.split(texts(part.column("text"))))
+            hot = often.value
+            h, times = np.unique(h[hot[0][_slot(h, 0)] & hot[1][_slot(h, 1)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(share * n, 2))
+    got = counted.toPandas()  # at most WIDTH / 4 rows
+    shingle, df = got["h"].to_numpy(np.int64).view(W.U), got["n"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    return Weights(shingle[order], df[order], n, share)
 
 
 _RANDOM: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -316,7 +355,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id for every row."""
     tune(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+    model = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
     signed = written(signatures(docs, model), "near-signatures")
     nodes = signed.where("doc_id is not null and size(bands) > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = written(nodes, "near-nodes")

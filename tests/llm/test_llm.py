@@ -479,10 +479,10 @@ def plain_classes(spark, rows, threshold=near.THRESHOLD):
     texts = [(i, t or "") for i, t in rows if i is not None]
     w = W.split(pa.array([t for _, t in texts]))
     doc, h, times = near.shingles(w)
-    counts = np.zeros((2, near.WIDTH), np.int64)
-    for k in range(2):
-        np.add.at(counts[k], near._slot(h, k), 1)
-    weight = times * near.Sketch(counts, int((w.counts > 0).sum())).idf(h)
+    n = int((w.counts > 0).sum())
+    share = min(max(near.SHARE, 4 * len(h) / max(n, 1) / near.WIDTH), 0.5)
+    df = collections.Counter(h.tolist())
+    weight = times * np.array([1 + near.STRENGTH * math.log(n / max(df[x], share * n, 1)) / -math.log(share) for x in h.tolist()])
     sets = [dict(zip(h[doc == k].tolist(), weight[doc == k].tolist())) for k in range(len(texts))]
     root = list(range(len(texts)))
 
@@ -525,6 +525,25 @@ def test_near_classes_equal_all_pairs(spark, docs):
     assert all(want[i] == want[got[i]] for i in got)
 
 
+def test_frequencies_are_exact(spark, docs):
+    """Every shingle in at least the share of all texts is counted, and exactly; weights are those of the share for the rest."""
+    df = docs.select("text").unionByName(spark.createDataFrame([("common words stand in many texts " + " ".join(f"{i}w{k}" for k in range(40)),) for i in range(1500)], "text string"))
+    w = W.split(__import__("pyarrow").array([r.text or "" for r in df.collect()]))
+    doc, h, _ = near.shingles(w)
+    want, n = collections.Counter(h.tolist()), int((w.counts > 0).sum())
+    got = near.frequencies(df)
+    assert got.texts == n and dict(zip(got.shingle.tolist(), got.df.tolist())) == {x: c for x, c in want.items() if c >= max(got.share * n, 2)}
+    assert max(got.df) == 1500 and np.isclose(got.idf(np.array([123], W.U))[0], 1 + near.STRENGTH)
+
+
+def test_near_clashing_and_long(spark):
+    g, v = random.Random(16), vocabulary()
+    long = " ".join(g.choice(v) for _ in range(20_000))
+    df = clashing(spark.createDataFrame([(5, long), (6, long + " end"), (7, "x " * 30_000)], "doc_id long, text string")).withColumn("class_id", F.lit(9)).withColumn("c1", F.lit(1))
+    assert {r.doc_id: r.class_id for r in near.classes(df).collect()} == {5: 5, 6: 5, 7: 7}
+    assert near.representatives(df).columns == df.columns
+
+
 def test_near_edges(spark, none):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "a b"), (6, "a b"), (None, "a b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
