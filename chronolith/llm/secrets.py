@@ -2,17 +2,19 @@
 
 The base patterns give keyed assignments, access keys and long hex runs. Linking
 looks at weaker parts: a *name* of an account (``user``, ``client_id``,
-``login`` ... = value), an *opaque* string that by itself proves nothing (mixed
-letters and digits, high entropy, no key word), and an *endpoint* (URL or host
-with port). Parts are points of an interval join: each opaque string's scope,
-``SCOPE`` characters either way and within one blank-line block, is joined by
-position to names or access keys and to endpoints. Only where both complements
-lie in its scope is the opaque string reported, as ``weak``.
+``login`` ... = value, or an access key), an *opaque* string that by itself proves
+nothing (letters and digits of high entropy, of any length, no key word), and an
+*endpoint* (URL, or host with port). Parts are intervals: each opaque string's
+scope, ``SCOPE`` characters either way, is joined to the nearest name and the
+nearest endpoint. Only where both complements lie in its scope is the opaque
+string reported, as ``weak``. Strings that overlap a base span, or are part of a
+name or an endpoint themselves, are none.
 
-The join is a search of sorted positions, so it is n log n for any text.
+The join is a search of sorted intervals and every pattern reads a text once, so
+it is n log n for any text, however long a run of one kind of character is.
 
 Defined results: null counts as empty; an empty text has no span; repeated rows
-each give a row; extra columns are ignored by the scan and kept by the masking.
+each give a row; a text is scanned as a whole, whatever its length; extra columns are ignored by the scan and kept by the masking.
 """
 
 from __future__ import annotations
@@ -35,12 +37,15 @@ _KEYWORD = re.compile(r"pass(?:word|wd)|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAME = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""", re.I | re.A)
-_ENDPOINT = re.compile(r"\b(?:[a-z][a-z0-9+.-]*://[^\s\"'<>]+|(?:host|server|endpoint|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d+)?)", re.I | re.A)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_ADDRESS = re.compile(r"://[^\s\"'<>]+")
+_HOST = re.compile(r"\b(?:host(?:name)?|server|endpoint|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d+)?", re.I | re.A)
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 #: Characters either way in which the parts of one credential are linked.
 SCOPE = 400
-#: Bits per character from which a string with upper case, lower case and digits counts as opaque.
+#: Bits per character from which a string counts as opaque, and the share of digits it needs if it lacks upper or lower case.
 ENTROPY = 3.5
+DIGITS = 0.15
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,32 +63,60 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def _near(points: list[int], low: int, high: int) -> bool:
-    i = bisect.bisect_left(points, low)
-    return i < len(points) and points[i] < high
+def _endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of endpoints. A scheme is read backwards from its ://, up to the end of the one before."""
+    out = []
+    for m in _ADDRESS.finditer(text) if "://" in text else ():
+        a = m.start()
+        while a and text[a - 1] in _SCHEME:
+            a -= 1
+        if a < m.start():
+            out.append((a, m.end()))
+    return sorted(out + [m.span() for m in _HOST.finditer(text)])
+
+
+def _opaque(s: str) -> bool:
+    """Whether a string looks random."""
+    digits = sum(c.isdigit() for c in s)
+    lower, upper = any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s)
+    if not digits or not (lower or upper) or not (lower and upper) and digits < DIGITS * len(s):
+        return False
+    return _entropy(s) >= ENTROPY
+
+
+class _Spans:
+    """Sorted disjoint spans: overlaps and distances by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for a, b in sorted(spans):
+            if self.end and a <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def meet(self, a: int, b: int) -> bool:
+        """Whether any span has a character in [a, b)."""
+        i = bisect.bisect_right(self.end, a)
+        return i < len(self.start) and self.start[i] < b
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """Weak candidates whose scope holds both an identifier and an endpoint."""
-    ends = [m.start() for m in _ENDPOINT.finditer(text)] if "://" in text or "host" in text.lower() or "server" in text.lower() or "endpoint" in text.lower() or "url" in text.lower() else []
+    ends = _endpoints(text)
     if not ends:
         return []
-    names = sorted([m.start() for m in _NAME.finditer(text)] + [a for a, _, k in base if k == "access"])
+    names = [m.span() for m in _NAME.finditer(text)] + [(a, b) for a, b, k in base if k == "access"]
     if not names:
         return []
-    blocks = [0, *[m.end() for m in re.finditer(r"\n[ \t]*\n", text)], len(text) + 1]
-    taken = sorted(base)
+    taken = _Spans([(a, b) for a, b, _ in base] + names + ends)
+    names, ends = _Spans(names), _Spans(ends)
     out = []
     for m in _OPAQUE.finditer(text):
-        s, (a, b) = m[0], m.span()
-        if not (re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s)) or _entropy(s) < ENTROPY:
-            continue
-        i = bisect.bisect_left(taken, (b,))
-        if i and taken[i - 1][1] > a or any(p[0] < b and p[1] > a for p in taken[max(0, i - 3) : i]):
-            continue
-        k = bisect.bisect_right(blocks, a)
-        low, high = max(blocks[k - 1], a - scope), min(blocks[k], b + scope)
-        if _near(names, low, high) and _near(ends, low, high):
+        a, b = m.span()
+        if not taken.meet(a, b) and names.meet(a - scope, b + scope) and ends.meet(a - scope, b + scope) and _opaque(m[0]):
             out.append((a, b, "weak"))
     return out
 
