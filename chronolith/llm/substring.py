@@ -1,26 +1,31 @@
-"""Substring dedup by relative parsing of every document against the indexed corpus.
-
-The corpus is its own reference. Its index is cut into blocks by content: each
-window of ``length`` words is anchored by the smallest hash among its ``GRAM``-word
-pieces, so equal windows have equal anchors wherever they stand, and an anchor's
-hash names the block (a shuffle partition) that indexes it. A document's windows
-fall into *phrases*, runs of consecutive windows with one anchor, about twenty
-windows each. Parsing looks every phrase up in its block, so each document meets
-every block that could hold a match and none that could not:
-
-1. greedy step: a phrase that stands as a whole in a document of smaller id is a
-   factor, all of its windows are duplicates. Copies stop here.
-2. factor boundaries: where an anchor occurs with different phrases, the phrase's
-   first holder and later different phrases are compared window by window, by
-   128-bit hashes, once per distinct phrase rather than per document.
-
-Neighbouring factors join to spans; words under a span are removed. Blocks hold
-hashes and positions only, and every aggregation combines before its shuffle,
-so a passage shared by very many documents adds rows linearly.
+"""Substring dedup by relative Lempel-Ziv parsing of every document against the indexed corpus.
+
+The corpus is its own reference, cut into blocks by content: each window of
+``length`` words is anchored by the smallest hash among its ``GRAM``-word pieces,
+so equal windows have equal anchors wherever they stand, and the anchor names the
+block that indexes it. A document's windows fall into *phrases*, runs of
+consecutive windows with one anchor, about twenty windows each. So a document
+meets every block that can hold a factor of ``length`` words, and no other.
+
+1. *Copies.* A phrase that stands as a whole in a document of smaller id (by a
+   128-bit hash of anchor and words) is a factor as it is. Most repeats stop here.
+2. *Parsing.* Where a block holds different phrases, their words meet in it in order
+   of id. The block's windows of smaller ids are its index; from a place whose
+   window is indexed, a factor is extended greedily, word by word, against the
+   indexed place until the words differ or one of the texts ends. Factors of
+   ``length`` words and more are duplicate spans.
+3. *Boundaries.* Parsing goes on with the first window that reaches over a factor's
+   end, so no match that straddles two factors is lost.
+
+A block with more than ``BLOCK`` different phrases is cut finer: each of its windows
+goes to the block of that window's own hash. Blocks are parsed as a stream, which
+keeps only texts that added to the index. Neighbouring factors join to spans;
+words under a span are removed.
 
 Defined results: null text has no words; a null id neither gives nor loses
-words; rows with equal ids don't remove from each other; repeated rows each get
-a row with the same result; texts under ``length`` words stay whole.
+words; rows with equal ids don't remove from each other, whatever their texts;
+repeated rows each get a row with the same result; texts under ``length`` words
+stay whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ from chronolith.llm.common import chunks, texts, tune, written
 
 LENGTH = 50
 GRAM = 8
+#: Different phrases up to which an anchor is one block.
+BLOCK = 8192
 
 
 def _phrases(w: W.Words, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -95,43 +102,130 @@ def phrases(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return keyed(docs).where("doc_id is not null").mapInArrow(run, "anchor long, phrase long, doc_id long, key long, start int, n int, again array<int>")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+_SEGMENT = "block long, doc_id long, key long, start int, again array<int>, words string"
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The words of each phrase asked for; the windows one by one where the anchor has more than ``most`` phrases."""
+    for part in chunks(batches):
+        w = W.split(texts(part.column("text")))
+        body, start, end = w.data.tobytes(), w.start, w.end
+        names = W.windows(w.hashes(), length, 31).view(np.int64)
+        ids, keys = part.column("doc_id").to_pylist(), part.column("key").to_pylist()
+        out: list[tuple] = []
+        size = 0
+        for i, asked in enumerate(part.column("asked").to_pylist()):
+            first = int(w.first[i])
+            for x in asked:
+                pieces = [(x["anchor"], 0, x["n"])] if x["kinds"] <= most else [(int(names[first + x["start"] + k]), k, 1) for k in range(x["n"])]
+                for block, k, n in pieces:
+                    at = first + x["start"] + k
+                    last = at + n + length - 2
+                    # Words as they stand, joined by one space.
+                    words = b" ".join([body[a:b] for a, b in zip(start[at : last + 1].tolist(), end[at : last + 1].tolist())])
+                    out.append((block, ids[i], keys[i], x["start"] + k, [y + k for y in x["again"]], words.decode("utf-8")))
+                    size += len(words)
+                if size > 2_000_000:
+                    yield _rows(out)
+                    out, size = [], 0
+        yield _rows(out)
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "doc_id": pa.int64(), "key": pa.int64(), "start": pa.int32(), "again": pa.list_(pa.int32()), "words": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+def _common(w: W.Words, i: int, r: int, a: int, b: int) -> int:
+    """Number of equal words from word i of text a and word r of text b on."""
+    x = w.data[w.start[i] : w.text[a + 1]]
+    y = w.data[w.start[r] : w.text[b + 1]]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    same = int(differ[0]) if len(differ) else n
+    # Words of x that end within the equal bytes; one that ends with them must end in y as well.
+    k = int(np.searchsorted(w.end, w.start[i] + same, side="right")) - i
+    if k > 0 and int(w.end[i + k - 1] - w.start[i]) == same and same < len(y) and y[same] != 0x20:
+        k -= 1
+    return min(k, int(w.first[a + 1]) - i)
+
+
+def factors(words: pa.Array, block: np.ndarray, doc: np.ndarray, length: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Factors (text, first window, windows) of texts sorted by block and id, and which texts add to the index."""
+    w = W.split(words)
+    at = W.valid_windows(w.first, length)
+    text = np.searchsorted(w.first, at, side="right") - 1
+    name = W.mix(W.windows(w.hashes(), length, 31)[at] + W.mix(block[text].view(W.U), 33), 34)
+    order = np.lexsort((at, name))  # texts stand in order of id, so the first place of a window has the smallest id
+    new = np.append(True, name[order][1:] != name[order][:-1]) if len(order) else np.zeros(0, bool)
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    known = np.flatnonzero(doc[text] > doc[text[first]])
+    adds = np.zeros(len(words), bool)
+    adds[text[np.setdiff1d(np.arange(len(at)), known, assume_unique=True)]] = True
+    out, places, owner, refs = [], at[known], text[known], first[known]
+    j = 0
+    while j < len(known):
+        i, a = int(places[j]), int(owner[j])
+        n = _common(w, i, int(at[refs[j]]), a, int(text[refs[j]]))
+        if n < length:  # equal hashes of different words
+            adds[a] = True
+            j += 1
+            continue
+        out.append((a, i - int(w.first[a]), n - length + 1))
+        j = int(np.searchsorted(places, i + n - length + 1))
+    return out, adds
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Parse blocks as they come, sorted by block and id; a block that goes on keeps the texts of its index."""
+    held: list[pa.Table] = []
+    old = size = 0  # rows that are parsed already and serve as index, bytes held
+
+    def parse(table: pa.Table, old: int) -> tuple[pa.RecordBatch, np.ndarray]:
+        table = table.combine_chunks()
+        block, doc, key, start = (table.column(c).to_numpy() for c in ("block", "doc_id", "key", "start"))
+        found, adds = factors(table.column("words").combine_chunks() if isinstance(table.column("words"), pa.ChunkedArray) else table.column("words"), block, doc, length)
+        rows: list[tuple[int, int, int, int]] = []
+        again = table.column("again")
+        for t, k, n in found:
+            if t >= old:
+                rows += [(int(doc[t]), int(key[t]), s + k, n) for s in [int(start[t]), *(again[t].as_py() or ())]]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "key", "start", "n"]), adds
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.nbytes
+        if size >= 4_000_000:
+            table = pa.concat_tables(held)
+            out, adds = parse(table, old)
+            yield out
+            block = table.column("block").to_numpy()
+            keep = table.filter(pa.array(adds & (block == block[-1])))
+            held, old, size = [keep], keep.num_rows, 0
+    if held:
+        yield parse(pa.concat_tables(held), old)[0]
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = BLOCK) -> DataFrame:
     """doc_id, key -> spans, an array of (start, n): windows start .. start + n - 1 are duplicates of a smaller id."""
     tune(docs.sparkSession)
     rows = written(phrases(docs, length, gram), "substring-phrases")
-    # One entry per distinct phrase: its smallest id, and where it stands there.
-    index = rows.groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "key", "start", "n", "again")).alias("f"), F.max("doc_id").alias("last"))
-    index = written(index.select("anchor", "phrase", "f.doc_id", "f.key", "f.start", "f.n", "f.again", "last"), "substring-index")
-    places = F.explode(F.concat(F.array("start"), "again")).alias("start")
-    # Greedy step: whole phrases. Only phrases with a later holder can match.
-    repeated = index.where("last > doc_id").select("anchor", "phrase", F.col("doc_id").alias("first"))
-    whole = rows.join(repeated, ["anchor", "phrase"]).where("doc_id > first").select("doc_id", "key", places, "n")
-    # Boundaries: anchors with several phrases, of which the later ones may share windows with earlier ones.
-    mixed = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("kinds > 1 and high > low").select("anchor")
-    asked = index.join(mixed, "anchor").select("doc_id", "key", places, "n")
-    asked = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            w = W.split(texts(part.column("text")))
-            h = w.hashes()
-            one, two = W.windows(h, length, 31), W.windows(h, length, 32)
-            doc, at = [], []
-            for i, want in enumerate(part.column("asked").to_pylist()):
-                limit = int(w.counts[i]) - length
-                got = np.unique(np.concatenate([np.arange(x["start"], min(x["start"] + x["n"], limit + 1)) for x in want])) if limit >= 0 else np.zeros(0, np.int64)
-                at.append(got + w.first[i])
-                doc.append(np.full(len(got), i))
-            doc, at = np.concatenate(doc).astype(np.int64), np.concatenate(at).astype(np.int64)
-            for a in range(0, max(len(at), 1), 100_000):
-                d, p = doc[a : a + 100_000], at[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([_signed(one[p]), _signed(two[p]), *(part.column(c).cast(pa.int64()).take(pa.array(d)) for c in ("doc_id", "key")), pa.array((p - w.first[d]).astype(np.int32))], names=["one", "two", "doc_id", "key", "start"])
-
-    held = keyed(docs).join(asked, ["doc_id", "key"]).mapInArrow(windows, "one long, two long, doc_id long, key long, start int")
-    held = written(held, "substring-windows")
-    seen = held.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
-    split = held.join(seen, ["one", "two"]).where("doc_id > first").select("doc_id", "key", "start", F.lit(1).alias("n"))
-    return whole.unionByName(split).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # One entry per distinct phrase with its smallest id, and the number of phrases of its anchor.
+    index = written(rows.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), "substring-index")
+    mixed = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("low"), F.max("least").alias("high")).where("kinds > 1 and high > low").select("anchor", "kinds")
+    known = index.join(mixed, "anchor", "left").where("last > least or kinds is not null").select("anchor", "phrase", "least", F.coalesce("kinds", F.lit(0)).alias("kinds"))
+    met = written(rows.join(known, ["anchor", "phrase"]).where("doc_id > least or kinds > 0"), "substring-met")
+    copies = met.where("doc_id > least").select("doc_id", "key", F.explode(F.concat(F.array("start"), "again")).alias("start"), "n")
+    # Smallest ids of a phrase, of which there may be several rows, may share windows with other phrases of the block.
+    asked = met.where("doc_id = least").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "kinds", "start", "n", "again")).alias("asked"))
+    segments = keyed(docs).join(asked, ["doc_id", "key"]).mapInArrow(lambda b: _segments(b, length, most), _SEGMENT)
+    dealt = segments.repartition("block").sortWithinPartitions("block", "doc_id")
+    parsed = dealt.mapInArrow(lambda b: _parsed(b, length), "doc_id long, key long, start int, n int")
+    return copies.unionByName(parsed).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _kept(count: int, found: list, length: int) -> np.ndarray:

@@ -208,6 +208,45 @@ def test_substring_dedup_equals_plain(spark, docs):
     assert collections.Counter(tuple(r) for r in got) == plain_dedup(rows)
 
 
+@pytest.mark.parametrize("most", [8192, 2])
+def test_substring_dedup_at_factor_boundaries(spark, most):
+    """Texts pieced together from passages of 10 to 120 words: matches of 50 words straddle factors, ids repeat with other texts."""
+    g, v = random.Random(13), vocabulary()
+    base = [[g.choice(v) for _ in range(g.randint(80, 200))] for _ in range(8)]
+    rows = []
+    for i in range(160):
+        words = []
+        for _ in range(g.randint(1, 5)):
+            b = g.choice(base)
+            a = g.randrange(len(b) - 10)
+            words += b[a : a + g.randint(10, 120)]
+            words += [g.choice(v)] * g.randint(0, 2)
+        rows.append((g.randrange(60) if i % 4 == 0 else i, " ".join(words)))
+    rows += [(5, "p " * 130), (6, "p " * 70), (7, "p q " * 40), (8, "p q " * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = substring.spans(df, most=most)
+    assert found.count() > 50
+    held = substring.keyed(df).join(found, ["doc_id", "key"], "left").collect()
+    want = plain_dedup(rows)
+    got = collections.Counter()
+    for r in held:
+        w = WORD.findall(r.text or "")
+        stay = substring._kept(len(w), r.spans or [], 50)
+        kept = " ".join(x for x, y in zip(w, stay) if y)
+        got[r.doc_id, len(w), len(w) - int(stay.sum()), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_factors_compare_words():
+    """A factor ends where words differ or a text ends, not at equal letters of a longer word."""
+    import pyarrow as pa
+
+    one = [f"w{k}" for k in range(60)]
+    text = [" ".join(one), " ".join(one[:55] + ["other"] + one[55:]), " ".join(one[5:59] + [one[59] + "x"])]
+    got, adds = substring.factors(pa.array(text), np.array([7, 7, 7]), np.array([1, 2, 3]), 50)
+    assert got == [(1, 0, 6), (2, 0, 5)] and adds.tolist() == [True, True, True]
+
+
 def test_substring_dedup_of_nothing(none):
     assert substring.deduplicated(none).count() == 0
 
