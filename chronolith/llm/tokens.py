@@ -7,8 +7,8 @@ Buckets of all blocks meet, where each distinct pre-token is counted once; the
 counts go back to the blocks, are joined to the frequencies there, and frequency
 times pieces is summed per document. Ids are never materialised, and a frequent
 pre-token costs an entry per block, not per document. A task holds the distinct
-pre-tokens of one bucket; there are as many buckets as shuffle partitions, which
-a cluster sets by its data.
+pre-tokens of one bucket at a time; buckets, each a partition, are as many as the
+bytes of text ask for.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are told
 apart by their place in a block, so repeated rows and repeated or null ids each
@@ -31,6 +31,8 @@ from chronolith.llm.pretokens import Splitter
 #: Bytes of text in one block, and documents in one row of its postings.
 BLOCK_BYTES = 32_000_000
 SLICE_DOCS = 1000
+#: Bytes of text in the corpus for one bucket of distinct pre-tokens.
+BUCKET_BYTES = 32_000_000
 
 _POSTINGS = "block long, bucket int, packed_words binary, doc_ids array<long>, sizes array<long>, fixed array<long>, lengths array<int>, packed binary"
 
@@ -152,7 +154,7 @@ def postings(docs: DataFrame, path: str, pattern: str, buckets: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, _POSTINGS)
 
 
-def piece_counts(words: DataFrame, path: str, pattern: str) -> DataFrame:
+def piece_counts(words: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
     """block, bucket, packed counts of the pieces. Buckets come one after another, so each distinct pre-token is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,7 @@ def piece_counts(words: DataFrame, path: str, pattern: str) -> DataFrame:
                 packed.append(zstandard.ZstdCompressor(3).compress(np.fromiter((known[w] for w in words), np.int32, len(words)).tobytes()))
             yield pa.RecordBatch.from_arrays([part.column("block"), part.column("bucket"), pa.array(packed, pa.binary())], names=["block", "bucket", "counts"])
 
-    return words.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, counts binary")
+    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, counts binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +207,11 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
     tune(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets follow the bytes of text, so that what one of them holds doesn't grow with the corpus.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     rows = written(postings(docs, path, pattern, buckets), "postings")
-    counted = piece_counts(rows.where("bucket is not null").select("block", "bucket", "packed_words"), path, pattern)
+    counted = piece_counts(rows.where("bucket is not null").select("block", "bucket", "packed_words"), path, pattern, buckets)
     both = counted.unionByName(rows.where("bucket is null").drop("packed_words"), allowMissingColumns=True)
     met = both.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("bucket"))
     out = met.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
