@@ -11,7 +11,8 @@ a cell, q.x = q.p + q.(x - p) lies within |q| * r of q.p, which gives
   allowed for), and
 * the best score a cell can give to the group.
 
-A cell is sent to a group only if its best score reaches the group's sure score.
+A cell is sent to a group only if its best score reaches the group's sure score,
+and of its rows only those far enough from the pivot to reach it themselves.
 Groups and cells meet in blocks of bounded size, are solved with one matrix
 product each, and only k rows a query leave a block. The bounds hold for any
 pivots, so results are exact whatever the sample.
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import tune, written
 
-#: Rows from which pivots are drawn, and pivots.
+#: Rows from which pivots are drawn. There are as many pivots as the square root of the rows, between these bounds.
 SAMPLE = 4096
-PIVOTS = 64
+PIVOTS = (16, 256)
 #: Queries and candidates in one block.
 QUERY_BLOCK = 1024
 CELL_BLOCK = 8192
@@ -57,14 +58,15 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 def _pivots(rows: DataFrame) -> np.ndarray:
-    """Farthest-first pivots of a bounded sample (rows of lowest hash)."""
+    """Pivots of a bounded sample (rows of lowest hash)."""
+    most = int(np.clip(np.sqrt(rows.count()), *PIVOTS))
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("v").collect()], dtype=np.float64)
     if not len(sample):
         return sample
     rng = np.random.Generator(np.random.PCG64(1))
     chosen = [int(rng.integers(len(sample)))]
     far = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < min(PIVOTS, len(sample)) and far.max() > 0:
+    while len(chosen) < min(most, len(sample)) and far.max() > 0:
         # Seeds are drawn by squared distance, which follows the density of the data.
         chosen.append(int(rng.choice(len(sample), p=far / far.sum())))
         far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
@@ -114,22 +116,28 @@ def _group_summary(queries: DataFrame, pivots) -> pd.DataFrame:
         used = np.flatnonzero(np.isfinite(low[:, 0])) if len(p) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(norm[used]), pa.array(list(low[used]), pa.list_(pa.float64())), pa.array(list(high[used]), pa.list_(pa.float64()))], names=["cell", "norm", "low", "high"])
 
-    n = len(pivots.value)
     rows = queries.select("v", "cell", "norm").mapInArrow(run, "cell int, norm double, low array<double>, high array<double>")
-    bounds = rows.groupBy("cell").agg(F.max("norm").alias("norm"), *[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(n)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(n)])
-    return bounds.toPandas()  # at most PIVOTS rows
+    each = rows.select("cell", "norm", "low", F.posexplode("high").alias("c", "h")).select("cell", "norm", "c", F.get("low", "c").alias("l"), "h")
+    return each.groupBy("cell", "c").agg(F.max("norm").alias("norm"), F.min("l").alias("low"), F.max("h").alias("high")).toPandas()  # at most the square of PIVOTS rows
 
 
-def _needed(groups: pd.DataFrame, cells: pd.DataFrame, k: int) -> list[tuple[int, int]]:
-    """(query group, cell) pairs that can hold a result. Both frames have at most PIVOTS rows."""
+def _needed(groups: pd.DataFrame, cells: pd.DataFrame, k: int) -> list[tuple[int, int, float]]:
+    """(query group, cell, least distance to the cell's pivot) of rows that can hold a result. Sizes follow PIVOTS, not the data."""
     out = []
-    for g in groups.itertuples():
-        low = np.array([getattr(g, f"l{c}") for c in cells["cell"]]) - g.norm * cells["radius"].to_numpy()
-        high = np.array([getattr(g, f"h{c}") for c in cells["cell"]]) + g.norm * cells["radius"].to_numpy()
+    cells = cells.sort_values("cell")
+    for g, of in groups.groupby("cell"):
+        of = of.set_index("c").loc[cells["cell"]]
+        norm, reach = of["norm"].max(), of["norm"].max() * cells["radius"].to_numpy()
+        low, high = of["low"].to_numpy() - reach, of["high"].to_numpy()
         order = np.argsort(-low)
         enough = np.searchsorted(np.cumsum(cells["n"].to_numpy()[order]), k + 1)
         sure = low[order[enough]] if enough < len(order) else -np.inf
-        out += [(int(g.cell), int(c)) for c, h in zip(cells["cell"], high) if h >= sure - 1e-6 * (1 + abs(sure))]
+        sure -= 1e-6 * (1 + abs(sure)) if np.isfinite(sure) else 0
+        for c, h, r in zip(cells["cell"], high, cells["radius"]):
+            # q.x <= q.p + |q| * |x - p|: rows nearer to the pivot than this can't reach the sure score.
+            least = (sure - h) / norm if norm > 0 else (-np.inf if h >= sure else np.inf)
+            if least <= r + 1e-9:
+                out.append((int(g), int(c), float(least) - 1e-9))
     return out
 
 
@@ -176,7 +184,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) ->
     spark = vectors.sparkSession
     tune(spark)
     rows = written(integers(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-rows")
-    pivots = spark.sparkContext.broadcast(_pivots(rows))  # at most PIVOTS vectors
+    pivots = spark.sparkContext.broadcast(_pivots(rows))  # at most 256 vectors
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not len(pivots.value):
         return empty
@@ -186,22 +194,24 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) ->
     # would cost a little pruning at most, so the vector itself is part of the key.
     first = Window.partitionBy("v").orderBy("vec_id")
     useful = written(placed.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth"), "topk-useful")
-    cells = useful.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).toPandas()  # at most PIVOTS rows
+    cells = useful.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).toPandas()  # a row per pivot
     groups = _group_summary(queries, pivots)
     if groups.empty:
         return empty
     asked = queries.groupBy("cell").count().toPandas().set_index("cell")["count"].to_dict()
     merged = _merged(asked, pivots.value)
-    pairs = sorted({(merged[g], c) for g, c in _needed(groups, cells, k)})
+    pairs: dict[tuple[int, int], float] = {}
+    for g, c, least in _needed(groups, cells, k):
+        pairs[merged[g], c] = min(pairs.get((merged[g], c), np.inf), least)
     size = {m: sum(asked[g] for g in asked if merged[g] == m) for m in merged.values()}
     q_blocks = {g: -(-int(n) // QUERY_BLOCK) for g, n in size.items()}
     c_blocks = {int(r.cell): -(-int(r.n) // CELL_BLOCK) for r in cells.itertuples()}
     home = spark.createDataFrame([(int(c), int(m)) for c, m in merged.items()], "cell int, g int")
-    # Which blocks of which cells each side goes to; its size follows PIVOTS squared, not the data.
-    meet = spark.createDataFrame([(g, c, q_blocks[g], c_blocks[c]) for g, c in pairs], "g int, c int, qb int, cb int")
+    # Which blocks of which cells each side goes to; its size follows the square of PIVOTS, not the data.
+    meet = spark.createDataFrame([(g, c, q_blocks[g], c_blocks[c], least) for (g, c), least in sorted(pairs.items())], "g int, c int, qb int, cb int, least double")
     block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col(n))
     asks = queries.join(F.broadcast(home), "cell").join(F.broadcast(meet), "g").select("g", "c", block("qb").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb").cast("long") - 1)).alias("d"), F.lit(True).alias("asks"), "vec_id", "v")
-    gives = useful.join(F.broadcast(meet), F.col("cell") == F.col("c")).select("g", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb").cast("long") - 1)).alias("b"), block("cb").alias("d"), F.lit(False).alias("asks"), "vec_id", "v")
+    gives = useful.join(F.broadcast(meet), (F.col("cell") == F.col("c")) & (F.col("far") >= F.col("least"))).select("g", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb").cast("long") - 1)).alias("b"), block("cb").alias("d"), F.lit(False).alias("asks"), "vec_id", "v")
     found = asks.unionByName(gives).groupBy("g", "c", "b", "d").applyInPandas(_solve(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -272,6 +272,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_top_k_of_clustered_vectors(spark):
+    """Clusters far apart are pruned, by cell and by row, without a change of result; columns clash and ids are negative too."""
+    g = np.random.default_rng(14)
+    centre = g.normal(size=(6, 16)) * 3
+    v = (centre[g.integers(0, 6, 1200)] + g.normal(size=(1200, 16)) * 0.2).astype(np.float32)
+    ids = np.arange(1200) - 100
+    df = clashing(spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")).withColumn("cell", F.lit(1)).withColumn("far", F.lit(0.0))
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    q = np.floor(64 * v.astype(float)).astype(int)
+    assert sorted(got) == [i for i in ids.tolist() if i % 20 == 0]
+    for i in got:
+        s = q @ q[i + 100]
+        assert got[i] == [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if ids[j] != i][:7]
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 
