@@ -33,6 +33,15 @@ def assign_folds(numbered: DataFrame, plan: list[tuple[int, int, int]], purge: i
     return numbered.join(table).withColumn("part", part).where("part is not null")
 
 
+def in_folds(numbered: DataFrame, min_train: int, purge: int, share: float = 0.15, least: int = 100, most: int = 10, shortest: int = 50) -> DataFrame:
+    """Rows (0-based number i) of every symbol with the expanding folds of its own length, as train or test."""
+    size = numbered.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.greatest(F.floor(F.col("n") * share), F.lit(least)))
+    table = size.select("symbol", "n", "size", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("fold"))
+    table = table.select("symbol", "fold", (F.col("fold") * F.col("size") + min_train).alias("train_end"), F.least((F.col("fold") + 1) * F.col("size") + min_train, F.col("n")).alias("test_end")).where(F.col("test_end") - F.col("train_end") >= shortest)
+    part = F.when(F.col("i") < F.col("train_end") - purge, "train").when((F.col("i") >= F.col("train_end")) & (F.col("i") < F.col("test_end")), "test")
+    return numbered.join(table, "symbol").withColumn("part", part).where("part is not null")
+
+
 def inner_validation(n: int, gap: int, share: float = 0.15, least: int = 100) -> tuple[int, int]:
     """(end of inner train, start of validation) of n training rows; without the gap if it would leave nothing."""
     valid = max(int(n * share), least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -43,16 +45,36 @@ def har_ridge(fc: DataFrame, alpha: float = 1e-4, least: int = 25) -> DataFrame:
     return rows.mapInPandas(solve, "symbol string, n long, intercept double, " + ", ".join(f"{c} double" for c in X))
 
 
-def isotonic(df: DataFrame, least: int = 100) -> DataFrame:
-    """Isotonic calibration of p to y, clipped to [.01, .99]; p itself with too few rows."""
-    from pyspark.ml.regression import IsotonicRegression
+def isotonic(df: DataFrame, least: int = 100, past: float = 0.7, distinct: int = 1, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Isotonic calibration of p to y, clipped to [low, high], of the rows after the first ``past`` of each series.
+
+    Each series is fitted on its own earlier rows, which are pooled to blocks of equal p before they meet in
+    one task of the series; p stays as it is with under ``least`` rows or ``distinct`` values to fit on.
+    """
 
-    data = df.select("symbol", "ts", "p", "y")
-    if data.count() < least:
-        return data.select("symbol", seconds().alias("ts_s"), F.col("p").alias("calibrated"))
-    vec = VectorAssembler(inputCols=["p"], outputCol="v").transform(data)
-    out = IsotonicRegression(featuresCol="v", labelCol="y", predictionCol="q").fit(vec).transform(vec)
-    return out.select("symbol", seconds().alias("ts_s"), r6(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("q")))).alias("calibrated"))
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        fit = g[g["fit"]].sort_values("p")
+        new = g[~g["fit"]][["symbol", "ts_s", "p"]].copy()
+        p, y, w = (fit[c].to_numpy(float) for c in ("p", "y", "w"))
+        if w.sum() >= least and len(p) >= distinct:
+            # Pool adjacent violators.
+            level: list[list[float]] = []
+            for a, v, n in zip(p, y, w):
+                level.append([v, n, a, a])
+                while len(level) > 1 and level[-2][0] >= level[-1][0]:
+                    v1, n1, _, hi = level.pop()
+                    v0, n0, lo, _ = level.pop()
+                    level.append([(v0 * n0 + v1 * n1) / (n0 + n1), n0 + n1, lo, hi])
+            x = [z for _, _, lo, hi in level for z in ((lo, hi) if hi > lo else (lo,))]
+            q = [v for v, _, lo, hi in level for _ in range(2 if hi > lo else 1)]
+            new["p"] = np.clip(np.interp(new["p"], x, q), low, high)
+        return new.rename(columns={"p": "calibrated"})
+
+    x = df.select("symbol", "ts", "p", "y").withColumn("fit", F.percent_rank().over(series()) < past)
+    old = x.where("fit").groupBy("symbol", "p").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")).select("symbol", F.lit(0).cast("long").alias("ts_s"), "p", "y", "w", F.lit(True).alias("fit"))
+    new = x.where("not fit").select("symbol", seconds().alias("ts_s"), "p", "y", F.lit(1.0).alias("w"), F.lit(False).alias("fit"))
+    out = old.unionByName(new).groupBy("symbol").applyInPandas(run, "symbol string, ts_s long, calibrated double")
+    return out.select("symbol", "ts_s", r6("calibrated").alias("calibrated"))
 
 
 def ensemble(fc: DataFrame) -> DataFrame:
@@ -144,14 +166,17 @@ def custom_objectives(fc: DataFrame) -> DataFrame:
 
 
 def correlation_filter(df: DataFrame, names: list[str], most: float = 0.8) -> list[str]:
-    """Columns in order, without those that correlate beyond ``most`` with an earlier one that stays. The matrix is columns squared."""
-    vec = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(df).select("v")
-    m = np.abs(np.nan_to_num(Correlation.corr(vec, "v").first()[0].toArray()))
-    keep: list[int] = []
-    for j in range(len(names)):
-        if all(m[i, j] <= most for i in keep):
-            keep.append(j)
-    return [names[j] for j in keep]
+    """Columns in order, where of each pair that correlates beyond ``most`` one is left out: that of the larger
+    ``_w<number>_`` window, the later column at a tie. A column that is out takes none with it. Missing values
+    count as 0; the matrix is columns squared."""
+    clean = df.select(*[F.when(F.col(c).isNull() | F.isnan(c) | F.abs(c).isin(float("inf")), 0.0).otherwise(F.col(c)).alias(c) for c in names])
+    m = np.abs(np.nan_to_num(Correlation.corr(VectorAssembler(inputCols=names, outputCol="v").transform(clean).select("v"), "v").first()[0].toArray()))
+    window = [int(found[0]) if (found := re.findall(r"_w(\d+)_", c)) else 0 for c in names]
+    out: set[int] = set()
+    for j, i in ((j, i) for j in range(len(names)) for i in range(j) if m[i, j] > most):
+        if not {i, j} & out:
+            out.add(j if window[j] >= window[i] else i)
+    return [c for k, c in enumerate(names) if k not in out]
 
 
 def consensus(fc: DataFrame, budget: int = 2) -> DataFrame:

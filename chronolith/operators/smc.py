@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import EPS, clip, extended, series, upto
 from chronolith.operators.core import atr, numbered
+from chronolith.operators.features import wilder
 
 KEYS = (
     "sweep_bull_mag", "sweep_bear_mag", "nearest_ssl_dist", "nearest_bsl_dist", "pool_density", "ob_quality_score", "ob_direction", "ob_nearest_dist", "ob_age_bars", "fvg_nearest_dist", "fvg_direction", "fvg_fill_pct",
@@ -25,9 +26,13 @@ def _lag(c: str, k: int = 1) -> Column:
     return F.lag(c, k).over(series())
 
 
-def prepared(bars: DataFrame, warmup: int = 32) -> DataFrame:
-    """Bars with number, ATR, the prices of the bars before, and whether the warm-up is over."""
-    x = numbered(atr(bars))
+#: Settings of the hourly and the daily lane: bars of warm-up, window of structure, life of zones; and of higher timeframes.
+HOURLY, DAILY, HIGHER = (32, 24, 24), (50, 40, 60), (50, 40, 50)
+
+
+def prepared(bars: DataFrame, warmup: int = 32, measure=atr) -> DataFrame:
+    """Bars with number, ATR by ``measure``, the prices of the bars before, and whether the warm-up is over."""
+    x = numbered(measure(bars))
     old = {f"{c[0]}{k}": _lag(c, k) for c in ("open", "high", "low", "close", "volume") for k in (1, 2, 3)}
     return x.withColumns(old | {"h4": _lag("high", 4), "h5": _lag("high", 5), "l4": _lag("low", 4), "l5": _lag("low", 5), "a3": _lag("atr14", 3)}).withColumn("ready", F.col("i") > warmup)
 
@@ -216,8 +221,18 @@ def core_columns(bars: DataFrame, warmup: int = 32, structure_window: int = 24,
     return blocks(gaps(x, age), age).select("symbol", "ts", "i", "close", "atr14", *KEYS)
 
 
+def higher(htf: DataFrame, prefix: str) -> DataFrame:
+    """symbol, close_ts, trend score and phase of bars of a higher timeframe (with close_ts), by Wilder's ATR.
+
+    No sweeps are looked for there, so the phase machine stays in its first phase once the warm-up is over.
+    """
+    warmup, window, _ = HIGHER
+    x = structure(pivots(displacement(prepared(htf, warmup, lambda b: wilder(b).withColumnRenamed("atr_wilder", "atr14")))), window)
+    return x.select("symbol", "close_ts", F.col("structure_trend_score").alias(f"{prefix}_structure_trend_score"), F.when(F.col("ready"), 0.33).otherwise(0.0).alias(f"{prefix}_amd_phase"))
+
+
 def confluence(x: DataFrame) -> DataFrame:
-    """Products of the core columns that name a set-up."""
+    """Products of the core columns that name a set-up, two of them with the first higher timeframe's columns ``htf1_*``."""
     sweep = ((F.col("sweep_bull_mag") > 0) | (F.col("sweep_bear_mag") > 0)).cast("double")
     side = F.when(F.col("pd_zone") < 0.5, 1 - F.col("pd_zone")).otherwise(F.col("pd_zone"))
     return x.withColumns(
@@ -226,6 +241,8 @@ def confluence(x: DataFrame) -> DataFrame:
             "ob_fvg": F.when(F.col("fvg_count_active") > 0, F.col("ob_quality_score") * (1 - F.col("fvg_fill_pct"))).otherwise(0.0),
             "phase_weighted_trend": F.col("amd_phase") * F.col("structure_trend_score"),
             "full_entry": F.col("mss_confirmed") * side,
+            "htf_trend_alignment": F.signum("structure_trend_score") * F.signum("htf1_structure_trend_score"),
+            "htf_phase_cascade": F.col("amd_phase") * F.col("htf1_amd_phase"),
             "pd_ob": F.when(F.col("ob_nearest_dist") < 3, F.abs(F.col("pd_zone") - 0.5) * F.col("ob_quality_score")).otherwise(0.0),
         }
     )

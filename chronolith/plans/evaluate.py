@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w, whole
-from chronolith.operators import core, evaluate, features
+from chronolith.operators import core, evaluate, features, labels
 from chronolith.plans.base import OV, T, WD, WH, over, query, r
 from chronolith.plans.features import lim
 from chronolith.sources import bars as B
@@ -166,13 +166,12 @@ def _(spark, sf):
 # ---- folds and models ----------------------------------------------------------------------------------------------
 
 
-@query("m1_expanding_folds", f"{WD}, x AS (SELECT symbol, ts, row_number() {OV} - 1 AS i FROM d WHERE symbol = 'A'), f AS (SELECT k AS fold, 500 + k * 374 AS a, least(500 + (k + 1) * 374, n) AS b FROM (SELECT count(*) AS n FROM x), range(10) t(k) WHERE 500 + k * 374 < n AND least(500 + (k + 1) * 374, n) - (500 + k * 374) >= 50) SELECT fold::INTEGER AS fold, part, count(*) AS n FROM (SELECT fold, CASE WHEN i < a - 24 THEN 'train' WHEN i >= a AND i < b THEN 'test' END AS part FROM x, f) WHERE part IS NOT NULL GROUP BY 1, 2")
+@query("m1_expanding_folds", f"""{WD}, x AS (SELECT symbol, row_number() {OV} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM d), s AS (SELECT DISTINCT symbol, n, greatest(floor(n * 0.15)::BIGINT, 100) AS size FROM x),
+    f AS (SELECT symbol, k AS fold, 500 + k * size AS a, least(500 + (k + 1) * size, n) AS b FROM s, range(10) t(k) WHERE least(500 + (k + 1) * size, n) - (500 + k * size) >= 50)
+    SELECT symbol, fold::INTEGER AS fold, part, count(*) AS n FROM (SELECT x.symbol, fold, CASE WHEN i < a - 24 THEN 'train' WHEN i >= a AND i < b THEN 'test' END AS part FROM x JOIN f ON f.symbol = x.symbol) WHERE part IS NOT NULL GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    x = core.numbered(B.bars_1d(spark, sf).where("symbol = 'A'")).withColumn("i", F.col("i") - 1)
-    n = x.count()
-    size = max(int(n * 0.15), 100)
-    plan = [(k, a, b) for k, a, b in evaluate.folds(n, 500)] if size == 374 else [(k, 500 + k * 374, min(500 + (k + 1) * 374, n)) for k in range(10) if 500 + k * 374 < n and min(500 + (k + 1) * 374, n) - 500 - k * 374 >= 50]
-    return evaluate.assign_folds(x, plan, 24).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
+    x = core.numbered(B.bars_1d(spark, sf)).withColumn("i", F.col("i") - 1)
+    return evaluate.in_folds(x, 500, 24).groupBy("symbol", "fold", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m2_purged_validation", f"{WD}, n AS (SELECT symbol, count(*) AS n FROM d GROUP BY 1), v AS (SELECT symbol, n, greatest(floor(n * 0.15)::BIGINT, 100) AS v FROM n) SELECT symbol, CASE WHEN n - v - 5 > 0 THEN n - v - 5 ELSE greatest(n - v, 0) END AS inner_train, greatest(n - v, 0) AS start FROM v")
@@ -182,17 +181,23 @@ def _(spark, sf):
     return g.select("symbol", F.when(F.col("n") - v - 5 > 0, F.col("n") - v - 5).otherwise(F.greatest(F.col("n") - v, F.lit(0))).alias("inner_train"), F.greatest(F.col("n") - v, F.lit(0)).alias("start"))
 
 
-@query("p12_sleeve_admission", f"WITH {_LED}, m AS (SELECT direction AS sleeve, count(*) AS trades, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe, sum(CASE WHEN pnl_r > 0 THEN pnl_r ELSE 0 END) / abs(sum(CASE WHEN pnl_r <= 0 THEN pnl_r ELSE 0 END)) AS pf FROM l GROUP BY 1) SELECT sleeve, trades, pf >= 1.25 AND sharpe >= 0.3 AND trades >= 8 AS admitted FROM m")
+@query("p12_sleeve_admission", f"""WITH {_LED}, e AS (SELECT *, 1 + sum(pnl_r * 0.01) OVER (PARTITION BY direction ORDER BY ts, pnl_r ROWS UNBOUNDED PRECEDING) AS equity FROM l), k AS (SELECT *, greatest(1, max(equity) OVER (PARTITION BY direction ORDER BY ts, pnl_r ROWS UNBOUNDED PRECEDING)) AS peak FROM e),
+    m AS (SELECT direction AS sleeve, count(*) AS trades, max((peak - equity) / peak) AS mdd, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe, sum(CASE WHEN pnl_r > 0 THEN pnl_r ELSE 0 END) / abs(sum(CASE WHEN pnl_r <= 0 THEN pnl_r ELSE 0 END)) AS pf FROM k GROUP BY 1)
+    SELECT sleeve, trades, {r('mdd', 'mdd')}, pf >= 1.25 AND sharpe >= 0.3 AND mdd <= 0.2 AND trades >= 8 AS admitted FROM m""")
 def _(spark, sf):
-    m = evaluate.trade_metrics(B.ledger(spark, sf).withColumn("symbol", F.col("direction")))
-    return m.select(F.col("symbol").alias("sleeve"), "trades", ((F.col("profit_factor") >= 1.25) & (F.col("sharpe_r") >= 0.3) & (F.col("trades") >= 8)).alias("admitted"))
+    l = B.ledger(spark, sf)
+    past = Window.partitionBy("direction").orderBy("ts", "pnl_r").rowsBetween(Window.unboundedPreceding, 0)
+    e = l.withColumn("equity", 1 + F.sum(F.col("pnl_r") * 0.01).over(past)).withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(past)))
+    mdd = e.groupBy(F.col("direction").alias("symbol")).agg(F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("mdd"))
+    m = evaluate.trade_metrics(l.withColumn("symbol", F.col("direction"))).join(mdd, "symbol")
+    return m.select(F.col("symbol").alias("sleeve"), "trades", r6("mdd").alias("mdd"), ((F.col("profit_factor") >= 1.25) & (F.col("sharpe_r") >= 0.3) & (F.col("mdd") <= 0.2) & (F.col("trades") >= 8)).alias("admitted"))
 
 
-@query("p13_meta_candidates", f"WITH {_LED}, m AS (SELECT direction AS sleeve, hour(ts) AS hr, count(*) AS trades, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe FROM l GROUP BY 1, 2) SELECT sleeve, hr, trades, {r('sharpe', 'sharpe')} FROM m WHERE trades >= 25 AND NOT isnan(sharpe) AND sharpe >= -0.5")
+@query("p13_meta_candidates", f"WITH {_LED}, m AS (SELECT direction AS sleeve, hour(ts) AS hr, count(*) AS trades, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe FROM l GROUP BY 1, 2) SELECT sleeve, hr, trades, {r('sharpe', 'sharpe')} FROM m WHERE trades >= 25 AND NOT isnan(sharpe) AND sharpe >= 0.5")
 def _(spark, sf):
     l = B.ledger(spark, sf)
     g = l.groupBy(F.col("direction").alias("sleeve"), F.hour("ts").cast("long").alias("hr")).agg(F.count(F.lit(1)).alias("trades"), (F.avg("pnl_r") / (F.stddev_pop("pnl_r") + 1e-9)).alias("sharpe"))
-    return g.where("trades >= 25 and not isnan(sharpe) and sharpe >= -0.5").withColumn("sharpe", r6("sharpe"))
+    return g.where("trades >= 25 and not isnan(sharpe) and sharpe >= 0.5").withColumn("sharpe", r6("sharpe"))
 
 
 @query("p9_synthetic_gate", f"{WH}, g AS (SELECT symbol, avg(CASE WHEN volume <= 1 THEN 1.0 ELSE 0 END) AS ratio FROM h GROUP BY 1) SELECT h.symbol, count(*) AS bars FROM h JOIN g USING (symbol) WHERE g.ratio <= 0.9 GROUP BY 1")
@@ -202,9 +207,11 @@ def _(spark, sf):
     return h.join(g, "symbol", "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("p8_min_edge", f"{WD}, {SC} SELECT symbol, count(*) AS n FROM sc WHERE abs(p - 0.5) >= 0.2 GROUP BY 1")
+@query("p8_min_edge")
 def _(spark, sf):
-    return scored(spark, sf).where("abs(p - 0.5) >= 0.2").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    """Labels whose long and short paths differ by at least the least edge. The paths are simulated, so there is no SQL."""
+    x = labels.labelled(core.atr(B.bars_1d(spark, sf)), horizon=10).where("target_edge_r >= 0.05")
+    return x.select("symbol", seconds().alias("ts_s"), r6("target_edge_r").alias("target_edge_r"))
 
 
 @query("p6_skip_code", f"""{WD}, tr AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) {OV}, close)), abs(low - coalesce(lag(close) {OV}, close))) AS tr FROM d), a AS (SELECT *, CASE WHEN count(*) {over(14)} = 14 THEN avg(tr) {over(14)} ELSE tr END AS atr14, CASE WHEN day(ts) <= 25 THEN {P} END AS p, coalesce(lead(day(ts) % 24) {OV}, 24) AS nh, ln(close / lag(close) {OV}) AS ret FROM tr), z AS (SELECT *, (ret - avg(ret) {over(63)}) / nullif(stddev_pop(ret) {over(63)}, 0) AS zz FROM a)

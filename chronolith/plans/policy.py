@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def _(spark, sf):
 @query("m12_vol_isotonic")
 def _(spark, sf):
     f = forecasts(spark, sf).where("actual is not null")
-    return models.isotonic(f.select("symbol", "ts", F.col("ml").alias("p"), F.col("actual").alias("y")), least=200)
+    return models.isotonic(f.select("symbol", "ts", F.col("ml").alias("p"), F.col("actual").alias("y")), least=200, distinct=2, low=-np.inf, high=np.inf)
 
 
 # ---- exits and policies --------------------------------------------------------------------------------------------

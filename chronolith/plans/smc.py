@@ -92,21 +92,31 @@ def _(spark, sf):
 
 @query("f8_smc_core")
 def _(spark, sf):
-    return rows(smc.core_columns(B.bars_1d(spark, sf)), *smc.KEYS)
+    return rows(smc.core_columns(B.bars_1d(spark, sf), *smc.DAILY), *smc.KEYS)
+
+
+def _with_higher(spark, sf, x: DataFrame, *frames: tuple[str, str]) -> DataFrame:
+    """x with the trend score and phase of each (prefix, timeframe), as of the last closed bar; 0 where there is none."""
+    daily = B.bars_1d(spark, sf)
+    for prefix, tf in frames:
+        x = core.as_of(x, smc.higher(core.close_time(core.resample(daily, tf), tf), prefix), prefix="")
+    names = [f"{p}_{c}" for p, _ in frames for c in ("structure_trend_score", "amd_phase")]
+    return x.fillna(0.0, names)
 
 
 @query("f16_smc_confluence")
 def _(spark, sf):
-    return rows(smc.confluence(smc.core_columns(B.bars_1d(spark, sf))), "sweep_disp_sync", "ob_fvg", "phase_weighted_trend", "full_entry", "pd_ob")
+    x = _with_higher(spark, sf, smc.core_columns(B.bars_1d(spark, sf), *smc.DAILY), ("htf1", "1W"))
+    return rows(smc.confluence(x), "sweep_disp_sync", "ob_fvg", "phase_weighted_trend", "full_entry", "pd_ob", "htf_trend_alignment", "htf_phase_cascade")
 
 
 @query("f15_smc_htf")
 def _(spark, sf):
-    daily = B.bars_1d(spark, sf)
-    htf = core.close_time(core.resample(daily, "1W"), "1W")
-    x = smc.structure(smc.pivots(smc.displacement(smc.prepared(htf, 50))), 50)
-    # Without sweeps the phase machine stays in its first phase once warm.
-    phase = F.when(F.col("ready"), 0.33).otherwise(0.0)
-    right = x.select("symbol", "close_ts", F.col("structure_trend_score").alias("smc_htf1_structure_trend_score"), phase.alias("smc_htf1_amd_phase"))
-    got = core.as_of(daily.select("symbol", "ts"), right, prefix="").fillna(0.0)
-    return rows(got, "smc_htf1_structure_trend_score", "smc_htf1_amd_phase")
+    x = _with_higher(spark, sf, B.bars_1d(spark, sf).select("symbol", "ts"), ("htf1", "1W"), ("htf2", "1M"), ("htf3", "6M"))
+    return rows(x, *[f"htf{k}_{c}" for k in (1, 2, 3) for c in ("structure_trend_score", "amd_phase")])
+
+
+@query("f17_smc_by_lane")
+def _(spark, sf):
+    """The hourly lane: hourly bars with the hourly settings."""
+    return rows(smc.core_columns(B.bars_1h(spark, sf), *smc.HOURLY), *smc.KEYS)
