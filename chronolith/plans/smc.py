@@ -99,7 +99,7 @@ def _with_higher(spark, sf, x: DataFrame, *frames: tuple[str, str]) -> DataFrame
     """x with the trend score and phase of each (prefix, timeframe), as of the last closed bar; 0 where there is none."""
     daily = B.bars_1d(spark, sf)
     for prefix, tf in frames:
-        x = core.as_of(x, smc.higher(core.close_time(core.resample(daily, tf), tf), prefix), prefix="")
+        x = core.as_of(x, smc.higher(core.close_time(core.resample(daily, tf), tf), prefix), prefix="").drop("close_ts")
     names = [f"{p}_{c}" for p, _ in frames for c in ("structure_trend_score", "amd_phase")]
     return x.fillna(0.0, names)
 
