@@ -29,8 +29,10 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a local one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset in local mode (tests), one of our own. A cluster must set it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.conf.set("spark.checkpoint.dir", where)
