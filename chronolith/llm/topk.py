@@ -205,13 +205,22 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) ->
         pairs[merged[g], c] = min(pairs.get((merged[g], c), np.inf), least)
     size = {m: sum(asked[g] for g in asked if merged[g] == m) for m in merged.values()}
     q_blocks = {g: -(-int(n) // QUERY_BLOCK) for g, n in size.items()}
-    c_blocks = {int(r.cell): -(-int(r.n) // CELL_BLOCK) for r in cells.itertuples()}
+    # Small cells share a pack, so that there are as many blocks as the rows ask for, not as there are cells.
+    pack, rows_of, at = {}, [0], 0
+    for r in cells.sort_values("cell").itertuples():
+        if rows_of[at] and rows_of[at] + r.n > CELL_BLOCK:
+            rows_of.append(0)
+            at += 1
+        pack[int(r.cell)] = at
+        rows_of[at] += int(r.n)
+    c_blocks = [-(-n // CELL_BLOCK) for n in rows_of]
     home = spark.createDataFrame([(int(c), int(m)) for c, m in merged.items()], "cell int, g int")
     # Which blocks of which cells each side goes to; its size follows the square of PIVOTS, not the data.
-    meet = spark.createDataFrame([(g, c, q_blocks[g], c_blocks[c], least) for (g, c), least in sorted(pairs.items())], "g int, c int, qb int, cb int, least double")
+    gives_to = spark.createDataFrame([(g, c, pack[c], q_blocks[g], c_blocks[pack[c]], least) for (g, c), least in sorted(pairs.items())], "g int, c int, p int, qb int, cb int, least double")
+    asks_in = spark.createDataFrame(sorted({(g, pack[c], q_blocks[g], c_blocks[pack[c]]) for g, c in pairs}), "g int, p int, qb int, cb int")
     block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col(n))
-    asks = queries.join(F.broadcast(home), "cell").join(F.broadcast(meet), "g").select("g", "c", block("qb").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb").cast("long") - 1)).alias("d"), F.lit(True).alias("asks"), "vec_id", "v")
-    gives = useful.join(F.broadcast(meet), (F.col("cell") == F.col("c")) & (F.col("far") >= F.col("least"))).select("g", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb").cast("long") - 1)).alias("b"), block("cb").alias("d"), F.lit(False).alias("asks"), "vec_id", "v")
-    found = asks.unionByName(gives).groupBy("g", "c", "b", "d").applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+    asks = queries.join(F.broadcast(home), "cell").join(F.broadcast(asks_in), "g").select("g", "p", block("qb").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb").cast("long") - 1)).alias("d"), F.lit(True).alias("asks"), "vec_id", "v")
+    gives = useful.join(F.broadcast(gives_to), (F.col("cell") == F.col("c")) & (F.col("far") >= F.col("least"))).select("g", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb").cast("long") - 1)).alias("b"), block("cb").alias("d"), F.lit(False).alias("asks"), "vec_id", "v")
+    found = asks.unionByName(gives).groupBy("g", "p", "b", "d").applyInPandas(_solve(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
