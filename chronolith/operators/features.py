@@ -231,16 +231,21 @@ def kalman(bars: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
     return got.withColumn("regime", F.col("close") - F.col("kalman"))
 
 
-def swings(bars: DataFrame) -> DataFrame:
-    """Swing events of bars with kalman and number i: high (1) and low (-1), price, bar of the price and bar of the event."""
+def with_crossings(bars: DataFrame) -> DataFrame:
+    """Bars with kalman, marked where they confirm a swing high (up) or low (down), with its price; a series' first bar confirms none."""
     o = series()
     k, root = F.col("kalman"), F.sqrt(F.col("open") * F.col("close"))
-    high0, low0 = F.lag("high").over(o), F.lag("low").over(o)
     up = ((F.col("close") < k) & (F.col("open") > k)) | ((root > k) & (F.col("low") <= k))
     down = ((F.col("close") > k) & (F.col("open") < k)) | ((root < k) & (F.col("high") >= k))
-    event = lambda on, kind, mine, other, better: F.when(on, F.struct(F.lit(kind).alias("kind"), F.when(better, mine).otherwise(other).alias("price"), F.when(better, F.col("i")).otherwise(F.col("i") - 1).alias("bar")))
-    x = bars.withColumn("__e", F.array_compact(F.array(event(up, 1, F.col("high"), high0, F.col("high") >= high0), event(down, -1, F.col("low"), low0, F.col("low") <= low0))))
-    return x.where("i >= 2").select("symbol", "ts", F.col("i").alias("confirm"), F.posexplode("__e").alias("seq", "e")).select("symbol", "ts", "confirm", "seq", "e.*")
+    later, no = F.row_number().over(o) >= 2, F.lit(False)
+    return bars.withColumns({"up": later & F.coalesce(up, no), "down": later & F.coalesce(down, no), "high_price": F.greatest("high", F.lag("high").over(o)), "low_price": F.least("low", F.lag("low").over(o))})
+
+
+def swings(bars: DataFrame) -> DataFrame:
+    """Swing events of bars with kalman and number i: high (1) and low (-1), price, bar of the price and bar of the event."""
+    event = lambda on, kind, price, own: F.when(F.col(on), F.struct(F.lit(kind).alias("kind"), F.col(price).alias("price"), F.when(F.col(own) == F.col(price), F.col("i")).otherwise(F.col("i") - 1).alias("bar")))
+    x = with_crossings(bars).withColumn("__e", F.array_compact(F.array(event("up", 1, "high_price", "high"), event("down", -1, "low_price", "low"))))
+    return x.select("symbol", "ts", F.col("i").alias("confirm"), F.posexplode("__e").alias("seq", "e")).select("symbol", "ts", "confirm", "seq", "e.*")
 
 
 def regime_streaks(bars: DataFrame, regime: str = "regime", atr: str = "atr14") -> DataFrame:
@@ -314,11 +319,8 @@ def wilder(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def swing_delta(bars: DataFrame) -> DataFrame:
     """Running sum of candle deltas, starting anew at each bar that confirms a swing."""
-    from chronolith.operators.core import numbered
-
-    k = kalman(bars)
-    confirm = swings(numbered(k)).select("symbol", "ts").distinct().withColumn("hit", F.lit(1))
-    x = candle_delta(k).join(confirm, ["symbol", "ts"], "left").withColumn("seg", F.sum(F.coalesce("hit", F.lit(0))).over(upto()))
+    x = with_crossings(candle_delta(kalman(bars)))
+    x = x.withColumn("seg", F.sum((F.col("up") | F.col("down")).cast("int")).over(upto())).drop("up", "down", "high_price", "low_price")
     inside = Window.partitionBy("symbol", "seg").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return x.withColumn("swing_delta", F.sum("delta").over(inside))
 

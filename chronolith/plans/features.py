@@ -152,17 +152,6 @@ def _(spark, sf):
     return features.swing_delta(B.bars_1d(spark, sf)).select("symbol", seconds().alias("ts_s"), F.col("seg").cast("long").alias("seg"), r6("swing_delta").alias("swing_delta"))
 
 
-@query(
-    "f25_narrative",
-    f"""{WKF.replace('FROM d)', 'FROM atr)', 1) if False else WKF}, tr AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) {OV}, close)), abs(low - coalesce(lag(close) {OV}, close))) AS tr FROM kf), a AS (SELECT *, CASE WHEN count(*) {over(14)} = 14 THEN avg(tr) {over(14)} ELSE tr END AS atr14 FROM tr),
-    f AS (SELECT *, CASE WHEN atr14 > 1e-9 THEN atr14 ELSE 1 END AS scale, CASE WHEN (regime >= 0) <> (lag(regime) {OV} >= 0) THEN 1 ELSE 0 END AS flip, coalesce(close - lag(close) {OV}, 0) AS dc FROM a), g AS (SELECT *, sum(flip) {OV} AS isl FROM f)
-    SELECT symbol, {T}, (count(*) OVER z - CASE WHEN isl = 0 THEN 1 ELSE 0 END)::DOUBLE AS regime_streak, {r(f'(avg(regime) {over(5)} - avg(regime) {over(20)}) / scale', 'regime_accel')}, {r('sum(dc / scale) OVER z', 'cum_disp_since_flip')}, {r('CASE WHEN i = 1 THEN 0 ELSE (max(close) OVER z - close) / scale END', 'max_dd_since_flip')} FROM g WINDOW z AS (PARTITION BY symbol, isl ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-)
-def _(spark, sf):
-    x = features.regime_streaks(core.atr(features.kalman(B.bars_1d(spark, sf))))
-    return rows(x, "regime_accel", "cum_disp_since_flip", "max_dd_since_flip", others=("regime_streak",))
-
-
 def _companion_sql(low=15, mid=25, high=35) -> str:
     sd = lambda c, n: f"sqrt(greatest(avg({c} * {c}) {over(n)} - (avg({c}) {over(n)}) ** 2, 1e-9))"
     ratio = lambda c, a, b, z: f"CASE WHEN i >= {b} AND abs(avg({c}) {over(b)}) > 1e-9 THEN {lim(f'avg({c}) {over(a)} / avg({c}) {over(b)} - 1', -z, z)} ELSE 0 END"

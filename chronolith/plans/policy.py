@@ -100,20 +100,6 @@ def _(spark, sf):
     return y.select("symbol", seconds().alias("ts_s"), r6(F.last("sh", True).over(upto())).alias("swing_high"), r6(F.last("sl", True).over(upto())).alias("swing_low"))
 
 
-@query("f24_kalman_lane")
-def _(spark, sf):
-    """Base columns of the filter on the base bars and, as of their closes, on three higher timeframes."""
-    daily = B.bars_1d(spark, sf)
-    out = features.swing_delta(daily).select("symbol", "ts", "kalman", (F.col("close") - F.col("kalman")).alias("kf_regime"), "delta", "swing_delta")
-    for tf in ("1W", "1M", "6M"):
-        h = features.swing_delta(core.resample(daily, tf)).join(core.close_time(core.resample(daily, tf), tf).select("symbol", "ts", "close_ts"), ["symbol", "ts"])
-        t = tf.lower()
-        h = h.select("symbol", "close_ts", *[F.col(c).alias(f"{t}_{c}") for c in ("kalman", "delta", "swing_delta")])
-        out = core.as_of(out, h, prefix="").drop("close_ts")
-    out = out.fillna(0.0)
-    return rows(out, *out.columns[2:])
-
-
 @query("f29_holographic_lane_1h")
 def _(spark, sf):
     """Hourly windows with those of the days they close in; sessions of 30 days hold no full months."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.plans import bars, base, evaluate, features, instruments, more, policy, smc  # noqa: F401
+from chronolith.plans import bars, base, evaluate, features, instruments, lanes, more, policy, smc  # noqa: F401
 from chronolith.plans.flagship import flagship  # noqa: F401
 
 
