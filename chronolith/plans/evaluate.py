@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w, whole
 from chronolith.operators import core, evaluate, features, labels
-from chronolith.plans.base import OV, T, WD, WH, over, query, r
+from chronolith.plans.base import OV, SQL, T, WD, WH, over, query, r
 from chronolith.plans.features import lim
 from chronolith.sources import bars as B
 
@@ -215,17 +215,17 @@ def _(spark, sf):
 
 
 @query("p6_skip_code", f"""{WD}, tr AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) {OV}, close)), abs(low - coalesce(lag(close) {OV}, close))) AS tr FROM d), a AS (SELECT *, CASE WHEN count(*) {over(14)} = 14 THEN avg(tr) {over(14)} ELSE tr END AS atr14, CASE WHEN day(ts) <= 25 THEN {P} END AS p, coalesce(lead(day(ts) % 24) {OV}, 24) AS nh, ln(close / lag(close) {OV}) AS ret FROM tr), z AS (SELECT *, (ret - avg(ret) {over(63)}) / nullif(stddev_pop(ret) {over(63)}, 0) AS zz FROM a)
-    SELECT symbol, {T}, CASE WHEN p IS NULL THEN 1 WHEN nh >= 14 THEN 2 WHEN greatest(p, 1 - p) < 0.7 THEN 3 WHEN atr14 IS NULL OR atr14 <= 0 THEN 4 WHEN abs(zz) > 2.5 THEN 5 ELSE 0 END AS skip_code FROM z""")
+    SELECT z.symbol, {T}, CASE WHEN p IS NULL THEN 1 WHEN nh >= 14 THEN 2 WHEN greatest(p, 1 - p) < 0.7 THEN 3 WHEN atr14 IS NULL OR atr14 <= 0 THEN 4 WHEN abs(zz) > 2.5 THEN 5 WHEN hu.hurst < 0.45 THEN 6 ELSE 0 END AS skip_code FROM z JOIN ({SQL['f36_hurst']}) hu ON hu.symbol = z.symbol AND hu.ts_s = epoch(z.ts)::BIGINT""")
 def _(spark, sf):
     x = core.atr(B.bars_1d(spark, sf)).join(B.oos(B.bars_1d(spark, sf).where("day(ts) <= 25")), ["symbol", "ts"], "left")
     x = x.withColumns({"nh": F.lead(F.day("ts") % 24, 1, 24).over(series()), "ret": F.ln(F.col("close") / F.lag("close").over(series()))})
     x = x.withColumn("z", (F.col("ret") - F.avg("ret").over(w(63))) / F.nullif(F.stddev_pop("ret").over(w(63)), F.lit(0.0)))
-    return x.select("symbol", seconds().alias("ts_s"), skip_code().alias("skip_code"))
+    return features.hurst(x).select("symbol", seconds().alias("ts_s"), skip_code().alias("skip_code"))
 
 
-def skip_code(threshold: float = 0.7, gate_hour: int = 14, shock: float = 2.5):
-    """The first reason not to trade a bar: no prediction, end of day, confidence, ATR, shock."""
-    return F.when(F.col("p").isNull(), 1).when(F.col("nh") >= gate_hour, 2).when(F.greatest("p", 1 - F.col("p")) < threshold, 3).when(F.col("atr14").isNull() | (F.col("atr14") <= 0), 4).when(F.abs("z") > shock, 5).otherwise(0)
+def skip_code(threshold: float = 0.7, gate_hour: int = 14, shock: float = 2.5, hurst: float = 0.45):
+    """The first reason not to trade a bar: no prediction, end of day, confidence, ATR, shock, low Hurst figure."""
+    return F.when(F.col("p").isNull(), 1).when(F.col("nh") >= gate_hour, 2).when(F.greatest("p", 1 - F.col("p")) < threshold, 3).when(F.col("atr14").isNull() | (F.col("atr14") <= 0), 4).when(F.abs("z") > shock, 5).when(F.col("hurst") < hurst, 6).otherwise(0)
 
 
 @query("r3_variant_selection", f"WITH {_LED}, m AS (SELECT hour(ts) AS variant, direction AS sleeve, sum(pnl_r) AS total, count(*) AS n FROM l GROUP BY 1, 2) SELECT sleeve, variant, {r('total', 'total')} FROM m QUALIFY row_number() OVER (PARTITION BY sleeve ORDER BY total DESC, n DESC, variant) = 1")
