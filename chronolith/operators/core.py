@@ -82,6 +82,17 @@ def as_of(left: DataFrame, right: DataFrame, on: str = "ts", visible: str = "clo
     return got.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in lcols], *[F.col(f"__r.{c}").alias(f"{prefix}{c}") for c in values])
 
 
+def on_days(bars: DataFrame, index: DataFrame, *names: str) -> DataFrame:
+    """Bars with the last known value, at their time or before, of index columns that have no symbol.
+
+    Values are carried over the calendar, a row per distinct time and not per bar,
+    and joined by time; the one window is as long as the calendar, whatever the symbols.
+    """
+    calendar = bars.select("ts").distinct().join(index.select("ts", *names), "ts", "full")
+    order = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return bars.join(calendar.select("ts", *[F.last(c, True).over(order).alias(c) for c in names]), "ts", "left")
+
+
 def macro_regime(bars: DataFrame, lookback: int = 3) -> DataFrame:
     """Five bounded figures of the last bars: trend, range position, momentum phase, body regime, volume conviction."""
     win, o = w(lookback), series()

@@ -64,6 +64,33 @@ def qlike(actual: str, pred: str) -> Column:
     return F.avg(F.exp(x) - x - 1)
 
 
+def vol_scores(df: DataFrame, *by: str, actual: str = "actual", pred: str = "ml", har: str = "har", level: float = 0.9) -> DataFrame:
+    """Errors of a volatility forecast, its edge over the plain one, and its interval (``lo``, ``hi``), in one pass."""
+    a, p, h, lo, hi = col(actual), col(pred), col(har), F.col("lo"), F.col("hi")
+    e, eh = a - p, F.when(p.isNotNull(), a - h)
+    loss = lambda x: F.avg(F.exp(clip(x, -10, 10)) - clip(x, -10, 10) - 1)
+    mae, mae_h, alpha = F.avg(F.abs(e)), F.avg(F.abs(eh)), 1 - level
+    edge = lambda x, y: F.when(y > 0, 1 - x / y)
+    known = e.isNotNull() & lo.isNotNull() & hi.isNotNull()
+    inside = F.avg(F.when(known, a.between(lo, hi).cast("double")))
+    score = hi - lo + 2 / alpha * (F.greatest(lo - a, F.lit(0.0)) + F.greatest(a - hi, F.lit(0.0)))
+    return df.groupBy(*by).agg(
+        F.count(e).alias("n"), mae.alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(-e).alias("bias"),
+        mae_h.alias("har_mae"), F.sqrt(F.avg(eh * eh)).alias("har_rmse"), edge(mae, mae_h).alias("edge"),
+        loss(e).alias("qlike"), loss(eh).alias("har_qlike"), edge(loss(e), loss(eh)).alias("qlike_edge"),
+        inside.alias("picp"), F.avg(F.when(known, hi - lo)).alias("mpiw"), F.avg(F.when(known, score)).alias("winkler"), F.abs(inside - level).alias("picp_error"),
+    )
+
+
+def horizon_payload(price: Column, logvol: Column, log_range: Column, up: Column, down: Column, up_width: Column, down_width: Column, suffix: str = "") -> dict[str, Column]:
+    """Prices, percents and basis points that the forecasts of one horizon mean; peak and bottom at the upper interval ends."""
+    parts = {
+        "annualized_vol_pct": F.expm1(logvol) * 100, "range_pct": F.expm1(log_range) * 100, "up_bps": F.expm1(up) * 10000, "dn_bps": F.expm1(down) * 10000,
+        "projected_high": price * F.exp(up), "projected_low": price / F.exp(down), "projected_peak": price * F.exp(up + up_width), "projected_bottom": price / F.exp(down + down_width),
+    }
+    return {f"{k}{suffix}": v for k, v in parts.items()}
+
+
 def huber(actual: str, pred: str, delta: float = 1.0) -> Column:
     e = F.abs(col(actual) - col(pred))
     return F.avg(F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta)))
@@ -80,6 +107,17 @@ def bates_granger(df: DataFrame, actual: str = "actual", ml: str = "ml", har: st
     return g.select("symbol", weight.alias("w_ml"), (1 - weight).alias("w_har"))
 
 
+def forecast_confidence(hourly: Column, index: Column, vov: Column, forecast: Column, mean: Column, deviation: Column) -> dict[str, Column]:
+    """Least of three factors: inputs at hand, steadiness of volatility, distance of the forecast from past ones."""
+    z = F.abs(forecast - mean) / F.greatest(deviation, F.lit(1e-6))
+    parts = {
+        "availability": F.least(F.when(hourly, 1.0).otherwise(0.8), F.when(index, 1.0).otherwise(0.85)),
+        "regime": clip(1 - F.greatest(vov - 1, F.lit(0.0)) / 3, 0.4, 1),
+        "extremity": clip(1 - F.greatest(z - 1.5, F.lit(0.0)) / 3, 0.5, 1),
+    }
+    return parts | {"extremity_z": z, "confidence": F.least(*parts.values())}
+
+
 def decay_weights(order: str = "ts", decay: float = DECAY) -> Column:
     """decay ^ (rows after this one)."""
     return F.pow(F.lit(decay), F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(order))) - 1)

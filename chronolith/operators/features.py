@@ -163,6 +163,39 @@ def companion(x: DataFrame, low: float = 15, mid: float = 25, high: float = 35,
 VIX_KEYS = ("vix_level", "vix_z", "vix_pctrank", "vix_regime", "vix_trend", "vix_shock", "vix_accel", "vix_5d_change", "vix_21d_change", "vix_rv_spread", "vix_rv_ratio", "vix_rv_spread_z", "vix_rv_spread_trend", "vix_distance_from_mean", "vix_halflife_signal", "vix_floor_distance", "vix_contango_proxy")
 
 
+def companion_suite(x: DataFrame, others: tuple[str, str] = ("vix9d", "vix3m")) -> DataFrame:
+    """The companion figures of three indices (columns ``vix_index``, ``<other>_index``) and nine of their curve.
+
+    An index is available to a series that has any value of it. Curve figures are 0
+    where one of their indices isn't available.
+    """
+    short, back = others
+    for p in (short, back, "vix"):
+        x = companion(x.withColumn("vix", F.col(f"{p}_index"))).withColumnsRenamed({k: f"{p}_{k[4:]}" for k in VIX_KEYS})
+        x = x.withColumn(f"{p}_available", F.coalesce(F.max((F.col(f"{p}_index") > EPS).cast("double")).over(whole()), F.lit(0.0)))
+    on = {p: (F.col("vix_available") > 0) & (F.col(f"{p}_available") > 0) for p in others}
+    near, far, span = F.col(f"{short}_level") - F.col("vix_level"), F.col("vix_level") - F.col(f"{back}_level"), F.col(f"{short}_level") - F.col(f"{back}_level")
+    both = on[short] & on[back]
+    masked = lambda value, mask: F.when(mask, value).otherwise(0.0)
+    flag = lambda mask: mask.cast("double")
+    return x.withColumns(
+        {
+            f"{short}_vix_spread": masked(near, on[short]),
+            f"vix_{back}_spread": masked(far, on[back]),
+            f"{short}_{back}_spread": masked(span, both),
+            f"{short}_vix_ratio": masked(F.exp(clip(near, -5, 5)), on[short]),
+            f"vix_{back}_ratio": masked(F.exp(clip(far, -5, 5)), on[back]),
+            "vix_curve_short_inversion": flag(on[short] & (near > 0)),
+            "vix_curve_back_inversion": flag(on[back] & (far > 0)),
+            "vix_curve_full_inversion": flag(both & (near > 0) & (far > 0)),
+            "vix_suite_available": flag(both),
+        }
+    )
+
+
+CURVE_KEYS = ("vix9d_vix_spread", "vix_vix3m_spread", "vix9d_vix3m_spread", "vix9d_vix_ratio", "vix_vix3m_ratio", "vix_curve_short_inversion", "vix_curve_back_inversion", "vix_curve_full_inversion", "vix_suite_available")
+
+
 def hurst(bars: DataFrame, n: int = 100) -> DataFrame:
     """Rescaled range of the n closes before a bar: ln(range of centred sums / deviation) / ln(n), 0.5 where undefined."""
     closes = F.collect_list("close").over(series().rowsBetween(-n, -1))

@@ -11,6 +11,31 @@ from chronolith.operators.core import status_rank
 OHLC = ("open", "high", "low", "close")
 
 
+#: Age beyond which a forecast of a timeframe is stale (fixed values).
+STALE_SECONDS = {"1H": 36 * 3600, "1D": 4 * 86400}
+
+
+def stale_note(age: Column, timeframe: Column) -> Column:
+    """Note on a bar that is ``age`` seconds old, empty where it is fresh or its timeframe has no limit."""
+    limit = F.try_element_at(F.create_map(*[F.lit(v) for kv in STALE_SECONDS.items() for v in kv]), F.upper(timeframe))
+    days, hours, minutes = F.floor(age / 86400), F.floor(age / 3600) % 24, F.floor(age / 60) % 60
+    part = lambda n, unit, on: F.when((n > 0) & on, F.concat(n.cast("string"), F.lit(unit)))
+    text = F.concat_ws(" ", part(days, "d", F.lit(True)), part(hours, "h", F.lit(True)), part(minutes, "m", days == 0))
+    note = F.concat(F.lit("Stale data: latest "), F.upper(timeframe), F.lit(" bar is "), text, F.lit(" old."))
+    return F.when(age > limit, note).otherwise("")
+
+
+def live_gate(ts: Column, basis_z: Column, shock: float = 2.5, hour: int = 14) -> Column:
+    """SHOCK for an extreme basis, else EOD where the next hour is late in the session, else OPEN."""
+    return F.when(F.abs(basis_z) > shock, "SHOCK").when(F.hour(ts + F.expr("interval 1 hours")) >= hour, "EOD").otherwise("OPEN")
+
+
+def modal(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """The most frequent value of each group with its count; the largest of equally frequent ones."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.groupBy(*by).agg(F.max(F.struct("__n", value)).alias("__m")).select(*by, F.col(f"__m.{value}").alias(value), F.col("__m.__n").alias("n"))
+
+
 def audit(bars: DataFrame) -> DataFrame:
     """One quality row a symbol, in one pass."""
     ok = finite("open") & finite("high") & finite("low") & finite("close")

@@ -289,15 +289,23 @@ def _(spark, sf):
     return B.bars_1d(spark, sf).groupBy("symbol").agg(seconds(last - F.expr("interval 180 days")).alias("mark_s"), seconds(last - F.expr("interval 45 days")).alias("hourly_s"))
 
 
-@query("p10_staleness", f"{WH} SELECT symbol, {T}, CASE WHEN TIMESTAMP '2024-02-01' - ts > interval 36 hour THEN 'NO_TRADE' ELSE 'LIVE' END AS verdict, round((epoch(TIMESTAMP '2024-02-01') - epoch(ts)) / 3600.0, 6) + 0.0 AS age_hours FROM h")
+_NOW = {"1H": "2024-02-01 00:20:00", "1D": "1998-11-01 00:20:00"}
+_AGE = f"""SELECT symbol, ts, '1H' AS timeframe, 129600 AS most, epoch(TIMESTAMP '{_NOW['1H']}')::BIGINT - epoch(ts)::BIGINT AS age FROM h UNION ALL SELECT symbol, ts, '1D', 345600, epoch(TIMESTAMP '{_NOW['1D']}')::BIGINT - epoch(ts)::BIGINT FROM d"""
+
+
+@query("p10_staleness", f"""{WH}, {D}, a AS ({_AGE}) SELECT symbol, timeframe, {T}, CASE WHEN age > most THEN 'NO_TRADE' ELSE 'LIVE' END AS verdict,
+    CASE WHEN age > most THEN 'Stale data: latest ' || timeframe || ' bar is ' || concat_ws(' ', CASE WHEN age >= 86400 THEN (age // 86400) || 'd' END, CASE WHEN age // 3600 % 24 > 0 THEN (age // 3600 % 24) || 'h' END, CASE WHEN age < 86400 AND age // 60 % 60 > 0 THEN (age // 60 % 60) || 'm' END) || ' old.' ELSE '' END AS note FROM a""")
 def _(spark, sf):
-    now = F.lit("2024-02-01").cast("timestamp")
-    return B.bars_1h(spark, sf).select("symbol", seconds().alias("ts_s"), F.when(now - F.col("ts") > F.expr("interval 36 hours"), "NO_TRADE").otherwise("LIVE").alias("verdict"), r6((F.unix_timestamp(now) - seconds()) / 3600.0).alias("age_hours"))
+    parts = [x.select("symbol", F.lit(k).alias("timeframe"), seconds().alias("ts_s"), (F.unix_timestamp(F.lit(_NOW[k]).cast("timestamp")) - seconds()).alias("age")) for k, x in (("1H", B.bars_1h(spark, sf)), ("1D", B.bars_1d(spark, sf)))]
+    x = parts[0].unionByName(parts[1]).withColumn("note", quality.stale_note(F.col("age"), F.col("timeframe")))
+    return x.select("symbol", "timeframe", "ts_s", F.when(F.col("note") != "", "NO_TRADE").otherwise("LIVE").alias("verdict"), "note")
 
 
-@query("p17_live_eod_gate", f"{WH} SELECT symbol, {T}, hour(ts + interval 1 hour) >= 14 AS eod FROM h")
+@query("p17_live_eod_gate", f"{WH}, x AS (SELECT *, avg(close) {over(20)} AS m, stddev_pop(close) {over(20)} AS sd FROM h) SELECT symbol, {T}, CASE WHEN abs((close - m) / nullif(sd, 0)) > 2.5 THEN 'SHOCK' WHEN hour(ts + interval 1 hour) >= 14 THEN 'EOD' ELSE 'OPEN' END AS gate FROM x")
 def _(spark, sf):
-    return B.bars_1h(spark, sf).select("symbol", seconds().alias("ts_s"), (F.hour(F.col("ts") + F.expr("interval 1 hours")) >= 14).alias("eod"))
+    z = div(F.col("close") - F.avg("close").over(w(20)), F.stddev_pop("close").over(w(20)))
+    x = B.bars_1h(spark, sf).withColumn("basis_z", z)
+    return x.select("symbol", seconds().alias("ts_s"), quality.live_gate(F.col("ts"), F.col("basis_z")).alias("gate"))
 
 
 @query("p14_sanitize", f"{WD}, o AS ({_ODD}) SELECT symbol, {T}, {r('CASE WHEN open IS NULL OR isnan(open) OR isinf(open) THEN 0 ELSE open END', 'open')}, {r('CASE WHEN high IS NULL OR isnan(high) OR isinf(high) THEN 0 ELSE high END', 'high')} FROM o WHERE day(ts) <> 17")
@@ -354,9 +362,17 @@ def _(spark, sf):
     return bars_columns(quality.session_days(B.bars_1h(spark, sf)))
 
 
-@query("a24_counts_mode_median", f"{WD} SELECT symbol, count(DISTINCT month(ts)) AS months, {r('median(close)', 'median_close')} FROM d GROUP BY 1")
+@query("a24_counts_mode_median", f"{WD}, c AS (SELECT symbol, month(ts)::INT AS month, count(*) AS n FROM d GROUP BY 1, 2), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC, month DESC) = 1) SELECT d.symbol, count(DISTINCT month(ts)) AS months, {r('median(close)', 'median_close')}, any_value(m.month) AS modal_month, any_value(m.n) AS modal_count FROM d JOIN m USING (symbol) GROUP BY 1")
+def _(spark, sf):
+    d = B.bars_1d(spark, sf).withColumn("month", F.month("ts"))
+    g = d.groupBy("symbol").agg(F.countDistinct("month").alias("months"), r6(F.expr("percentile(close, 0.5)")).alias("median_close"))
+    m = quality.modal(d, "month", "symbol")
+    return g.join(m, "symbol").select("symbol", "months", "median_close", F.col("month").alias("modal_month"), F.col("n").alias("modal_count"))
+
+
+@query("a24_value_counts", f"{WD} SELECT symbol, dayofweek(ts)::INT AS weekday, count(*) AS n FROM d GROUP BY 1, 2")
 def _(spark, sf):
-    return B.bars_1d(spark, sf).groupBy("symbol").agg(F.countDistinct(F.month("ts")).alias("months"), r6(F.expr("percentile(close, 0.5)")).alias("median_close"))
+    return B.bars_1d(spark, sf).groupBy("symbol", (F.dayofweek("ts") - 1).alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w, whole
 from chronolith.operators import core, evaluate, features, labels
 from chronolith.plans.base import OV, SQL, T, WD, WH, over, query, r
-from chronolith.plans.features import lim
+from chronolith.plans.features import lim, rv
 from chronolith.sources import bars as B
 
 
@@ -100,12 +100,32 @@ def _(spark, sf):
     return x.select("symbol", "split", "n", *[r6(c).alias(c) for c in ("accuracy", "sure_accuracy", "baseline")], "missing")
 
 
-@query("a18_vol_oos_scoring", f"""{WF}, l AS (SELECT symbol, 'ml' AS target, actual, ml AS pred FROM fc UNION ALL SELECT symbol, 'har', actual, har FROM fc) SELECT target, count(actual) AS n, {r('avg(abs(actual - pred))', 'mae')}, {r('sqrt(avg((actual - pred) ** 2))', 'rmse')}, {r('avg(pred - actual)', 'bias')}, {r('avg(exp(actual - pred) - (actual - pred) - 1)', 'qlike')} FROM l GROUP BY 1""")
+#: The logarithms that the volatility lane forecasts of the next bar.
+TARGETS = {"range": ("high", "low"), "up": ("high", "open"), "down": ("open", "low")}
+
+
+def target_forecasts(spark, sf) -> DataFrame:
+    """As ``forecasts`` for each target; ``symbol`` holds symbol and target."""
+    logs = F.create_map(*[c for k, (a, b) in TARGETS.items() for c in (F.lit(k), F.ln(F.col(a) / F.col(b)))])
+    x = B.bars_1d(spark, sf).select("symbol", "ts", F.explode(logs).alias("target", "x")).withColumn("symbol", F.concat_ws("|", "symbol", "target"))
+    x = x.withColumns({"i": F.row_number().over(series()), "ml": F.avg("x").over(w(5)), "har": F.avg("x").over(w(22)), "actual": F.lead("x").over(series())})
+    return x.where("i >= 22").select("symbol", "target", "ts", "actual", "ml", "har")
+
+
+_TF = " UNION ALL ".join(f"SELECT symbol || '|{k}' AS symbol, ts, ln({a} / {b}) AS x FROM d" for k, (a, b) in TARGETS.items())
+WTF = f"{WD}, t0 AS ({_TF}), t1 AS (SELECT *, row_number() {OV} AS i FROM t0), fc AS (SELECT symbol, ts, lead(x) {OV} AS actual, avg(x) {over(5)} AS ml, avg(x) {over(22)} AS har FROM t1 QUALIFY i >= 22), {CW}"
+_QL = lambda x: f"avg(exp({lim(x, -10, 10)}) - {lim(x, -10, 10)} - 1)"
+
+
+@query("a18_vol_oos_scoring", f"""{WTF}, z AS (SELECT split_part(symbol, '|', 2) AS target, actual, ml, har, ml - low AS lo, ml + high AS hi FROM fc JOIN cw USING (symbol) WHERE level = 0.9 AND actual IS NOT NULL)
+    SELECT target, count(*) AS n, {r('avg(abs(actual - ml))', 'mae')}, {r('sqrt(avg((actual - ml) ** 2))', 'rmse')}, {r('avg(ml - actual)', 'bias')}, {r('avg(abs(actual - har))', 'har_mae')}, {r('sqrt(avg((actual - har) ** 2))', 'har_rmse')}, {r('1 - avg(abs(actual - ml)) / avg(abs(actual - har))', 'edge')},
+    {r(_QL('actual - ml'), 'qlike')}, {r(_QL('actual - har'), 'har_qlike')}, {r('1 - ' + _QL('actual - ml') + ' / ' + _QL('actual - har'), 'qlike_edge')}, {r('avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END)', 'picp')}, {r('avg(hi - lo)', 'mpiw')},
+    {r('avg(hi - lo + CASE WHEN actual < lo THEN 2 / 0.1 * (lo - actual) ELSE 0 END + CASE WHEN actual > hi THEN 2 / 0.1 * (actual - hi) ELSE 0 END)', 'winkler')}, {r('abs(avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END) - 0.9)', 'picp_error')} FROM z GROUP BY 1""")
 def _(spark, sf):
-    f = forecasts(spark, sf)
-    long = f.select("symbol", "actual", F.explode(F.create_map(F.lit("ml"), "ml", F.lit("har"), "har")).alias("target", "pred")).where("actual is not null")
-    g = long.groupBy("target").agg(*evaluate.errors("actual", "pred"), evaluate.qlike("actual", "pred").alias("qlike"))
-    return g.select("target", "n", *[r6(c).alias(c) for c in ("mae", "rmse", "bias", "qlike")])
+    f = target_forecasts(spark, sf)
+    x = f.join(evaluate.conformal(f, pred="ml", levels=(0.9,)), "symbol").withColumns({"lo": F.col("ml") - F.col("low"), "hi": F.col("ml") + F.col("high")})
+    g = evaluate.vol_scores(x, "target")
+    return g.select("target", "n", *[r6(c).alias(c) for c in g.columns[2:]])
 
 
 @query("a20_brier", f"{WD}, {SC} SELECT symbol, {r('avg((p - y) ** 2)', 'raw')}, {r('avg((' + lim('p', .01, .99) + ' - y) ** 2)', 'clipped')} FROM sc WHERE p IS NOT NULL GROUP BY 1")
@@ -269,15 +289,45 @@ def _(spark, sf):
     return both.groupBy("tf").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m16_forecast_confidence", f"{WF} SELECT symbol, {T}, {r(lim('least(1, 1 - abs(ml - har) / (har + 1e-9))', 0, 1), 'confidence')} FROM fc")
+@query("m16_forecast_confidence", f"""{WD}, {rv()}, s AS (SELECT symbol, avg(yz_log) AS mean, stddev_pop(yz_log) AS dev FROM rv GROUP BY 1), x AS (SELECT symbol, ts, least(CASE WHEN day(ts) % 2 = 0 THEN 1 ELSE 0.8 END, CASE WHEN day(ts) % 3 = 0 THEN 1 ELSE 0.85 END) AS a, {lim('1 - greatest(vov - 1, 0) / 3', .4, 1)} AS g, abs(yz_log - mean) / greatest(dev, 1e-6) AS z FROM rv JOIN s USING (symbol)), y AS (SELECT *, {lim('1 - greatest(z - 1.5, 0) / 3', .5, 1)} AS e FROM x)
+    SELECT symbol, {T}, {r('a', 'availability')}, {r('g', 'regime')}, {r('e', 'extremity')}, {r('z', 'extremity_z')}, {r('least(a, g, e)', 'confidence')} FROM y""")
 def _(spark, sf):
-    return forecasts(spark, sf).select("symbol", seconds().alias("ts_s"), r6(clip(F.least(F.lit(1.0), 1 - F.abs(F.col("ml") - F.col("har")) / (F.col("har") + 1e-9)), 0, 1)).alias("confidence"))
+    x = features.volatility_surface(B.bars_1d(spark, sf))
+    past = x.groupBy("symbol").agg(F.avg("yz_log").alias("mean"), F.stddev_pop("yz_log").alias("sd"))
+    parts = evaluate.forecast_confidence(F.day("ts") % 2 == 0, F.day("ts") % 3 == 0, F.col("vov"), F.col("yz_log"), F.col("mean"), F.col("sd"))
+    return x.join(past, "symbol").select("symbol", seconds().alias("ts_s"), *[r6(c).alias(n) for n, c in parts.items()])
+
+
+def _digits(name: str) -> int:
+    """Decimals of a payload value: prices and basis points are large."""
+    return 6 if "pct" in name or "ratio" in name else 3
+
+
+def _payload_sql(vol: str, tail: str, suffix: str) -> str:
+    up, down, rng = (f"{n}{tail}" for n in ("up", "down", "rng"))
+    parts = {
+        "annualized_vol_pct": f"(exp({vol}) - 1) * 100", "range_pct": f"(exp({rng}) - 1) * 100", "up_bps": f"(exp({up}) - 1) * 10000", "dn_bps": f"(exp({down}) - 1) * 10000",
+        "projected_high": f"close * exp({up})", "projected_low": f"close / exp({down})", "projected_peak": f"close * exp({up} + up_width)", "projected_bottom": f"close / exp({down} + down_width)",
+    }
+    return ", ".join(f"round(({v})::DOUBLE, {_digits(k)}) + 0.0 AS {k}{suffix}" for k, v in parts.items())
+
+
+_MEANS = ", ".join(f"avg(ln({a} / {b})) {over(n)} AS {k}{n}" for k, a, b in (("rng", "high", "low"), ("up", "high", "open"), ("down", "open", "low")) for n in (5, 22))
 
 
-@query("m17_forecast_payload", f"{WF}, j AS (SELECT fc.*, d.close FROM fc JOIN d ON d.symbol = fc.symbol AND d.ts = fc.ts) SELECT symbol, {T}, {r('close * exp(ml)', 'projected_high')}, {r('close / exp(ml)', 'projected_low')}, round(ml * 10000)::BIGINT AS range_bps FROM j")
+@query("m17_forecast_payload", f"""{WTF}, {rv()}, wd AS (SELECT split_part(symbol, '|', 1) AS symbol, max(high) FILTER (split_part(symbol, '|', 2) = 'up') AS up_width, max(high) FILTER (split_part(symbol, '|', 2) = 'down') AS down_width FROM cw WHERE level = 0.9 GROUP BY 1),
+    mv AS (SELECT symbol, ts, close, {_MEANS} FROM d), y AS (SELECT symbol, ts, yz_log AS vol5, avg(yz_log) {over(5)} AS vol22 FROM rv), j AS (SELECT mv.*, y.vol5, y.vol22, wd.up_width, wd.down_width FROM mv JOIN y ON y.symbol = mv.symbol AND y.ts = mv.ts JOIN wd ON wd.symbol = mv.symbol)
+    SELECT symbol, {T}, {_payload_sql('vol5', '5', '')}, {_payload_sql('vol22', '22', '_5d')}, {r('(exp(vol22) - 1) / greatest(exp(vol5) - 1, 1e-6)', 'vol_5d_1d_ratio')} FROM j""")
 def _(spark, sf):
-    j = forecasts(spark, sf).join(B.bars_1d(spark, sf).select("symbol", "ts", "close"), ["symbol", "ts"])
-    return j.select("symbol", seconds().alias("ts_s"), r6(F.col("close") * F.exp("ml")).alias("projected_high"), r6(F.col("close") / F.exp("ml")).alias("projected_low"), F.round(F.col("ml") * 10000).cast("long").alias("range_bps"))
+    x = features.volatility_surface(B.bars_1d(spark, sf)).withColumn("vol_5d", F.avg("yz_log").over(w(5)))
+    x = x.withColumns({f"{k}_{n}": F.avg(F.ln(F.col(a) / F.col(b))).over(w(n)) for k, (a, b) in TARGETS.items() for n in (5, 22)})
+    widths = evaluate.conformal(target_forecasts(spark, sf), pred="ml", levels=(0.9,)).withColumns({"part": F.element_at(F.split("symbol", r"\|"), -1), "symbol": F.element_at(F.split("symbol", r"\|"), 1)})
+    widths = widths.groupBy("symbol").agg(*[F.max(F.when(F.col("part") == k, F.col("high"))).alias(f"{k}_width") for k in ("up", "down")])
+    x = x.join(widths, "symbol")
+    means = lambda n: [F.col(f"{k}_{n}") for k in TARGETS] + [F.col("up_width"), F.col("down_width")]
+    parts = evaluate.horizon_payload(F.col("close"), F.col("yz_log"), *means(5)) | evaluate.horizon_payload(F.col("close"), F.col("vol_5d"), *means(22), suffix="_5d")
+    parts["vol_5d_1d_ratio"] = F.expm1("vol_5d") / F.greatest(F.expm1("yz_log"), F.lit(1e-6))
+    return x.select("symbol", seconds().alias("ts_s"), *[(F.round(c, _digits(n)) + F.lit(0.0)).alias(n) for n, c in parts.items()])
 
 
 @query("m13_har_ridge")

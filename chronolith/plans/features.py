@@ -163,14 +163,47 @@ def _companion_sql(low=15, mid=25, high=35) -> str:
         "vix_rv_spread_z": f"CASE WHEN i >= 63 THEN {lim(f'(spread - avg(spread) {over(63)}) / ' + sd('spread', 63), -5, 5)} ELSE 0 END", "vix_rv_spread_trend": ratio("spread", 5, 21, 2), "vix_distance_from_mean": f"CASE WHEN i >= 252 THEN {lim('dist', -5, 5)} ELSE 0 END",
         "vix_halflife_signal": f"CASE WHEN i >= 252 THEN {lim('-dist * exp(-abs(dist) / 2)', -3, 3)} ELSE 0 END", "vix_floor_distance": f"CASE WHEN i >= 252 AND max(lv) {over(252)} - min(lv) {over(252)} > 1e-9 THEN {lim(f'(lv - min(lv) {over(252)}) / (max(lv) {over(252)} - min(lv) {over(252)})', 0, 1)} ELSE 0.5 END", "vix_contango_proxy": ratio("lv", 5, 63, 1),
     }
-    return f"""{WD}, {rv()}, {_VIX}, c0 AS (SELECT rv.symbol, rv.ts, rv.i, rv.yz_log, coalesce(v.vix, 0) AS vix FROM rv ASOF LEFT JOIN v ON rv.ts >= v.ts), c1 AS (SELECT *, CASE WHEN vix > 1e-9 THEN ln(vix) ELSE 0 END AS lv FROM c0),
-    c2 AS (SELECT *, lv - yz_log AS spread, CASE WHEN vix > 1e-9 AND lag(vix) {OV} > 1e-9 THEN vix / lag(vix) {OV} - 1 END AS shock, (lv - avg(lv) {over(252)}) / {sd('lv', 252)} AS dist, list(lv) {over(252)} AS ll FROM c1) SELECT symbol, {T}, {', '.join(r(e, n) for n, e in parts.items())} FROM c2"""
+    return f"""{WD}, {rv()}, {_VIX}, {_companion_steps()} SELECT symbol, {T}, {', '.join(r(e, n) for n, e in parts.items())} FROM c2"""
+
+
+def _companion_steps(index: str = "v", tag: str = "c") -> str:
+    return f"""{tag}0 AS (SELECT rv.symbol, rv.ts, rv.i, rv.yz_log, coalesce(v.vix, 0) AS vix FROM rv ASOF LEFT JOIN {index} v ON rv.ts >= v.ts), {tag}1 AS (SELECT *, CASE WHEN vix > 1e-9 THEN ln(vix) ELSE 0 END AS lv FROM {tag}0),
+    {tag}2 AS (SELECT *, lv - yz_log AS spread, CASE WHEN vix > 1e-9 AND lag(vix) {OV} > 1e-9 THEN vix / lag(vix) {OV} - 1 END AS shock, (lv - avg(lv) {over(252)}) / sqrt(greatest(avg(lv * lv) {over(252)} - (avg(lv) {over(252)}) ** 2, 1e-9)) AS dist, list(lv) {over(252)} AS ll FROM {tag}1)"""
 
 
 def with_companion(spark, sf) -> DataFrame:
-    daily = B.bars_1d(spark, sf)
-    v = B.vix(spark, sf).join(F.broadcast(daily.select("symbol").distinct())).withColumnRenamed("ts", "close_ts")
-    return core.as_of(features.volatility_surface(daily), v, prefix="")
+    return core.on_days(features.volatility_surface(B.bars_1d(spark, sf)), B.vix(spark, sf), "vix")
+
+
+def _suite_sql() -> str:
+    """Three indices by order status: all orders, finished ones, open ones."""
+    figures = _companion_sql().rsplit("SELECT symbol, " + T + ", ", 1)[1].rsplit(" FROM c2", 1)[0]
+    parts, outs = [], []
+    for p, cond in (("vix", "true"), ("vix9d", "o_orderstatus = 'F'"), ("vix3m", "o_orderstatus = 'O'")):
+        named = figures.replace(" AS vix_", f" AS {p}_")
+        parts.append(f"i_{p} AS (SELECT date_trunc('day', o_orderdate) AS ts, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*)::DOUBLE / 1e6 AS vix FROM orders WHERE {cond} GROUP BY 1), {_companion_steps(f'i_{p}', p)}, o_{p} AS (SELECT symbol, ts, {named}, (max(vix) OVER (PARTITION BY symbol) > 1e-9)::INT::DOUBLE AS {p}_available, lv AS {p}_lv FROM {p}2)")
+        outs.append(f"o_{p}.* EXCLUDE (symbol, ts, {p}_lv)")
+    s, b, n = "vix9d_lv - vix_lv", "vix_lv - vix3m_lv", "vix9d_lv - vix3m_lv"
+    on_s, on_b = "vix_available > 0 AND vix9d_available > 0", "vix_available > 0 AND vix3m_available > 0"
+    curve = {
+        "vix9d_vix_spread": f"CASE WHEN {on_s} THEN {s} ELSE 0 END", "vix_vix3m_spread": f"CASE WHEN {on_b} THEN {b} ELSE 0 END", "vix9d_vix3m_spread": f"CASE WHEN {on_s} AND {on_b} THEN {n} ELSE 0 END",
+        "vix9d_vix_ratio": f"CASE WHEN {on_s} THEN exp({lim(s, -5, 5)}) ELSE 0 END", "vix_vix3m_ratio": f"CASE WHEN {on_b} THEN exp({lim(b, -5, 5)}) ELSE 0 END",
+        "vix_curve_short_inversion": f"({on_s} AND {s} > 0)::INT", "vix_curve_back_inversion": f"({on_b} AND {b} > 0)::INT", "vix_curve_full_inversion": f"({on_s} AND {on_b} AND {s} > 0 AND {b} > 0)::INT", "vix_suite_available": f"({on_s} AND {on_b})::INT",
+    }
+    return f"{WD}, {rv()}, {', '.join(parts)} SELECT o_vix.symbol, epoch(o_vix.ts)::BIGINT AS ts_s, {', '.join(outs)}, {', '.join(r(e, k) for k, e in curve.items())} FROM o_vix JOIN o_vix9d USING (symbol, ts) JOIN o_vix3m USING (symbol, ts)"
+
+
+@query("f33_vix_suite", _suite_sql())
+def _(spark, sf):
+    o = B.table(spark, sf, "orders").withColumn("ts", F.date_trunc("day", F.col("o_orderdate").cast("timestamp")))
+    # Whole cents: equal sets of orders are to give equal means, whatever the order of their sums.
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    mean = lambda on: F.try_divide(F.sum(F.when(on, cents)).cast("double"), F.count_if(on).cast("double")) / 1e6
+    status = F.col("o_orderstatus")
+    index = o.groupBy("ts").agg(mean(F.lit(True)).alias("vix_index"), mean(status == "F").alias("vix9d_index"), mean(status == "O").alias("vix3m_index"))
+    x = core.on_days(features.volatility_surface(B.bars_1d(spark, sf)), index, "vix_index", "vix9d_index", "vix3m_index")
+    names = [n for p in ("vix", "vix9d", "vix3m") for n in (*[f"{p}_{k[4:]}" for k in features.VIX_KEYS], f"{p}_available")]
+    return rows(features.companion_suite(x), *names, *features.CURVE_KEYS)
 
 
 @query("f30_vix_features", _companion_sql())

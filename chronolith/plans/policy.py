@@ -111,16 +111,6 @@ def _(spark, sf):
     return x.select("symbol", seconds().alias("ts_s"), *[r6(c).alias(c) for c in x.columns[2:]])
 
 
-@query("f33_vix_suite", f"{WD}, v AS (SELECT date_trunc('day', o_orderdate) AS ts, avg(o_totalprice) / 1e4 AS a, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1e4 AS b FROM orders GROUP BY 1), j AS (SELECT d.symbol, d.ts, coalesce(v.a, 0) AS a, coalesce(v.b, 0) AS b FROM d ASOF LEFT JOIN v ON d.ts >= v.ts) SELECT symbol, {T}, {r('a - b', 'spread')}, {r('CASE WHEN b > 0 THEN a / b ELSE 0 END', 'ratio')}, (b > a)::INT AS inverted, (b > 0)::INT AS available FROM j")
-def _(spark, sf):
-    d = B.bars_1d(spark, sf)
-    o = B.table(spark, sf, "orders").withColumn("ts", F.date_trunc("day", F.col("o_orderdate").cast("timestamp")))
-    v = o.groupBy("ts").agg((F.avg("o_totalprice") / 1e4).alias("a"), (F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 1e4).alias("b"))
-    v = v.join(F.broadcast(d.select("symbol").distinct())).withColumnRenamed("ts", "close_ts")
-    x = core.as_of(d.select("symbol", "ts"), v, prefix="").fillna(0.0, ["a", "b"])
-    return x.select("symbol", seconds().alias("ts_s"), r6(F.col("a") - F.col("b")).alias("spread"), r6(F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0)).alias("ratio"), (F.col("b") > F.col("a")).cast("int").alias("inverted"), (F.col("b") > 0).cast("int").alias("available"))
-
-
 # ---- primitives ----------------------------------------------------------------------------------------------------
 
 #: Stop in ATR, horizon in bars and purge in bars of each lane (fixed values).
