@@ -251,9 +251,14 @@ def _(spark, sf):
     return x.select("symbol", seconds().alias("ts_s"), r6("close").alias("close"))
 
 
-@query("i10_quality_upsert", f"{WD} SELECT symbol, {T}, {r('close', 'close')} FROM d QUALIFY row_number() OVER (PARTITION BY symbol, year(ts) ORDER BY ts DESC) = 1")
+@query("i10_quality_upsert", f"""{WD}, a AS (SELECT symbol, month(ts)::INT AS part, 1 AS run, count(*) AS n, CASE WHEN count(*) FILTER (volume < 30) > 10 THEN 'WARN' ELSE 'PASS' END AS status FROM d WHERE year(ts) < 1998 GROUP BY 1, 2),
+    b AS (SELECT symbol, month(ts)::INT AS part, 2 AS run, count(*) AS n, CASE WHEN count(*) FILTER (volume < 30) > 10 THEN 'WARN' ELSE 'PASS' END AS status FROM d WHERE year(ts) >= 1998 GROUP BY 1, 2) SELECT symbol, part, n, status, run FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY symbol, part ORDER BY run DESC) = 1""")
 def _(spark, sf):
-    return rows(sinks.latest(B.bars_1d(spark, sf).withColumn("y", F.year("ts")), ("symbol", "y"), "ts"), "close")
+    d = B.bars_1d(spark, sf)
+    status = F.when(F.count_if(F.col("volume") < 30) > 10, "WARN").otherwise("PASS")
+    run = lambda x, k: x.groupBy("symbol", F.month("ts").alias("part")).agg(F.lit(k).alias("run"), F.count(F.lit(1)).alias("n"), status.alias("status"))
+    x = sinks.upserted(run(d.where("year(ts) < 1998"), 1), run(d.where("year(ts) >= 1998"), 2), ("symbol", "part"), "run")
+    return x.select("symbol", "part", "n", "status", "run")
 
 
 @query("i11_schema_widening", f"{WD} SELECT symbol, {T}, {r('close', 'close')}, CASE WHEN year(ts) >= 2000 THEN month(ts) END AS extra FROM d")

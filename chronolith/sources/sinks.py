@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder (spark.checkpoint.dir); a local one where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronolith-")
+    """A fresh path below the shared folder (spark.checkpoint.dir); a local one only in local mode where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
+    where = where or "file://" + tempfile.mkdtemp(prefix="chronolith-")
     return f"{where.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,6 +40,13 @@ def latest(df: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     return df.withColumn("__k", k).where("__k = 1").drop("__k")
 
 
+def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """A new version of the table with the rows of ``new`` in place of those of equal key and no later ``order``."""
+    path = place(old.sparkSession, "upsert")
+    latest(old.unionByName(new), keys, order).write.parquet(path)
+    return old.sparkSession.read.schema(old.schema).parquet(path)
+
+
 def widened(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both tables under the union of their columns."""
     return old.unionByName(new, allowMissingColumns=True)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import symbols
-from chronolith.operators import core, evaluate, features, holographic, labels, models, smc
+from chronolith.operators import core, evaluate, features, holographic, labels, models, quality, smc
+from chronolith.sources import sinks
 
 
 def series(spark, closes, symbol="S", volume=100.0):
@@ -210,3 +211,35 @@ def test_symbol_parse(spark):
 def test_profit_factor_without_losses_is_infinite(spark):
     x = spark.createDataFrame([("S", i, dt.datetime(2020, 1, 1), 1.0) for i in range(3)], "symbol string, event_id long, ts timestamp, pnl_r double")
     assert evaluate.trade_metrics(x).first().profit_factor == math.inf
+
+
+def test_index_values_are_carried_to_every_symbol(spark):
+    bars = spark.createDataFrame([(s, t) for s in "ST" for t in (1, 5, 9)], "symbol string, ts long")
+    index = spark.createDataFrame([(2, 1.0, None), (5, 2.0, 7.0), (7, None, 8.0)], "ts long, a double, b double")
+    got = {(r.symbol, r.ts): (r.a, r.b) for r in core.on_days(bars, index, "a", "b").collect()}
+    assert got == {(s, t): v for s in "ST" for t, v in ((1, (None, None)), (5, (2.0, 7.0)), (9, (2.0, 8.0)))}
+
+
+def test_suite_masks_the_curve_of_a_missing_index(spark, walk):
+    x = features.volatility_surface(walk).withColumns({"vix_index": F.lit(20.0), "vix9d_index": F.lit(25.0), "vix3m_index": F.lit(None).cast("double")})
+    r = features.companion_suite(x).first()
+    assert (r.vix_available, r.vix9d_available, r.vix3m_available, r.vix_suite_available) == (1.0, 1.0, 0.0, 0.0)
+    assert math.isclose(r.vix9d_vix_ratio, 1.25) and r.vix_curve_short_inversion == 1.0
+    assert r.vix_vix3m_spread == r.vix9d_vix3m_spread == r.vix_vix3m_ratio == r.vix_curve_back_inversion == 0.0
+
+
+def test_stale_notes(spark):
+    x = spark.createDataFrame([(36 * 3600, "1H"), (36 * 3600 + 60, "1h"), (4 * 86400 + 7260, "1D"), (10**9, "1W")], "age long, timeframe string")
+    got = [r[0] for r in x.select(quality.stale_note(F.col("age"), F.col("timeframe"))).collect()]
+    assert got == ["", "Stale data: latest 1H bar is 1d 12h old.", "Stale data: latest 1D bar is 4d 2h old.", ""]
+
+
+def test_modal_takes_the_largest_of_equals(spark):
+    x = spark.createDataFrame([("S", 1), ("S", 1), ("S", 3), ("S", 3), ("S", 2), ("T", None)], "symbol string, v int")
+    assert [tuple(r) for r in quality.modal(x, "v", "symbol").collect()] == [("S", 3, 2)]
+
+
+def test_upsert_replaces_equal_keys_only(spark):
+    old = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0), ("c", 3, 3.0)], "k string, run int, v double")
+    new = spark.createDataFrame([("b", 2, 9.0), ("c", 2, 8.0), ("d", 2, 7.0)], "k string, run int, v double")
+    assert {r.k: r.v for r in sinks.upserted(old, new, ("k",), "run").collect()} == {"a": 1.0, "b": 9.0, "c": 3.0, "d": 7.0}
