@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import bpe, html, mixing, near, quality, rules, secrets, substring, tokens, topk
+from chronolith.llm import bpe, html, mixing, near, phrases, pieces, quality, rules, runs, secrets, substring, tokens, topk
 from chronolith.llm.common import documents
 
 
@@ -57,6 +57,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), least=30, limit=2000, share=80)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")[0], ids=False)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(documents(spark, sf_dir), edit=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for n, f in globals().items() if n.startswith("op") and callable(f)]
     return {f.__name__: f for f in found} | _pipeline()
@@ -97,6 +109,20 @@ x AS (SELECT t.doc_id, len(t.w)::BIGINT AS n_words, length(regexp_replace(t.text
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed >= 0.5 * n_words AS kept FROM x"""
 
 
+_OP11 = """WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k) GROUP BY 1, 2),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(p) = 1 GROUP BY 1),
+f AS (SELECT * FROM g WHERE f >= 30),
+c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+s AS (SELECT c.lang, c.p, a, l.f AS l, r.f AS r, k, (2000000 * a::HUGEINT // (l.f + r.f))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+i AS (SELECT lang, p[j:j + m - 1] AS p, max(f) AS longer FROM (SELECT lang, p, f, m, unnest(range(1, len(p) - m + 2)) AS j FROM f, (VALUES (2), (3)) v(m) WHERE len(p) > m) GROUP BY 1, 2),
+k AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE longer IS NULL OR 100 * longer < 80 * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the whole query: not models, tokenizers, sampling by hash, HTML or spans of patterns."""
-    return {"op3_substring_dedup": _OP3, "op4_top_k": _OP4, "op8_quality_rules": _OP8}
+    return {"op3_substring_dedup": _OP3, "op4_top_k": _OP4, "op8_quality_rules": _OP8, "op11_phrase_collocations": _OP11}

@@ -82,6 +82,18 @@ def split(column: pa.Array) -> Words:
     return Words(data, offsets, start, np.flatnonzero(right) + 1, np.searchsorted(start, offsets))
 
 
+def coded(w: Words) -> tuple[np.ndarray, pa.Array]:
+    """Exact code of each word, and the distinct words by code, as bytes."""
+    size = w.end - w.start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.start] = 1
+    np.add.at(inside, w.end, -1)
+    body = w.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
 def windows(hashes: np.ndarray, length: int, salt: int) -> np.ndarray:
     """Hash of each run of ``length`` consecutive hashes; runs may cross texts, callers mask those."""
     n = len(hashes) - length + 1
