@@ -69,6 +69,7 @@ class Pieces:
         self._supported(lib)
         # A character without a piece gets a number of its own past the vocabulary when it is met; see ``_stranger``.
         self.unknown = lib.unk_id()
+        self.decimal = [str(i) for i in range(n)]
         self.strangers: dict[str, int] = {}
         self.shorter: dict[int, int] = {}
         for p, i in self.ids.items():
@@ -78,15 +79,15 @@ class Pieces:
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.length = {i: len(p) for p, i in self.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first << 20 | second
         self.parts: dict[str, tuple[int, ...]] = {}
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
         body = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else b"" if lib.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         self.byte_ids = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.is_byte = np.array([lib.is_byte(i) for i in range(n)])
-        self.sizes = np.array([len(b) for b in body], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.array([len(b) for b in body], np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.table = np.frombuffer(b"".join(body), np.uint8)
 
     def _supported(self, lib) -> None:
@@ -129,7 +130,7 @@ class Pieces:
         known = self.merged("".join(parts)) == parts
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = known
+        self.pairs[a << 20 | b] = known
         return known
 
     def backtracked(self, text: str) -> list[int]:
@@ -146,7 +147,7 @@ class Pieces:
         while True:
             end = at + length[tok]
             if not failed[end >> 3] >> (end & 7) & 1:
-                known = pairs.get((last, tok))
+                known = pairs.get(last << 20 | tok)
                 if known is None:
                     known = self._compatible(last, tok)
                 if known:
@@ -176,7 +177,8 @@ class Pieces:
                     got += [i] if i < n else [self.byte_ids[b] for b in self.piece[i].encode()]
                 got = parts[part] = tuple(got)
             ids += got
-        return struct.pack(f"<{len(ids)}i", *ids), ",".join(map(str, ids)).encode()
+        decimal = self.decimal
+        return struct.pack(f"<{len(ids)}i", *ids), ",".join([decimal[i] for i in ids]).encode()
 
     def encode(self, text: str) -> tuple[np.ndarray, bytes]:
         """Ids of a text, and the same as decimals joined by commas."""
@@ -214,16 +216,16 @@ class Pieces:
         if (ids == self.unknown).any():
             return self.library.decode(ids.tolist())
         size = self.sizes[ids]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         total = int(ends[-1]) if len(ids) else 0
         # Place of each byte in the table: one up from its forerunner, or at the start of its piece.
-        step = np.ones(total, np.int64)
+        step = np.ones(total, np.int32)
         some = size > 0
         first, begin = (ends - size)[some], self.starts[ids[some]]
         if total:
             step[first] = begin - np.concatenate([[-1], begin[:-1] + size[some][:-1] - 1])
             step[0] = begin[0]
-        raw = self.table[np.cumsum(step)].tobytes()
+        raw = self.table[np.cumsum(step, dtype=np.int32)].tobytes()
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:  # byte pieces that are no character
