@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import r6, seconds, series
-from chronolith.operators.evaluate import folds
+from chronolith.operators import boosting
+from chronolith.operators.boosting import Booster, Fold, Member
+from chronolith.operators.evaluate import folds, inner_validation
 
 X = ("ml", "har", "lag1", "lag2")
 
@@ -77,92 +80,87 @@ def isotonic(df: DataFrame, least: int = 100, past: float = 0.7, distinct: int =
     return out.select("symbol", "ts_s", r6("calibrated").alias("calibrated"))
 
 
-def ensemble(fc: DataFrame) -> DataFrame:
-    """Weighted mean of three boosted forests of different depth, fitted on the first 70 % of each series and applied to the rest."""
-    from pyspark.ml.regression import GBTRegressor
+def shortened(members: tuple[Member, ...], rounds: int, depth: int = 3) -> tuple[Member, ...]:
+    """The members with at most so many rounds and levels, at a rate that makes up for the rounds (0.3 at most)."""
+    return tuple(replace(m, rounds=min(m.rounds, rounds), depth=min(m.depth, depth), rate=min(0.3, m.rate * max(1, m.rounds / rounds))) for m in members)
 
-    x = with_lags(fc).where("actual is not null")
-    x = x.withColumn("place", F.percent_rank().over(series()))
-    vec = VectorAssembler(inputCols=list(X), outputCol="v").transform(x)
-    train, test = vec.where("place < 0.7"), vec.where("place >= 0.7")
-    out = test
-    for k, depth in enumerate((2, 3, 4)):
-        out = GBTRegressor(featuresCol="v", labelCol="actual", predictionCol=f"p{k}", maxDepth=depth, maxIter=5, seed=7).fit(train).transform(out)
-    return out.select("symbol", seconds().alias("ts_s"), r6((F.col("p0") + F.col("p1") + F.col("p2")) / 3).alias("pred"))
-
-
-class Boost:
-    """Boosted stumps on histograms for any loss with gradient and curvature."""
-
-    def __init__(self, grad, rounds: int = 40, rate: float = 0.1, bins: int = 16, least: int = 20):
-        self.grad, self.rounds, self.rate, self.bins, self.least = grad, rounds, rate, bins, least
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boost":
-        self.base = float(np.median(y)) if len(y) else 0.0
-        self.steps = []
-        pred = np.full(len(y), self.base)
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])] if len(y) else []
-        for _ in range(self.rounds if len(y) else 0):
-            g, h = self.grad(y, pred)
-            best = None
-            for j, edges in enumerate(cuts):
-                b = np.searchsorted(edges, x[:, j])
-                gs, hs, n = (np.cumsum(np.bincount(b, v, len(edges) + 1)) for v in (g, h, np.ones(len(y))))
-                gain = gs[:-1] ** 2 / (hs[:-1] + 1) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + 1)
-                gain[(n[:-1] < self.least) | (n[-1] - n[:-1] < self.least)] = -np.inf
-                k = int(gain.argmax()) if len(gain) else -1
-                if k >= 0 and np.isfinite(gain[k]) and (best is None or gain[k] > best[0]):
-                    best = (gain[k], j, edges[k], -gs[k] / (hs[k] + 1), -(gs[-1] - gs[k]) / (hs[-1] - hs[k] + 1))
-            if best is None:
-                break
-            _, j, edge, low, high = best
-            self.steps.append((j, edge, self.rate * low, self.rate * high))
-            pred = pred + np.where(x[:, j] <= edge, self.rate * low, self.rate * high)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for j, edge, low, high in self.steps:
-            out += np.where(x[:, j] <= edge, low, high)
-        return out
-
-
-def pinball(alpha: float):
-    return lambda y, p: (np.where(y > p, -alpha, 1 - alpha), np.ones(len(y)))
-
-
-def qlike_grad(y: np.ndarray, p: np.ndarray):
-    e = np.exp(np.clip(y - p, -10, 10))
-    return 1 - e, e
-
-
-def huber_grad(y: np.ndarray, p: np.ndarray, delta: float = 1.0):
-    return np.clip(p - y, -delta, delta), np.ones(len(y))
-
-
-def _per_symbol(fc: DataFrame, losses: dict) -> DataFrame:
-    """One model per symbol and loss, fitted on the first 70 % and applied to the rest."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts")
-        n = int(len(g) * 0.7)
-        x, y = g[list(X)].to_numpy(float), g["actual"].to_numpy(float)
-        out = g.iloc[n:][["symbol", "ts"]].copy()
-        for name, grad in losses.items():
-            out[name] = Boost(grad).fit(x[:n], y[:n]).predict(x[n:]).round(6)
-        return out
+def split(past: float = 0.7, gap: int = 5):
+    """The plan of one fold: the first ``past`` of a series, purged inner validation, applied to the rest."""
 
-    rows = with_lags(fc).where("actual is not null").select("symbol", "ts", "actual", *X)
-    got = rows.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, " + ", ".join(f"{k} double" for k in losses))
-    return got.select("symbol", seconds().alias("ts_s"), *losses)
+    def plan(n: int) -> list[Fold]:
+        a = int(n * past)
+        train, valid = inner_validation(a, gap)
+        return [Fold(train, valid, a, a, n)] if train > 0 else []
+
+    return plan
 
 
-def quantiles(fc: DataFrame, alphas: tuple[float, ...] = (0.4, 0.55, 0.75)) -> DataFrame:
-    return _per_symbol(fc, {f"q{int(a * 100)}": pinball(a) for a in alphas})
+def ensemble(df: DataFrame, features: list[str], target: str, members: tuple[Member, ...] = boosting.ENSEMBLE, weights: tuple[float, ...] | None = None, patience: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(symbol, ts_s, p0, p1, ..., pred), the members' predictions after the first 70 % of each series and their weighted mean; and (symbol, feature, importance), mean split counts."""
+    booster = Booster(members, split(), patience)
+    rows = boosting.blocks(df, features, target, 500)
+    trees = booster.fit(rows)
+    weights = weights or (1.0,) * len(members)
+    pred = sum(F.col(f"p{k}") * (w / sum(weights)) for k, w in enumerate(weights))
+    wide = booster.predict(rows, trees).groupBy("symbol", "ts_s").agg(*[F.max(F.when(F.col("member") == k, F.col("pred"))).alias(f"p{k}") for k in range(len(members))])
+    used = booster.importances(trees, features)
+    return wide.withColumn("pred", pred), used.select("symbol", "feature", F.col("splits").alias("importance"))
 
 
-def custom_objectives(fc: DataFrame) -> DataFrame:
-    return _per_symbol(fc, {"qlike": qlike_grad, "huber": huber_grad})
+def walk_forward(df: DataFrame, features: list[str], target: str, min_train: int = 500, gap: int = 5, share: float = 0.15, most: int = 10, members: tuple[Member, ...] = boosting.ENSEMBLE, patience: int = 60, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The out-of-sample map (symbol, ts_s, fold, pred), the ensemble's mean on each fold's test rows, and importances (symbol, feature, importance) over the folds.
+
+    ``allowed`` (symbol, features) limits a symbol to some features, in all folds.
+    """
+    booster = Booster(members, boosting.expanding(min_train, gap, share, most), patience)
+    rows = boosting.blocks(df, features, target, min_train)
+    if allowed is not None:
+        allowed = allowed.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("fold"), "features")
+    trees = booster.fit(rows, allowed)
+    oos = booster.predict(rows, trees).groupBy("symbol", "ts_s", "fold").agg(F.avg("pred").alias("pred"))
+    used = booster.importances(trees, features).groupBy("symbol", "feature").agg(F.avg("splits").alias("importance"))
+    return oos, used
+
+
+def objectives(df: DataFrame, features: list[str], target: str, losses: tuple[str, ...] = ("qlike", "huber"), members: tuple[Member, ...] = boosting.ENSEMBLE, patience: int = 60) -> DataFrame:
+    """symbol, ts_s and a column for each loss: ensembles whose members all follow that loss, after the first 70 % of each series."""
+    every = tuple(replace(m, loss=x) for x in losses for m in members)
+    booster = Booster(every, split(), patience)
+    rows = boosting.blocks(df, features, target, 500)
+    got = booster.predict(rows, booster.fit(rows))
+    return got.groupBy("symbol", "ts_s").agg(*[F.avg(F.when(F.floor(F.col("member") / len(members)) == k, F.col("pred"))).alias(x) for k, x in enumerate(losses)])
+
+
+def trade_plan(df: DataFrame, features: list[str], target: str = "target", spec: Member = boosting.TRADE_PLAN, gap: int = 10, patience: int = 40) -> DataFrame:
+    """Six quantiles in ATR for bars after the first 70 % of those with the trade's direction: stop (0.40 of the adverse move) and two targets
+    (0.55, 0.75 of the favourable one) up and down. A side with under max(100, min(300, 5 % of the rows)) rows has none; the far target is not below the near one.
+
+    Columns: symbol, ts_s, up_stop_atr, up_tp1_atr, up_tp2_atr, down_stop_atr, down_tp1_atr, down_tp2_atr; those of the other side are null.
+    """
+    alphas = (0.4, 0.55, 0.75)
+    total = df.where(F.col(target).isNotNull()).groupBy("symbol").agg(F.count(F.lit(1)).alias("__n"))
+    need = F.greatest(F.lit(100), F.least(F.lit(300), F.floor(F.col("__n") * 0.05)))
+    sides = None
+    for side, on, moves in (("up", F.col(target) > 0.5, ("long_mae_atr", "long_mfe_atr")), ("down", F.col(target) < 0.5, ("short_mae_atr", "short_mfe_atr"))):
+        for kind, column in zip(("mae", "mfe"), moves):
+            part = df.where(on).select(F.concat_ws("|", "symbol", F.lit(f"{side}_{kind}")).alias("symbol"), "ts", *features, F.col(column).alias("__y"), F.col("symbol").alias("__own"))
+            sides = part if sides is None else sides.unionByName(part)
+    sides = sides.where("__y is not null")
+    enough = sides.groupBy("symbol", F.col("__own")).agg(F.count(F.lit(1)).alias("__k")).join(total.withColumnRenamed("symbol", "__own"), "__own").where(F.col("__k") >= need).select("symbol")
+    rows = boosting.blocks(sides.join(enough, "symbol", "left_semi"), features, "__y", 200)
+
+    def plan(n: int) -> list[Fold]:
+        a = int(n * 0.7)
+        train, valid = inner_validation(a, gap, least=30)
+        return [Fold(train, valid, a, a, n)] if train > 0 else []
+
+    booster = Booster(tuple(replace(spec, alpha=a) for a in alphas), plan, patience)
+    got = booster.predict(rows, booster.fit(rows)).withColumn("kind", F.substring_index("symbol", "|", -1)).withColumn("symbol", F.regexp_extract("symbol", r"^(.*)\|[^|]*$", 1))
+    one = lambda kind, m: F.max(F.when((F.col("kind") == kind) & (F.col("member") == m), F.greatest("pred", F.lit(0.0))))
+    names = {f"{s}_{n}_atr": one(f"{s}_{kind}", m) for s in ("up", "down") for n, kind, m in (("stop", "mae", 0), ("tp1", "mfe", 1), ("tp2", "mfe", 2))}
+    wide = got.groupBy("symbol", "ts_s").agg(*[c.alias(n) for n, c in names.items()])
+    return wide.withColumns({f"{s}_tp2_atr": F.greatest(f"{s}_tp2_atr", f"{s}_tp1_atr") for s in ("up", "down")})
 
 
 def correlation_filter(df: DataFrame, names: list[str], most: float = 0.8) -> list[str]:
@@ -179,22 +177,8 @@ def correlation_filter(df: DataFrame, names: list[str], most: float = 0.8) -> li
     return [c for k, c in enumerate(names) if k not in out]
 
 
-def consensus(fc: DataFrame, budget: int = 2) -> DataFrame:
-    """Features chosen by at least half of the folds, where a fold votes for its strongest correlations with the actual."""
-    x = with_lags(fc).where("actual is not null")
-    n = x.groupBy("symbol").count().agg(F.min("count")).first()[0] or 0
-    plan = folds(n, min(500, max(n // 2, 1)))
-    if not plan:
-        return fc.sparkSession.createDataFrame([], "feature string, votes long")
-    k = F.row_number().over(series()) - 1
-    rows = x.withColumn("k", k).join(F.broadcast(fc.sparkSession.createDataFrame(plan, "fold int, a long, b long")), F.col("k") < F.col("a"))
-    got = rows.groupBy("fold").agg(*[F.abs(F.corr(c, "actual")).alias(c) for c in X])
-    ranked = got.select("fold", F.explode(F.slice(F.sort_array(F.array(*[F.struct(F.coalesce(F.round(c, 9), F.lit(0.0)).alias("s"), F.lit(c).alias("feature")) for c in X]), False), 1, budget)).alias("z"))
-    return ranked.groupBy(F.col("z.feature").alias("feature")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= max(1, int(len(plan) * 0.5)))
-
-
-def walk_forward(fc: DataFrame, purge: int = 5) -> DataFrame:
-    """Out-of-sample predictions: every fold's model sees rows before its test and before the purge gap only."""
+def linear_walk_forward(fc: DataFrame, purge: int = 5) -> DataFrame:
+    """Out-of-sample predictions by least squares: every fold's model sees rows before its test and before the purge gap only."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ts")
@@ -227,22 +211,3 @@ def shadow(ledger: DataFrame, bars: DataFrame, veto: float = 0.45) -> DataFrame:
 
     got = model.transform(known).select("event_id", vector_to_array("probability")[1].alias("p"))
     return ledger.select("event_id").join(got, "event_id", "left").select("event_id", F.coalesce(F.col("p") < veto, F.lit(False)).alias("vetoed"))
-
-
-def probe(fc: DataFrame, top: int = 100, least: int = 300) -> DataFrame:
-    """Features ranked by the mean importance of shallow forests on expanding parts of the series; none with too few rows."""
-    from pyspark.ml.regression import GBTRegressor
-
-    x = with_lags(fc).where("actual is not null")
-    n = x.count()
-    spark = fc.sparkSession
-    if n < least:
-        return spark.createDataFrame([], "feature string, importance double")
-    vec = VectorAssembler(inputCols=list(X), outputCol="v").transform(x.withColumn("place", F.percent_rank().over(series()))).select("v", "actual", "place").cache()
-    total = np.zeros(len(X))
-    for k in range(1, 4):
-        model = GBTRegressor(featuresCol="v", labelCol="actual", maxDepth=3, maxIter=3, seed=7).fit(vec.where(F.col("place") < k / 4))
-        total += model.featureImportances.toArray() / 3
-    vec.unpersist()
-    ranked = sorted(zip(X, total.tolist()), key=lambda p: (-p[1], p[0]))[:top]
-    return spark.createDataFrame([(f, round(v, 6)) for f, v in ranked], "feature string, importance double")

@@ -330,6 +330,10 @@ def _(spark, sf):
     return x.select("symbol", seconds().alias("ts_s"), *[(F.round(c, _digits(n)) + F.lit(0.0)).alias(n) for n, c in parts.items()])
 
 
+#: The six features of the HAR baseline.
+HAR = ("har_d", "har_w", "har_m", "har_l1", "har_l2", "har_jump")
+
+
 @query("m13_har_ridge")
 def _(spark, sf):
     from chronolith.operators import models
@@ -344,25 +348,38 @@ def _(spark, sf):
     return models.isotonic(scored(spark, sf).where("p is not null"))
 
 
+def labelled_lane(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Daily bars with the volatility surface and the direction label, and the names of the features."""
+    d = B.bars_1d(spark, sf)
+    return features.volatility_surface(d).select("symbol", "ts", *features.RV_KEYS).join(labels.labelled(core.atr(d)), ["symbol", "ts"]), list(features.RV_KEYS)
+
+
+#: Rounds of the boosted queries, of trees of three levels; their rates rise in turn. The members' own rounds (500 to 800) and levels are the operators' default.
+ROUNDS = 4
+
+
 @query("m3_boosted_ensemble")
 def _(spark, sf):
-    from chronolith.operators import models
+    from chronolith.operators import boosting, models
 
-    return models.ensemble(forecasts(spark, sf))
+    x, names = labelled_lane(spark, sf)
+    return models.ensemble(x, names, "target", models.shortened(boosting.ENSEMBLE, ROUNDS), patience=3)[0]
 
 
 @query("m4_quantile_models")
 def _(spark, sf):
-    from chronolith.operators import models
+    from chronolith.operators import boosting, models
 
-    return models.quantiles(forecasts(spark, sf))
+    x, names = labelled_lane(spark, sf)
+    return models.trade_plan(x, names, spec=models.shortened((boosting.TRADE_PLAN,), ROUNDS)[0], patience=3)
 
 
 @query("m5_custom_objectives")
 def _(spark, sf):
-    from chronolith.operators import models
+    from chronolith.operators import boosting, models
 
-    return models.custom_objectives(forecasts(spark, sf))
+    x = features.har(features.volatility_surface(B.bars_1d(spark, sf))).join(features.volatility_targets(B.bars_1d(spark, sf)), ["symbol", "ts"])
+    return models.objectives(x, list(HAR), "vol_1d", members=models.shortened(boosting.ENSEMBLE[:2], ROUNDS), patience=3)
 
 
 @query("m6_correlation_filter")
@@ -374,18 +391,27 @@ def _(spark, sf):
     return spark.createDataFrame([(i, c) for i, c in enumerate(keep)], "place int, feature string")
 
 
+def wide_lane(spark, sf) -> tuple[DataFrame, list[str]]:
+    """The daily volatility lane of 89 columns with the next day's targets, and the names of the features."""
+    d = B.bars_1d(spark, sf)
+    x = features.volatility_lane(d, "1D", ("1W", "1M", "3M", "6M", "12M"))
+    return x.join(features.volatility_targets(d), ["symbol", "ts"]), x.columns[2:]
+
+
 @query("m9_consensus_selection")
 def _(spark, sf):
-    from chronolith.operators import models
+    from chronolith.operators import boosting, models, selection
 
-    return models.consensus(forecasts(spark, sf))
+    x, names = wide_lane(spark, sf)
+    return selection.fold_consensus(x, names, ("vol_1d", "range_1d"), 500, 5, 0.1, 8, models.shortened((boosting.PROBE,), 3)[0])
 
 
 @query("m10_walk_forward")
 def _(spark, sf):
-    from chronolith.operators import models
+    from chronolith.operators import boosting, models
 
-    return models.walk_forward(forecasts(spark, sf))
+    x, names = labelled_lane(spark, sf)
+    return models.walk_forward(x, names, "target", members=models.shortened(boosting.ENSEMBLE, ROUNDS), patience=3)[0]
 
 
 @query("m24_shadow_veto")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w
-from chronolith.operators import core, features, holographic, labels, models
+from chronolith.operators import boosting, core, features, holographic, labels, models, selection
 from chronolith.plans.base import OV, T, WD, WH, over, query, r
-from chronolith.plans.evaluate import FC, P, SC, WF, forecasts, scored
+from chronolith.plans.evaluate import FC, P, SC, WF, forecasts, scored, wide_lane
 from chronolith.plans.features import SW, WKF, lim, rows
 from chronolith.plans.more import _replayed
 from chronolith.sources import bars as B
@@ -20,16 +20,20 @@ from chronolith.streaming import bars as X
 
 @query("m7_probe_ranking")
 def _(spark, sf):
-    return models.probe(forecasts(spark, sf))
+    x, names = wide_lane(spark, sf)
+    whole = lambda n: [n]
+    every = x.select("symbol").distinct().select("symbol", F.lit(0).alias("fold"), F.lit(list(range(len(names)))).alias("features"))
+    rank = selection.ranked(x, names, ("vol_1d",), whole, every, models.shortened((boosting.PROBE,), 3)[0])
+    return rank.select("symbol", (F.col("position") + 1).alias("rank"), "feature", "importance")
 
 
 @query("m8_selection_pipeline")
 def _(spark, sf):
-    """Correlation filter, then the probe's ranking, then the fold consensus."""
-    fc = models.with_lags(forecasts(spark, sf)).where("actual is not null")
-    keep = models.correlation_filter(fc, list(models.X), 0.999)
-    ranked = models.probe(forecasts(spark, sf)).where(F.col("feature").isin(keep))
-    return ranked.join(models.consensus(forecasts(spark, sf)).select("feature", "votes"), "feature", "left").select("feature", "importance", F.coalesce("votes", F.lit(0)).cast("long").alias("votes"))
+    """Correlation filter, probe ranking, and a walk-forward on what is left, whose importances cut it to the budget."""
+    x, names = wide_lane(spark, sf)
+    members = models.shortened(boosting.ENSEMBLE[1:2], 2)
+    full = lambda df, allowed: models.walk_forward(df, names, "vol_1d", share=0.1, most=2, members=members, allowed=allowed)[1]
+    return selection.pipeline(x, names, "vol_1d", 500, models.shortened((boosting.PROBE,), 2)[0], full)
 
 
 @query("m12_vol_isotonic")
@@ -164,7 +168,7 @@ def _(spark, sf):
 @query("u1_walk_forward_callable")
 def _(spark, sf):
     """The evaluation takes any function of a forecast frame."""
-    run = lambda f: models.walk_forward(f, purge=24)
+    run = lambda f: models.linear_walk_forward(f, purge=24)
     return run(forecasts(spark, sf)).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -18,6 +18,13 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to the shared folder and read back, which cuts its lineage and survives lost executors."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def appended(df: DataFrame, split: str) -> DataFrame:
     """Rows appended in one write per value of a small column, read back."""
     path = place(df.sparkSession, "append")
