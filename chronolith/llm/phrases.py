@@ -2,10 +2,10 @@
 
 Texts are cut into pieces and words and kept in shards of one language: a dictionary and
 the words' codes, with a gap between pieces. In a shard each word has a bitmap of its
-positions, compressed to the 64-bit blocks that hold a bit. A phrase is extended, depth
-first, by shifting the bitmap of its last positions by one, with a carry between blocks,
-and ANDing the bitmap of the next word; popcount is the shard's count, and the counts of
-all shards are summed by phrase. A gap keeps a phrase inside its piece.
+positions, compressed to the 64-bit blocks that hold a bit. A phrase has a bitmap of its
+first positions; it is extended, depth first, by ANDing the bitmap of the next word shifted
+back by the phrase's length, for all words that may follow at once. Popcount is the shard's
+count, and the counts of all shards are summed by phrase. A gap keeps a phrase inside its piece.
 
 What to extend is pruned for the whole corpus, as no phrase is more frequent than its
 parts: words and pairs, then triples and quadruples of frequent pairs, are counted in a
@@ -41,6 +41,10 @@ LONGEST = 4
 SLOTS = (1 << 20, 1 << 30)
 #: Slots of one slice, the unit in which counters are summed.
 SLICE = 1 << 16
+#: Blocks from which on a word's bitmap is also kept as a plain row.
+WIDE = 2048
+#: Bytes of text in the corpus for one bucket of phrases, whose counts are summed in one go.
+BUCKET_BYTES = 16_000_000
 #: Salts of the final ranking, so that no task sorts a whole language.
 SALTS = 64
 
@@ -204,51 +208,73 @@ def _table(counted: DataFrame, slots: int, least: int) -> bytes:
 
 
 class Bitmaps:
-    """Compressed position bitmaps of the words of a shard: numbers of the 64-bit blocks that hold a bit, and the blocks."""
+    """Position bitmaps of the words of a shard, all shifted back by some places.
 
-    def __init__(self, codes: np.ndarray, of: np.ndarray):
-        """of: for each code whether its bitmap is wanted."""
-        at = np.flatnonzero((codes >= 0) & of[np.maximum(codes, 0)])
-        at = at[np.argsort(codes[at], kind="stable")]
-        code, block = codes[at].astype(np.int64), at >> 6
+    A bitmap is compressed to the numbers of the 64-bit blocks that hold a bit, and these blocks;
+    the bitmaps stand one after another by code. Words with many blocks are also spread to plain rows.
+    """
+
+    def __init__(self, codes: np.ndarray, by_code: np.ndarray, of: np.ndarray, back: int = 0):
+        """by_code: positions with a word in order of code; of: for each code whether its bitmap is wanted. A position less than ``back`` goes."""
+        at = by_code[of[codes[by_code]] & (by_code >= back)]
+        code, at = codes[at], at - back
+        block = at >> 6
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(code) != 0) | (np.diff(block) != 0)
         first = np.flatnonzero(new)
-        self.blocks = block[first].astype(np.int32)
+        self.blocks = block[first]
         self.bits = np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first) if len(at) else np.zeros(0, U)
-        self.bounds = np.searchsorted(code[first], np.arange(len(of) + 1)).tolist()
+        self.bounds = np.searchsorted(code[first], np.arange(len(of) + 1))
+        self.size = np.diff(self.bounds)
+        wide = np.flatnonzero(self.size > WIDE)
+        self.row = np.full(len(of), -1)
+        self.row[wide] = np.arange(len(wide))
+        self.plain = np.zeros((len(wide), (len(codes) >> 6) + 1), U)
+        for k, c in enumerate(wide.tolist()):
+            blocks, bits = self.word(c)
+            self.plain[k, blocks] = bits
 
     def word(self, code: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.bounds[code], self.bounds[code + 1]
         return self.blocks[a:b], self.bits[a:b]
 
-
-def shifted(x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each bit one position on; the last bit of a block goes to the next block."""
-    blocks, bits = x
-    over = np.flatnonzero(bits >> U(63))
-    out = bits << U(1)
-    if not len(over):
-        return blocks, out
-    target = blocks[over] + 1
-    at = np.searchsorted(blocks, target)
-    there = np.append(blocks, -1)[at] == target
-    out[at[there]] |= U(1)
-    return np.insert(blocks, at[~there], target[~there]), np.insert(out, at[~there], U(1))
-
-
-def both(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that two bitmaps share."""
-    if len(x[0]) > len(y[0]):
-        x, y = y, x
-    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
-    bits = np.where(y[0][at] == x[0], x[1] & y[1][at], U(0)) if len(y[0]) else np.zeros(0, U)
+    def met(self, x: tuple[np.ndarray, np.ndarray], codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list]:
+        """Popcounts of a bitmap ANDed with those of some words, and for each word how to get the AND itself.
+
+        room: a row of zeros, one for each block, which is left as it was.
+        """
+        blocks, bits = x
+        counts = np.zeros(len(codes), np.int64)
+        parts: list = [None] * len(codes)
+        wide = self.row[codes]
+        some = np.flatnonzero(wide >= 0)
+        if len(some):
+            both = self.plain[wide[some][:, None], blocks] & bits
+            counts[some] = np.bitwise_count(both).sum(axis=1)
+            for k, row in zip(some.tolist(), both):
+                parts[k] = (blocks, row)
+        some = np.flatnonzero(wide < 0)
+        if len(some):
+            size = self.size[codes[some]]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(self.bounds[codes[some]] - ends + size, size)
+            room[blocks] = bits
+            both = room[self.blocks[at]] & self.bits[at]
+            room[blocks] = 0
+            total = np.concatenate([[0], np.cumsum(np.bitwise_count(both), dtype=np.int64)])
+            counts[some] = total[ends] - total[ends - size]
+            for k, a, b in zip(some.tolist(), (ends - size).tolist(), ends.tolist()):
+                parts[k] = (self.blocks[at[a:b]] if b - a < 64 else (self.blocks, at[a:b]), both[a:b])
+        return counts, parts
+
+
+def held(part: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of a part that ``met`` names, without empty blocks."""
+    blocks, bits = part
+    if isinstance(blocks, tuple):
+        blocks = blocks[0][blocks[1]]
     some = np.flatnonzero(bits)
-    return x[0][: len(bits)][some], bits[some]
-
-
-def popcount(x: tuple[np.ndarray, np.ndarray]) -> int:
-    return int(np.bitwise_count(x[1]).sum())
+    return blocks[some], bits[some]
 
 
 def _children(parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +290,6 @@ def _mined(shard: Shard, pairs: bytes, longer: bytes) -> tuple[list[str], list[i
     two, three, four = shard.linked(pairs)
     three, four = three[_has(longer, shard.keys(three, 3))], four[_has(longer, shard.keys(four, 4))]
     frequent = _has(pairs, _key([shard.hash]))
-    maps = Bitmaps(codes, frequent)
     # The candidates by level: which words may follow a phrase.
     a, b, at = _children(codes[two], codes[two + 1])
     number = np.full(size, -1, np.int64)
@@ -275,34 +300,78 @@ def _mined(shard: Shard, pairs: bytes, longer: bytes) -> tuple[list[str], list[i
     four = four[number[four] >= 0]
     triple, d, _ = _children(number[four], codes[four + 3])
     of_word, of_pair, of_triple = (np.searchsorted(x, np.arange(n + 1)).tolist() for x, n in ((a, len(words)), (pair, len(a)), (triple, len(pair))))
-    b, c, d = b.tolist(), c.tolist(), d.tolist()
+    # A phrase's bitmap has its first positions; the bitmap of its k-th word is shifted back by k to meet it.
+    by_code = np.flatnonzero(codes >= 0)
+    by_code = by_code[np.argsort(codes[by_code], kind="stable")]
+    firsts = Bitmaps(codes, by_code, frequent)
+    wanted = np.zeros((3, len(words)), bool)
+    for k, x in enumerate((b, c, d)):
+        wanted[k, x] = True
+    levels = [Bitmaps(codes, by_code, wanted[k], k + 1) for k in range(3)]
+    room = np.zeros((size >> 6) + 1, U)
     phrases, counts = [], []
+
+    def extend(bitmap: tuple[np.ndarray, np.ndarray], text: str, level: int, lo: int, hi: int) -> None:
+        follow = (b, c, d)[level][lo:hi]
+        found, parts = levels[level].met(bitmap, follow, room)
+        below = (of_pair, of_triple)[level] if level < 2 else None
+        for k, (w, n) in enumerate(zip(follow.tolist(), found.tolist())):
+            own = f"{text} {words[w]}"
+            phrases.append(own)
+            counts.append(n)
+            if below and below[lo + k] < below[lo + k + 1]:
+                extend(held(parts[k]), own, level + 1, below[lo + k], below[lo + k + 1])
+
     for w in np.flatnonzero(frequent).tolist():
-        own = maps.word(w)
+        bitmap = firsts.word(w)
         phrases.append(words[w])
-        counts.append(popcount(own))
-        if of_word[w] == of_word[w + 1]:
-            continue
-        ends1 = shifted(own)
-        for p in range(of_word[w], of_word[w + 1]):
-            held2, text2 = both(ends1, maps.word(b[p])), f"{words[w]} {words[b[p]]}"
-            phrases.append(text2)
-            counts.append(popcount(held2))
-            if of_pair[p] == of_pair[p + 1]:
-                continue
-            ends2 = shifted(held2)
-            for t in range(of_pair[p], of_pair[p + 1]):
-                held3, text3 = both(ends2, maps.word(c[t])), f"{text2} {words[c[t]]}"
-                phrases.append(text3)
-                counts.append(popcount(held3))
-                if of_triple[t] < of_triple[t + 1]:
-                    ends3 = shifted(held3)
-                    for q in range(of_triple[t], of_triple[t + 1]):
-                        phrases.append(f"{text3} {words[d[q]]}")
-                        counts.append(popcount(both(ends3, maps.word(d[q]))))
+        counts.append(int(np.bitwise_count(bitmap[1]).sum()))
+        if of_word[w] < of_word[w + 1]:
+            extend(bitmap, words[w], 0, of_word[w], of_word[w + 1])
     return phrases, counts
 
 
+def _packed(lang: str, phrases: list[str], counts: list[int], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of phrases: the phrases in order, a line each, and their counts."""
+    import xxhash
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(3).compress
+    order = sorted(range(len(phrases)), key=phrases.__getitem__)
+    by: dict[int, list[int]] = {}
+    for k in order:
+        by.setdefault(xxhash.xxh64_intdigest(phrases[k]) % buckets, []).append(k)
+    rows = [(k, pack("\n".join([phrases[i] for i in own]).encode()), pack(np.array([counts[i] for i in own], np.int64).tobytes())) for k, own in by.items()]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]], names=["lang", "bucket", "phrases", "counts"])
+
+
+def _totals(least: int):
+    """Sums of the packed counts, which come by language and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, total = None, {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            kept = [(p, n) for p, n in total.items() if n >= least or not p]
+            for k in range(0, len(kept), 50_000):
+                part = kept[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(part), pa.string()), pa.array([p or None for p, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, bucket, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "phrases", "counts"))):
+                if (lang, bucket) != now:
+                    yield from rows()
+                    now, total = (lang, bucket), {}
+                for p, n in zip(unpack(phrases).decode().split("\n"), np.frombuffer(unpack(counts), np.int64).tolist()):
+                    total[p] = total.get(p, 0) + n
+        yield from rows()
+
+    return run
+
+
 # ---- the corpus ----------------------------------------------------------------------------------------------------
 
 
@@ -312,7 +381,7 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     tune(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(max(1 << (max(int(size), 1) // 8).bit_length(), SLOTS[0]), SLOTS[1])
-    held = written(shards(docs), "shards")
+    cut = written(shards(docs), "shards")
 
     def ones_and_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:
@@ -322,7 +391,7 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
 
         return _counters(keys(), slots)
 
-    pairs = spark.sparkContext.broadcast(_table(held.mapInArrow(ones_and_twos, "slice int, packed binary"), slots, least))
+    pairs = spark.sparkContext.broadcast(_table(cut.mapInArrow(ones_and_twos, "slice int, packed binary"), slots, least))
 
     def threes_and_fours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:
@@ -332,19 +401,17 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
 
         return _counters(keys(), slots)
 
-    longer = spark.sparkContext.broadcast(_table(held.mapInArrow(threes_and_fours, "slice int, packed binary"), slots, least))
+    longer = spark.sparkContext.broadcast(_table(cut.mapInArrow(threes_and_fours, "slice int, packed binary"), slots, least))
+
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _each(batches):
             phrases, counts = _mined(s, pairs.value, longer.value)
-            phrases.append(None)
-            counts.append(int((s.codes >= 0).sum()))
-            for k in range(0, len(phrases), 100_000):
-                part = phrases[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([s.lang] * len(part)), pa.array(part, pa.string()), pa.array(counts[k : k + 100_000], pa.int64())], names=["lang", "phrase", "f"])
-
-    found = held.mapInArrow(mine, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= least))
+            yield _packed(s.lang, ["", *phrases], [int((s.codes >= 0).sum()), *counts], buckets)  # the empty phrase counts all words
+
+    found = cut.mapInArrow(mine, "lang string, bucket int, phrases binary, counts binary")
+    return found.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_totals(least), "lang string, phrase string, f long")
 
 
 def _part(words: str, start: Column, length: Column) -> Column:

@@ -80,16 +80,24 @@ def test_phrases_over_small_shards_and_small_tables(spark, monkeypatch):
     assert phrases.collocations(df.limit(0), 5).count() == 0
 
 
-def test_bitmaps_shift_and_meet():
+@pytest.mark.parametrize("wide", [0, 2, 10**6])
+def test_bitmaps_shift_and_meet(monkeypatch, wide):
+    monkeypatch.setattr(phrases, "WIDE", wide)
     g = np.random.default_rng(1)
-    for size in (1, 63, 64, 65, 1000):
-        codes = g.integers(-1, 3, size).astype(np.int32)
-        maps = phrases.Bitmaps(codes, np.array([True, True, False]))
-        at = lambda x: [64 * b + k for b, bits in zip(x[0].tolist(), x[1].tolist()) for k in range(64) if bits >> k & 1]
-        one, two = np.flatnonzero(codes == 0).tolist(), np.flatnonzero(codes == 1).tolist()
-        assert at(maps.word(0)) == one and at(maps.word(2)) == [] and phrases.popcount(maps.word(1)) == len(two)
-        assert at(phrases.shifted(maps.word(0))) == [i + 1 for i in one]
-        assert at(phrases.both(phrases.shifted(maps.word(0)), maps.word(1))) == sorted({i + 1 for i in one} & set(two))
+    at = lambda x: [64 * b + k for b, bits in zip(x[0].tolist(), x[1].tolist()) for k in range(64) if bits >> k & 1]
+    for size in (1, 63, 64, 65, 1000, 9000):
+        codes = g.integers(-1, 4, size).astype(np.int32)
+        place = [np.flatnonzero(codes == c).tolist() for c in range(4)]
+        by_code = np.flatnonzero(codes >= 0)
+        by_code = by_code[np.argsort(codes[by_code], kind="stable")]
+        firsts, second = phrases.Bitmaps(codes, by_code, np.array([True, True, True, False])), phrases.Bitmaps(codes, by_code, np.array([True, True, False, True]), 1)
+        assert at(firsts.word(0)) == place[0] and at(firsts.word(3)) == []
+        assert at(second.word(1)) == [i - 1 for i in place[1] if i]
+        room = np.zeros((size >> 6) + 1, np.uint64)
+        counts, parts = second.met(firsts.word(2), np.array([0, 1, 3]), room)
+        want = [[i for i in place[2] if i + 1 < size and codes[i + 1] == c] for c in (0, 1, 3)]
+        assert counts.tolist() == [len(x) for x in want] and not room.any()
+        assert [at(phrases.held(p)) for p in parts] == want
 
 
 # ---- 12 ------------------------------------------------------------------------------------------------------------
