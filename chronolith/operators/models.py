@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions.exprs import r6, seconds, series
+from chronolith.functions.exprs import clean, r6, seconds, series, whole
 from chronolith.operators import boosting
 from chronolith.operators.boosting import Booster, Fold, Member
 from chronolith.operators.evaluate import folds, inner_validation
@@ -25,27 +26,59 @@ def with_lags(fc: DataFrame) -> DataFrame:
     return fc.withColumns({"lag1": F.coalesce(F.lag("ml").over(o), F.col("ml")), "lag2": F.coalesce(F.lag("har").over(o), F.col("har"))})
 
 
-def har_ridge(fc: DataFrame, alpha: float = 1e-4, least: int = 25) -> DataFrame:
-    """Ridge of the actual on X, per symbol. Sums of products are one distributed aggregation; a 4 x 4 system is solved per symbol."""
-    x = with_lags(fc).where("actual is not null")
-    names = [*X, "actual"]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(names) for b in names[i:]] + [F.sum(a).alias(a) for a in names] + [F.count(F.lit(1)).alias("n")]
-    rows = x.groupBy("symbol").agg(*sums)
+#: Columns of the ridge: the six HAR features (``features.har``).
+HAR = ("har_d", "har_w", "har_m", "har_l1", "har_l2", "har_jump")
 
-    def solve(batches):
+
+def _fold_size(share: float, least: int) -> Column:
+    return F.greatest(F.floor(F.col("n") * share), F.lit(least)).cast("long")
+
+
+def ridge_folds(df: DataFrame, targets: tuple[str, ...], alpha: float = 1e-4, least: int = 25, min_train: int = 500, gap: int = 5, share: float = 0.1, most: int = 8, shortest: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Rows with their number k, their fold and their targets in long form; and the ridge of each (symbol, target, fold): intercept and coefficients.
+
+    Every fold's sums of products come from one aggregation: rows are summed by the stretch between two folds' purged ends,
+    and a fold takes the stretches before its own. The last fold (``most``) is fitted on all rows and answers for rows in no test part.
+    Under ``least`` rows with finite values the answer is the mean of the target, 0 without any.
+    """
+    names = [*HAR, "y"]
+    x = df.withColumn("k", F.row_number().over(series()) - 1).withColumn("n", F.count(F.lit(1)).over(whole()))
+    size = _fold_size(share, 100)
+    x = x.withColumn("size", size)
+    done = F.floor((F.col("k") - min_train) / F.col("size"))
+    end = F.least(F.lit(min_train) + (done + 1) * F.col("size"), F.col("n"))
+    tested = (F.col("k") >= min_train) & (done < most) & (end - (F.lit(min_train) + done * F.col("size")) >= shortest)
+    x = x.withColumn("fold", F.when(tested, done).otherwise(most).cast("int"))
+    x = x.withColumn("part", F.when(F.col("k") < min_train - gap, 0).otherwise(F.least(F.floor((F.col("k") - (min_train - gap)) / F.col("size")) + 1, F.lit(most))).cast("int"))
+    long = x.select("symbol", "ts", "k", "fold", "part", *[clean(F.col(c)).alias(c) for c in HAR], F.explode(F.array(*[F.struct(F.lit(t).alias("target"), clean(F.col(t)).alias("y")) for t in targets])).alias("z")).select("*", "z.target", "z.y").drop("z")
+    known = long.where(" AND ".join(f"{c} IS NOT NULL" for c in names))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = known.groupBy("symbol", "target", "part").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in pairs], *[F.sum(a).alias(a) for a in names], F.count(F.lit(1)).alias("m"))
+    fold = F.explode(F.sequence(F.lit(0), F.lit(most))).alias("fold")
+    every = x.select("symbol").distinct().select("symbol", fold, F.lit(list(targets)).alias("t")).select("symbol", "fold", F.explode("t").alias("target"))
+    values = [f"{a}__{b}" for a, b in pairs] + names + ["m"]
+    upto = every.join(sums, ["symbol", "target"], "left").groupBy("symbol", "target", "fold").agg(*[F.sum(F.when(F.col("part") <= F.col("fold"), F.col(c))).alias(c) for c in values])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             out = []
             for r in g.to_dict("records"):
-                n, mean = r["n"], {a: r[a] / r["n"] for a in names}
-                cov = lambda a, b: r.get(f"{a}__{b}", r.get(f"{b}__{a}")) - n * mean[a] * mean[b]  # noqa: B023, E731
-                if n < least:
-                    beta = np.zeros(len(X))
-                else:
-                    beta = np.linalg.solve(np.array([[cov(a, b) for b in X] for a in X]) + alpha * np.eye(len(X)), np.array([cov(a, "actual") for a in X]))
-                out.append([r["symbol"], n, mean["actual"] - sum(b * mean[a] for a, b in zip(X, beta)), *beta])
-            yield pd.DataFrame(out, columns=["symbol", "n", "intercept", *X])
-
-    return rows.mapInPandas(solve, "symbol string, n long, intercept double, " + ", ".join(f"{c} double" for c in X))
+                n = 0 if r["m"] is None or r["m"] != r["m"] else int(r["m"])
+                mean = {a: r[a] / n if n else 0.0 for a in names}
+                cov = lambda a, b: (r[f"{a}__{b}"] if f"{a}__{b}" in r else r[f"{b}__{a}"]) - n * mean[a] * mean[b]  # noqa: B023, E731
+                beta = np.linalg.solve(np.array([[cov(a, b) for b in HAR] for a in HAR]) + alpha * np.eye(len(HAR)), np.array([cov(a, "y") for a in HAR])) if n >= least else np.zeros(len(HAR))
+                out.append((r["symbol"], r["target"], r["fold"], n, mean["y"], mean["y"] - sum(b * mean[a] for a, b in zip(HAR, beta)), *beta))
+            yield pd.DataFrame(out, columns=["symbol", "target", "fold", "rows", "fallback", "intercept", *[f"b_{c}" for c in HAR]])
+
+    return long, upto.mapInPandas(solve, "symbol string, target string, fold int, rows long, fallback double, intercept double, " + ", ".join(f"b_{c} double" for c in HAR))
+
+
+def har_ridge(df: DataFrame, targets: tuple[str, ...], most: int = 8, **how) -> DataFrame:
+    """symbol, ts_s, target, oos, har: each row by the ridge of the fold that tests it, else by the one on all rows; rows with a missing feature get the fallback."""
+    long, models = ridge_folds(df, targets, most=most, **how)
+    x = long.join(models, ["symbol", "target", "fold"])
+    pred = F.col("intercept") + sum(F.col(c) * F.col(f"b_{c}") for c in HAR)
+    return x.select("symbol", seconds().alias("ts_s"), "target", (F.col("fold") < most).alias("oos"), F.coalesce(pred, F.col("fallback")).alias("har"))
 
 
 def isotonic(df: DataFrame, least: int = 100, past: float = 0.7, distinct: int = 1, low: float = 0.01, high: float = 0.99) -> DataFrame:

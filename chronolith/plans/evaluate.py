@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w, whole
 from chronolith.operators import core, evaluate, features, labels
-from chronolith.plans.base import OV, SQL, T, WD, WH, over, query, r
-from chronolith.plans.features import lim, rv
+from chronolith.plans.base import OV, SQL, T, WD, WH, fore, over, query, r
+from chronolith.plans.features import _HAR, _TGT, lim, rv
 from chronolith.sources import bars as B
 
 
@@ -330,15 +330,41 @@ def _(spark, sf):
     return x.select("symbol", seconds().alias("ts_s"), *[(F.round(c, _digits(n)) + F.lit(0.0)).alias(n) for n, c in parts.items()])
 
 
-#: The six features of the HAR baseline.
-HAR = ("har_d", "har_w", "har_m", "har_l1", "har_l2", "har_jump")
+#: The next day's and the next five days' targets.
+VOL = ("vol_1d", "range_1d", "up_1d", "down_1d", "vol_5d", "range_5d", "up_5d", "down_5d")
+_XY = ["har_d", "har_w", "har_m", "har_l1", "har_l2", "har_jump", "y"]
+_AT = "500 + f * size"
+# Centred sums of products with the target's as last column; alpha on the diagonal. Rows of lists are eliminated one after the other.
+_COV = "[" + ", ".join("[" + ", ".join(f"s{min(i, j)}{max(i, j)} - m * a{i} * a{j}" + (" + 1e-4" if i == j else "") for j in range(7)) + "]" for i in range(6)) + "]"
+_HX = f"""{_HAR}, h0 AS (SELECT symbol, ts, jump_ratio, dd AS har_d, avg(dd) {over(5)} AS har_w, avg(dd) {over(22)} AS har_m, coalesce(lag(dd) {OV}, 0) AS har_l1, coalesce(lag(dd, 2) {OV}, 0) AS har_l2, dd * {lim('jump_ratio', 0, 1)} AS har_jump FROM q),
+{_TGT}, t2 AS (SELECT *, lead(v) {OV} AS v1, lead(high) {OV} AS h1, lead(low) {OV} AS l1, lead(open) {OV} AS o1, count(v) {fore(1, 5)} = 5 AS ok, avg(v) {fore(1, 5)} AS av, max(high) {fore(1, 5)} AS hi, min(low) {fore(1, 5)} AS lo FROM t1),
+t3 AS (SELECT symbol, ts, unnest([{', '.join(f"'{t}'" for t in VOL)}]) AS target, unnest([CASE WHEN v1 IS NOT NULL THEN ln(1 + sqrt(greatest(252 * v1, 1e-6))) END, ln(h1 / l1), ln(h1 / o1), ln(o1 / l1), CASE WHEN ok THEN ln(1 + sqrt(greatest(252 * av, 1e-6))) END, CASE WHEN ok THEN ln(hi / lo) END, CASE WHEN ok THEN ln(hi / o1) END, CASE WHEN ok THEN ln(o1 / lo) END]) AS y FROM t2),
+x0 AS (SELECT h0.*, row_number() {OV} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM h0),
+x AS (SELECT x0.*, target, y, greatest(n // 10, 100) AS size FROM x0 JOIN t3 USING (symbol, ts)),
+fs AS (SELECT DISTINCT symbol, n, size, f FROM x, range(9) r(f)),
+g AS (SELECT x.symbol, target, f, count(*) AS m, {', '.join(f'avg({c}) AS a{i}' for i, c in enumerate(_XY))}, {', '.join(f'sum({_XY[i]} * {_XY[j]}) AS s{i}{j}' for i in range(7) for j in range(i, 7))} FROM x JOIN fs ON fs.symbol = x.symbol WHERE y IS NOT NULL AND (f = 8 OR k < {_AT.replace('size', 'fs.size')} - 5) GROUP BY 1, 2, 3),
+e AS (SELECT symbol, target, f, 0 AS p, {_COV} AS w FROM g WHERE m >= 25 UNION ALL
+  SELECT symbol, target, f, p + 1, list_transform(w, lambda q, i: CASE WHEN i = p + 1 THEN list_transform(q, lambda v: v / w[p + 1][p + 1]) ELSE list_transform(q, lambda v, j: v - q[p + 1] * w[p + 1][j] / w[p + 1][p + 1]) END) FROM e WHERE p < 6),
+c AS (SELECT symbol, target, f, [q[7] FOR q IN w] AS b FROM e WHERE p = 6),
+o AS (SELECT x.*, CASE WHEN k >= 500 AND (k - 500) // size < 8 AND least(500 + ((k - 500) // size + 1) * size, n) - (500 + (k - 500) // size * size) >= 50 THEN (k - 500) // size ELSE 8 END AS f FROM x)"""
+
+
+def volatility_frame(spark, sf) -> DataFrame:
+    """Daily HAR components with the eight volatility targets."""
+    d = B.bars_1d(spark, sf)
+    return features.har(features.volatility_surface(d)).join(features.volatility_targets(d), ["symbol", "ts"])
 
 
-@query("m13_har_ridge")
+@query(
+    "m13_har_ridge",
+    f"""{WD.replace('WITH', 'WITH RECURSIVE', 1)}, {_HX} SELECT o.symbol, {T.replace('ts)', 'o.ts)')}, o.target, o.f < 8 AS oos, {r('coalesce(a6 - ' + ' - '.join(f'coalesce(b[{i + 1}], 0) * a{i}' for i in range(6)) + ' + ' + ' + '.join(f'coalesce(b[{i + 1}], 0) * o.{c}' for i, c in enumerate(_XY[:6])) + ', 0)', 'har')}
+    FROM o LEFT JOIN g ON g.symbol = o.symbol AND g.target = o.target AND g.f = o.f LEFT JOIN c ON c.symbol = o.symbol AND c.target = o.target AND c.f = o.f""",
+)
 def _(spark, sf):
     from chronolith.operators import models
 
-    return models.har_ridge(forecasts(spark, sf))
+    x = models.har_ridge(volatility_frame(spark, sf), VOL)
+    return x.withColumn("har", r6("har"))
 
 
 @query("m11_isotonic")
@@ -378,8 +404,7 @@ def _(spark, sf):
 def _(spark, sf):
     from chronolith.operators import boosting, models
 
-    x = features.har(features.volatility_surface(B.bars_1d(spark, sf))).join(features.volatility_targets(B.bars_1d(spark, sf)), ["symbol", "ts"])
-    return models.objectives(x, list(HAR), "vol_1d", members=models.shortened(boosting.ENSEMBLE[:2], ROUNDS), patience=3)
+    return models.objectives(volatility_frame(spark, sf), list(models.HAR), "vol_1d", members=models.shortened(boosting.ENSEMBLE[:2], ROUNDS), patience=3)
 
 
 @query("m6_correlation_filter")

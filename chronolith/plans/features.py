@@ -246,7 +246,10 @@ def _(spark, sf):
     return B.bars_1d(spark, sf).select("symbol", seconds().alias("ts_s"), *[F.lit(0.0).alias(c) for c in ("basis_pct", "basis_z", "basis_v5", "basis_v10", "eod_momentum")])
 
 
-@query("f39_har_components", f"{WD}, {rv()}, q AS (SELECT symbol, ts, jump_ratio, greatest(exp(yz_log) - 1, 0) ** 2 / 252 AS dd FROM rv) SELECT symbol, {T}, {r('dd * 1e3', 'har_d')}, {r(f'avg(dd) {over(5)} * 1e3', 'har_w')}, {r(f'avg(dd) {over(22)} * 1e3', 'har_m')}, {r(f'coalesce(lag(dd) {OV}, 0) * 1e3', 'har_l1')}, {r(f'coalesce(lag(dd, 2) {OV}, 0) * 1e3', 'har_l2')}, {r('dd * jump_ratio * 1e3', 'har_jump')} FROM q")
+_HAR = f"{rv()}, q AS (SELECT symbol, ts, jump_ratio, greatest(exp(yz_log) - 1, 0) ** 2 / 252 AS dd FROM rv)"
+
+
+@query("f39_har_components", f"{WD}, {_HAR} SELECT symbol, {T}, {r('dd * 1e3', 'har_d')}, {r(f'avg(dd) {over(5)} * 1e3', 'har_w')}, {r(f'avg(dd) {over(22)} * 1e3', 'har_m')}, {r(f'coalesce(lag(dd) {OV}, 0) * 1e3', 'har_l1')}, {r(f'coalesce(lag(dd, 2) {OV}, 0) * 1e3', 'har_l2')}, {r('dd * jump_ratio * 1e3', 'har_jump')} FROM q")
 def _(spark, sf):
     x = features.har(features.volatility_surface(B.bars_1d(spark, sf)))
     return x.select("symbol", seconds().alias("ts_s"), *[r6(F.col(c) * 1e3).alias(c) for c in ("har_d", "har_w", "har_m", "har_l1", "har_l2", "har_jump")])
