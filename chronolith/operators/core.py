@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import EPS, clip, col, div, series, w, whole
+from chronolith.operators import scan
 
 #: Months of the calendar timeframes, and days of the fixed ones.
 MONTHS = {"1M": 1, "3M": 3, "6M": 6, "12M": 12}
@@ -62,18 +63,29 @@ def close_time(bars: DataFrame, timeframe: str) -> DataFrame:
     return bars.withColumn("close_ts", end)
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str = "ts", visible: str = "close_ts", keys: tuple[str, ...] = ("symbol",), tolerance: str | None = None, prefix: str = "r_") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: str = "ts", visible: str = "close_ts", keys: tuple[str, ...] = ("symbol",), tolerance: str | None = None, prefix: str = "r_", unit: str | None = None) -> DataFrame:
     """Left rows with the last right row whose ``visible`` time is at most theirs.
 
     Both sides are dealt once by key and ordered together; right rows stand before
     left rows of equal time, so the match is inclusive. Work is linear in both sides.
+
+    With ``unit`` (year, month, day ...) they are dealt by (key, slice of time): the last right row of
+    each slice is carried to the start of the left's later slices, so that no task is longer than a
+    slice, at the price of reading both sides twice. The rows are the same.
     """
     values = [c for c in right.columns if c not in keys]
-    r = right.select(*keys, F.col(visible).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__r"))
+    cut = F.date_trunc(unit, "__t") if unit else F.lit(0)
+    r = right.select(*keys, F.col(visible).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__r")).withColumn("__s", cut)
     lcols = [c for c in left.columns if c not in keys]
-    le = left.select(*keys, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.struct(*lcols).alias("__l"))
+    le = left.select(*keys, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.struct(*lcols).alias("__l")).withColumn("__s", cut)
     both = le.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    if unit:
+        ends = r.where("__t is not null").groupBy(*keys, "__s").agg(F.max_by("__r", "__t").alias("__r")).withColumn("__side", F.lit(1))
+        starts = le.select(*keys, "__s").distinct().withColumn("__side", F.lit(0))
+        slices = Window.partitionBy(*keys).orderBy("__s", "__side").rowsBetween(Window.unboundedPreceding, 0)
+        entry = starts.unionByName(ends, allowMissingColumns=True).withColumn("__r", F.last("__r", True).over(slices)).where("__side = 0 and __r is not null")
+        both = both.unionByName(entry.select(*keys, "__s", F.col("__s").alias("__t"), F.lit(-1).alias("__side"), "__r"), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, *(("__s",) if unit else ())).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumn("__r", F.last("__r", True).over(order)).where("__side = 1")
     hit = F.col("__r")
     if tolerance:
@@ -85,12 +97,11 @@ def as_of(left: DataFrame, right: DataFrame, on: str = "ts", visible: str = "clo
 def on_days(bars: DataFrame, index: DataFrame, *names: str) -> DataFrame:
     """Bars with the last known value, at their time or before, of index columns that have no symbol.
 
-    Values are carried over the calendar, a row per distinct time and not per bar,
-    and joined by time; the one window is as long as the calendar, whatever the symbols.
+    Values are carried over the calendar, a row per distinct time and not per bar, by
+    months, and joined by time; no task holds more of the calendar than a month.
     """
     calendar = bars.select("ts").distinct().join(index.select("ts", *names), "ts", "full")
-    order = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return bars.join(calendar.select("ts", *[F.last(c, True).over(order).alias(c) for c in names]), "ts", "left")
+    return bars.join(scan.carried(calendar, names, keys=()), "ts", "left")
 
 
 def macro_regime(bars: DataFrame, lookback: int = 3) -> DataFrame:

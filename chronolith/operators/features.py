@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.exprs import EPS, ahead, bound, clip, col, extended, series, share_le, upto, w, whole
+from chronolith.functions.exprs import EPS, ahead, bound, clean, clip, col, series, share_le, upto, w, whole
+from chronolith.operators import scan
+from chronolith.sources import sinks
 
 #: Bars a year of each timeframe on an equity calendar.
 ANNUAL = {"1H": 1512, "1D": 252, "1W": 52, "1M": 12, "3M": 4, "6M": 2, "12M": 1}
@@ -235,33 +237,34 @@ def candle_delta(bars: DataFrame) -> DataFrame:
     return x.withColumn("delta", delta).drop("tw", "bw", "bd", "prev")
 
 
-def kalman(bars: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
-    """Adds kalman (state of the scalar filter on (o h l c)^(1/4)) and regime (close - kalman).
-
-    Each state needs the one before, so it is a grouped map over one series; a
-    measurement that isn't finite repeats the state.
-    """
-    import numpy as np
-    import pandas as pd
+def _gains(q: float, r: float) -> list[float]:
+    """The filter's gains from the second measurement on, which no measurement changes; the last one stays."""
+    out, p = [], 1.0
+    while len(out) < 2 or out[-1] != out[-2]:
+        p += q
+        out.append(p / (p + r))
+        p *= 1 - out[-1]
+        if len(out) > 5000:
+            break
+    return out
 
-    x = bars.withColumn("__m", F.pow(F.col("open") * F.col("high") * F.col("low") * F.col("close"), F.lit(0.25)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        m = rows["__m"].to_numpy(float)
-        out, state, p = np.empty(len(m)), np.nan, 1.0
-        for i, z in enumerate(m):
-            if i == 0:
-                state = z
-            else:
-                p += q
-                k = p / (p + r)
-                state, p = state + k * ((z if np.isfinite(z) else state) - state), (1 - k) * p
-            out[i] = state
-        return rows.drop(columns="__m").assign(kalman=out)
+def kalman(bars: DataFrame, q: float = 1e-3, r: float = 1.0, unit: str = "year") -> DataFrame:
+    """Adds kalman (state of the scalar filter on (o h l c)^(1/4)) and regime (close - kalman).
 
-    got = x.groupBy("symbol").applyInPandas(run, extended(bars, "kalman"))
-    return got.withColumn("regime", F.col("close") - F.col("kalman"))
+    The state starts at the first measurement. The gains don't depend on the measurements, so the
+    state is an affine recurrence, which is scanned by slices of ``unit``. A measurement that isn't
+    finite repeats the state. The bars are stored first, as the scan reads them more than once.
+    """
+    gains = _gains(q, r)
+    m = clean(F.pow(F.col("open") * F.col("high") * F.col("low") * F.col("close"), F.lit(0.25)))
+    x = scan.numbered(sinks.stored(bars.withColumn("__m", m), "bars"), unit)
+    gain = F.element_at(F.lit(gains), F.least(F.greatest("i", F.lit(1)), F.lit(len(gains))).cast("int"))
+    moved = (F.col("i") > 0) & F.col("__m").isNotNull()
+    first = x.where("i = 0").select("symbol", F.col("__m").alias("x"))
+    x = x.withColumn("__k", F.when(moved, gain).otherwise(0.0))
+    got = scan.affine(x, 1 - F.col("__k"), F.col("__k") * F.coalesce("__m", F.lit(0.0)), first, "kalman")
+    return got.select(*bars.columns, "kalman").withColumn("regime", F.col("close") - F.col("kalman"))
 
 
 def with_crossings(bars: DataFrame) -> DataFrame:
@@ -324,30 +327,19 @@ def intraday_summary(bars: DataFrame, session_minutes: float = 390) -> DataFrame
     )
 
 
-def wilder(bars: DataFrame, n: int = 14) -> DataFrame:
+def wilder(bars: DataFrame, n: int = 14, unit: str = "year") -> DataFrame:
     """Wilder's ATR: the mean of true ranges 2 .. n + 1, then a running mean; earlier bars take the first value, short series 1.
 
-    The recursion a = ((n - 1) a + tr) / n is unrolled: with g = ((n - 1) / n), the state is the
-    first value times g^k plus a sum of tr g^(k - j) / n, folded over the ordered series.
+    a = ((n - 1) a + tr) / n is an affine recurrence, scanned by slices of ``unit``.
     """
-    import numpy as np
-    import pandas as pd
-
     from chronolith.operators.core import true_range
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        tr = rows["tr"].to_numpy(float)
-        out = np.ones(len(tr))
-        if len(tr) > n:
-            a = tr[1 : n + 1].mean()
-            out[: n + 1] = a
-            for i in range(n + 1, len(tr)):
-                a = ((n - 1) * a + tr[i]) / n
-                out[i] = a
-        return rows.drop(columns="tr").assign(atr_wilder=out)
-
-    return true_range(bars).groupBy("symbol").applyInPandas(run, extended(bars, "atr_wilder"))
+    x = scan.numbered(sinks.stored(true_range(bars), "bars"), unit)
+    head = x.where(F.col("i") <= n).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.when(F.col("i") > 0, F.col("tr"))).alias("mean"))
+    first = head.select("symbol", F.when(F.col("rows") > n, F.col("mean")).otherwise(1.0).alias("x"))
+    late = F.col("i") > n
+    got = scan.affine(x, F.when(late, (n - 1) / n).otherwise(1.0), F.when(late, F.col("tr") / n).otherwise(0.0), first, "atr_wilder")
+    return got.select(*bars.columns, "atr_wilder")
 
 
 def swing_delta(bars: DataFrame) -> DataFrame:

@@ -85,13 +85,16 @@ for _tf in _PERIOD:
 
     query(f"j1_close_shift_{_tf.lower()}", f"{WD}, {macro_sql(_tf)}, {closed_sql(_tf)} SELECT symbol, {T}, epoch(close_ts)::BIGINT AS close_s FROM mc")(_closed)
 
-    def _mapped(spark, sf, tf=_tf):
+    def _mapped(spark, sf, tf=_tf, unit=None):
         daily = B.bars_1d(spark, sf)
         htf = core.close_time(core.resample(daily, tf), tf).select("symbol", "close_ts", F.col("close").alias("htf_close"))
-        got = core.as_of(daily, htf, prefix="")
+        got = core.as_of(daily, htf, prefix="", unit=unit)
         return got.select("symbol", seconds().alias("ts_s"), r6("close").alias("close"), r6(F.coalesce("htf_close", F.lit(0.0))).alias("htf_close"))
 
-    query(f"j2_asof_{_tf.lower()}", f"{WD}, {macro_sql(_tf)}, {closed_sql(_tf)} SELECT d.symbol, epoch(d.ts)::BIGINT AS ts_s, {r('d.close', 'close')}, {r('coalesce(mc.close, 0)', 'htf_close')} FROM d ASOF LEFT JOIN mc ON d.symbol = mc.symbol AND d.ts >= mc.close_ts")(_mapped)
+    _J2 = f"{WD}, {macro_sql(_tf)}, {closed_sql(_tf)} SELECT d.symbol, epoch(d.ts)::BIGINT AS ts_s, {r('d.close', 'close')}, {r('coalesce(mc.close, 0)', 'htf_close')} FROM d ASOF LEFT JOIN mc ON d.symbol = mc.symbol AND d.ts >= mc.close_ts"
+    query(f"j2_asof_{_tf.lower()}", _J2)(_mapped)
+    # The same by slices of a year, which no task exceeds.
+    query(f"j2_asof_{_tf.lower()}_by_slice", _J2)(lambda spark, sf, f=_mapped: f(spark, sf, unit="year"))
 
 
 @query("j3_asof_closed_count", f"{WD}, {macro_sql('1M')}, {closed_sql('1M')}, k AS (SELECT *, row_number() {OV} AS i, avg(close) {over(3)} AS mean3 FROM mc) SELECT d.symbol, epoch(d.ts)::BIGINT AS ts_s, coalesce(k.i, 0)::BIGINT AS closed, {r('k.mean3', 'mean3')} FROM d ASOF LEFT JOIN k ON d.symbol = k.symbol AND d.ts >= k.close_ts")
