@@ -43,6 +43,8 @@ SLOTS = (1 << 20, 1 << 30)
 SLICE = 1 << 16
 #: Blocks from which on a word's bitmap is also kept as a plain row.
 WIDE = 2048
+#: Next words of a phrase from which on they are met together.
+FEW = 8
 #: Bytes of text in the corpus for one bucket of phrases, whose counts are summed in one go.
 BUCKET_BYTES = 16_000_000
 #: Salts of the final ranking, so that no task sorts a whole language.
@@ -214,7 +216,7 @@ class Bitmaps:
     the bitmaps stand one after another by code. Words with many blocks are also spread to plain rows.
     """
 
-    def __init__(self, codes: np.ndarray, by_code: np.ndarray, of: np.ndarray, back: int = 0):
+    def __init__(self, codes: np.ndarray, by_code: np.ndarray, of: np.ndarray, back: int = 0, wide: int | None = None):
         """by_code: positions with a word in order of code; of: for each code whether its bitmap is wanted. A position less than ``back`` goes."""
         at = by_code[of[codes[by_code]] & (by_code >= back)]
         code, at = codes[at], at - back
@@ -226,10 +228,11 @@ class Bitmaps:
         self.bits = np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first) if len(at) else np.zeros(0, U)
         self.bounds = np.searchsorted(code[first], np.arange(len(of) + 1))
         self.size = np.diff(self.bounds)
-        wide = np.flatnonzero(self.size > WIDE)
+        self.span = (len(codes) >> 6) + 1
+        wide = np.flatnonzero(self.size > (WIDE if wide is None else wide))
         self.row = np.full(len(of), -1)
         self.row[wide] = np.arange(len(wide))
-        self.plain = np.zeros((len(wide), (len(codes) >> 6) + 1), U)
+        self.plain = np.zeros((len(wide), self.span), U)
         for k, c in enumerate(wide.tolist()):
             blocks, bits = self.word(c)
             self.plain[k, blocks] = bits
@@ -238,12 +241,27 @@ class Bitmaps:
         a, b = self.bounds[code], self.bounds[code + 1]
         return self.blocks[a:b], self.bits[a:b]
 
+    def one(self, x: tuple[np.ndarray, np.ndarray], code: int) -> tuple[np.ndarray, np.ndarray]:
+        """A bitmap ANDed with that of one word; blocks may be empty."""
+        if self.row[code] >= 0:
+            return x[0], self.plain[self.row[code]][x[0]] & x[1]
+        y = self.word(code)
+        if len(x[0]) > len(y[0]):
+            x, y = y, x
+        if not len(x[0]):
+            return x
+        at = y[0].searchsorted(x[0])
+        return x[0], np.where(y[0].take(at, mode="clip") == x[0], y[1].take(at, mode="clip") & x[1], U(0))
+
     def met(self, x: tuple[np.ndarray, np.ndarray], codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list]:
         """Popcounts of a bitmap ANDed with those of some words, and for each word how to get the AND itself.
 
         room: a row of zeros, one for each block, which is left as it was.
         """
         blocks, bits = x
+        if len(codes) < FEW:
+            parts = [self.one(x, c) for c in codes.tolist()]
+            return np.array([int(np.bitwise_count(p[1]).sum()) for p in parts]), parts
         counts = np.zeros(len(codes), np.int64)
         parts: list = [None] * len(codes)
         wide = self.row[codes]
@@ -303,7 +321,7 @@ def _mined(shard: Shard, pairs: bytes, longer: bytes) -> tuple[list[str], list[i
     # A phrase's bitmap has its first positions; the bitmap of its k-th word is shifted back by k to meet it.
     by_code = np.flatnonzero(codes >= 0)
     by_code = by_code[np.argsort(codes[by_code], kind="stable")]
-    firsts = Bitmaps(codes, by_code, frequent)
+    firsts = Bitmaps(codes, by_code, frequent, wide=size)  # these are read by word only
     wanted = np.zeros((3, len(words)), bool)
     for k, x in enumerate((b, c, d)):
         wanted[k, x] = True
