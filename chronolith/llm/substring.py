@@ -49,7 +49,7 @@ BLOCK = 8192
 
 def _phrases(w: W.Words, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Phrases of a chunk: text number, first window (word in text), windows, anchor, hash of all words under it."""
-    h = w.hashes()
+    h = W.strong(w)
     at = W.valid_windows(w.first, length)
     if not len(at):
         none = np.zeros(0, np.int64)
@@ -110,7 +110,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iter
     for part in chunks(batches):
         w = W.split(texts(part.column("text")))
         body, start, end = w.data.tobytes(), w.start, w.end
-        names = W.windows(w.hashes(), length, 31).view(np.int64)
+        names = W.windows(W.strong(w), length, 31).view(np.int64)
         ids, keys = part.column("doc_id").to_pylist(), part.column("key").to_pylist()
         out: list[tuple] = []
         size = 0
@@ -155,7 +155,7 @@ def factors(words: pa.Array, block: np.ndarray, doc: np.ndarray, length: int) ->
     w = W.split(words)
     at = W.valid_windows(w.first, length)
     text = np.searchsorted(w.first, at, side="right") - 1
-    name = W.mix(W.windows(w.hashes(), length, 31)[at] + W.mix(block[text].view(W.U), 33), 34)
+    name = W.mix(W.windows(W.strong(w), length, 31)[at] + W.mix(block[text].view(W.U), 33), 34)
     order = np.lexsort((at, name))  # texts stand in order of id, so the first place of a window has the smallest id
     new = np.append(True, name[order][1:] != name[order][:-1]) if len(order) else np.zeros(0, bool)
     first = np.empty(len(order), np.int64)
@@ -234,9 +234,10 @@ def _kept(count: int, found: list, length: int) -> np.ndarray:
     if found:
         a = np.array([x["start"] for x in found])
         b = a + np.array([x["n"] for x in found]) + length - 1
-        inside = b <= count
-        np.add.at(edge, a[inside], 1)
-        np.add.at(edge, b[inside], -1)
+        if (b > count).any():
+            raise ValueError("a span ends beyond its text")
+        np.add.at(edge, a, 1)
+        np.add.at(edge, b, -1)
     return np.cumsum(edge)[:count] == 0
 
 

@@ -94,6 +94,14 @@ def coded(w: Words) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
+def strong(w: Words) -> np.ndarray:
+    """A hash of each word that isn't linear in its bytes: words made to collide under ``hashes`` differ here."""
+    import xxhash
+
+    codes, distinct = coded(w)
+    return np.fromiter((xxhash.xxh64_intdigest(x, 0x5EED) for x in distinct.to_pylist()), U, len(distinct))[codes]
+
+
 def windows(hashes: np.ndarray, length: int, salt: int) -> np.ndarray:
     """Hash of each run of ``length`` consecutive hashes; runs may cross texts, callers mask those."""
     n = len(hashes) - length + 1

@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import phrases, pieces, runs
+from chronolith.llm import phrases, pieces, runs, substring
 
 PIECES = P.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string"
@@ -203,3 +203,17 @@ def test_runs_query_on_rows(spark):
     got = runs.periodic_runs(df, edit=True).drop("n_words", "n_dropped")
     assert collections.Counter(map(tuple, got.collect())) == want
     assert runs.periodic_runs(df.limit(0)).count() == 0
+
+
+# ---- words made to collide -----------------------------------------------------------------------------------------
+
+
+def test_words_that_collide_under_polynomials_stay_apart(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))  # Thue-Morse, 1,024 letters
+    two = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(60)]
+    text = lambda word: " ".join(around[:30] + [word] + around[30:])
+    df = spark.createDataFrame([(1, text(one)), (2, text(two)), (3, text(one))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.deduplicated(df).collect()} == {1: 0, 2: 0, 3: 61}
