@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import EPS, clip, col, div, series, w, whole
+from chronolith.operators import ranks
+from chronolith.sources import sinks
 
 FOLD_SCHEMA = "fold int, train_end long, test_end long"
 LEVELS = (0.8, 0.9, 0.95)
@@ -123,16 +125,27 @@ def decay_weights(order: str = "ts", decay: float = DECAY) -> Column:
     return F.pow(F.lit(decay), F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(order))) - 1)
 
 
-def weighted_quantile(df: DataFrame, value: str, weight: str, q: float, *by: str) -> DataFrame:
-    """Smallest value at which the sorted weights reach q of their sum."""
+def weighted_quantile(df: DataFrame, value: str, weight: str, q: float, *by: str, refined: bool = False) -> DataFrame:
+    """Smallest value at which the sorted weights reach q of their sum; ``refined`` finds it without ordering a key in one task."""
+    if refined:
+        return ranks.weighted_quantiles(df, value, weight, (q,), *by).drop("share")
     up = Window.partitionBy(*by).orderBy(value)
     x = df.where(col(value).isNotNull() & (col(weight) > 0)).withColumn("cum", F.sum(weight).over(up)).withColumn("tot", F.sum(weight).over(Window.partitionBy(*by)))
     return x.where(F.col("cum") >= q * F.col("tot")).groupBy(*by).agg(F.min(value).alias("q"))
 
 
-def conformal(df: DataFrame, actual: str = "actual", pred: str = "pred", levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """Widths below and above the forecast at each level, weighted by decay; a side without residuals takes the symmetric width."""
+def conformal(df: DataFrame, actual: str = "actual", pred: str = "pred", levels: tuple[float, ...] = LEVELS, refined: bool = False) -> DataFrame:
+    """Widths below and above the forecast at each level, weighted by decay; a side without residuals takes the symmetric width.
+
+    ``refined`` finds all widths by refinement of stored residuals, for series too long to be ordered in one task.
+    """
     x = df.where(col(actual).isNotNull() & col(pred).isNotNull()).withColumn("res", col(actual) - col(pred)).withColumn("wt", decay_weights())
+    if refined:
+        sides = F.array_compact(F.array(F.when(F.col("res") < 0, F.lit("low")), F.when(F.col("res") > 0, F.lit("high")), F.lit("sym")))
+        long = sinks.stored(x.select("symbol", F.abs("res").alias("v"), "wt", F.explode(sides).alias("side")), "residuals")
+        got = ranks.weighted_quantiles(long, "v", "wt", levels, "symbol", "side").groupBy("symbol", F.col("share").alias("level"))
+        got = got.agg(*[F.max(F.when(F.col("side") == s, F.col("q"))).alias(s) for s in ("low", "high", "sym")])
+        return got.select("symbol", "level", *[F.coalesce(c, "sym").alias(c) for c in ("low", "high")])
     sides = {"low": x.where("res < 0").withColumn("v", -F.col("res")), "high": x.where("res > 0").withColumn("v", F.col("res")), "sym": x.withColumn("v", F.abs("res"))}
     out = None
     for level in levels:
@@ -156,8 +169,8 @@ def coverage(df: DataFrame, widths: DataFrame, actual: str = "actual", pred: str
 def excursion_coverage(df: DataFrame, qs: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Scale = quantile of actual / pred (clipped to 10), share of actuals under scale * pred, pinball loss; 20 rows at least."""
     x = df.where("actual is not null and pred > 0").withColumn("ratio", clip(F.col("actual") / F.col("pred"), 0, 10))
-    g = x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"percentile(ratio, {q})").alias(f"s{i}") for i, q in enumerate(qs)]).where("n >= 20")
-    scales = g.select("symbol", "n", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"s{i}").alias("scale")) for i, q in enumerate(qs)])).alias("z")).select("symbol", "n", "z.*")
+    x = sinks.stored(x.select("symbol", "actual", "pred", "ratio"), "ratios")
+    scales = ranks.quantiles(x, "ratio", qs, "symbol").where("n >= 20").select("symbol", "n", F.col("share").alias("q"), F.col("q").alias("scale"))
     e = F.col("actual") - F.col("scale") * F.col("pred")
     return x.join(scales.drop("n"), "symbol").groupBy("symbol", "q", "scale").agg(F.count(F.lit(1)).alias("n"), F.avg((e <= 0).cast("double")).alias("coverage"), F.avg(F.greatest(F.col("q") * e, (F.col("q") - 1) * e)).alias("pinball"))
 
@@ -230,3 +243,32 @@ def guardrail(now: DataFrame, base: DataFrame, tolerance: dict[str, float]) -> D
         cases = F.when(F.col("metric") == name, F.lit(t)).otherwise(cases)
     x = base.withColumnRenamed("value", "base").join(now, ["symbol", "metric"], "left")
     return x.withColumn("verdict", F.when(F.col("value").isNull(), "MISSING").when(F.col("value") < F.col("base") - cases, "REGRESSED").otherwise("OK"))
+
+
+def digests(df: DataFrame, *by: str, digits: int = 6) -> DataFrame:
+    """``by``, rows, digest: an identity of the rows of each group that their order doesn't change.
+
+    A row is its columns in order of name as text, floats as integers of so many decimals, null as ~;
+    the digest is the sum of the first 60 bits of its MD5, so that tasks add up their rows.
+    """
+    kinds = dict(df.dtypes)
+    scale = 10**digits
+
+    def text(name: str) -> Column:
+        c = F.col(name)
+        if kinds[name] in ("double", "float"):
+            d = c.cast("double")
+            number = F.round(d * scale).cast("decimal(38,0)").cast("string")
+            c = F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").otherwise(number)
+        return F.coalesce(c.cast("string"), F.lit("~"))
+
+    row = F.concat_ws("|", *[text(c) for c in sorted(df.columns) if c not in by])
+    number = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(number).cast("string").alias("digest"))
+
+
+def identity(now: DataFrame, base: DataFrame, *by: str) -> DataFrame:
+    """Digests against stored ones: SAME RUN, DIFFERENT RUN, or MISSING where one side has no such group."""
+    a, b = now.select(*by, F.col("rows").alias("rows_now"), F.col("digest").alias("now")), base.select(*by, F.col("rows").alias("rows_base"), F.col("digest").alias("base"))
+    status = F.when(F.col("now").isNull() | F.col("base").isNull(), "MISSING").when((F.col("now") == F.col("base")) & (F.col("rows_now") == F.col("rows_base")), "SAME RUN").otherwise("DIFFERENT RUN")
+    return a.join(b, list(by), "full").withColumn("status", status)

@@ -74,15 +74,13 @@ def _(spark, sf):
 @query(
     "f4_rv_htf_layer",
     f"""{WD}, {macro_sql('1W')}, {closed_sql('1W')}, {rv()}, p AS (SELECT symbol, ts, yz_log FROM rv), {rv('mc', 52).replace('lg0', 'wg0').replace('lg ', 'wg ').replace('FROM lg', 'FROM wg').replace('rv', 'wv').replace('wv_', 'rv_')},
-    hh AS (SELECT wv.symbol, mc.close_ts, wv.yz_log, wv.yz_z, wv.vov FROM wv JOIN mc ON mc.symbol = wv.symbol AND mc.ts = wv.ts)
-    SELECT p.symbol, epoch(p.ts)::BIGINT AS ts_s, {r('coalesce(hh.yz_log, 0)', 'w_yz_log')}, {r('coalesce(hh.yz_z, 0)', 'w_yz_z')}, {r('coalesce(hh.vov, 0)', 'w_vov')}, {r(lim('coalesce(hh.yz_log, 0) - p.yz_log', -8, 8), 'rv_term')} FROM p ASOF LEFT JOIN hh ON p.symbol = hh.symbol AND p.ts >= hh.close_ts""",
+    hh AS (SELECT mc.symbol, mc.close_ts, wv.* EXCLUDE (symbol) FROM wv JOIN mc ON mc.symbol = wv.symbol AND mc.ts = wv.ts)
+    SELECT p.symbol, epoch(p.ts)::BIGINT AS ts_s, {', '.join(r(f'coalesce(hh.{c}, 0)', f'rv_1w_{c}') for c in features.RV_KEYS)}, {r(lim('coalesce(hh.yz_log, 0) - p.yz_log', -8, 8), 'rv_term_1w_1d')} FROM p ASOF LEFT JOIN hh ON p.symbol = hh.symbol AND p.ts >= hh.close_ts""",
 )
 def _(spark, sf):
-    daily = B.bars_1d(spark, sf)
-    weekly = features.volatility_surface(core.close_time(core.resample(daily, "1W"), "1W"), annual=52).select("symbol", "close_ts", *[F.col(c).alias(f"w_{c}") for c in ("yz_log", "yz_z", "vov")])
-    got = core.as_of(features.volatility_surface(daily).select("symbol", "ts", "yz_log"), weekly, prefix="")
-    got = got.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("w_yz_log", "w_yz_z", "w_vov")})
-    return rows(got.withColumn("rv_term", clip(F.col("w_yz_log") - F.col("yz_log"), -8, 8)), "w_yz_log", "w_yz_z", "w_vov", "rv_term")
+    """The layer of one higher timeframe in the daily lane: 14 mapped columns and the term spread."""
+    x = features.volatility_lane(B.bars_1d(spark, sf), "1D", ("1W",))
+    return rows(x, *[f"rv_1w_{c}" for c in features.RV_KEYS], "rv_term_1w_1d")
 
 
 @query("f5_rv_lane_1d")

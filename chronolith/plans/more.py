@@ -11,7 +11,7 @@ from chronolith.operators import core, features, holographic, labels
 from chronolith.plans.bars import ATR, closed_sql, macro_sql
 from chronolith.plans.base import OV, T, WD, WH, H, fore, over, query, r
 from chronolith.plans.features import KF, WKF, cols, lim, rows
-from chronolith.sources import bars as B
+from chronolith.sources import artifacts, bars as B
 from chronolith.sources import logs, sinks
 from chronolith.streaming import bars as X
 
@@ -268,16 +268,24 @@ def _(spark, sf):
     return x.select("symbol", seconds().alias("ts_s"), r6("close").alias("close"), "extra")
 
 
-@query("i13_artifacts", f"{WD} SELECT symbol, count(*) AS n, {r('avg(close)', 'mean')} FROM d GROUP BY 1")
+@query("i13_artifacts", f"{WD} SELECT symbol, count(*) AS n, {r('avg(close)', 'mean')}, 2::BIGINT AS version FROM d GROUP BY 1")
 def _(spark, sf):
+    """Saved twice under an old name, moved to the new one, and the latest version read."""
     g = B.bars_1d(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean"))
-    return sinks.json_artifact(g).select("symbol", "n", r6("mean").alias("mean"))
+    store = artifacts.Store(spark, sinks.place(spark, "artifacts"))
+    store.save(g.limit(1), "old/means")
+    version = store.save(g, "old/means", {"unit": "price"})
+    store.migrate({"old/means": "daily/means"})
+    return store.load("daily/means").select("symbol", "n", r6("mean").alias("mean"), F.lit(version).cast("long").alias("version"))
 
 
-@query("i14_json_forecast", "SELECT l_returnflag AS symbol, '{\"n\":' || count(*) || ',\"symbol\":\"' || l_returnflag || '\"}' AS payload FROM lineitem GROUP BY 1")
+@query("i14_json_forecast", """SELECT l_returnflag AS symbol, '{' || chr(10) || '  "bars": ' || count(*) || ',' || chr(10) || '  "horizon": null,' || chr(10) || '  "symbol": "' || l_returnflag || '"' || chr(10) || '}' AS payload FROM lineitem GROUP BY 1""")
 def _(spark, sf):
+    """Forecast files written by symbol and read back."""
     g = B.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("symbol", F.to_json(F.struct("n", "symbol")).alias("payload"))
+    path = sinks.place(spark, "forecasts")
+    g.select("symbol", artifacts.pretty({"symbol": F.col("symbol"), "bars": F.col("n"), "horizon": F.lit(None).cast("double")}).alias("value")).write.partitionBy("symbol").text(path)
+    return spark.read.text(path, wholetext=True).select("symbol", F.rtrim("value", F.lit("\n")).alias("payload"))
 
 
 # ---- streams -------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w
 from chronolith.operators import boosting, core, features, holographic, labels, models, selection
 from chronolith.plans.base import OV, T, WD, WH, over, query, r
-from chronolith.plans.evaluate import FC, P, SC, WF, forecasts, scored, wide_lane
+from chronolith.plans.evaluate import FC, P, SC, VOL, WF, forecasts, scored, volatility_frame, wide_lane
 from chronolith.plans.features import SW, WKF, lim, rows
 from chronolith.plans.more import _replayed
 from chronolith.sources import bars as B
@@ -38,8 +38,12 @@ def _(spark, sf):
 
 @query("m12_vol_isotonic")
 def _(spark, sf):
-    f = forecasts(spark, sf).where("actual is not null")
-    return models.isotonic(f.select("symbol", "ts", F.col("ml").alias("p"), F.col("actual").alias("y")), least=200, distinct=2, low=-np.inf, high=np.inf)
+    """A calibrator for each of the eight targets, from the HAR ridge's forecasts to the actuals."""
+    har = models.har_ridge(volatility_frame(spark, sf), VOL).where("oos")
+    actual = volatility_frame(spark, sf).select("symbol", "ts", seconds().alias("ts_s"), F.explode(F.create_map(*[x for t in VOL for x in (F.lit(t), F.col(t))])).alias("target", "y"))
+    x = har.join(actual, ["symbol", "ts_s", "target"]).where("y is not null")
+    got = models.isotonic(x.select(F.concat_ws("|", "symbol", "target").alias("symbol"), "ts", F.col("har").alias("p"), "y"), least=200, distinct=2, low=-np.inf, high=np.inf)
+    return got.select(F.substring_index("symbol", "|", 1).alias("symbol"), F.substring_index("symbol", "|", -1).alias("target"), "ts_s", "calibrated")
 
 
 # ---- exits and policies --------------------------------------------------------------------------------------------
