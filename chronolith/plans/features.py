@@ -71,12 +71,16 @@ def _(spark, sf):
     return rows(features.volatility_surface(B.bars_1h(spark, sf), annual=1512), *features.RV_KEYS)
 
 
-@query(
-    "f4_rv_htf_layer",
-    f"""{WD}, {macro_sql('1W')}, {closed_sql('1W')}, {rv()}, p AS (SELECT symbol, ts, yz_log FROM rv), {rv('mc', 52).replace('lg0', 'wg0').replace('lg ', 'wg ').replace('FROM lg', 'FROM wg').replace('rv', 'wv').replace('wv_', 'rv_')},
+def layer_sql(tf: str, year: int) -> str:
+    """A higher timeframe's 14 columns as of its last close, and the term spread, on daily bars."""
+    t = tf.lower()
+    above = rv("mc", year).replace("lg0", "wg0").replace("lg ", "wg ").replace("FROM lg", "FROM wg").replace("rv", "wv").replace("wv_", "rv_")
+    return f"""{WD}, {macro_sql(tf)}, {closed_sql(tf)}, {rv()}, p AS (SELECT symbol, ts, yz_log FROM rv), {above},
     hh AS (SELECT mc.symbol, mc.close_ts, wv.* EXCLUDE (symbol) FROM wv JOIN mc ON mc.symbol = wv.symbol AND mc.ts = wv.ts)
-    SELECT p.symbol, epoch(p.ts)::BIGINT AS ts_s, {', '.join(r(f'coalesce(hh.{c}, 0)', f'rv_1w_{c}') for c in features.RV_KEYS)}, {r(lim('coalesce(hh.yz_log, 0) - p.yz_log', -8, 8), 'rv_term_1w_1d')} FROM p ASOF LEFT JOIN hh ON p.symbol = hh.symbol AND p.ts >= hh.close_ts""",
-)
+    SELECT p.symbol, epoch(p.ts)::BIGINT AS ts_s, {', '.join(r(f'coalesce(hh.{c}, 0)', f'rv_{t}_{c}') for c in features.RV_KEYS)}, {r(lim('coalesce(hh.yz_log, 0) - p.yz_log', -8, 8), f'rv_term_{t}_1d')} FROM p ASOF LEFT JOIN hh ON p.symbol = hh.symbol AND p.ts >= hh.close_ts"""
+
+
+@query("f4_rv_htf_layer", layer_sql("1W", 52))
 def _(spark, sf):
     """The layer of one higher timeframe in the daily lane: 14 mapped columns and the term spread."""
     x = features.volatility_lane(B.bars_1d(spark, sf), "1D", ("1W",))

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w
-from chronolith.operators import boosting, core, features, holographic, labels, models, selection
-from chronolith.plans.base import OV, T, WD, WH, over, query, r
+from chronolith.operators import boosting, core, features, holographic, labels, lanes, models, policy, selection
+from chronolith.plans import lanes as lane_plans  # noqa: F401  its SQL is used below
+from chronolith.plans.bars import ATR
+from chronolith.plans.base import OV, SQL, T, WD, WH, over, query, r
 from chronolith.plans.evaluate import FC, P, SC, VOL, WF, forecasts, scored, volatility_frame, wide_lane
-from chronolith.plans.features import SW, WKF, lim, rows
+from chronolith.plans.features import SW, WKF, layer_sql, lim, rows
 from chronolith.plans.more import _replayed
 from chronolith.sources import bars as B
 from chronolith.streaming import bars as X
@@ -62,10 +64,26 @@ def _(spark, sf):
     return B.oos(B.bars_1d(spark, sf)).select("symbol", seconds().alias("ts_s"), bucket.alias("bucket"), found.alias("template"))
 
 
-@query("m20_policy_features", f"{WD}, {_PR}, j AS (SELECT d.*, pr.p, ln(d.close / lag(d.close) OVER (PARTITION BY d.symbol ORDER BY d.ts)) AS ret FROM d JOIN pr ON pr.symbol = d.symbol AND pr.ts = d.ts) SELECT symbol, {T}, {r('greatest(p, 1 - p)', 'confidence')}, {r('abs(p - 0.5) * 2', 'edge')}, (p > 0.5)::INT AS is_long, {r('coalesce(ret, 0)', 'ret')}, {r(f'coalesce(stddev_pop(ret) {over(10)}, 0)', 'vol10')} FROM j")
+# The lanes' own SQL as sub-queries, joined by bar.
+_TERM = lambda tf, year: f"(SELECT symbol, ts_s, rv_term_{tf.lower()}_1d FROM ({layer_sql(tf, year)}))"
+_SIGN = "CASE WHEN p > 0.5 THEN 1.0 ELSE -1.0 END"
+_REC = f"""{WD}, {_PR}, st AS (SELECT symbol, ts_s, kf_regime, kf_bar_delta, kf_swing_accum, kf_net_swing_delta FROM ({SQL['f24_kalman_lane']})), nn AS ({SQL['f26_narrative_lane']}), sf AS (SELECT symbol, ts_s, yz_z, vov, jump_ratio, range_eff FROM ({SQL['f3_rv_surface']})),
+tw AS {_TERM('1W', 52)}, tm AS {_TERM('1M', 12)}, rec AS (SELECT pr.symbol, pr.ts, epoch(pr.ts)::BIGINT AS ts_s, p, greatest(0, least(1, p)) AS policy_prob_up, greatest(0, least(1, 1 - p)) AS policy_prob_down, greatest(p, 1 - p) AS policy_base_confidence, abs(p - 0.5) * 2 AS policy_base_edge, greatest(p, 1 - p) - 0.7 AS policy_gate_margin,
+{_SIGN} AS policy_direction_sign, 0.0 AS policy_basis_z, 0.0 AS policy_basis_z_abs, {', '.join(f'coalesce({c}, 0) AS {n}' for n, c in (policy.FILTER | policy.STORY | policy.SURFACE).items())}, abs(coalesce(kf_regime, 0)) AS policy_abs_kf_regime, {_SIGN} * coalesce(kf_regime, 0) AS policy_signed_kf_regime,
+{_SIGN} * coalesce(nc_regime_accel, 0) AS policy_signed_nc_regime_accel, {_SIGN} * coalesce(nc_cross_tf_sum, 0) AS policy_signed_nc_cross_sum, coalesce(rv_term_1w_1d, 0) AS policy_term_fast, coalesce(rv_term_1m_1d, 0) AS policy_term_slow
+FROM pr LEFT JOIN st ON st.symbol = pr.symbol AND st.ts_s = epoch(pr.ts)::BIGINT LEFT JOIN nn ON nn.symbol = pr.symbol AND nn.ts_s = epoch(pr.ts)::BIGINT LEFT JOIN sf ON sf.symbol = pr.symbol AND sf.ts_s = epoch(pr.ts)::BIGINT
+LEFT JOIN tw ON tw.symbol = pr.symbol AND tw.ts_s = epoch(pr.ts)::BIGINT LEFT JOIN tm ON tm.symbol = pr.symbol AND tm.ts_s = epoch(pr.ts)::BIGINT)"""
+
+
+def policy_record(spark, sf) -> DataFrame:
+    d = B.bars_1d(spark, sf)
+    lane = features.volatility_lane(d, "1D", ("1W", "1M"))
+    return policy.record(B.oos(d), lanes.state(d).select("symbol", "ts", *[F.col(c.removeprefix("kf_")).alias(c) for c in policy.FILTER.values()]), lanes.narrative_lane(d), lane)
+
+
+@query("m20_policy_features", f"{_REC} SELECT symbol, ts_s, {', '.join(r(c, c) for c in policy.RECORD)} FROM rec")
 def _(spark, sf):
-    x = B.bars_1d(spark, sf).join(B.oos(B.bars_1d(spark, sf)), ["symbol", "ts"]).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(series())))
-    return x.select("symbol", seconds().alias("ts_s"), r6(F.greatest("p", 1 - F.col("p"))).alias("confidence"), r6(F.abs(F.col("p") - 0.5) * 2).alias("edge"), (F.col("p") > 0.5).cast("int").alias("is_long"), r6(F.coalesce("ret", F.lit(0.0))).alias("ret"), r6(F.coalesce(F.stddev_pop("ret").over(w(10)), F.lit(0.0))).alias("vol10"))
+    return rows(policy_record(spark, sf), *policy.RECORD)
 
 
 @query("m21_policy_training")
@@ -84,17 +102,42 @@ def _(spark, sf):
     return best.select("symbol", F.col("b.threshold").alias("threshold"), r6("b.equity").alias("equity"), r6("b.avg_r").alias("avg_r"), risk.alias("risk_multiplier"), F.col("b.trades").alias("trades"))
 
 
-@query("m22_policy_application", f"{WD}, {_PR}, a AS (SELECT *, greatest(p, 1 - p) AS c FROM pr) SELECT symbol, {T}, c >= 0.7 AS accepted, {r('CASE WHEN c - 0.7 >= 0.12 THEN 1.25 WHEN c - 0.7 >= 0.05 THEN 1.0 WHEN c >= 0.7 THEN 0.65 ELSE 0 END', 'risk')}, {r(lim('1.5 * c', 0.35, 1.5), 'stop')}, {r(lim('4 * c', 1, 7), 'tp2')} FROM a")
+#: A scorecard and the risk bands of its scores, as a trained policy has them.
+CARD = {"policy_gate_margin": 1.2, "policy_signed_nc_cross_sum": 0.02, "policy_primary_rv_vov": -0.05, "policy_term_fast": 0.03}
+BANDS = ((0.62, 1.25), (0.55, 1.0), (0.0, 0.65))
+_CARD = "0.5" + "".join(f" + {w} * {c}" for c, w in CARD.items())
+_NEXT = f"""n0 AS (SELECT *, CASE WHEN abs(policy_primary_rv_vov) > 2 THEN 0.03 ELSE 0 END + CASE WHEN policy_abs_kf_regime < 0.1 THEN 0.02 ELSE 0 END AS penalty, {lim(_CARD, 0, 1)} AS score FROM rec),
+n1 AS (SELECT *, greatest(0.5, policy_base_confidence - penalty) AS confidence FROM n0), n2 AS (SELECT *, confidence >= 0.7 AS strong, score >= 0.5 AS allowed FROM n1)"""
+_VERDICT = f"{r('score', 'policy_score')}, 0.5::DOUBLE AS policy_threshold, allowed AS policy_allowed, CASE WHEN NOT allowed THEN 0.0 WHEN score >= 0.62 THEN 1.25 WHEN score >= 0.55 THEN 1.0 ELSE 0.65 END::DOUBLE AS policy_risk_mult, strong AND NOT allowed AS policy_filtered, CASE WHEN strong AND allowed THEN 'STRONG' ELSE 'NO_TRADE' END AS signal_strength"
+
+
+def next_bars(spark, sf) -> DataFrame:
+    x = policy_record(spark, sf)
+    x = x.withColumns(policy.next_bar(F.col("policy_prob_up"), None, F.col("policy_primary_rv_vov"), F.col("policy_kf_regime")))
+    return x.withColumns(policy.verdict(policy.scorecard(CARD), 0.5, BANDS, F.col("strong")))
+
+
+@query(
+    "m22_policy_application",
+    f"""{_REC}, {_NEXT}, {ATR}, m AS (SELECT n2.*, atr.close, atr.atr14, CASE WHEN p > 0.5 THEN 1.0 ELSE -1.0 END AS d, CASE WHEN day(n2.ts) % 3 = 0 THEN 'template' WHEN day(n2.ts) % 3 = 1 THEN 'models' ELSE 'plain' END AS note FROM n2 JOIN atr ON atr.symbol = n2.symbol AND atr.ts = n2.ts),
+    v AS (SELECT *, CASE note WHEN 'template' THEN {lim('4 * p', 0.35, 2.5)} WHEN 'models' THEN {lim('2 * p', 0.35, 1.5)} ELSE 1.25 END AS s FROM m), w AS (SELECT *, CASE note WHEN 'template' THEN {lim('9 * p', 0.5, 8)} WHEN 'models' THEN greatest({lim('p', 0.5, 4)}, s) ELSE 1.25 END AS t1 FROM v),
+    z AS (SELECT *, CASE note WHEN 'template' THEN {lim('14 * p', 1, 12)} WHEN 'models' THEN greatest({lim('3 * p', 1, 7)}, t1 + 0.25) ELSE 2.5 END AS t2, CASE note WHEN 'template' THEN {lim('s', 0.3, 4)} WHEN 'models' THEN {lim('s', 0.4, 1.5)} ELSE 1.0 END AS tr FROM w)
+    SELECT symbol, ts_s, {_VERDICT}, {r('close - d * atr14 * s', 'sl')}, {r('close + d * atr14 * t1', 'tp1')}, {r('close + d * atr14 * t2', 'tp2')}, {r('s', 'stop_atr')}, {r('t1', 'tp1_atr')}, {r('t2', 'tp2_atr')}, {r('tr', 'trail_r')}, note FROM z WHERE atr14 > 0""",
+)
 def _(spark, sf):
-    c = F.greatest("p", 1 - F.col("p"))
-    risk = F.when(c - 0.7 >= 0.12, 1.25).when(c - 0.7 >= 0.05, 1.0).when(c >= 0.7, 0.65).otherwise(0.0)
-    return B.oos(B.bars_1d(spark, sf)).select("symbol", seconds().alias("ts_s"), (c >= 0.7).alias("accepted"), r6(risk).alias("risk"), r6(clip(1.5 * c, 0.35, 1.5)).alias("stop"), r6(clip(4 * c, 1, 7)).alias("tp2"))
+    """Every third day has a template, every third models' levels, the others neither."""
+    x = next_bars(spark, sf).join(core.atr(B.bars_1d(spark, sf)).select("symbol", "ts", "close", "atr14"), ["symbol", "ts"]).where("atr14 > 0")
+    on = lambda k, c: F.when(F.day("ts") % 3 == k, c)
+    p = F.col("policy_prob_up")
+    plan = policy.trade_plan(F.col("direction"), F.col("close"), F.col("atr14"), (on(0, 4 * p), on(0, 9 * p), on(0, 14 * p), F.lit(None).cast("double")), (on(1, 2 * p), on(1, p), on(1, 3 * p)))
+    x = x.withColumns(plan)
+    return x.select("symbol", seconds().alias("ts_s"), r6("policy_score").alias("policy_score"), "policy_threshold", "policy_allowed", "policy_risk_mult", "policy_filtered", "signal_strength", *[r6(c).alias(c) for c in plan if c != "note"], "note")
 
 
-@query("m23_next_bar", f"{WD}, {_PR} SELECT symbol, {T}, CASE WHEN p > 0.5 THEN 'LONG' ELSE 'SHORT' END AS direction, {r('greatest(p, 1 - p)', 'confidence')} FROM pr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
+@query("m23_next_bar", f"{_REC}, {_NEXT} SELECT symbol, ts_s, CASE WHEN p > 0.5 THEN 'UP' ELSE 'DOWN' END AS direction, {r('confidence', 'confidence')}, {r('policy_prob_up', 'raw_score')}, {r('policy_prob_up', 'calibrated_score')}, {r('penalty', 'regime_penalty')}, {_VERDICT} FROM n2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_s DESC) = 1")
 def _(spark, sf):
-    last = B.oos(B.bars_1d(spark, sf)).groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("p", "ts").alias("p"))
-    return last.select("symbol", seconds().alias("ts_s"), F.when(F.col("p") > 0.5, "LONG").otherwise("SHORT").alias("direction"), r6(F.greatest("p", 1 - F.col("p"))).alias("confidence"))
+    x = next_bars(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("place = 1")
+    return x.select("symbol", seconds().alias("ts_s"), "direction", *[r6(c).alias(c) for c in ("confidence", "raw_score", "calibrated_score", "regime_penalty", "policy_score")], "policy_threshold", "policy_allowed", "policy_risk_mult", "policy_filtered", "signal_strength")
 
 
 # ---- lanes ---------------------------------------------------------------------------------------------------------
