@@ -106,3 +106,23 @@ def session_days(bars: DataFrame) -> DataFrame:
     s = bars.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.max(F.hour("ts")).alias("slot"))
     usual = s.groupBy("symbol", "slot").agg(F.count(F.lit(1)).alias("c")).groupBy("symbol").agg(F.max(F.struct("c", "slot")).alias("m"))
     return s.join(usual, "symbol").where(F.col("slot") >= F.col("m.slot")).drop("m", "slot").withColumnRenamed("day", "ts")
+
+
+#: Days after which a timeframe is fetched whole again (fixed values).
+CADENCE_DAYS = {"1D": 30, "1H": 7}
+
+
+def refresh_decisions(instruments: DataFrame, bars: DataFrame, quality: DataFrame, now: Column, forced: Column | None = None) -> DataFrame:
+    """symbol, timeframe, full, reason for each instrument (symbol, timeframe): the first of forced, without bars, without quality rows,
+    with a last quality row that failed, or with one as old as the timeframe's cadence; else incremental.
+
+    bars: symbol, timeframe of any stored bar; quality: symbol, timeframe, status, synced_at. A timeframe without a cadence is never due.
+    """
+    keys = ["symbol", "timeframe"]
+    last = quality.groupBy(*keys).agg(F.max_by("status", "synced_at").alias("status"), F.max("synced_at").alias("synced_at"))
+    x = instruments.join(bars.select(*keys).distinct().withColumn("__bars", F.lit(True)), keys, "left").join(last, keys, "left")
+    days = F.try_element_at(F.create_map(*[F.lit(v) for kv in CADENCE_DAYS.items() for v in kv]), F.col("timeframe"))
+    due = F.unix_timestamp(now) - F.unix_timestamp("synced_at") >= days * 86400
+    reason = F.when(forced if forced is not None else F.lit(False), "operator_forced_full_refresh").when(F.col("__bars").isNull(), "bootstrap").when(F.col("synced_at").isNull(), "repair_missing_quality_history")
+    reason = reason.when(F.col("status") == "FAIL", "repair_last_quality_fail").when(due, "scheduled_full_refresh").otherwise("incremental_refresh")
+    return x.select(*keys, (reason != "incremental_refresh").alias("full"), reason.alias("reason"))

@@ -279,11 +279,25 @@ ATR = f"""tr AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) A
 SQL["p7_volatility_gate"] = SQL["p7_volatility_gate"].replace("{ATR}", ATR)
 
 
-@query("p15_refresh_decision", f"{WD} SELECT symbol, count(*) AS rows, CASE WHEN symbol = 'A' THEN 'forced' WHEN count(*) < 500 THEN 'bootstrap' WHEN max(ts) < TIMESTAMP '2001-01-01' THEN 'stale' ELSE 'incremental' END AS reason FROM d GROUP BY 1")
+_LANE = "CASE WHEN l_linestatus = 'F' THEN '1D' ELSE '1H' END AS timeframe"
+_FAR = "(SELECT max(l_shipdate) - interval 20 day FROM lineitem)"
+
+
+@query(
+    "p15_refresh_decision",
+    f"""WITH i AS (SELECT 'S' || s_suppkey AS symbol, timeframe, s_suppkey FROM supplier, (VALUES ('1D'), ('1H')) v(timeframe)), x AS (SELECT 'S' || l_suppkey AS symbol, {_LANE}, * FROM lineitem), b AS (SELECT DISTINCT symbol, timeframe FROM x WHERE l_orderkey % 13 = 0),
+    q AS (SELECT symbol, timeframe, max(l_shipdate) AS at, max_by(CASE WHEN l_quantity > 40 THEN 'FAIL' ELSE 'PASS' END, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS status FROM x WHERE l_orderkey % 29 = 0 GROUP BY 1, 2),
+    d AS (SELECT i.symbol, i.timeframe, CASE WHEN s_suppkey % 17 = 0 THEN 'operator_forced_full_refresh' WHEN b.symbol IS NULL THEN 'bootstrap' WHEN q.at IS NULL THEN 'repair_missing_quality_history' WHEN status = 'FAIL' THEN 'repair_last_quality_fail' WHEN epoch({_FAR}) - epoch(q.at) >= 86400 * CASE WHEN i.timeframe = '1D' THEN 30 ELSE 7 END THEN 'scheduled_full_refresh' ELSE 'incremental_refresh' END AS reason
+      FROM i LEFT JOIN b ON b.symbol = i.symbol AND b.timeframe = i.timeframe LEFT JOIN q ON q.symbol = i.symbol AND q.timeframe = i.timeframe) SELECT symbol, timeframe, reason <> 'incremental_refresh' AS "full", reason FROM d""",
+)
 def _(spark, sf):
-    x = B.bars_1d(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("last"))
-    reason = F.when(F.col("symbol") == "A", "forced").when(F.col("rows") < 500, "bootstrap").when(F.col("last") < F.lit("2001-01-01").cast("timestamp"), "stale").otherwise("incremental")
-    return x.select("symbol", "rows", reason.alias("reason"))
+    """Suppliers as instruments of two timeframes; some lines are their bars, some their quality rows; the clock stands 20 days before the last line."""
+    x = B.table(spark, sf, "lineitem").withColumns({"symbol": F.concat(F.lit("S"), "l_suppkey"), "timeframe": F.when(F.col("l_linestatus") == "F", "1D").otherwise("1H"), "at": F.col("l_shipdate").cast("timestamp")})
+    i = B.table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), "s_suppkey", F.explode(F.array(F.lit("1D"), F.lit("1H"))).alias("timeframe"))
+    last = F.struct("at", "l_orderkey", "l_linenumber", "l_quantity")
+    q = x.where("l_orderkey % 29 = 0").groupBy("symbol", "timeframe").agg(F.max(last).alias("z")).select("symbol", "timeframe", F.when(F.col("z.l_quantity") > 40, "FAIL").otherwise("PASS").alias("status"), F.col("z.at").alias("synced_at"))
+    clock = x.agg((F.max("at") - F.expr("interval 20 days")).alias("now"))  # one row
+    return quality.refresh_decisions(i.join(F.broadcast(clock)), x.where("l_orderkey % 13 = 0"), q, F.col("now"), F.col("s_suppkey") % 17 == 0)
 
 
 @query("p16_low_water_mark", f"{WD} SELECT symbol, epoch(max(ts) - interval 180 day)::BIGINT AS mark_s, epoch(max(ts) - interval 45 day)::BIGINT AS hourly_s FROM d GROUP BY 1")

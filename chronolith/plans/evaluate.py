@@ -134,6 +134,16 @@ def _(spark, sf):
     return x.groupBy("symbol").agg(r6(evaluate.brier("p", "y")).alias("raw"), r6(evaluate.brier("q", "y")).alias("clipped"))
 
 
+@query("a20_brier_calibrated")
+def _(spark, sf):
+    """Brier score of the rows after the first 70 % of a series, raw and by the calibrator of the rows before."""
+    from chronolith.operators import models
+
+    x = scored(spark, sf).where("p is not null")
+    q = models.isotonic(x).join(x.select("symbol", seconds().alias("ts_s"), "p", "y"), ["symbol", "ts_s"])
+    return q.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(evaluate.brier("p", "y")).alias("raw"), r6(evaluate.brier("calibrated", "y")).alias("calibrated"))
+
+
 _LED = "l AS (SELECT event_id, ts, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, value AS entry_price, (event_id % 41 - 20) / 10.0 AS pnl_r FROM events WHERE event_type = 'purchase')"
 _LO = "(PARTITION BY symbol ORDER BY ts, event_id)"
 
@@ -213,10 +223,10 @@ def _(spark, sf):
     return m.select(F.col("symbol").alias("sleeve"), "trades", r6("mdd").alias("mdd"), ((F.col("profit_factor") >= 1.25) & (F.col("sharpe_r") >= 0.3) & (F.col("mdd") <= 0.2) & (F.col("trades") >= 8)).alias("admitted"))
 
 
-@query("p13_meta_candidates", f"WITH {_LED}, m AS (SELECT direction AS sleeve, hour(ts) AS hr, count(*) AS trades, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe FROM l GROUP BY 1, 2) SELECT sleeve, hr, trades, {r('sharpe', 'sharpe')} FROM m WHERE trades >= 25 AND NOT isnan(sharpe) AND sharpe >= 0.5")
+@query("p13_meta_candidates", f"WITH {_LED}, m AS (SELECT direction AS sleeve, event_id % 41 // 10 AS band, count(*) AS trades, avg(pnl_r) / (stddev_pop(pnl_r) + 1e-9) AS sharpe FROM l GROUP BY 1, 2) SELECT sleeve, band, trades, {r('sharpe', 'sharpe')} FROM m WHERE trades >= 25 AND NOT isnan(sharpe) AND sharpe >= 0.5")
 def _(spark, sf):
-    l = B.ledger(spark, sf)
-    g = l.groupBy(F.col("direction").alias("sleeve"), F.hour("ts").cast("long").alias("hr")).agg(F.count(F.lit(1)).alias("trades"), (F.avg("pnl_r") / (F.stddev_pop("pnl_r") + 1e-9)).alias("sharpe"))
+    """Sleeves by direction and band of outcome, some of which pass."""
+    g = B.ledger(spark, sf).groupBy(F.col("direction").alias("sleeve"), F.floor(F.col("event_id") % 41 / 10).cast("long").alias("band")).agg(F.count(F.lit(1)).alias("trades"), (F.avg("pnl_r") / (F.stddev_pop("pnl_r") + 1e-9)).alias("sharpe"))
     return g.where("trades >= 25 and not isnan(sharpe) and sharpe >= 0.5").withColumn("sharpe", r6("sharpe"))
 
 
