@@ -18,9 +18,15 @@ def _before(keys: tuple[str, ...]):
     return Window.partitionBy(*(keys or (F.lit(0),))).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _slice(df: DataFrame, order: str, unit: str) -> Column:
+    """The slice of a row; a time may also be given as a number of seconds."""
+    known = dict(df.dtypes)[order].startswith(("timestamp", "date"))
+    return F.date_trunc(unit, F.col(order) if known else F.timestamp_seconds(order))
+
+
 def carried(df: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = ("symbol",), unit: str = "month", order: str = "ts") -> DataFrame:
     """The last known value of each column at every row or before, by slices of ``unit``. Rows without a time keep their own values."""
-    x = df.withColumn("__s", F.date_trunc(unit, order))
+    x = df.withColumn("__s", _slice(df, order, unit))
     last = x.groupBy(*keys, "__s").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__{c}") for c in names])
     entry = last.select(*keys, "__s", *[F.last(f"__{c}", True).over(_before(keys)).alias(f"__{c}") for c in names])
     inside = Window.partitionBy(*keys, "__s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -30,7 +36,7 @@ def carried(df: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = ("sym
 
 def numbered(df: DataFrame, unit: str = "year") -> DataFrame:
     """Adds the number i (from 0) of each row of a symbol, its slice __s and chunk __c; rows before are counted by slice."""
-    x = df.withColumn("__s", F.date_trunc(unit, "ts"))
+    x = df.withColumn("__s", _slice(df, "ts", unit))
     counts = x.groupBy("symbol", "__s").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("symbol", "__s", F.coalesce(F.sum("__n").over(_before(("symbol",))), F.lit(0)).alias("__n"))
     at = F.row_number().over(Window.partitionBy("symbol", "__s").orderBy("ts")) - 1
