@@ -1,4 +1,4 @@
-"""Queries of symbol resolution over a column of the part table (T9, T11-T15)."""
+"""Queries of symbols, file names and timeframes made of the part table (T1-T15, I5, I6)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from chronolith.functions import symbols as S
 from chronolith.operators import instruments as I
 from chronolith.plans.base import query
 from chronolith.sources import bars as B
+from chronolith.sources import logs
 
 _CORE = "'P' || chr(CAST(65 + p_partkey % 26 AS INT)) || chr(CAST(65 + p_partkey {div} 26 % 26 AS INT)) || chr(CAST(65 + p_partkey {div} 676 % 26 AS INT)) || chr(CAST(65 + p_partkey {div} 17576 % 26 AS INT))"
 _SUFFIX = "CASE p_partkey % 6 WHEN 0 THEN 'USDT' WHEN 2 THEN '1!' WHEN 3 THEN 'Z2025' WHEN 4 THEN '.P' WHEN 5 THEN '-EUR' ELSE '' END"
@@ -18,13 +19,23 @@ _SAID = f"CASE WHEN p_partkey % 10 = 0 THEN 'OTHER:' WHEN p_partkey % 10 = 5 THE
 _QUOTES = "|".join(sorted(S.QUOTES, key=len, reverse=True))
 
 
+#: A symbol's tails and what they tell, in DuckDB SQL: at least one character stands before a tail.
+_TAILS = {"rolling": "[0-9]*!", "dated": f"[0-9]{{0,2}}[{S.MONTHS}][0-9]{{2,4}}", "swap": "|".join(m.replace(".", "[.]") for m in S.PERPETUAL)}
+
+
+def _kinds(symbol: str, source: str, name: str) -> str:
+    """Common table expressions that add the tails, kind, expiry and root of a symbol, then its quote and pair."""
+    tails = ", ".join(f"nullif(regexp_extract({symbol}, '.({v})$', 1), '') AS {k}" for k, v in _TAILS.items())
+    return f"""{name}_t AS (SELECT *, {tails} FROM {source}),
+    {name}_k AS (SELECT *, CASE WHEN rolling IS NOT NULL THEN 'CONTINUOUS_FUTURE' WHEN dated IS NOT NULL THEN 'DATED_FUTURE' WHEN swap IS NOT NULL THEN 'PERPETUAL' ELSE 'SPOT' END AS kind, CASE WHEN rolling IS NULL THEN dated END AS expiry, left({symbol}, length({symbol}) - length(coalesce(rolling, dated, swap, ''))) AS root FROM {name}_t),
+    {name} AS (SELECT *, nullif(regexp_extract(root, '^(.+?)({_QUOTES})$', 2), '') AS quote, coalesce(regexp_replace(CASE WHEN regexp_matches(root, '^.+?({_QUOTES})$') THEN regexp_extract(root, '^(.+?)({_QUOTES})$', 1) ELSE root END, '[^A-Z0-9]', '', 'g'), '') AS pair FROM {name}_k)"""
+
+
 def _sql(place: str, name: str) -> str:
     """Symbols of the parts and what they are made of, as common table expressions."""
     return f"""{name}0 AS (SELECT p_partkey AS k, {place} || {_CORE.format(div='//')} || {_SUFFIX} AS raw FROM part),
     {name}1 AS (SELECT *, CASE WHEN contains(raw, ':') THEN split_part(raw, ':', 1) END AS exchange, regexp_replace(CASE WHEN contains(raw, ':') THEN split_part(raw, ':', 2) ELSE raw END, '[^A-Z0-9!._]', '', 'g') AS source_symbol FROM {name}0),
-    {name}2 AS (SELECT *, CASE WHEN source_symbol LIKE '%!' THEN 'CONTINUOUS_FUTURE' WHEN regexp_matches(source_symbol, '^.+?(\\d{{1,2}})?[FGHJKMNQUVXZ]\\d{{2,4}}$') THEN 'DATED_FUTURE' WHEN source_symbol LIKE '%.P' THEN 'PERPETUAL' ELSE 'SPOT' END AS kind FROM {name}1),
-    {name}3 AS (SELECT *, CASE kind WHEN 'CONTINUOUS_FUTURE' THEN regexp_extract(source_symbol, '^(.+?)(\\d*)!$', 1) WHEN 'DATED_FUTURE' THEN regexp_extract(source_symbol, '^(.+?)((?:\\d{{1,2}})?[FGHJKMNQUVXZ]\\d{{2,4}})$', 1) WHEN 'PERPETUAL' THEN regexp_extract(source_symbol, '^(.+?)\\.P$', 1) ELSE source_symbol END AS root FROM {name}2),
-    {name} AS (SELECT k, raw, exchange, source_symbol, kind, nullif(regexp_extract(root, '^(.+?)({_QUOTES})$', 2), '') AS quote, CASE WHEN regexp_matches(root, '^.+?({_QUOTES})$') THEN regexp_extract(root, '^(.+?)({_QUOTES})$', 1) ELSE root END AS pair, CASE WHEN kind = 'SPOT' THEN 'SPOT' ELSE 'FUT' END AS asset_class FROM {name}3)"""
+    {_kinds('source_symbol', f'{name}1', f'{name}2')}, {name} AS (SELECT k, raw, exchange, source_symbol, kind, quote, pair, CASE WHEN kind = 'SPOT' THEN 'SPOT' ELSE 'FUT' END AS asset_class FROM {name}2)"""
 
 
 _REG = f"{_sql(_PLACE, 's')}, reg AS (SELECT pair, asset_class, exchange, source_symbol, kind, quote FROM s WHERE k % 5 = 0)"
@@ -92,3 +103,113 @@ def _(spark, sf):
 def _(spark, sf):
     x = symbols(spark, sf)
     return x.select("k", I.payload_json(F.col("pair"), F.col("source_symbol"), F.col("quote"), F.col("exchange"), F.lit("1D"), "history").alias("payload"))
+
+
+# ---- symbols as they come ------------------------------------------------------------------------------------------
+
+_ODD = ["BINANCE:BTCUSDT", "NSE:NIFTY", "btcusd", "ES1!", "CME:ESZ2025", "BTCUSDT.P", "ETHPERP", "NSE:NIFTYJR", "EURUSD", "USDT", "12H24", "XBTUSDTPERPETUAL", "cnx-finance", "SP500", "A!", "GOLDM5", "1000SHIBUSDC"]
+
+
+def _case(key: str, values, default: str | None = None) -> str:
+    """A CASE over the remainders of a key, in the SQL of both engines."""
+    values = list(values)
+    return f"CASE {key} % {len(values) + (default is not None)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + (f" ELSE '{default}'" if default is not None else "") + " END"
+
+
+_TAIL = _case("p_partkey", ["USDT", "1!", "Z2025", ".P", "-EUR", "PERP", "12H24", "USDTPERPETUAL", "usdc", " ", "5!"], "")
+_ASKED = f"CASE WHEN p_partkey % 3 = 0 THEN {_case('p_partkey', _ODD)} ELSE {_case('p_partkey', ['BINANCE:', 'NSE:', 'cme:'], '')} || {{core}} || {_TAIL} END"
+_RAWS = f"raws AS (SELECT p_partkey AS k, {_ASKED.format(core=_CORE.format(div='//'))} AS raw FROM part)"
+
+
+def raws(spark, sf) -> DataFrame:
+    """k and a symbol of each part as users write them: cases, blanks, places and tails of all kinds."""
+    return B.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_ASKED.format(core=_CORE.format(div="div"))).alias("raw"))
+
+
+@query("t4_normalize", f"WITH {_RAWS} SELECT k, raw, nullif(regexp_replace(upper(trim(raw)), '[^A-Z0-9]', '', 'g'), '') AS pair, nullif(regexp_replace(upper(trim(raw)), '[^A-Z0-9!._]', '', 'g'), '') AS source FROM raws")
+def _(spark, sf):
+    return raws(spark, sf).select("k", "raw", S.normal("raw").alias("pair"), S.normal("raw", "A-Z0-9!._").alias("source"))
+
+
+_SPLIT = "upper(trim(CASE WHEN contains(raw, ':') THEN split_part(raw, ':', 2) ELSE raw END))"
+
+
+@query("t5_exchange_split", f"WITH {_RAWS} SELECT k, raw, CASE WHEN contains(raw, ':') THEN upper(split_part(raw, ':', 1)) END AS exchange, {_SPLIT} AS symbol FROM raws")
+def _(spark, sf):
+    exchange, symbol = S.split_exchange("raw")
+    return raws(spark, sf).select("k", "raw", exchange.alias("exchange"), symbol.alias("symbol"))
+
+
+@query("t6_contract_signature", f"WITH {_RAWS}, s AS (SELECT k, raw, {_SPLIT} AS s FROM raws), {_kinds('s', 's', 'x')} SELECT k, raw, kind, expiry, root FROM x")
+def _(spark, sf):
+    x = raws(spark, sf).withColumn("s", S.split_exchange("raw")[1])
+    kind, expiry, root = S.contract(F.col("s"))
+    return x.select("k", "raw", kind.alias("kind"), expiry.alias("expiry"), root.alias("root"))
+
+
+@query("t7_quote_split", f"WITH {_RAWS}, u AS (SELECT k, upper(replace(raw, ':', '')) AS raw FROM raws) SELECT k, raw, nullif(regexp_extract(raw, '^(.+?)({_QUOTES})$', 2), '') AS quote, regexp_replace(CASE WHEN regexp_matches(raw, '^.+?({_QUOTES})$') THEN regexp_extract(raw, '^(.+?)({_QUOTES})$', 1) ELSE raw END, '[^A-Z0-9]', '', 'g') AS pair FROM u")
+def _(spark, sf):
+    x = raws(spark, sf).select("k", F.upper(F.replace("raw", F.lit(":"), F.lit(""))).alias("raw"))
+    pair, quote = S.pair_and_quote(F.col("raw"))
+    return x.select("k", "raw", quote.alias("quote"), pair.alias("pair"))
+
+
+_MARKET = _case("p_size", ["FUTURES", "INDEX", "CRYPTO", "FUTURE", "STOCK"], "OTHER")
+
+
+@query("t8_asset_class", f"WITH {_RAWS}, s AS (SELECT k, {_SPLIT} AS s, {_MARKET} AS market FROM raws JOIN part ON p_partkey = k), {_kinds('s', 's', 'x')} SELECT k, kind, market, CASE WHEN market IN ('FUTURES', 'FUTURE') THEN 'FUT' WHEN market IN ('CRYPTO', 'INDEX', 'STOCK') THEN 'SPOT' WHEN kind = 'SPOT' THEN 'SPOT' ELSE 'FUT' END AS asset_class FROM x")
+def _(spark, sf):
+    x = B.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_ASKED.format(core=_CORE.format(div="div"))).alias("raw"), F.expr(_MARKET).alias("market"))
+    x = x.select("k", "market", S.contract(S.split_exchange("raw")[1])[0].alias("kind"))
+    return x.select("k", "kind", "market", S.asset_class(F.col("kind"), F.col("market")).alias("asset_class"))
+
+
+_NAME = f"CASE WHEN p_partkey % 2 = 0 THEN {_case('p_partkey // 2', ['NIFTYJR', 'SP500', 'INDIAVIX', 'CNXFINANCE', 'GSPC'], 'BTC')} ELSE {_CORE.format(div='//')} END"
+_CANON = "canon AS (FROM (VALUES ('NIFTYJR', 'NIFTYNXT50'), ('SP500', 'SPX500'), ('INDIAVIX', 'INDIA_VIX'), ('CNXFINANCE', 'FINNIFTY'), ('GSPC', 'SPX500')) v(name, canonical))"
+
+
+@query("t10_canonical_pair", f"WITH {_CANON}, p AS (SELECT p_partkey AS k, {_NAME} AS pair FROM part) SELECT k, pair, coalesce(canonical, pair) AS canonical FROM p LEFT JOIN canon ON name = pair")
+def _(spark, sf):
+    x = B.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_NAME.replace("//", "div")).alias("pair"))
+    return x.select("k", "pair", S.canonical(F.col("pair")).alias("canonical"))
+
+
+#: The symbol that a message holds, and the messages: an object, an object as text, a broken object, plain text, none.
+_HELD = f"{_NAME} || {_case('p_partkey', ['USDT', '1!', 'Z2025', '.P', '12H24', 'PERP'], '')}"
+_BS = "' || chr(92) || '"
+_MESSAGE = f"""CASE p_partkey % 5 WHEN 0 THEN 'SYMBOL:{{"exchange":"NSE","symbol":"' || held || '","type":"index"}} ,OPEN:1' WHEN 1 THEN 'SYMBOL:"{{{_BS}"symbol{_BS}":{_BS}"BINANCE:' || held || '{_BS}"}}" ,OPEN:1' WHEN 2 THEN 'SYMBOL:{{"ticker":"' || held || '", bad ,OPEN:1' WHEN 3 THEN 'SYMBOL:CME:' || held || ' ,OPEN:1' ELSE 'no symbol' END"""
+_SAYS = f"says AS (SELECT p_partkey AS k, {_MESSAGE} AS message, CASE p_partkey % 5 WHEN 0 THEN 'NSE' WHEN 1 THEN 'BINANCE' WHEN 3 THEN 'CME' END AS exchange, CASE WHEN p_partkey % 5 < 4 THEN held END AS source_symbol FROM (SELECT p_partkey, {_HELD} AS held FROM part))"
+
+
+def messages(spark, sf) -> DataFrame:
+    held = B.table(spark, sf, "part").select("p_partkey", F.expr(_HELD.replace("//", "div")).alias("held"))
+    return S.parsed(held.select(F.col("p_partkey").alias("k"), F.expr(_MESSAGE).alias("message")))
+
+
+@query("t1_t2_t3_payload", f"WITH {_SAYS} SELECT k, message, exchange, source_symbol FROM says")
+def _(spark, sf):
+    return messages(spark, sf).select("k", "message", "exchange", "source_symbol")
+
+
+@query("t9_full_parse", f"WITH {_SAYS}, {_CANON}, {_kinds('source_symbol', 'says', 'x')} SELECT k, message, exchange, source_symbol, kind, expiry, pair, quote, CASE WHEN k % 5 = 0 OR kind = 'SPOT' THEN 'SPOT' ELSE 'FUT' END AS asset_class, coalesce(canonical, pair) AS canonical FROM x LEFT JOIN canon ON name = pair")
+def _(spark, sf):
+    return messages(spark, sf).select("k", "message", "exchange", "source_symbol", "kind", "expiry", "pair", "quote", "asset_class", "canonical")
+
+
+# ---- file names and timeframes -------------------------------------------------------------------------------------
+
+_FILE = f"CASE p_partkey % 4 WHEN 0 THEN '/a/NSE_' || {_CORE} || ', 60.csv' WHEN 1 THEN {_CORE} || '_1D.csv' WHEN 2 THEN 'x/y.z/' || lower({_CORE}) || ' W.parquet' ELSE 'x/' || {_CORE} || '.csv' END"
+
+
+@query("i5_filename", f"SELECT p_partkey AS k, {_FILE.format(div='//')} AS path, {_CORE.format(div='//')} AS symbol, CASE p_partkey % 4 WHEN 0 THEN '1H' WHEN 1 THEN '1D' WHEN 2 THEN '1W' END AS timeframe FROM part")
+def _(spark, sf):
+    symbol, tf = logs.from_filename("path")
+    return B.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_FILE.format(div="div")).alias("path")).select("k", "path", symbol.alias("symbol"), tf.alias("timeframe"))
+
+
+_FRAME = _case("p_partkey", ["1H", "1D", "1W", "1M", "3M", "6M", "12M"])
+
+
+@query("i6_timeframe_seconds", f"SELECT p_partkey AS k, {_FRAME} AS timeframe, CASE p_partkey % 7 WHEN 0 THEN 3600 WHEN 1 THEN 86400 WHEN 2 THEN 7 * 86400 WHEN 3 THEN 30 * 86400 WHEN 4 THEN 90 * 86400 WHEN 5 THEN 180 * 86400 ELSE 360 * 86400 END AS seconds FROM part")
+def _(spark, sf):
+    return B.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_FRAME).alias("timeframe")).withColumn("seconds", logs.length("timeframe"))

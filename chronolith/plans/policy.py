@@ -10,7 +10,7 @@ from chronolith.functions.exprs import clip, r6, seconds, series, upto, w
 from chronolith.operators import boosting, core, features, holographic, labels, lanes, models, policy, selection
 from chronolith.plans import lanes as lane_plans  # noqa: F401  its SQL is used below
 from chronolith.plans.bars import ATR
-from chronolith.plans.base import OV, SQL, T, WD, WH, over, query, r
+from chronolith.plans.base import OV, SQL, T, WD, WH, D, H, over, query, r
 from chronolith.plans.evaluate import FC, P, SC, VOL, WF, forecasts, scored, volatility_frame, wide_lane
 from chronolith.plans.features import SW, WKF, layer_sql, lim, rows
 from chronolith.plans.more import _replayed
@@ -164,13 +164,16 @@ def _(spark, sf):
 
 # ---- primitives ----------------------------------------------------------------------------------------------------
 
-#: Stop in ATR, horizon in bars and purge in bars of each lane (fixed values).
-LANES = {"1H": (1.25, 24, 24), "1D": (1.25, 10, 5)}
-
-
-@query("l4_lane_settings", "SELECT * FROM (VALUES ('1H', 1.25::DOUBLE, 24, 24), ('1D', 1.25, 10, 5)) v(lane, stop_atr, horizon, purge)")
+@query("l4_lane_settings", f"""WITH {D.replace('d AS (', 'dd AS (', 1)}, {H}, d AS (SELECT '1D' AS lane, 1.25 AS stop_atr, 10 AS horizon, 5 AS purge, * FROM dd UNION ALL SELECT '1H', 1.25, 24, 24, * FROM h), {ATR}
+    SELECT lane, symbol, {T}, {r('stop_atr * atr14', 'stop')}, epoch(lead(ts, horizon) {OV})::BIGINT AS until_s, lead(ts, purge) {OV} IS NOT NULL AS trains FROM atr""")
 def _(spark, sf):
-    return spark.createDataFrame([(k, *v) for k, v in LANES.items()], "lane string, stop_atr double, horizon int, purge int")
+    """Each lane's stop distance, the end of a label's horizon, and whether the purge leaves the bar for training."""
+    out = []
+    for lane, (stop, horizon, purge) in labels.LANES.items():
+        x = core.atr(B.bars_1d(spark, sf) if lane == "1D" else B.bars_1h(spark, sf))
+        ahead = lambda n: F.lead("ts", n).over(series())
+        out.append(x.select(F.lit(lane).alias("lane"), "symbol", seconds().alias("ts_s"), r6(stop * F.col("atr14")).alias("stop"), F.unix_timestamp(ahead(horizon)).alias("until_s"), ahead(purge).isNotNull().alias("trains")))
+    return out[0].unionByName(out[1])
 
 
 @query("l5_primitives", f"{WD} SELECT symbol, {T}, {r('greatest(low, close)', 'lifted_long')}, {r('least(high, close)', 'lifted_short')}, high >= close * 1.01 AS favourable, low <= close * 0.99 AS adverse, {r('(high - open) / (abs(open - low) + 1e-9) * 0.5', 'realized_r')}, {r('close * 0.0005 / (abs(open - low) + 1e-9)', 'fee_r')} FROM d WHERE abs(open - low) > 1e-3")
@@ -219,6 +222,11 @@ def _(spark, sf):
     return run(forecasts(spark, sf)).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u3_templates_as_data", "SELECT * FROM (VALUES ('balanced', 1.25::DOUBLE, 2.0::DOUBLE, 3.5::DOUBLE, 1.25::DOUBLE), ('compact', 1, 1.5, 3, 1), ('defensive', 2, 2.5, 5, 1.5), ('trend', 1.5, 2, 4, 1.5), ('wide_runner', 1.5, 2.5, 4.5, 1.25)) v(template, stop, tp1, tp2, trail)")
+@query("u3_templates_as_data", f"""{WD}, {ATR}, t AS (FROM (VALUES ('balanced', 1.25::DOUBLE, 2.0::DOUBLE, 3.5::DOUBLE, 1.25::DOUBLE), ('compact', 1, 1.5, 3, 1), ('defensive', 2, 2.5, 5, 1.5), ('trend', 1.5, 2, 4, 1.5), ('wide_runner', 1.5, 2.5, 4.5, 1.25)) v(template, stop, tp1, tp2, trail))
+    SELECT symbol, {T}, template, {r('close - stop * atr14', 'stop')}, {r('close + tp1 * atr14', 'tp1')}, {r('close + tp2 * atr14', 'tp2')}, {r('trail * atr14', 'trail')} FROM atr, t""")
 def _(spark, sf):
-    return spark.createDataFrame([(k, *v) for k, v in labels.TEMPLATES.items()], "template string, stop double, tp1 double, tp2 double, trail double")
+    """Levels of every template on every daily bar."""
+    table = F.array(*[F.struct(F.lit(k).alias("template"), *[F.lit(v).alias(n) for n, v in zip(("stop", "tp1", "tp2", "trail"), vs)]) for k, vs in labels.TEMPLATES.items()])
+    x = core.atr(B.bars_1d(spark, sf)).select("symbol", "ts", "close", "atr14", F.inline(table))
+    at = lambda c: F.col(c) * F.col("atr14")
+    return x.select("symbol", seconds().alias("ts_s"), "template", r6(F.col("close") - at("stop")).alias("stop"), r6(F.col("close") + at("tp1")).alias("tp1"), r6(F.col("close") + at("tp2")).alias("tp2"), r6(at("trail")).alias("trail"))

@@ -24,13 +24,17 @@ def field(message: Column | str, name: str) -> Column:
     return F.expr(f"try_cast(regexp_replace(regexp_extract({message}, '{name}:\\\\s*([-0-9.,]*[0-9])', 1), ',', '') as double)")
 
 
+def length(timeframe: Column | str) -> Column:
+    """Seconds of a timeframe; null for another name."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in SECONDS.items() for v in kv]), col(timeframe))
+
+
 def parse(lines: DataFrame, message: str = "message") -> DataFrame:
     """Bars of log lines; lines without all four prices are dropped. A bar's time is its close time less its length."""
     names = ("OPEN", "HIGH", "LOW", "CLOSE", "VOLUME")
     tf = F.regexp_extract(message, r"TIME FRAME:\s*(\w+)", 1)
     x = lines.select(F.nullif(F.trim(F.regexp_extract(message, r"SYMBOL:\s*(.*?)\s*,\s*OPEN:", 1)), F.lit("")).alias("symbol"), *[field(message, n).alias(n.lower()) for n in names], field(message, "CLOSE TIME").alias("close_ms"), F.try_element_at(F.create_map(*[F.lit(v) for kv in _MINUTES.items() for v in kv]), tf).alias("timeframe"))
-    length = F.try_element_at(F.create_map(*[F.lit(v) for kv in SECONDS.items() for v in kv]), F.col("timeframe"))
-    return x.withColumn("ts_s", (F.col("close_ms") / 1000).cast("long") - length).dropna(subset=["symbol", "open", "high", "low", "close"]).drop("close_ms")
+    return x.withColumn("ts_s", (F.col("close_ms") / 1000).cast("long") - length("timeframe")).dropna(subset=["symbol", "open", "high", "low", "close"]).drop("close_ms")
 
 
 def epoch_seconds(df: DataFrame, value: str, *keys: str) -> DataFrame:
