@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions import symbols as S
-from chronolith.functions.exprs import col
+from chronolith.functions.exprs import col, settled
 
 #: Rows up to which a table is broadcast.
 SMALL = 200_000
@@ -21,11 +21,6 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator, which the optimizer doesn't fold later expressions into: each column is computed once."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def named(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds exchange, source_symbol, kind, quote, pair and asset_class of a symbol such as EXCHANGE:PAIRQUOTE."""
     exchange, rest = S.split_exchange(raw)

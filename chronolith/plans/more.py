@@ -104,7 +104,29 @@ def _(spark, sf):
     return x.select("symbol", seconds().alias("ts_s"), r6("d_w13_fft_nc_ac1").alias("ac1"), r6("d_w13_fft_nc_ac3").alias("ac3"))
 
 
-@query("f27_skeleton")
+def skeleton_sql(source: str, name: str, n: int) -> str:
+    """Common table expressions up to ``name``: the skeleton of each filled window of n bars of a source of bars."""
+    lst = lambda c: f"list({c}) {over(n)}"
+    inner = f"range(2, {n})"
+    return f"""{name}0 AS (SELECT *, row_number() {OV} AS i, max(high) {over(n)} AS hi, min(low) {over(n)} AS lo, {lst('close')} AS cl, {lst('volume')} AS vl FROM {source}),
+    {name}1 AS (SELECT *, CASE WHEN hi - lo < 1e-9 THEN greatest(list_median(cl) * 1e-5, 1e-9) ELSE hi - lo END AS rng, list_sum(vl) AS tv FROM {name}0 WHERE i >= {n}),
+    {name}2 AS (SELECT *, [{lim('(x - lo) / (rng + 1e-9)', 0, 1)} FOR x IN cl] AS nc, {lim('(((close - lo) - (hi - close)) / (rng + 1e-9) + 1) / 2', 0, 1)} AS bias FROM {name}1),
+    {name}3 AS (SELECT *, [k FOR k IN {inner} IF nc[k] > nc[k - 1] AND nc[k] > nc[k + 1] AND nc[k] - greatest(nc[k - 1], nc[k + 1]) >= 0.05] AS pk, [k FOR k IN {inner} IF nc[k] < nc[k - 1] AND nc[k] < nc[k + 1] AND least(nc[k - 1], nc[k + 1]) - nc[k] >= 0.05] AS tr FROM {name}2),
+    {name}4 AS (SELECT *, nc[{n}] AS last, CASE WHEN len(pk) > 0 THEN nc[pk[-1]] ELSE 1 END AS top, CASE WHEN len(tr) > 0 THEN nc[tr[-1]] ELSE 0 END AS bottom FROM {name}3),
+    {name} AS (SELECT *, CASE WHEN last > top THEN CASE WHEN len(pk) >= 2 AND top < nc[pk[1]] THEN 2.0 ELSE 1.0 END WHEN last < bottom THEN CASE WHEN len(tr) >= 2 AND bottom > nc[tr[1]] THEN -2.0 ELSE -1.0 END ELSE 0.0 END::DOUBLE AS phase,
+      CASE WHEN len(pk) > 0 THEN CASE WHEN tv > 1e-9 THEN {lim('vl[pk[-1]] / tv', 0, 1)} ELSE 1.0 / {n} END ELSE 0 END AS held FROM {name}4)"""
+
+
+def confluence_sql(base: str, second: str, third: str, closed: str) -> str:
+    """The lane's agreement z over skeletons a (of the base), b and c of higher bars; ``closed`` is the suffix of frames that hold close_ts."""
+    at = lambda n, step: f"{n}x AS (SELECT *, {'close_ts' if closed and n == 'c' else f'ts + interval {step}'} AS seen FROM {n})"
+    phases = "(a.phase, bx.phase, cx.phase)"
+    same = lambda op: " AND ".join(f"coalesce({p}, 0) {op} 0" for p in phases.strip("()").split(", "))
+    return f"""{at('b', second)}, {at('c', third)}, z AS (SELECT q.symbol, q.ts, CASE WHEN {same('>')} THEN 1.0 WHEN {same('<')} THEN -1.0 ELSE 0.0 END::DOUBLE AS sync, (coalesce(a.last, 0) - coalesce(bx.bottom, 0)) / (coalesce(bx.top, 1) - coalesce(bx.bottom, 0) + 1e-9) AS zone
+      FROM {base} q LEFT JOIN a ON a.symbol = q.symbol AND a.ts = q.ts ASOF LEFT JOIN bx ON bx.symbol = q.symbol AND q.ts >= bx.seen ASOF LEFT JOIN cx ON cx.symbol = q.symbol AND q.ts >= cx.seen)"""
+
+
+@query("f27_skeleton", f"""{WD}, {skeleton_sql('d', 'a', 13)} SELECT symbol, {T}, {r('phase', 'd_w13_skel_smc_phase')}, {r('CASE WHEN last < bottom AND bias > 0.7 THEN 1 ELSE 0 END', 'd_w13_skel_liquidity_grab')}, {r('held * abs(phase)', 'd_w13_skel_ob_validity')}, {r('top', 'd_w13_skel_last_swing_high')}, {r('bottom', 'd_w13_skel_last_swing_low')} FROM a""")
 def _(spark, sf):
     x = holographic.window_columns(B.bars_1d(spark, sf), "d", 13).where("d_w13_bar1_close is not null")
     return rows(x, *[c for c in x.columns if "_skel_" in c])
@@ -117,19 +139,24 @@ def _frames(spark, sf) -> dict[str, DataFrame]:
 
 @query("f29_holographic_lane_1d")
 def _(spark, sf):
-    x = holographic.lane(_frames(spark, sf), holographic.WINDOWS_1D, "1d")
-    return x.select("symbol", seconds().alias("ts_s"), *[r6(c).alias(c) for c in x.columns[2:]])
+    x = holographic.lane(_frames(spark, sf), holographic.WINDOWS_1D, "1d", digits=6)
+    return x.withColumn("ts", seconds()).withColumnRenamed("ts", "ts_s")
+
+
+_D_SK = f"{WD}, {macro_sql('1W', 'wk')}, {macro_sql('1M')}, {closed_sql('1M')}, {skeleton_sql('d', 'a', 13)}, {skeleton_sql('wk', 'b', 8)}, {skeleton_sql('mc', 'c', 5)}"
 
 
-@query("f28_confluence")
+@query("f28_confluence", f"{_D_SK}, {confluence_sql('d', '7 day', '1 month', 'mc')} SELECT symbol, {T}, sync AS mtf_conf_smc_sync, {r('zone', 'mtf_conf_pd_zone')} FROM z")
 def _(spark, sf):
-    x = holographic.lane(_frames(spark, sf), {"1d": (13,), "1w": (8,)}, "1d")
-    sync = F.signum("1d_w13_skel_smc_phase") * F.signum(F.coalesce("1w_w8_skel_smc_phase", F.lit(0.0)))
-    zone = (F.get(F.array("1d_w13_bar13_close"), F.lit(0)) - F.coalesce("1w_w8_skel_last_swing_low", F.lit(0.0))) / (F.coalesce("1w_w8_skel_last_swing_high", F.lit(1.0)) - F.coalesce("1w_w8_skel_last_swing_low", F.lit(0.0)) + 1e-9)
-    return x.select("symbol", seconds().alias("ts_s"), sync.alias("mtf_conf_smc_sync"), r6(zone).alias("mtf_conf_pd_zone"))
+    x = holographic.lane_blocks(_frames(spark, sf), {"1d": (13,), "1w": (8,), "1m": (5,)}, "1d")
+    got = holographic.confluence("1d")
+    return x.select("symbol", seconds().alias("ts_s"), got["mtf_conf_smc_sync"].alias("mtf_conf_smc_sync"), r6(got["mtf_conf_pd_zone"]).alias("mtf_conf_pd_zone"))
+
+
+_TR = lambda n, tf: f"{macro_sql(tf, n)}, {closed_sql(tf, n)}, {n}t AS (SELECT symbol, close_ts, CASE WHEN count(*) {over(3)} = 3 THEN {lim(f'(close - first(close) {over(3)}) / (max(high) {over(3)} - min(low) {over(3)} + 1e-9)', -1, 1)} ELSE 0 END AS trend FROM {n}c)"
 
 
-@query("f35_daily_confluence")
+@query("f35_daily_confluence", f"{WD}, {skeleton_sql('d', 'a', 13)}, {_TR('half', '6M')}, {_TR('year', '12M')} SELECT d.symbol, epoch(d.ts)::BIGINT AS ts_s, (sign(coalesce(a.phase, 0)) * sign(coalesce(halft.trend, 0) + coalesce(yeart.trend, 0)))::DOUBLE + 0.0 AS confluence FROM d LEFT JOIN a ON a.symbol = d.symbol AND a.ts = d.ts ASOF LEFT JOIN halft ON halft.symbol = d.symbol AND d.ts >= halft.close_ts ASOF LEFT JOIN yeart ON yeart.symbol = d.symbol AND d.ts >= yeart.close_ts")
 def _(spark, sf):
     daily = B.bars_1d(spark, sf)
     x = holographic.window_columns(daily, "1d", 13).select("symbol", "ts", F.col("1d_w13_skel_smc_phase").alias("phase"))
@@ -137,7 +164,7 @@ def _(spark, sf):
         m = core.close_time(core.macro_regime(core.resample(daily, tf)), tf).select("symbol", "close_ts", F.col("trend").alias(f"trend_{tf.lower()}"))
         x = core.as_of(x, m, prefix="").drop("close_ts")
     trend = F.coalesce("trend_6m", F.lit(0.0)) + F.coalesce("trend_12m", F.lit(0.0))
-    return x.select("symbol", seconds().alias("ts_s"), (F.signum(F.coalesce("phase", F.lit(0.0))) * F.signum(trend)).alias("confluence"))
+    return x.select("symbol", seconds().alias("ts_s"), (F.signum(F.coalesce("phase", F.lit(0.0))) * F.signum(trend) + F.lit(0.0)).alias("confluence"))
 
 
 # ---- logs -------------------------------------------------------------------------------------------------------

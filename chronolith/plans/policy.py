@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from chronolith.functions.exprs import clip, r6, seconds, series, upto, w
 from chronolith.operators import boosting, core, features, holographic, labels, lanes, models, policy, selection
 from chronolith.plans import lanes as lane_plans  # noqa: F401  its SQL is used below
-from chronolith.plans.bars import ATR
+from chronolith.plans.bars import ATR, macro_sql
 from chronolith.plans.base import OV, SQL, T, WD, WH, D, H, over, query, r
 from chronolith.plans.evaluate import FC, P, SC, VOL, WF, forecasts, scored, volatility_frame, wide_lane
 from chronolith.plans.features import SW, WKF, layer_sql, lim, rows
-from chronolith.plans.more import _replayed
+from chronolith.plans.more import _replayed, confluence_sql, skeleton_sql
 from chronolith.sources import bars as B
 from chronolith.streaming import bars as X
 
@@ -151,15 +151,29 @@ def _(spark, sf):
     return y.select("symbol", seconds().alias("ts_s"), r6(F.last("sh", True).over(upto())).alias("swing_high"), r6(F.last("sl", True).over(upto())).alias("swing_low"))
 
 
-@query("f29_holographic_lane_1h")
-def _(spark, sf):
-    """Hourly windows with those of the days they close in; sessions of 30 days hold no full months."""
+def hourly_frames(spark, sf) -> dict[str, DataFrame]:
+    """Hourly bars with their session position, and the days, weeks and months made of them with their close times."""
     hourly = core.session_position(B.bars_1h(spark, sf))
     day = F.date_trunc("day", "ts").alias("day")
     daily = hourly.groupBy("symbol", day).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("day", "ts")
-    frames = {"1h": hourly, "1d": core.close_time(daily, "1D"), "1w": core.close_time(core.resample(daily, "1W"), "1W")}
-    x = holographic.lane(frames, {"1h": (3, 5, 8), "1d": (3, 5), "1w": (3,)}, "1h")
-    return x.select("symbol", seconds().alias("ts_s"), *[r6(c).alias(c) for c in x.columns[2:]])
+    return {"1h": hourly, "1d": core.close_time(daily, "1D")} | {tf.lower(): core.close_time(core.resample(daily, tf), tf) for tf in ("1W", "1M")}
+
+
+@query("f29_holographic_lane_1h")
+def _(spark, sf):
+    """All 15 windows; windows that the table's days, weeks or months don't fill are null."""
+    x = holographic.lane(hourly_frames(spark, sf), holographic.WINDOWS_1H, "1h", digits=6)
+    return x.withColumn("ts", seconds()).withColumnRenamed("ts", "ts_s")
+
+
+_H_SK = f"""{WH}, hd AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM h GROUP BY 1, 2), d AS (SELECT * FROM hd), {macro_sql('1W')}, {skeleton_sql('h', 'a', 13)}, {skeleton_sql('d', 'b', 13)}, {skeleton_sql('m', 'c', 8)}"""
+
+
+@query("f28_confluence_1h", f"""{_H_SK}, {confluence_sql('h', '1 day', '7 day', '')} SELECT symbol, {T}, sync AS mtf_conf_smc_sync, {r('zone', 'mtf_conf_pd_zone')} FROM z""")
+def _(spark, sf):
+    x = holographic.lane_blocks(hourly_frames(spark, sf), {"1h": (13,), "1d": (13,), "1w": (8,)}, "1h")
+    got = holographic.confluence("1h")
+    return x.select("symbol", seconds().alias("ts_s"), got["mtf_conf_smc_sync"].alias("mtf_conf_smc_sync"), r6(got["mtf_conf_pd_zone"]).alias("mtf_conf_pd_zone"))
 
 
 # ---- primitives ----------------------------------------------------------------------------------------------------

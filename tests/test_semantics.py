@@ -192,6 +192,21 @@ def test_column_counts():
 
     # Two confluence columns come on top of each lane.
     assert count(holographic.WINDOWS_1D) + 2 == 954 and count(holographic.WINDOWS_1H) + 2 == 1441
+    names = [c for tf, sizes in holographic.WINDOWS_1H.items() for n in sizes for c in holographic.block_names(tf, n)]
+    assert len(names) == len(set(names)) == 1439
+
+
+def test_lane_of_blocks(spark):
+    """Figures stand under their names, session positions follow their bars, and a window that isn't filled is null."""
+    hours = series(spark, [10, 12, 11, 15, 9, 13, 14]).withColumn("session_pos", F.hour("ts") / 24.0)
+    x = holographic.blocks(hours, "1h", 3, 5, primary=True)
+    got = holographic.spread(x, {"1h": (3, 5)}, "ts", "session_pos", "close").orderBy("ts").toPandas()
+    assert got["1h_w5_bar1_close"].isna().sum() == 4 and got["1h_w3_gram_nb_lag0"].isna().sum() == 2
+    for k in (1, 2, 3):
+        assert (got[f"1h_w3_bar{k}_session_pos"] - got["session_pos"].shift(3 - k))[2:].abs().max() < 1e-12
+    assert (got["1h_w5_bar5_norm_bias"] - got["1h_w5_gram_nb_lag0"]).abs().max() == 0
+    one = x.select("ts", holographic.figure("1h_w5_bar2_volume_bias").alias("v")).orderBy("ts").toPandas()
+    assert (one["v"] - got["1h_w5_bar2_volume_bias"])[4:].abs().max() == 0
 
 
 def test_quantile_boosting_orders_quantiles():
