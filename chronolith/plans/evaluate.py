@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.exprs import clip, r6, seconds, series, upto, w, whole
+from chronolith.functions.exprs import ahead, clip, r6, seconds, series, upto, w, whole
 from chronolith.operators import core, evaluate, features, labels
 from chronolith.plans.base import OV, SQL, T, WD, WH, fore, over, query, r
 from chronolith.plans.features import _HAR, _TGT, lim, rv
@@ -100,32 +100,43 @@ def _(spark, sf):
     return x.select("symbol", "split", "n", *[r6(c).alias(c) for c in ("accuracy", "sure_accuracy", "baseline")], "missing")
 
 
-#: The logarithms that the volatility lane forecasts of the next bar.
-TARGETS = {"range": ("high", "low"), "up": ("high", "open"), "down": ("open", "low")}
+#: The next day's and the next five days' targets.
+VOL = ("vol_1d", "range_1d", "up_1d", "down_1d", "vol_5d", "range_5d", "up_5d", "down_5d")
+#: Targets whose loss is scored by QLIKE too (fixed values).
+QLIKE = ("vol_1d", "range_1d", "vol_5d", "range_5d")
 
 
 def target_forecasts(spark, sf) -> DataFrame:
-    """As ``forecasts`` for each target; ``symbol`` holds symbol and target."""
-    logs = F.create_map(*[c for k, (a, b) in TARGETS.items() for c in (F.lit(k), F.ln(F.col(a) / F.col(b)))])
-    x = B.bars_1d(spark, sf).select("symbol", "ts", F.explode(logs).alias("target", "x")).withColumn("symbol", F.concat_ws("|", "symbol", "target"))
-    x = x.withColumns({"i": F.row_number().over(series()), "ml": F.avg("x").over(w(5)), "har": F.avg("x").over(w(22)), "actual": F.lead("x").over(series())})
-    return x.where("i >= 22").select("symbol", "target", "ts", "actual", "ml", "har")
-
-
-_TF = " UNION ALL ".join(f"SELECT symbol || '|{k}' AS symbol, ts, ln({a} / {b}) AS x FROM d" for k, (a, b) in TARGETS.items())
-WTF = f"{WD}, t0 AS ({_TF}), t1 AS (SELECT *, row_number() {OV} AS i FROM t0), fc AS (SELECT symbol, ts, lead(x) {OV} AS actual, avg(x) {over(5)} AS ml, avg(x) {over(22)} AS har FROM t1 QUALIFY i >= 22), {CW}"
+    """Means of the last 5 and 22 known values of each of the eight targets; ``symbol`` holds symbol and target.
+
+    A target of the next day is known a day later, one of the next five days five days later.
+    """
+    x = features.volatility_targets(B.bars_1d(spark, sf))
+    x = x.select("symbol", "ts", F.explode(F.create_map(*[c for k in VOL for c in (F.lit(k), F.col(k))])).alias("target", "actual")).withColumn("symbol", F.concat_ws("|", "symbol", "target"))
+    late = F.col("target").endswith("5d")
+    mean = lambda n: F.when(late, F.avg("actual").over(ahead(-(n + 4), -5))).otherwise(F.avg("actual").over(ahead(-n, -1)))
+    x = x.withColumns({"i": F.row_number().over(series()), "ml": mean(5), "har": mean(22)})
+    return x.where(F.col("i") >= F.when(late, 27).otherwise(23)).select("symbol", "target", "ts", "actual", "ml", "har")
+
+
+_EIGHT = f"""t2 AS (SELECT *, lead(v) {OV} AS v1, lead(high) {OV} AS h1, lead(low) {OV} AS l1, lead(open) {OV} AS o1, count(v) {fore(1, 5)} = 5 AS ok, avg(v) {fore(1, 5)} AS av, max(high) {fore(1, 5)} AS hi, min(low) {fore(1, 5)} AS lo FROM t1),
+t3 AS (SELECT symbol, ts, unnest([{', '.join(f"'{t}'" for t in VOL)}]) AS target, unnest([CASE WHEN v1 IS NOT NULL THEN ln(1 + sqrt(greatest(252 * v1, 1e-6))) END, ln(h1 / l1), ln(h1 / o1), ln(o1 / l1), CASE WHEN ok THEN ln(1 + sqrt(greatest(252 * av, 1e-6))) END, CASE WHEN ok THEN ln(hi / lo) END, CASE WHEN ok THEN ln(hi / o1) END, CASE WHEN ok THEN ln(o1 / lo) END]) AS y FROM t2)"""
+_PAST = lambda n, g: f"avg(x) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n + g - 1} PRECEDING AND {g} PRECEDING)"
+WTF = f"{WD}, {_TGT}, {_EIGHT}, t4 AS (SELECT symbol || '|' || target AS symbol, ts, y AS x, target LIKE '%5d' AS late, row_number() OVER (PARTITION BY symbol, target ORDER BY ts) AS i FROM t3), fc AS (SELECT symbol, ts, x AS actual, CASE WHEN late THEN {_PAST(5, 5)} ELSE {_PAST(5, 1)} END AS ml, CASE WHEN late THEN {_PAST(22, 5)} ELSE {_PAST(22, 1)} END AS har FROM t4 QUALIFY i >= CASE WHEN late THEN 27 ELSE 23 END), {CW}"
 _QL = lambda x: f"avg(exp({lim(x, -10, 10)}) - {lim(x, -10, 10)} - 1)"
+_OF = lambda e: f"CASE WHEN target IN {QLIKE} THEN {e} END"
 
 
 @query("a18_vol_oos_scoring", f"""{WTF}, z AS (SELECT split_part(symbol, '|', 2) AS target, actual, ml, har, ml - low AS lo, ml + high AS hi FROM fc JOIN cw USING (symbol) WHERE level = 0.9 AND actual IS NOT NULL)
     SELECT target, count(*) AS n, {r('avg(abs(actual - ml))', 'mae')}, {r('sqrt(avg((actual - ml) ** 2))', 'rmse')}, {r('avg(ml - actual)', 'bias')}, {r('avg(abs(actual - har))', 'har_mae')}, {r('sqrt(avg((actual - har) ** 2))', 'har_rmse')}, {r('1 - avg(abs(actual - ml)) / avg(abs(actual - har))', 'edge')},
-    {r(_QL('actual - ml'), 'qlike')}, {r(_QL('actual - har'), 'har_qlike')}, {r('1 - ' + _QL('actual - ml') + ' / ' + _QL('actual - har'), 'qlike_edge')}, {r('avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END)', 'picp')}, {r('avg(hi - lo)', 'mpiw')},
+    {r(_OF(_QL('actual - ml')), 'qlike')}, {r(_OF(_QL('actual - har')), 'har_qlike')}, {r(_OF('1 - ' + _QL('actual - ml') + ' / ' + _QL('actual - har')), 'qlike_edge')}, {r('avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END)', 'picp')}, {r('avg(hi - lo)', 'mpiw')},
     {r('avg(hi - lo + CASE WHEN actual < lo THEN 2 / 0.1 * (lo - actual) ELSE 0 END + CASE WHEN actual > hi THEN 2 / 0.1 * (actual - hi) ELSE 0 END)', 'winkler')}, {r('abs(avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END) - 0.9)', 'picp_error')} FROM z GROUP BY 1""")
 def _(spark, sf):
     f = target_forecasts(spark, sf)
     x = f.join(evaluate.conformal(f, pred="ml", levels=(0.9,)), "symbol").withColumns({"lo": F.col("ml") - F.col("low"), "hi": F.col("ml") + F.col("high")})
     g = evaluate.vol_scores(x, "target")
-    return g.select("target", "n", *[r6(c).alias(c) for c in g.columns[2:]])
+    scored_so = lambda c: F.when(F.col("target").isin(*QLIKE), r6(c)) if "qlike" in c else r6(c)
+    return g.select("target", "n", *[scored_so(c).alias(c) for c in g.columns[2:]])
 
 
 @query("a20_brier", f"{WD}, {SC} SELECT symbol, {r('avg((p - y) ** 2)', 'raw')}, {r('avg((' + lim('p', .01, .99) + ' - y) ** 2)', 'clipped')} FROM sc WHERE p IS NOT NULL GROUP BY 1")
@@ -334,9 +345,10 @@ def _digits(name: str) -> int:
 
 def _payload_sql(vol: str, tail: str, suffix: str) -> str:
     up, down, rng = (f"{n}{tail}" for n in ("up", "down", "rng"))
+    up_width, down_width = (f"{n}{suffix or '_1d'}_width" for n in ("up", "down"))
     parts = {
         "annualized_vol_pct": f"(exp({vol}) - 1) * 100", "range_pct": f"(exp({rng}) - 1) * 100", "up_bps": f"(exp({up}) - 1) * 10000", "dn_bps": f"(exp({down}) - 1) * 10000",
-        "projected_high": f"close * exp({up})", "projected_low": f"close / exp({down})", "projected_peak": f"close * exp({up} + up_width)", "projected_bottom": f"close / exp({down} + down_width)",
+        "projected_high": f"close * exp({up})", "projected_low": f"close / exp({down})", "projected_peak": f"close * exp({up} + {up_width})", "projected_bottom": f"close / exp({down} + {down_width})",
     }
     return ", ".join(f"round(({v})::DOUBLE, {_digits(k)}) + 0.0 AS {k}{suffix}" for k, v in parts.items())
 
@@ -344,30 +356,28 @@ def _payload_sql(vol: str, tail: str, suffix: str) -> str:
 _MEANS = ", ".join(f"avg(ln({a} / {b})) {over(n)} AS {k}{n}" for k, a, b in (("rng", "high", "low"), ("up", "high", "open"), ("down", "open", "low")) for n in (5, 22))
 
 
-@query("m17_forecast_payload", f"""{WTF}, {rv()}, wd AS (SELECT split_part(symbol, '|', 1) AS symbol, max(high) FILTER (split_part(symbol, '|', 2) = 'up') AS up_width, max(high) FILTER (split_part(symbol, '|', 2) = 'down') AS down_width FROM cw WHERE level = 0.9 GROUP BY 1),
-    mv AS (SELECT symbol, ts, close, {_MEANS} FROM d), y AS (SELECT symbol, ts, yz_log AS vol5, avg(yz_log) {over(5)} AS vol22 FROM rv), j AS (SELECT mv.*, y.vol5, y.vol22, wd.up_width, wd.down_width FROM mv JOIN y ON y.symbol = mv.symbol AND y.ts = mv.ts JOIN wd ON wd.symbol = mv.symbol)
+@query("m17_forecast_payload", f"""{WTF}, {rv()}, wd AS (SELECT split_part(symbol, '|', 1) AS symbol, {', '.join(f"max(high) FILTER (split_part(symbol, '|', 2) = '{k}') AS {k}_width" for k in ('up_1d', 'down_1d', 'up_5d', 'down_5d'))} FROM cw WHERE level = 0.9 GROUP BY 1),
+    mv AS (SELECT symbol, ts, close, {_MEANS} FROM d), y AS (SELECT symbol, ts, yz_log AS vol5, avg(yz_log) {over(5)} AS vol22 FROM rv), j AS (SELECT mv.*, y.vol5, y.vol22, wd.* EXCLUDE (symbol) FROM mv JOIN y ON y.symbol = mv.symbol AND y.ts = mv.ts JOIN wd ON wd.symbol = mv.symbol)
     SELECT symbol, {T}, {_payload_sql('vol5', '5', '')}, {_payload_sql('vol22', '22', '_5d')}, {r('(exp(vol22) - 1) / greatest(exp(vol5) - 1, 1e-6)', 'vol_5d_1d_ratio')} FROM j""")
 def _(spark, sf):
     x = features.volatility_surface(B.bars_1d(spark, sf)).withColumn("vol_5d", F.avg("yz_log").over(w(5)))
-    x = x.withColumns({f"{k}_{n}": F.avg(F.ln(F.col(a) / F.col(b))).over(w(n)) for k, (a, b) in TARGETS.items() for n in (5, 22)})
+    logs = {"range": ("high", "low"), "up": ("high", "open"), "down": ("open", "low")}
+    x = x.withColumns({f"{k}_{n}": F.avg(F.ln(F.col(a) / F.col(b))).over(w(n)) for k, (a, b) in logs.items() for n in (5, 22)})
     widths = evaluate.conformal(target_forecasts(spark, sf), pred="ml", levels=(0.9,)).withColumns({"part": F.element_at(F.split("symbol", r"\|"), -1), "symbol": F.element_at(F.split("symbol", r"\|"), 1)})
-    widths = widths.groupBy("symbol").agg(*[F.max(F.when(F.col("part") == k, F.col("high"))).alias(f"{k}_width") for k in ("up", "down")])
+    widths = widths.groupBy("symbol").agg(*[F.max(F.when(F.col("part") == k, F.col("high"))).alias(f"{k}_width") for k in ("up_1d", "down_1d", "up_5d", "down_5d")])
     x = x.join(widths, "symbol")
-    means = lambda n: [F.col(f"{k}_{n}") for k in TARGETS] + [F.col("up_width"), F.col("down_width")]
-    parts = evaluate.horizon_payload(F.col("close"), F.col("yz_log"), *means(5)) | evaluate.horizon_payload(F.col("close"), F.col("vol_5d"), *means(22), suffix="_5d")
+    means = lambda n, days: [F.col(f"{k}_{n}") for k in logs] + [F.col(f"{k}_{days}_width") for k in ("up", "down")]
+    parts = evaluate.horizon_payload(F.col("close"), F.col("yz_log"), *means(5, "1d")) | evaluate.horizon_payload(F.col("close"), F.col("vol_5d"), *means(22, "5d"), suffix="_5d")
     parts["vol_5d_1d_ratio"] = F.expm1("vol_5d") / F.greatest(F.expm1("yz_log"), F.lit(1e-6))
     return x.select("symbol", seconds().alias("ts_s"), *[(F.round(c, _digits(n)) + F.lit(0.0)).alias(n) for n, c in parts.items()])
 
 
-#: The next day's and the next five days' targets.
-VOL = ("vol_1d", "range_1d", "up_1d", "down_1d", "vol_5d", "range_5d", "up_5d", "down_5d")
 _XY = ["har_d", "har_w", "har_m", "har_l1", "har_l2", "har_jump", "y"]
 _AT = "500 + f * size"
 # Centred sums of products with the target's as last column; alpha on the diagonal. Rows of lists are eliminated one after the other.
 _COV = "[" + ", ".join("[" + ", ".join(f"s{min(i, j)}{max(i, j)} - m * a{i} * a{j}" + (" + 1e-4" if i == j else "") for j in range(7)) + "]" for i in range(6)) + "]"
 _HX = f"""{_HAR}, h0 AS (SELECT symbol, ts, jump_ratio, dd AS har_d, avg(dd) {over(5)} AS har_w, avg(dd) {over(22)} AS har_m, coalesce(lag(dd) {OV}, 0) AS har_l1, coalesce(lag(dd, 2) {OV}, 0) AS har_l2, dd * {lim('jump_ratio', 0, 1)} AS har_jump FROM q),
-{_TGT}, t2 AS (SELECT *, lead(v) {OV} AS v1, lead(high) {OV} AS h1, lead(low) {OV} AS l1, lead(open) {OV} AS o1, count(v) {fore(1, 5)} = 5 AS ok, avg(v) {fore(1, 5)} AS av, max(high) {fore(1, 5)} AS hi, min(low) {fore(1, 5)} AS lo FROM t1),
-t3 AS (SELECT symbol, ts, unnest([{', '.join(f"'{t}'" for t in VOL)}]) AS target, unnest([CASE WHEN v1 IS NOT NULL THEN ln(1 + sqrt(greatest(252 * v1, 1e-6))) END, ln(h1 / l1), ln(h1 / o1), ln(o1 / l1), CASE WHEN ok THEN ln(1 + sqrt(greatest(252 * av, 1e-6))) END, CASE WHEN ok THEN ln(hi / lo) END, CASE WHEN ok THEN ln(hi / o1) END, CASE WHEN ok THEN ln(o1 / lo) END]) AS y FROM t2),
+{_TGT}, {_EIGHT},
 x0 AS (SELECT h0.*, row_number() {OV} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM h0),
 x AS (SELECT x0.*, target, y, greatest(n // 10, 100) AS size FROM x0 JOIN t3 USING (symbol, ts)),
 fs AS (SELECT DISTINCT symbol, n, size, f FROM x, range(9) r(f)),
