@@ -15,7 +15,9 @@ A cell is sent to a group only if its best score reaches the group's sure score,
 and of its rows only those far enough from the pivot to reach it themselves.
 Groups and cells meet in blocks of bounded size, are solved with one matrix
 product each, and only k rows a query leave a block. The bounds hold for any
-pivots, so results are exact whatever the sample.
+pivots, so results are exact whatever the sample. A block whose largest norms
+multiply to 2 ** 52 or more is multiplied in 64-bit integers, so a score is exact
+wherever it fits a long; bounds leave room for the rounding of such sizes.
 
 Equal vectors tie, and of those only the k + 1 of smallest id can be among any
 query's k, so others are left out before the join, exactly; a vector repeated
@@ -95,7 +97,8 @@ def _placed(rows: DataFrame, pivots) -> DataFrame:
             x = _matrix(part.column("v"))
             square = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ p.T + (p**2).sum(axis=1), 0)
             cell = square.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([part.column("vec_id").cast(pa.int64()), part.column("v"), pa.array(cell.astype(np.int32)), pa.array(np.sqrt(square[np.arange(len(x)), cell])), pa.array(np.sqrt((x**2).sum(axis=1)))], names=["vec_id", "v", "cell", "far", "norm"])
+            far = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))  # the expanded square above cancels near a pivot
+            yield pa.RecordBatch.from_arrays([part.column("vec_id").cast(pa.int64()), part.column("v"), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)))], names=["vec_id", "v", "cell", "far", "norm"])
 
     return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, cell int, far double, norm double")
 
@@ -132,12 +135,14 @@ def _needed(groups: pd.DataFrame, cells: pd.DataFrame, k: int) -> list[tuple[int
         order = np.argsort(-low)
         enough = np.searchsorted(np.cumsum(cells["n"].to_numpy()[order]), k + 1)
         sure = low[order[enough]] if enough < len(order) else -np.inf
-        sure -= 1e-6 * (1 + abs(sure)) if np.isfinite(sure) else 0
+        # Room for the rounding of products, whose size follows the terms and not what is left of them.
+        sure -= 1e-6 * (1 + abs(sure)) + 1e-12 * (np.abs(of["low"]).max() + np.abs(high).max() + reach.max()) if np.isfinite(sure) else 0
         for c, h, r in zip(cells["cell"], high, cells["radius"]):
             # q.x <= q.p + |q| * |x - p|: rows nearer to the pivot than this can't reach the sure score.
             least = (sure - h) / norm if norm > 0 else (-np.inf if h >= sure else np.inf)
-            if least <= r + 1e-9:
-                out.append((int(g), int(c), float(least) - 1e-9))
+            room = 1e-9 * (1 + abs(r))
+            if least <= r + room:
+                out.append((int(g), int(c), float(least) - room))
     return out
 
 
@@ -162,18 +167,22 @@ def _solve(k: int):
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         qi, ci = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-        a, b = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(c["v"].to_numpy()).astype(np.float64)
+        a, b = np.stack(q["v"].to_numpy()).astype(np.int64), np.stack(c["v"].to_numpy()).astype(np.int64)
+        size = lambda m: np.sqrt((m.astype(np.float64) ** 2).sum(axis=1).max())
+        if size(a) * size(b) < 2.0**52:
+            a, b = a.astype(np.float64), b.astype(np.float64)  # every partial sum is an integer that doubles hold
         out = []
         for s in range(0, len(qi), 256):
-            score = np.rint(a[s : s + 256] @ b.T)  # integers under 2 ** 53, so the products are exact
-            score[qi[s : s + 256, None] == ci[None, :]] = -np.inf
+            score = (a[s : s + 256] @ b.T).astype(np.int64)
+            own = qi[s : s + 256, None] == ci[None, :]
+            score[own] = np.iinfo(np.int64).min
             n = min(k, score.shape[1])
             # Candidates stand in order of id; the k-th best score bounds what can be chosen, ties included.
             least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
             for i in range(len(score)):
-                at = np.flatnonzero((score[i] >= least[i]) & np.isfinite(score[i]))
-                at = at[np.argsort(-score[i][at], kind="stable")][:n]
-                out.append(pd.DataFrame({"query_id": np.full(len(at), qi[s + i]), "vec_id": ci[at], "score": score[i][at].astype(np.int64)}))
+                at = np.flatnonzero((score[i] >= least[i]) & ~own[i])
+                at = at[np.lexsort((ci[at], ~score[i][at]))][:n]
+                out.append(pd.DataFrame({"query_id": np.full(len(at), qi[s + i]), "vec_id": ci[at], "score": score[i][at]}))
         return pd.concat(out, ignore_index=True)
 
     return run

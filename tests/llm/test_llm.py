@@ -289,6 +289,24 @@ def test_top_k_of_clustered_vectors(spark):
         assert got[i] == [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if ids[j] != i][:7]
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond what doubles hold: scores that differ by one in the last place keep their order, from mixed blocks too."""
+    g = np.random.default_rng(24)
+    whole = g.integers(-(2**30), 2**30, (260, 6))
+    whole[20:60] = whole[10]
+    whole[20:60, 5] += np.arange(40)  # equal but for small steps, which doubles round away in the products
+    whole[200:] //= 2**24
+    df = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in enumerate(whole)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, k=15).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    exact = [[int(x) for x in row] for row in whole]
+    assert sorted(got) == list(range(0, 260, 20))
+    for i in got:
+        want = sorted((-sum(x * y for x, y in zip(exact[i], exact[j])), j) for j in range(260) if j != i)[:15]
+        assert got[i] == [(j, -s) for s, j in want]
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 
