@@ -16,9 +16,27 @@ ANNUAL = {"1H": 1512, "1D": 252, "1W": 52, "1M": 12, "3M": 4, "6M": 2, "12M": 1}
 RV_KEYS = ("yz_log", "yz_z", "yz_pctrank", "yz_trend", "yz_shock", "vov", "pk_log", "range_eff", "jump_ratio", "rv_asym", "rv_skew", "rs_plus", "rs_minus", "rs_leverage")
 
 
-def _logs(bars: DataFrame) -> DataFrame:
-    """Log returns of a bar; 0 where a price is not positive, as no return is known there."""
+def _log_ratio(a: Column | str, b: Column | str) -> Column:
+    """ln(a / b) as IEEE has it: a price of 0 makes it infinite, two make it NaN."""
+    ratio = F.when(col(b) == 0, col(a) * F.lit(math.inf)).otherwise(F.try_divide(col(a), col(b)))
+    return F.when(ratio == 0, F.lit(-math.inf)).otherwise(F.ln(ratio))
+
+
+def _logs(bars: DataFrame, guard: bool = True) -> DataFrame:
+    """Log returns of a bar. Guarded they are 0 where a price is not positive, as no return is known there; else infinite or NaN."""
     before = F.lag("close").over(series())
+    if not guard:
+        ln = _log_ratio
+        first = lambda c: F.coalesce(c, F.lit(0.0))
+        return bars.select(
+            "*",
+            F.row_number().over(series()).alias("i"),
+            ln("close", "open").alias("oc"),
+            first(ln("open", before)).alias("co"),
+            first(ln("close", before)).alias("r"),
+            (ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open")).alias("rs"),
+            F.pow(ln("high", "low"), 2).alias("pk"),
+        )
     ok = F.least("open", "high", "low", "close") > 0
     good = F.coalesce(ok, F.lit(False))
     ln = lambda a, b: F.ln(col(a) / col(b))
@@ -40,9 +58,12 @@ def _yang_zhang(n: int, annual: int) -> Column:
     return F.when(var > 0, F.sqrt(F.lit(float(annual)) * var)).otherwise(0.0)
 
 
-def volatility_surface(bars: DataFrame, annual: int = 252, n: int = 21, z: int = 63, short: int = 5) -> DataFrame:
-    """The 14 volatility columns of RV_KEYS. Bars before the first valid one take its values, as the surface is defined."""
-    x = _logs(bars)
+def volatility_surface(bars: DataFrame, annual: int = 252, n: int = 21, z: int = 63, short: int = 5, guard: bool = True) -> DataFrame:
+    """The 14 volatility columns of RV_KEYS. Bars before the first valid one take its values, as the surface is defined.
+
+    Without ``guard`` prices of 0 count as they are: their windows become infinite.
+    """
+    x = _logs(bars, guard)
     x = x.withColumn("pair", F.abs("r") * F.abs(F.lag("r").over(series()))).withColumn("r2", F.col("r") * F.col("r"))
     ready = F.col("i") >= n
     var = F.var_pop("r").over(w(n))
