@@ -326,17 +326,21 @@ def regime_streaks(bars: DataFrame, regime: str = "regime", atr: str = "atr14")
     )
 
 
-def intraday_summary(bars: DataFrame, session_minutes: float = 390) -> DataFrame:
-    """Figures of each UTC day of hourly bars: variance, semivariances, asymmetry, jump, half imbalance, trend efficiency."""
+def intraday_summary(bars: DataFrame, session_minutes: float = 390, guard: bool = True) -> DataFrame:
+    """Figures of each UTC day of hourly bars: variance, semivariances, asymmetry, jump, half imbalance, trend efficiency.
+
+    Bars with a price that is not positive are left out; without ``guard`` they count, and make their day infinite or NaN.
+    """
     day = Window.partitionBy("symbol", "day").orderBy("ts")
-    x = bars.where(F.least("open", "high", "low", "close") > 0).withColumn("day", F.floor(F.unix_timestamp("ts") / 86400).cast("long"))
+    ln = (lambda a, b: F.ln(col(a) / col(b))) if guard else _log_ratio
+    x = (bars.where(F.least("open", "high", "low", "close") > 0) if guard else bars).withColumn("day", F.floor(F.unix_timestamp("ts") / 86400).cast("long"))
     before = F.lag("close").over(day)
-    x = x.withColumn("r", F.ln(F.col("close") / F.coalesce(before, F.col("open")))).withColumn("pair", F.abs("r") * F.abs(F.lag("r").over(day)))
+    x = x.withColumn("r", ln("close", F.coalesce(before, F.col("open")))).withColumn("pair", F.abs("r") * F.abs(F.lag("r").over(day)))
     x = x.withColumn("half", F.unix_timestamp("ts") < F.first(F.unix_timestamp("ts")).over(day) + session_minutes * 30)
     r2 = F.col("r") * F.col("r")
     eps = 1e-12
     g = x.groupBy("symbol", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(r2).alias("rv"), (F.sum(F.pow(F.ln(F.col("high") / F.col("low")), 2)) / (4 * math.log(2))).alias("rr"),
+        F.count(F.lit(1)).alias("n"), F.sum(r2).alias("rv"), (F.sum(F.pow(ln("high", "low"), 2)) / (4 * math.log(2))).alias("rr"),
         F.sum(F.when(F.col("r") > 0, r2).otherwise(0.0)).alias("up_sv"), F.sum(F.when(F.col("r") < 0, r2).otherwise(0.0)).alias("dn_sv"), F.coalesce(F.avg("pair"), F.lit(0.0)).alias("pair"),
         F.stddev_pop(r2).alias("vov"), F.sum(F.when(F.col("half"), r2).otherwise(0.0)).alias("first"), F.abs(F.sum("r")).alias("net"), F.sum(F.abs("r")).alias("path"),
     )

@@ -27,7 +27,7 @@ def tables(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["f3_rv_surface_1h"])
+@pytest.mark.parametrize("name", ["f3_rv_surface_1h", "a9_intraday_rv"])
 def test_zero_prices_as_in_sql(spark, tables, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{tables}/events.parquet'")
