@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,24 +126,29 @@ def har(surface: DataFrame) -> DataFrame:
     return x.withColumns({"har_w": F.avg("har_d").over(w(5)), "har_m": F.avg("har_d").over(w(22)), "har_l1": lag(1), "har_l2": lag(2), "har_jump": F.col("har_d") * clip("jump_ratio", 0, 1)})
 
 
-def volatility_targets(bars: DataFrame, horizon: int = 5, annual: int = 252) -> DataFrame:
-    """Targets of the next day and of the next ``horizon`` days; null where the days aren't there or are invalid."""
+def volatility_targets(bars: DataFrame, horizon: int = 5, annual: int = 252, ln: Callable[[Column], Column] = F.ln) -> DataFrame:
+    """Targets of the next day and of the next ``horizon`` days; null where the days aren't there or are invalid.
+
+    ``ln`` is the logarithm: ``libm_ln`` where values are compared with sums of themselves to the last bit.
+    """
     before = F.lag("close").over(series())
     ok = (F.least("open", "high", "low", "close") > 0) & (before > 0)
-    rs = F.ln(F.col("high") / F.col("close")) * F.ln(F.col("high") / F.col("open")) + F.ln(F.col("low") / F.col("close")) * F.ln(F.col("low") / F.col("open"))
-    day = F.when(ok, F.pow(F.ln(F.col("open") / before), 2) + 0.34 * rs + 0.66 * F.pow(F.ln(F.col("close") / F.col("open")), 2))
+    lr = lambda a, b: ln(F.try_divide(col(a), col(b)))
+    rs = lr("high", "close") * lr("high", "open") + lr("low", "close") * lr("low", "open")
+    day = F.when(ok, F.pow(lr("open", before), 2) + 0.34 * rs + 0.66 * F.pow(lr("close", "open"), 2))
     x = bars.withColumn("day_var", day)
     nxt = lambda c: F.lead(c).over(series())
-    vol = lambda v: F.log1p(F.sqrt(F.greatest(annual * v, F.lit(1e-6))))
+    log1p = F.log1p if ln is F.ln else (lambda v: ln(1 + v))
+    vol = lambda v: log1p(F.sqrt(F.greatest(annual * v, F.lit(1e-6))))
     far = ahead(1, horizon)
     full = F.count("day_var").over(far) == horizon
     top, low = F.max("high").over(far), F.min("low").over(far)
     return x.select(
         "symbol", "ts",
         F.when(nxt("day_var").isNotNull(), vol(nxt("day_var"))).alias("vol_1d"),
-        F.ln(nxt("high") / nxt("low")).alias("range_1d"), F.ln(nxt("high") / nxt("open")).alias("up_1d"), F.ln(nxt("open") / nxt("low")).alias("down_1d"),
+        lr(nxt("high"), nxt("low")).alias("range_1d"), lr(nxt("high"), nxt("open")).alias("up_1d"), lr(nxt("open"), nxt("low")).alias("down_1d"),
         F.when(full, vol(F.avg("day_var").over(far))).alias(f"vol_{horizon}d"),
-        F.when(full, F.ln(top / low)).alias(f"range_{horizon}d"), F.when(full, F.ln(top / nxt("open"))).alias(f"up_{horizon}d"), F.when(full, F.ln(nxt("open") / low)).alias(f"down_{horizon}d"),
+        F.when(full, lr(top, low)).alias(f"range_{horizon}d"), F.when(full, lr(top, nxt("open"))).alias(f"up_{horizon}d"), F.when(full, lr(nxt("open"), low)).alias(f"down_{horizon}d"),
     )
 
 

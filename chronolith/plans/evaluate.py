@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.exprs import ahead, clip, r6, seconds, series, upto, w, whole
+from chronolith.functions.exprs import ahead, clip, libm_ln, r6, seconds, series, upto, w, whole
 from chronolith.operators import core, evaluate, features, labels
 from chronolith.plans.base import OV, SQL, T, WD, WH, fore, over, query, r
 from chronolith.plans.features import _HAR, _TGT, lim, rv
 from chronolith.sources import bars as B
+from chronolith.sources import sinks
 
 
 def forecasts(spark, sf) -> DataFrame:
@@ -110,8 +111,9 @@ def target_forecasts(spark, sf) -> DataFrame:
     """Means of the last 5 and 22 known values of each of the eight targets; ``symbol`` holds symbol and target.
 
     A target of the next day is known a day later, one of the next five days five days later.
+    An interval ends at a residual of its own rows, so whether that row is inside is a matter of the last bit.
     """
-    x = features.volatility_targets(B.bars_1d(spark, sf))
+    x = features.volatility_targets(B.bars_1d(spark, sf), ln=libm_ln)
     x = x.select("symbol", "ts", F.explode(F.create_map(*[c for k in VOL for c in (F.lit(k), F.col(k))])).alias("target", "actual")).withColumn("symbol", F.concat_ws("|", "symbol", "target"))
     late = F.col("target").endswith("5d")
     mean = lambda n: F.when(late, F.avg("actual").over(ahead(-(n + 4), -5))).otherwise(F.avg("actual").over(ahead(-n, -1)))
@@ -132,7 +134,7 @@ _OF = lambda e: f"CASE WHEN target IN {QLIKE} THEN {e} END"
     {r(_OF(_QL('actual - ml')), 'qlike')}, {r(_OF(_QL('actual - har')), 'har_qlike')}, {r(_OF('1 - ' + _QL('actual - ml') + ' / ' + _QL('actual - har')), 'qlike_edge')}, {r('avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END)', 'picp')}, {r('avg(hi - lo)', 'mpiw')},
     {r('avg(hi - lo + CASE WHEN actual < lo THEN 2 / 0.1 * (lo - actual) ELSE 0 END + CASE WHEN actual > hi THEN 2 / 0.1 * (actual - hi) ELSE 0 END)', 'winkler')}, {r('abs(avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0 END) - 0.9)', 'picp_error')} FROM z GROUP BY 1""")
 def _(spark, sf):
-    f = target_forecasts(spark, sf)
+    f = sinks.stored(target_forecasts(spark, sf), "forecasts")
     x = f.join(evaluate.conformal(f, pred="ml", levels=(0.9,)), "symbol").withColumns({"lo": F.col("ml") - F.col("low"), "hi": F.col("ml") + F.col("high")})
     g = evaluate.vol_scores(x, "target")
     scored_so = lambda c: F.when(F.col("target").isin(*QLIKE), r6(c)) if "qlike" in c else r6(c)
@@ -199,8 +201,6 @@ def _(spark, sf):
 
 @query("i12_ledger_append", f"WITH {_LED} SELECT direction, count(*) AS n, {r('sum(pnl_r)', 'sum_r')} FROM l GROUP BY 1")
 def _(spark, sf):
-    from chronolith.sources import sinks
-
     return sinks.appended(B.ledger(spark, sf), "direction").groupBy("direction").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("pnl_r")).alias("sum_r"))
 
 
