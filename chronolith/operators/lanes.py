@@ -120,9 +120,9 @@ def narrative(x: DataFrame) -> DataFrame:
     )
 
 
-def narrative_lane(bars: DataFrame, lane: str = "1D") -> DataFrame:
-    """23 columns: own narrative, that of two timeframes as of their closes (0 before, and where they have under 3 bars), and the sum of regime signs."""
-    out = narrative(state(bars)).select("symbol", "ts", *[F.col(c).alias(f"nc_{c}") for c in NARRATIVE], F.signum("regime").alias("__sum"))
+def narrative_lane(bars: DataFrame, lane: str = "1D", own: DataFrame | None = None) -> DataFrame:
+    """23 columns: own narrative, that of two timeframes as of their closes (0 before, and where they have under 3 bars), and the sum of regime signs. ``own`` is the bars' state if it is known."""
+    out = narrative(state(bars) if own is None else own).select("symbol", "ts", *[F.col(c).alias(f"nc_{c}") for c in NARRATIVE], F.signum("regime").alias("__sum"))
     for tf in NARRATIVE_ABOVE[lane]:
         above = narrative(state(core.close_time(core.resample(bars, tf), tf))).withColumn("__n", F.count(F.lit(1)).over(whole())).where("__n >= 3")
         names = [f"nc_{tf.lower()}_{c}" for c in NARRATIVE]

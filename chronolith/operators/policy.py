@@ -65,7 +65,7 @@ def record(predictions: DataFrame, filters: DataFrame, story: DataFrame, surface
 
 def scorecard(weights: dict[str, float], base: float = 0.5) -> Column:
     """A linear score of a record; a boosted model's prediction does as well."""
-    return F.lit(base) + sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    return sum((F.col(c) * w for c, w in weights.items()), F.lit(base))
 
 
 def verdict(score: Column, threshold: float, bands: tuple[tuple[float, float], ...], strong: Column) -> dict[str, Column]:
