@@ -456,10 +456,13 @@ def _(spark, sf):
 
 
 def wide_lane(spark, sf) -> tuple[DataFrame, list[str]]:
-    """The daily volatility lane of 89 columns with the next day's targets, and the names of the features."""
-    d = B.bars_1d(spark, sf)
+    """The daily volatility lane of 89 columns with the next day's targets, and the names of the features.
+
+    Bars and lane are stored: six timeframes read the bars, and each job of a selection reads the lane.
+    """
+    d = sinks.stored(B.bars_1d(spark, sf), "daily")
     x = features.volatility_lane(d, "1D", ("1W", "1M", "3M", "6M", "12M"))
-    return x.join(features.volatility_targets(d), ["symbol", "ts"]), x.columns[2:]
+    return sinks.stored(x.join(features.volatility_targets(d), ["symbol", "ts"]), "lane"), x.columns[2:]
 
 
 @query("m9_consensus_selection")

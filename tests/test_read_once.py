@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from chronolith.plans import instruments, registry
+from chronolith.plans import evaluate, instruments, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -32,3 +32,9 @@ def test_policy_application_reads_trades_once_and_equals_its_sql(spark):
     assert not any("lineitem.parquet" in f for f in df.inputFiles())
     got = df.toPandas().sort_values(["symbol", "ts_s"])
     assert np.abs(got.policy_score.to_numpy() - want.policy_score.to_numpy()).max() < 5e-7
+
+
+def test_wide_lane_is_made_once(spark):
+    """Every job of a selection reads the stored lane, not the trades or the bars."""
+    x, names = evaluate.wide_lane(spark, SF)
+    assert len(names) == 89 and x.inputFiles() and all("/lane-" in f for f in x.inputFiles())
