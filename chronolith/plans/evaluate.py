@@ -460,7 +460,7 @@ def wide_lane(spark, sf) -> tuple[DataFrame, list[str]]:
 
     Bars and lane are stored: six timeframes read the bars, and each job of a selection reads the lane.
     """
-    d = sinks.stored(B.bars_1d(spark, sf), "daily")
+    d = B.daily(spark, sf)
     x = features.volatility_lane(d, "1D", ("1W", "1M", "3M", "6M", "12M"))
     return sinks.stored(x.join(features.volatility_targets(d), ["symbol", "ts"]), "lane"), x.columns[2:]
 
