@@ -5,7 +5,7 @@ import itertools
 
 import pytest
 
-from chronolith.plans import evaluate
+from chronolith.plans import evaluate, registry
 from chronolith.sources import bars
 
 SCHEMA = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
@@ -51,7 +51,7 @@ def used(*_):
     raise Used
 
 
-@pytest.mark.parametrize("read", [evaluate.wide_lane])
+@pytest.mark.parametrize("read", [evaluate.wide_lane, registry.queries()["m22_policy_application"]])
 def test_lanes_read_them(spark, monkeypatch, read):
     monkeypatch.setattr(bars, "daily", used)
     with pytest.raises(Used):
