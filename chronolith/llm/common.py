@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **how) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors. ``how``: options of the writer."""
     spark = df.sparkSession
     path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,15 +34,19 @@ from chronolith.llm.common import chunks, texts, tune, written
 from chronolith.llm.words import U, mix
 
 #: Bytes of text of one shard, and of all shards that a task holds open.
-SHARD_BYTES, OPEN_BYTES = 24_000_000, 64_000_000
+SHARD_BYTES, OPEN_BYTES = 8_000_000, 24_000_000
+#: Shards of one file, which a reader holds at once.
+FILE_SHARDS = 8
 #: Words of the longest phrase.
 LONGEST = 4
 #: Slots of a counter table: a power of two near the text's bytes over 8, within these bounds. A table is a bit per slot where it is broadcast.
 SLOTS = (1 << 20, 1 << 30)
-#: Slots of one slice, the unit in which counters are summed.
-SLICE = 1 << 16
+#: Slots of one slice, the unit in which counters are summed, and slices of a table from which on they grow.
+SLICE, SLICES = 1 << 16, 1 << 12
 #: Blocks from which on a word's bitmap is also kept as a plain row.
 WIDE = 2048
+#: Bytes of all plain rows of one level; the words with most blocks have them.
+PLAIN_BYTES = 16_000_000
 #: Next words of a phrase from which on they are met together.
 FEW = 8
 #: Bytes of text in the corpus for one bucket of phrases, whose counts are summed in one go.
@@ -160,25 +164,30 @@ def _has(table: bytes, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
 
 
+def _width(slots: int) -> int:
+    """Slots of a slice of a table."""
+    return max(SLICE, slots // SLICES)
+
+
 def _counters(found: Iterator[np.ndarray], slots: int) -> Iterator[pa.RecordBatch]:
     """For each array of keys a row for each slice: packed slots and counts."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(1).compress
+    pack, width = zstandard.ZstdCompressor(1).compress, _width(slots)
     for keys in found:
         slot, times = np.unique((keys & U(slots - 1)).astype(np.int64), return_counts=True)
-        ends = np.searchsorted(slot, np.arange(0, slots + 1, SLICE))
+        ends = np.searchsorted(slot, np.arange(0, slots + 1, width))
         some = np.flatnonzero(np.diff(ends))
-        packed = [pack(np.concatenate([(slot[ends[k] : ends[k + 1]] - k * SLICE).astype(np.uint32), times[ends[k] : ends[k + 1]].astype(np.uint32)]).tobytes()) for k in some.tolist()]
+        packed = [pack(np.concatenate([(slot[ends[k] : ends[k + 1]] - k * width).astype(np.uint32), times[ends[k] : ends[k + 1]].astype(np.uint32)]).tobytes()) for k in some.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "packed"])
 
 
-def _summed(least: int):
+def _summed(least: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        now, total = None, np.zeros(SLICE, np.int64)
+        now, total = None, np.zeros(width, np.int64)
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
@@ -188,7 +197,7 @@ def _summed(least: int):
                 if k != now:
                     if now is not None:
                         yield row()
-                    now, total = k, np.zeros(SLICE, np.int64)
+                    now, total = k, np.zeros(width, np.int64)
                 raw = np.frombuffer(unpack(blob), np.uint32)
                 total[raw[: len(raw) // 2]] += raw[len(raw) // 2 :]
         if now is not None:
@@ -199,10 +208,12 @@ def _summed(least: int):
 
 def _table(counted: DataFrame, slots: int, least: int) -> bytes:
     """The slots whose sum reaches the limit, as bits: a table of fixed size, whatever the corpus."""
-    slices = counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed(least), "slice int, bits binary")
+    width = _width(slots)
+    # Stored, as an iterator would sum up one partition after the other.
+    slices = written(counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed(least, width), "slice int, bits binary"), "slots")
     out = bytearray(slots // 8)
     for r in slices.toLocalIterator():
-        out[r.slice * (SLICE // 8) : (r.slice + 1) * (SLICE // 8)] = r.bits
+        out[r.slice * (width // 8) : (r.slice + 1) * (width // 8)] = r.bits
     return bytes(out)
 
 
@@ -230,6 +241,7 @@ class Bitmaps:
         self.size = np.diff(self.bounds)
         self.span = (len(codes) >> 6) + 1
         wide = np.flatnonzero(self.size > (WIDE if wide is None else wide))
+        wide = np.sort(wide[np.argsort(-self.size[wide], kind="stable")[: PLAIN_BYTES // (8 * self.span)]])
         self.row = np.full(len(of), -1)
         self.row[wide] = np.arange(len(wide))
         self.plain = np.zeros((len(wide), self.span), U)
@@ -346,6 +358,7 @@ def _mined(shard: Shard, pairs: bytes, longer: bytes) -> tuple[list[str], list[i
         counts.append(int(np.bitwise_count(bitmap[1]).sum()))
         if of_word[w] < of_word[w + 1]:
             extend(bitmap, words[w], 0, of_word[w], of_word[w + 1])
+    extend = None  # it refers to itself, which would keep the shard's arrays until garbage is collected
     return phrases, counts
 
 
@@ -399,7 +412,7 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     tune(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(max(1 << (max(int(size), 1) // 8).bit_length(), SLOTS[0]), SLOTS[1])
-    cut = written(shards(docs), "shards")
+    cut = written(shards(docs), "shards", maxRecordsPerFile=FILE_SHARDS)
 
     def ones_and_twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:

@@ -1,17 +1,20 @@
 """Phrases, SentencePiece and periodic runs against plain versions, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import collections
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import phrases, pieces, runs, substring
+from chronolith.llm import common, phrases, pieces, runs, substring
 
 PIECES = P.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string"
@@ -100,6 +103,49 @@ def test_bitmaps_shift_and_meet(monkeypatch, wide):
         assert [at(phrases.held(p)) for p in parts] == want
 
 
+def test_plain_rows_are_bounded(monkeypatch):
+    monkeypatch.setattr(phrases, "WIDE", 2)
+    codes = np.repeat(np.arange(50, dtype=np.int32), 40)[np.random.default_rng(3).permutation(2000)]
+    by_code = np.argsort(codes, kind="stable")
+    free = phrases.Bitmaps(codes, by_code, np.ones(50, bool), 1)
+    monkeypatch.setattr(phrases, "PLAIN_BYTES", 5 * 8 * free.span)
+    bound = phrases.Bitmaps(codes, by_code, np.ones(50, bool), 1)
+    assert len(free.plain) == 50 and len(bound.plain) == 5
+    x, room = free.word(7), np.zeros(free.span, np.uint64)
+    some = [y.met(x, np.arange(50), room) for y in (free, bound)]
+    assert some[0][0].tolist() == some[1][0].tolist()
+    assert all(np.array_equal(a, b) for p, q in zip(some[0][1], some[1][1]) for a, b in zip(phrases.held(p), phrases.held(q)))
+
+
+def test_a_mined_shard_leaves_no_arrays(monkeypatch):
+    made = weakref.WeakSet()
+
+    class Own(phrases.Bitmaps):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            made.add(self)
+
+    monkeypatch.setattr(phrases, "Bitmaps", Own)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 9, "text": ["a b c d a b. a b c"] * 9})
+    (shard,) = phrases._each(phrases._shards(iter([batch])))
+    gc.collect()
+    gc.disable()
+    try:
+        found = dict(zip(*phrases._mined(shard, b"\xff" * 64, b"\xff" * 64)))
+        assert found["a b c"] == 18 and len(made) == 0
+    finally:
+        gc.enable()
+
+
+def test_files_hold_few_shards(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "FILE_SHARDS", 2)
+    kept = {}
+    monkeypatch.setattr(phrases, "written", lambda df, name, **how: kept.setdefault(name, common.written(df, name, **how)))
+    assert phrases.collocations(spark.createDataFrame(phrase_rows(2), SCHEMA).coalesce(1), 5).count()
+    per_file = [r["count"] for r in kept["shards"].groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) > 2 >= max(per_file)
+
+
 # ---- 12 ------------------------------------------------------------------------------------------------------------
 
 HARD = ["", " ", "  ", "\n", "a", "<s>hi</s> <0x0A><unk>", "▁", "▁▁a ▁", "\x00", "é" * 50, " " * 1000, "a" * 3000, "x" * 20 + " " * 33 + "y", "\u2028  \xa0x", "日本語\U00010000 " * 5, "=-" * 300, "\u0600" * 9, "0123456789 " * 20, "\U00010000a", "². x²³ ½_a", "ab" * 50_000]
