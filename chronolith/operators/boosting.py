@@ -1,7 +1,8 @@
-"""Boosted trees on histograms, grown by Spark for all symbols, folds and members of a level at once.
+"""Boosted trees on histograms, for all symbols, folds and members at once.
 
 Rows are packed once to blocks of one symbol (binned features, target, weight) in the shared
-folder. A job per level sums gradients by (symbol, fold, member, node, feature, bin): tasks add up
+folder. Models of series of at most ``WHOLE`` rows are fitted a model to a task's group, all in one
+job. Longer series are grown by Spark level by level: a job per level sums gradients by (symbol, fold, member, node, feature, bin): tasks add up
 their blocks, Spark adds up the tasks and picks each node's split. Splits are rows of a table,
 so nothing but their number of levels passes through the driver, and a series of any length is as
 many tasks as it has blocks. Predictions are carried in the blocks and renewed every few rounds.
@@ -32,6 +33,8 @@ from chronolith.sources import sinks
 
 #: Rows of a block, bins of a feature, and rounds after which the blocks' predictions are renewed.
 BLOCK, BINS, RENEW = 4096, 32, 8
+#: Rows of the longest series whose models are fitted in one group each.
+WHOLE = 50_000
 #: The feature of rows that hold the value of a leaf.
 LEAF = -9
 
@@ -216,7 +219,72 @@ class Trees:
         return sum((self.walk(model, t, bins)[1] for t in turns if t in own), np.zeros(len(bins)))
 
 
+def _fitted(m: Member, fold: Fold, patience: int, k: np.ndarray, y: np.ndarray, bins: np.ndarray, allowed: np.ndarray) -> list[tuple]:
+    """The rows (turn, node, feature, bin, gain, left, right) of one model over the rows of its series, in order."""
+    train, valid = k < fold.train, (k >= fold.valid) & (k < fold.end)
+    if not train.any():
+        return []
+    base = float(np.quantile(y[train], m.alpha) if m.loss == "pinball" else y[train].mean())
+    pred, best, out = np.full(len(y), base), (np.inf, 0), [(0, -2, -1, -1, 0.0, base, 0.0)]
+    soft = lambda g: np.sign(g) * np.maximum(np.abs(g) - m.l1, 0)
+    over = lambda a, h: np.divide(a, h + m.l2, out=np.full(a.shape, np.nan), where=h + m.l2 != 0)
+    for turn in range(m.rounds + 1):  # the last turn only takes the loss
+        if valid.any():
+            lost = float(loss(m, y[valid], pred[valid]).mean())
+            out.append((turn, -1, -1, -1, 0.0, lost, 0.0))
+            best = min(best, (round(lost, 12), turn))
+            if turn - best[1] >= patience:
+                break
+        if turn == m.rounds:
+            break
+        mine, use = np.flatnonzero(train & sampled_rows(m, turn, k)), sampled_columns(m, turn, allowed) if len(allowed) else allowed
+        if not len(mine) or not len(use):
+            continue
+        grad, curve = gradient(m, y[mine], pred[mine])
+        grad, curve = np.repeat(grad, len(use)), np.repeat(curve, len(use)) if m.loss == "qlike" else None
+        cell = bins[np.ix_(mine, use)] + np.arange(len(use)) * BINS
+        node, value, splits = np.zeros(len(y), np.int64), np.zeros(len(y)), 0
+        for level in range(m.depth):
+            first = (1 << level) - 1
+            own = node[mine] - first
+            front = own >= 0
+            every = front.all()
+            at = ((own * (len(use) * BINS))[:, None] + cell if every else (own[front] * (len(use) * BINS))[:, None] + cell[front]).ravel()
+            part = slice(None) if every else np.repeat(front, len(use))
+            size = 1 << level
+            shape = (size, len(use), BINS)
+            n = np.bincount(at, minlength=size * len(use) * BINS)
+            g = np.bincount(at, grad[part], len(n))
+            h = n.astype(float) if curve is None else np.bincount(at, curve[part], len(n))
+            n1, g1, h1 = (np.cumsum(v.reshape(shape), axis=2) for v in (n, g, h))
+            n0, g0, h0 = (v[:, :, -1:] for v in (n1, g1, h1))
+            g2, h2 = g0 - g1, h0 - h1
+            gain = np.round(over(soft(g1) ** 2, h1) + over(soft(g2) ** 2, h2) - over(soft(g0) ** 2, h0), 9)
+            gain = np.where((n1 >= m.least) & (n0 - n1 >= m.least) & (gain > 0), gain, 0.0).reshape(size, -1)
+            top = gain.argmax(axis=1)  # the first of equals: the smaller feature, then the smaller bin
+            found = sorted((-gain[q, top[q]], q) for q in range(size) if gain[q, top[q]] > 0)[: m.leaves - 1 - splits]
+            for less, q in found:
+                j, b = divmod(int(top[q]), BINS)
+                left, right = (float(np.nan_to_num(over(-soft(x[q, j, b : b + 1]) * m.rate, z[q, j, b : b + 1]))[0]) for x, z in ((g1, h1), (g2, h2)))
+                here = np.flatnonzero(node == q + first)
+                low = bins[here, use[j]] <= b
+                value[here] = np.where(low, left, right)
+                node[here] = 2 * (q + first) + np.where(low, 1, 2)
+                out.append((turn, q + first, int(use[j]), b, -float(less), left, right))
+            splits += len(found)
+            if not found:
+                break
+        if m.loss == "pinball" and splits:
+            for q in np.unique(node[mine]).tolist():
+                leaf = float(np.quantile((y - pred)[mine[node[mine] == q]], m.alpha) * m.rate)
+                value[node == q] = leaf
+                out.append((turn, q, LEAF, -1, 0.0, leaf, 0.0))
+        pred = pred + value
+    return out
+
+
 _FIELDS = ("fold", "member", "turn", "node", "feature", "bin", "left", "right")
+_TREES = "symbol string, fold int, member int, turn int, node int, feature int, bin int, gain double, left double, right double"
 _GROWN = "symbol string, fold int, member int, node int, feature int, bin int, g double, h double, n long"
 
 
@@ -234,6 +302,36 @@ class Booster:
         Rows: node >= 0 splits (bins up to ``bin`` go left; values include the rate), node -1 the validation loss
         before the round, node -2 the base.
         """
+        trees, long = self._whole(rows.where(F.col("n") <= WHOLE), allowed), rows.where(F.col("n") > WHOLE)
+        return trees if long.isEmpty() else trees.unionByName(self._by_level(long, allowed))
+
+    def _whole(self, rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        """The trees of series of bounded length, a model to a group."""
+
+        def planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in batches:
+                yield pd.DataFrame([(symbol, f, m) for symbol, n in zip(g["symbol"], g["n"]) for f, m, _, _ in self._models(n)], columns=["symbol", "fold", "member"])
+
+        def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+            symbol, f, m = key
+            blocks = [(np.frombuffer(r["k"], np.int64), np.frombuffer(r["y"], float), np.frombuffer(r["bins"], np.uint8)) for r in g.to_dict("records")]
+            blocks.sort(key=lambda x: x[0][0])
+            k, y, bins = np.concatenate([x[0] for x in blocks]), np.concatenate([x[1] for x in blocks]), np.concatenate([x[2].reshape(len(x[0]), -1) for x in blocks])
+            limit = g["features"].iloc[0] if "features" in g else None
+            fold = self.plan(int(g["n"].iloc[0]))[f]
+            found = _fitted(self.members[m], fold, self.patience, k, y, bins, np.asarray(np.arange(bins.shape[1]) if limit is None else limit, np.int64))
+            return pd.DataFrame([(symbol, f, m, *r) for r in found], columns=[c.split(" ")[0] for c in _TREES.split(", ")])
+
+        models = rows.select("symbol", "n").distinct().mapInPandas(planned, "symbol string, fold int, member int")
+        if allowed is not None:
+            models = models.join(allowed.select("symbol", "fold", "features"), ["symbol", "fold"], "left")
+        # A number of parts is named, as few bytes are much work here.
+        both = rows.select("symbol", "n", "k", "bins", "y").join(models, "symbol")
+        parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        return sinks.stored(both.repartition(parts, "symbol", "fold", "member").groupBy("symbol", "fold", "member").applyInPandas(run, _TREES), "trees")
+
+    def _by_level(self, rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        """The trees of long series, whose rows no task holds together."""
         if allowed is not None:
             allowed = allowed.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("fold", "features"))).alias("allowed"))
         done, state, since = [], rows, 0

@@ -467,10 +467,10 @@ def wide_lane(spark, sf) -> tuple[DataFrame, list[str]]:
 
 @query("m9_consensus_selection")
 def _(spark, sf):
-    from chronolith.operators import boosting, models, selection
+    from chronolith.operators import selection
 
     x, names = wide_lane(spark, sf)
-    return selection.fold_consensus(x, names, ("vol_1d", "range_1d"), 500, 5, 0.1, 8, models.shortened((boosting.PROBE,), 3)[0])
+    return selection.fold_consensus(x, names, VOL[:4], 500, 5, 0.1, 8)
 
 
 @query("m10_walk_forward")

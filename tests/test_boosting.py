@@ -126,3 +126,37 @@ def test_no_rows(spark):
     held = B.blocks(df, ["a"], "y", 100)
     trees = booster.fit(held)
     assert booster.predict(held, trees).count() == 0 and booster.importances(trees, ["a"]).count() == 0
+
+
+def test_whole_and_by_level_grow_the_same_trees(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 150)
+    members = (
+        B.Member(4, 0.3, 5, 3, 12, 0.75, 0.75, 0.15, 0.15, 42),
+        B.Member(3, 0.2, 6, 4, 20, 0.7, 0.5, 0.3, 0.3, 123, loss="qlike"),
+        B.Member(2, 0.2, 31, 2, 15, seed=3, loss="pinball", alpha=0.75),
+    )
+    booster = B.Booster(members, lambda n: B.expanding(250, 5, most=2)(n) + B.probes()(n), patience=9)
+    df = spark.createDataFrame(table(), "symbol string, ts timestamp, a double, b double, c double, d double, y double").repartition(3)
+    held = B.blocks(df, FEATURES, "y", 250)
+    limits = spark.createDataFrame([(s, f, [0, 1, 3]) for s in "XYZ" for f in range(6)], "symbol string, fold int, features array<int>")
+    found = []
+    for most in (0, 500, 50_000):  # all by level; Y by level; none
+        monkeypatch.setattr(B, "WHOLE", most)
+        rows = [r for r in booster.fit(held, limits).collect() if r.turn <= members[r.member].rounds]  # by level a loss comes again after a member's own rounds
+        found.append({tuple(r[:5]): (r.feature, r.bin, r.gain, r.left, r.right) for r in rows})
+        assert len(found[-1]) == len(rows) > 100
+    assert {k: v[:2] for k, v in found[0].items() if v[0] != B.LEAF} == {k: v[:2] for k, v in found[2].items() if v[0] != B.LEAF} and set(found[1]) == set(found[0]) == set(found[2])
+    for other in found[1:]:
+        assert all(other[k] == pytest.approx(v, abs=1e-8) for k, v in found[0].items())
+
+
+def test_all_rounds_in_a_few_jobs(spark):
+    """A full probe: 150 rounds took 450 jobs."""
+    df = spark.createDataFrame(table(), "symbol string, ts timestamp, a double, b double, c double, d double, y double")
+    held = B.blocks(df, FEATURES, "y", 250)
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    trees = B.Booster((B.PROBE,), B.probes()).fit(held)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    turns = {r[0] for r in trees.where("node >= 0").select("turn").distinct().collect()}
+    assert max(turns) > 100 and jobs < 20

@@ -120,3 +120,18 @@ def test_trade_plan(spark, depth):
 
 
 _LOSS: dict[int, float] = {}
+
+
+@pytest.mark.parametrize("name,members,folds", [("m7_probe_ranking", [(B.PROBE,)], [5]), ("m8_selection_pipeline", [(B.PROBE,), B.ENSEMBLE], [5, 6]), ("m9_consensus_selection", [(B.PROBE,)], [40])])
+def test_queries_run_whole_members(spark, monkeypatch, name, members, folds):
+    from chronolith.plans import evaluate, policy, registry
+
+    seen, targets = [], []
+    none = spark.createDataFrame([], "symbol string, ts timestamp, a double, " + ", ".join(f"{t} double" for t in evaluate.VOL[:4]))
+    for module in (evaluate, policy):
+        monkeypatch.setattr(module, "wide_lane", lambda *_: (none, ["a"]))
+    fit, ranked = B.Booster.fit, S.ranked
+    monkeypatch.setattr(B.Booster, "fit", lambda self, *args: seen.append((self.members, len(self.plan(3000)))) or fit(self, *args))
+    monkeypatch.setattr(S, "ranked", lambda df, features, t, *args, **how: targets.append(len(t)) or ranked(df, features, t, *args, **how))
+    assert registry.queries()[name](spark, "").count() == 0
+    assert seen == list(zip(members, folds)) and targets == [4 if name.startswith("m9") else 1]
