@@ -26,7 +26,7 @@ def _(spark, sf):
     x, names = wide_lane(spark, sf)
     whole = lambda n: [n]
     every = x.select("symbol").distinct().select("symbol", F.lit(0).alias("fold"), F.lit(list(range(len(names)))).alias("features"))
-    rank = selection.ranked(x, names, ("vol_1d",), whole, every, models.shortened((boosting.PROBE,), 3)[0])
+    rank = selection.ranked(x, names, ("vol_1d",), whole, every)
     return rank.select("symbol", (F.col("position") + 1).alias("rank"), "feature", "importance")
 
 
@@ -34,9 +34,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Correlation filter, probe ranking, and a walk-forward on what is left, whose importances cut it to the budget."""
     x, names = wide_lane(spark, sf)
-    members = models.shortened(boosting.ENSEMBLE[1:2], 2)
-    full = lambda df, allowed: models.walk_forward(df, names, "vol_1d", share=0.1, most=2, members=members, allowed=allowed)[1]
-    return selection.pipeline(x, names, "vol_1d", 500, models.shortened((boosting.PROBE,), 2)[0], full)
+    full = lambda df, allowed: models.walk_forward(df, names, "vol_1d", allowed=allowed)[1]
+    return selection.pipeline(x, names, "vol_1d", 500, walk_forward_fn=full)
 
 
 @query("m12_vol_isotonic")
